@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from wideprep.functions import numeric as N
 from wideprep.functions import text as TX
+from wideprep.operators import impute as I
+from wideprep.operators import ordered as O
 from wideprep.operators import profile as P
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -211,6 +213,288 @@ def q_decimal_comma(spark, d):
     return p.select("p_partkey", txt.alias("txt"), TX.decimal_comma_to_double(txt).alias("value"))
 
 
+# --------------------------------------------------------------------------- ordered fills (D2)
+
+def events_gaps(spark, d):
+    e = _t(spark, d, "events")
+    return e.select("event_id", "ts", "user_id",
+                    _null_if((F.col("event_id") % 5).isin(1, 2, 3), F.col("value")).alias("value"))
+
+
+EVENTS_GAPS_SQL = ("(SELECT event_id, ts, user_id, CASE WHEN event_id % 5 IN (1, 2, 3) THEN NULL ELSE value END "
+                   "AS value FROM events)")
+
+
+def _ordered_out(df, value="value"):
+    return df.select("event_id", F.round(value, 6).alias("value"))
+
+
+def q_ffill(spark, d):
+    return _ordered_out(O.fill_forward(events_gaps(spark, d), ["value"], "event_id"))
+
+
+def q_ffill_by_user(spark, d):
+    return _ordered_out(O.fill_forward(events_gaps(spark, d), ["value"], "event_id", partition_by=["user_id"]))
+
+
+def q_ffill_limit(spark, d):
+    return _ordered_out(O.fill_forward(events_gaps(spark, d), ["value"], "event_id", limit=2))
+
+
+def q_bfill(spark, d):
+    return _ordered_out(O.fill_backward(events_gaps(spark, d), ["value"], "event_id"))
+
+
+def q_bfill_limit_by_user(spark, d):
+    return _ordered_out(O.fill_backward(events_gaps(spark, d), ["value"], "event_id", limit=1,
+                                        partition_by=["user_id"]))
+
+
+def q_interpolate_linear(spark, d):
+    return _ordered_out(O.interpolate(events_gaps(spark, d), ["value"], "event_id"))
+
+
+def q_interpolate_time(spark, d):
+    return _ordered_out(O.interpolate(events_gaps(spark, d), ["value"], "ts", method="time"))
+
+
+def q_interpolate_both_by_user(spark, d):
+    return _ordered_out(O.interpolate(events_gaps(spark, d), ["value"], "event_id", limit=1,
+                                      limit_direction="both", partition_by=["user_id"]))
+
+
+def q_interpolate_nearest(spark, d):
+    return _ordered_out(O.interpolate(events_gaps(spark, d), ["value"], "event_id", method="nearest"))
+
+
+def q_row_slice(spark, d):
+    e = _t(spark, d, "events")
+    return O.slice_rows(e, "event_id", 100, 300).select("event_id", "user_id", "event_type")
+
+
+def q_skip_rows(spark, d):
+    e = _t(spark, d, "events")
+    return O.slice_rows(e, "event_id", 3, None).select("event_id", "user_id")
+
+
+def q_positions_by_user(spark, d):
+    e = _t(spark, d, "events").select("event_id", "user_id")
+    return O.with_positions(e, "event_id", partition_by=["user_id"])
+
+
+def _sql_ordered(expr_value: str, part: str = "", order: str = "event_id", x: str | None = None) -> str:
+    """Window formulation in DuckDB: previous/next value and position per row."""
+    pby = f"PARTITION BY {part} " if part else ""
+    w_prev = f"OVER ({pby}ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    w_next = f"OVER ({pby}ORDER BY {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    xs = x or "0"
+    return (f"WITH g AS {EVENTS_GAPS_SQL},\n"
+            f"p AS (SELECT *, row_number() OVER ({pby}ORDER BY {order}) AS pos, {xs} AS x FROM g),\n"
+            "q AS (SELECT *,\n"
+            f" last_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) {w_prev} AS pp,\n"
+            f" last_value(CASE WHEN value IS NOT NULL THEN x END IGNORE NULLS) {w_prev} AS px,\n"
+            f" last_value(value IGNORE NULLS) {w_prev} AS pv,\n"
+            f" first_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) {w_next} AS np,\n"
+            f" first_value(CASE WHEN value IS NOT NULL THEN x END IGNORE NULLS) {w_next} AS nx,\n"
+            f" first_value(value IGNORE NULLS) {w_next} AS nv FROM p)\n"
+            f"SELECT event_id, round({expr_value}, 6) AS value FROM q")
+
+
+LINEAR_SQL = ("CASE WHEN value IS NOT NULL THEN value WHEN pp IS NOT NULL AND np IS NOT NULL "
+              "THEN pv + (nv - pv) * (CAST(pos - pp AS DOUBLE) / CAST(np - pp AS DOUBLE)) "
+              "WHEN pp IS NOT NULL THEN pv END")
+TIME_SQL = ("CASE WHEN value IS NOT NULL THEN value WHEN pp IS NOT NULL AND np IS NOT NULL "
+            "THEN pv + (nv - pv) * ((x - px) / (nx - px)) WHEN pp IS NOT NULL THEN pv END")
+BOTH1_SQL = ("CASE WHEN value IS NOT NULL THEN value "
+             "WHEN (pp IS NOT NULL AND pos - pp <= 1) OR (np IS NOT NULL AND np - pos <= 1) THEN "
+             "CASE WHEN pp IS NOT NULL AND np IS NOT NULL "
+             "THEN pv + (nv - pv) * (CAST(pos - pp AS DOUBLE) / CAST(np - pp AS DOUBLE)) "
+             "WHEN pp IS NOT NULL THEN pv ELSE nv END END")
+NEAREST_SQL = ("CASE WHEN value IS NOT NULL THEN value WHEN pp IS NOT NULL AND np IS NOT NULL "
+               "THEN CASE WHEN pos - pp <= np - pos THEN pv ELSE nv END END")
+
+
+def _sql_slice() -> str:
+    return "SELECT event_id, user_id, event_type FROM events ORDER BY event_id LIMIT 200 OFFSET 100"
+
+
+def _sql_skip() -> str:
+    return ("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS rn FROM events) "
+            "WHERE rn > 3")
+
+
+def _sql_positions() -> str:
+    return ("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position "
+            "FROM events")
+
+
+# --------------------------------------------------------------------------- imputation
+
+def q_impute_mean(spark, d):
+    out = I.impute_mean(orders_gaps(spark, d), ["o_totalprice"])
+    return out.select("o_orderkey", F.round("o_totalprice", 4).alias("o_totalprice"))
+
+
+def q_impute_median(spark, d):
+    out = I.impute_median(orders_gaps(spark, d), ["o_totalprice"])
+    return out.select("o_orderkey", F.round("o_totalprice", 4).alias("o_totalprice"))
+
+
+def q_impute_mode(spark, d):
+    out = I.impute_mode(orders_gaps(spark, d), ["o_totalprice", "o_orderpriority"], tie="string")
+    return out.select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+def q_impute_constant(spark, d):
+    out = I.impute_constant(orders_gaps(spark, d), {"o_totalprice": 0.0, "o_orderpriority": "unknown"})
+    return out.select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+def q_drop_rows(spark, d):
+    return I.drop_rows(orders_gaps(spark, d), ["o_totalprice"]).select("o_orderkey", "o_totalprice")
+
+
+def orders_auto(spark, d):
+    o = _t(spark, d, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        "o_orderkey",
+        _null_if(k % 3 == 0, F.col("o_custkey")).alias("o_custkey"),
+        _null_if(k % 13 == 0, F.col("o_orderstatus")).alias("o_orderstatus"),
+        _null_if(k % 7 == 0, F.col("o_totalprice")).alias("o_totalprice"),
+        _null_if(k % 4 == 0, F.round(F.col("o_totalprice") / 10000, 1)).alias("o_price_k"),
+        _null_if(k % 11 == 0, F.col("o_orderdate")).alias("o_orderdate"),
+        F.lit(None).cast("double").alias("o_none"))
+
+
+ORDERS_AUTO_SQL = """(SELECT o_orderkey,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS o_custkey,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE round(o_totalprice / 10000, 1) END AS o_price_k,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate,
+  CAST(NULL AS DOUBLE) AS o_none FROM orders)"""
+AUTO_CONFIG = {"methods": {"o_custkey": "median"}}
+
+
+def _auto(spark, d):
+    return I.apply_filling(orders_auto(spark, d), AUTO_CONFIG, order_by="o_orderkey")
+
+
+def q_impute_auto(spark, d):
+    filled, _, _ = _auto(spark, d)
+    return filled.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                         F.round("o_price_k", 4).alias("o_price_k"),
+                         F.col("o_orderdate").cast("string").alias("o_orderdate"), "o_none")
+
+
+def q_impute_log(spark, d):
+    _, log, _ = _auto(spark, d)
+    return log.select("column", "method", "missing_before", "missing_after", "dtype", "fallback", "reason")
+
+
+def q_impute_summary(spark, d):
+    _, _, summary = _auto(spark, d)
+    return summary
+
+
+POLICY_RULES = [(["o_totalprice"], "median", 50.0), (["o_orderpriority"], "mode", 30.0),
+                (["o_custkey"], "median", 30.0)]
+
+
+def orders_policy(spark, d):
+    o = _t(spark, d, "orders")
+    k = F.col("o_orderkey")
+    return o.select("o_orderkey",
+                    _null_if(k % 10 == 0, F.col("o_totalprice")).alias("o_totalprice"),
+                    _null_if(k % 5 < 2, F.col("o_orderpriority")).alias("o_orderpriority"),
+                    _null_if(k % 5 < 3, F.col("o_custkey").cast("double")).alias("o_custkey"))
+
+
+def q_impute_policy(spark, d):
+    out = I.impute_policy(orders_policy(spark, d), POLICY_RULES)
+    return out.select("o_orderkey", F.round("o_totalprice", 4).alias("o_totalprice"), "o_orderpriority",
+                      "o_custkey")
+
+
+def _sql_impute_simple(kind: str) -> str:
+    g = ORDERS_GAPS_SQL
+    if kind == "mean":
+        return (f"WITH g AS {g} SELECT o_orderkey, round(coalesce(o_totalprice, (SELECT avg(o_totalprice) "
+                "FROM g)), 4) AS o_totalprice FROM g")
+    if kind == "median":
+        return (f"WITH g AS {g} SELECT o_orderkey, round(coalesce(o_totalprice, (SELECT quantile_cont("
+                "o_totalprice, 0.5) FROM g)), 4) AS o_totalprice FROM g")
+    if kind == "mode":
+        def m(c):
+            return (f"(SELECT v FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM g WHERE {c} IS NOT NULL "
+                    "GROUP BY 1) ORDER BY n DESC, v LIMIT 1)")
+        return (f"WITH g AS {g} SELECT o_orderkey, coalesce(o_totalprice, CAST({m('o_totalprice')} AS DOUBLE)) "
+                f"AS o_totalprice, coalesce(o_orderpriority, {m('o_orderpriority')}) AS o_orderpriority FROM g")
+    if kind == "constant":
+        return (f"WITH g AS {g} SELECT o_orderkey, coalesce(o_totalprice, 0.0) AS o_totalprice, "
+                "coalesce(o_orderpriority, 'unknown') AS o_orderpriority FROM g")
+    return f"WITH g AS {g} SELECT o_orderkey, o_totalprice FROM g WHERE o_totalprice IS NOT NULL"
+
+
+def _sql_impute_auto() -> str:
+    # decisions spelled out: custkey median (config), status mode, totalprice mode (all values tie:
+    # smallest text), price_k mean (few distinct values, spread > 1, decimals), orderdate ffill
+    # (datetime fallback), o_none unchanged (no value, nothing to carry)
+    def mode_txt(c):
+        return (f"(SELECT v FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM g WHERE {c} IS NOT NULL "
+                "GROUP BY 1) ORDER BY n DESC, v LIMIT 1)")
+    return (f"WITH g AS {ORDERS_AUTO_SQL}\n"
+            "SELECT o_orderkey, coalesce(o_custkey, CAST(trunc((SELECT quantile_cont(o_custkey, 0.5) FROM g)) "
+            "AS BIGINT)) AS o_custkey,\n"
+            f" coalesce(o_orderstatus, {mode_txt('o_orderstatus')}) AS o_orderstatus,\n"
+            f" coalesce(o_totalprice, CAST({mode_txt('o_totalprice')} AS DOUBLE)) AS o_totalprice,\n"
+            " round(coalesce(o_price_k, (SELECT avg(o_price_k) FROM g)), 4) AS o_price_k,\n"
+            " CAST(coalesce(o_orderdate, last_value(o_orderdate IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS "
+            "BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS VARCHAR) AS o_orderdate, o_none FROM g")
+
+
+AUTO_LOG = [("o_orderkey", "unchanged", "numeric", False, "", False),
+            ("o_custkey", "median", "numeric", False, "", True),
+            ("o_orderstatus", "mode", "string", False, "", True),
+            ("o_totalprice", "mode", "numeric", False, "", True),
+            ("o_price_k", "mean", "numeric", False, "", True),
+            ("o_orderdate", "ffill", "datetime", True, "datetime -> ffill", False),
+            ("o_none", "unchanged", "numeric", True, "numeric: mode/mode/ffill not applicable -> unchanged",
+             False)]
+
+
+def _sql_impute_log() -> str:
+    parts = []
+    for c, m, t, fb, reason, filled_all in AUTO_LOG:
+        after = "0" if filled_all else f"count(*) - count({c})"
+        if m == "ffill":  # a leading gap has nothing to carry forward
+            after = (f"(SELECT count(*) FROM (SELECT last_value({c} IGNORE NULLS) OVER (ORDER BY o_orderkey "
+                     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM g) WHERE f IS NULL)")
+        parts.append(f"SELECT '{c}' AS \"column\", '{m}' AS method, count(*) - count({c}) AS missing_before, "
+                     f"{after} AS missing_after, '{t}' AS dtype, {str(fb).lower()} AS fallback, "
+                     f"'{reason}' AS reason FROM g")
+    return f"WITH g AS {ORDERS_AUTO_SQL}\n" + _union(parts)
+
+
+def _sql_impute_summary() -> str:
+    log = _sql_impute_log()
+    return (f"WITH l AS ({log})\n"
+            "SELECT 'total_missing_before' AS metric, CAST(sum(missing_before) AS VARCHAR) AS value FROM l\n"
+            "UNION ALL SELECT 'total_missing_after', CAST(sum(missing_after) AS VARCHAR) FROM l\n"
+            "UNION ALL SELECT 'columns_processed', CAST(count(*) AS VARCHAR) FROM l\n"
+            "UNION ALL SELECT 'method:' || method, CAST(count(*) AS VARCHAR) FROM l GROUP BY method")
+
+
+def _sql_impute_policy() -> str:
+    return ("WITH g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice END AS "
+            "o_totalprice, CASE WHEN o_orderkey % 5 < 2 THEN NULL ELSE o_orderpriority END AS o_orderpriority, "
+            "CASE WHEN o_orderkey % 5 < 3 THEN NULL ELSE CAST(o_custkey AS DOUBLE) END AS o_custkey FROM orders)\n"
+            # totalprice 10 % < 50 -> median; priority 40 % >= 30 -> untouched; custkey 60 % -> untouched
+            "SELECT o_orderkey, round(coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM g)), 4) "
+            "AS o_totalprice, o_orderpriority, o_custkey FROM g")
+
+
 # --------------------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -235,6 +519,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "normalize_text": q_normalize_text,
         "match_key": q_match_key,
         "decimal_comma": q_decimal_comma,
+        "ffill": q_ffill,
+        "ffill_by_user": q_ffill_by_user,
+        "ffill_limit": q_ffill_limit,
+        "bfill": q_bfill,
+        "bfill_limit_by_user": q_bfill_limit_by_user,
+        "interpolate_linear": q_interpolate_linear,
+        "interpolate_time": q_interpolate_time,
+        "interpolate_both_by_user": q_interpolate_both_by_user,
+        "interpolate_nearest": q_interpolate_nearest,
+        "row_slice": q_row_slice,
+        "skip_rows": q_skip_rows,
+        "positions_by_user": q_positions_by_user,
+        "impute_mean": q_impute_mean,
+        "impute_median": q_impute_median,
+        "impute_mode": q_impute_mode,
+        "impute_constant": q_impute_constant,
+        "drop_rows": q_drop_rows,
+        "impute_auto": q_impute_auto,
+        "impute_log": q_impute_log,
+        "impute_summary": q_impute_summary,
+        "impute_policy": q_impute_policy,
     }
 
 
@@ -389,4 +694,25 @@ def oracle_sql() -> dict[str, str]:
         "normalize_text": _sql_normalize_text(),
         "match_key": _sql_match_key(),
         "decimal_comma": _sql_decimal_comma(),
+        "ffill": _sql_ordered("coalesce(value, pv)"),
+        "ffill_by_user": _sql_ordered("coalesce(value, pv)", part="user_id"),
+        "ffill_limit": _sql_ordered("coalesce(value, CASE WHEN pos - pp <= 2 THEN pv END)"),
+        "bfill": _sql_ordered("coalesce(value, nv)"),
+        "bfill_limit_by_user": _sql_ordered("coalesce(value, CASE WHEN np - pos <= 1 THEN nv END)", part="user_id"),
+        "interpolate_linear": _sql_ordered(LINEAR_SQL),
+        "interpolate_time": _sql_ordered(TIME_SQL, order="ts", x="CAST(epoch_us(ts) AS DOUBLE)"),
+        "interpolate_both_by_user": _sql_ordered(BOTH1_SQL, part="user_id"),
+        "interpolate_nearest": _sql_ordered(NEAREST_SQL),
+        "row_slice": _sql_slice(),
+        "skip_rows": _sql_skip(),
+        "positions_by_user": _sql_positions(),
+        "impute_mean": _sql_impute_simple("mean"),
+        "impute_median": _sql_impute_simple("median"),
+        "impute_mode": _sql_impute_simple("mode"),
+        "impute_constant": _sql_impute_simple("constant"),
+        "drop_rows": _sql_impute_simple("drop"),
+        "impute_auto": _sql_impute_auto(),
+        "impute_log": _sql_impute_log(),
+        "impute_summary": _sql_impute_summary(),
+        "impute_policy": _sql_impute_policy(),
     }
