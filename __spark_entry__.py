@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from wideprep.functions import numeric as N
 from wideprep.functions import text as TX
+from wideprep.operators import correlate as C
 from wideprep.operators import impute as I
+from wideprep.operators import posthoc as H
 from wideprep.operators import ordered as O
 from wideprep.operators import profile as P
 
@@ -495,6 +497,101 @@ def _sql_impute_policy() -> str:
             "AS o_totalprice, o_orderpriority, o_custkey FROM g")
 
 
+# --------------------------------------------------------------------------- statistics
+
+CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_const"]
+
+
+def lineitem_corr(spark, d):
+    return lineitem_gaps(spark, d).withColumn("l_const", F.lit(1.0)).select(*CORR_COLS)
+
+
+def q_corr_pairs(spark, d):
+    out = C.correlation_pairs(lineitem_corr(spark, d), method="sql")
+    return out.select("feature_1", "feature_2", "n", F.round("correlation", 6).alias("correlation"))
+
+
+def q_corr_pairs_moments(spark, d):
+    out = C.correlation_pairs(lineitem_corr(spark, d), method="moments")
+    return out.select("feature_1", "feature_2", "n", F.round("correlation", 6).alias("correlation"))
+
+
+def q_corr_matrix(spark, d):
+    return C.correlation_matrix(lineitem_corr(spark, d), decimals=2)
+
+
+def customer_groups(spark, d):
+    c = _t(spark, d, "customer")
+    return c.select("c_mktsegment", F.round("c_acctbal", -2).alias("c_acctbal_r"),
+                    F.col("c_nationkey").cast("double").alias("c_nationkey"))
+
+
+def q_posthoc_stats(spark, d):
+    out = H.dscf_table(customer_groups(spark, d), "c_mktsegment")
+    return out.select("feature", "group_1", "group_2", "n_1", "n_2", F.round("u", 6).alias("u"),
+                      F.round("q", 6).alias("q"), "significant")
+
+
+def q_posthoc_dscf(spark, d):
+    return H.posthoc_dscf(customer_groups(spark, d), "c_mktsegment")
+
+
+CORR_SQL_SRC = ("(SELECT CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_quantity END AS l_quantity, l_extendedprice, "
+                "l_discount, l_tax, CAST(l_linenumber AS DOUBLE) AS l_linenumber, 1.0::DOUBLE AS l_const FROM lineitem)")
+
+
+def _sql_corr_long() -> str:
+    parts = []
+    for i in range(len(CORR_COLS)):
+        for j in range(i + 1, len(CORR_COLS)):
+            a, b = CORR_COLS[i], CORR_COLS[j]
+            ma, mb = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
+            parts.append(
+                f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, count({ma}) AS n, "
+                f"CASE WHEN count({ma}) < 2 OR stddev_pop({ma}) = 0 OR stddev_pop({mb}) = 0 THEN NULL "
+                f"ELSE corr({a}, {b}) END AS correlation FROM g")
+    return f"WITH g AS {CORR_SQL_SRC}\n" + _union(parts)
+
+
+def _sql_corr_pairs() -> str:
+    return f"SELECT feature_1, feature_2, n, round(correlation, 6) AS correlation FROM ({_sql_corr_long()})"
+
+
+def _sql_corr_matrix() -> str:
+    diag = _union([f"SELECT '{c}' AS feature_1, '{c}' AS feature_2, CASE WHEN stddev_pop({c}) > 0 THEN 1.0 END "
+                   f"AS correlation FROM {CORR_SQL_SRC}" for c in CORR_COLS])
+    piv = ", ".join(f"max(CASE WHEN feature_2 = '{c}' THEN round(correlation, 2) + 0.0 END) AS {c}" for c in CORR_COLS)
+    return (f"WITH p AS ({_sql_corr_long()}),\n"
+            "b AS (SELECT feature_1, feature_2, correlation FROM p UNION ALL "
+            f"SELECT feature_2, feature_1, correlation FROM p UNION ALL {diag})\n"
+            f"SELECT feature_1 AS feature, {piv} FROM b GROUP BY feature_1")
+
+
+Q_CRIT_K5 = 3.8576555  # studentized range, k = 5, df = inf, alpha = 0.05
+
+
+def _sql_posthoc_stats() -> str:
+    return f"""WITH d AS (SELECT c_mktsegment AS g, 'c_acctbal_r' AS feature, round(c_acctbal, -2) AS v FROM customer
+  UNION ALL SELECT c_mktsegment, 'c_nationkey', CAST(c_nationkey AS DOUBLE) FROM customer),
+gs AS (SELECT DISTINCT g FROM d),
+pr AS (SELECT a.g AS group_1, b.g AS group_2 FROM gs a JOIN gs b ON a.g < b.g),
+x AS (SELECT d.feature, pr.group_1, pr.group_2, d.g, d.v FROM d JOIN pr ON d.g = pr.group_1 OR d.g = pr.group_2),
+r AS (SELECT *, rank() OVER (PARTITION BY feature, group_1, group_2 ORDER BY v)
+        + (count(*) OVER (PARTITION BY feature, group_1, group_2, v) - 1) / 2.0 AS ar FROM x),
+tv AS (SELECT feature, group_1, group_2, v, count(*) AS t FROM x GROUP BY ALL),
+ti AS (SELECT feature, group_1, group_2, sum((t * t * t - t) / 12.0) AS ties FROM tv GROUP BY ALL),
+s AS (SELECT feature, group_1, group_2, count(*) FILTER (WHERE g = group_1) AS n_1,
+        count(*) FILTER (WHERE g = group_2) AS n_2, sum(ar) FILTER (WHERE g = group_1) AS r1 FROM r GROUP BY ALL),
+u AS (SELECT s.*, ti.ties, CAST(n_1 AS DOUBLE) * n_2 + n_1 * (n_1 + 1) / 2.0 - r1 AS u1,
+        CAST(n_1 + n_2 AS DOUBLE) AS nn FROM s JOIN ti USING (feature, group_1, group_2)),
+q AS (SELECT *, least(u1, CAST(n_1 AS DOUBLE) * n_2 - u1) AS um,
+        (CAST(n_1 AS DOUBLE) * n_2 / (nn * (nn - 1))) * ((nn * nn * nn - nn) / 12.0 - ties) AS var FROM u)
+SELECT feature, group_1, group_2, n_1, n_2, round(um, 6) AS u,
+  round(CASE WHEN var > 0 THEN sqrt(2.0) * abs(um - CAST(n_1 AS DOUBLE) * n_2 / 2.0) / sqrt(var) END, 6) AS q,
+  CASE WHEN var > 0 AND sqrt(2.0) * abs(um - CAST(n_1 AS DOUBLE) * n_2 / 2.0) / sqrt(var) > {Q_CRIT_K5}
+       THEN 'yes' ELSE 'no' END AS significant FROM q"""
+
+
 # --------------------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -540,6 +637,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "impute_log": q_impute_log,
         "impute_summary": q_impute_summary,
         "impute_policy": q_impute_policy,
+        "corr_pairs": q_corr_pairs,
+        "corr_pairs_moments": q_corr_pairs_moments,
+        "corr_matrix": q_corr_matrix,
+        "posthoc_stats": q_posthoc_stats,
+        "posthoc_dscf": q_posthoc_dscf,
     }
 
 
@@ -715,4 +817,8 @@ def oracle_sql() -> dict[str, str]:
         "impute_log": _sql_impute_log(),
         "impute_summary": _sql_impute_summary(),
         "impute_policy": _sql_impute_policy(),
+        "corr_pairs": _sql_corr_pairs(),
+        "corr_pairs_moments": _sql_corr_pairs(),
+        "corr_matrix": _sql_corr_matrix(),
+        "posthoc_stats": _sql_posthoc_stats(),
     }

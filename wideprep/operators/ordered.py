@@ -291,3 +291,27 @@ def slice_rows(df: DataFrame, order_by: str, start: int = 0, stop: int | None =
     if stop is not None:
         cond = cond & (F.col("_rowpos") <= stop)
     return pos.where(cond).drop("_rowpos")
+
+
+def running_total(df: DataFrame, segment, order_by: str, value: str, out: str = "cum_before",
+                  n_buckets=None) -> DataFrame:
+    """Per ``segment``, the sum of ``value`` over all rows with a smaller
+    ``order_by`` (rows must be unique on ``segment + order_by``).
+
+    Same bucketed plan as ``OrderedFrame``: one window per (segment, range
+    bucket), bucket totals, running offsets over the small bucket table, a
+    join back; a segment with billions of distinct keys is spread over all
+    buckets instead of one task."""
+    segment = list(segment)
+    bounds = bucket_bounds(df, order_by, n_buckets)
+    key = _key_numeric(df, order_by)
+    base = df.withColumn("_bkt", _bucket_expr(key, bounds) if bounds else F.lit(0))
+    w = Window.partitionBy(*[col(s) for s in segment], F.col("_bkt")).orderBy(col(order_by)) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    local = base.withColumn("_loc", F.coalesce(F.sum(col(value)).over(w), F.lit(0)))
+    tot = local.groupBy(*[col(s) for s in segment], "_bkt").agg(F.sum(col(value)).alias("_tot"))
+    ws = Window.partitionBy(*[col(s) for s in segment]).orderBy("_bkt") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*[col(s) for s in segment], "_bkt", F.coalesce(F.sum("_tot").over(ws), F.lit(0)).alias("_off"))
+    joined = local.join(offs, segment + ["_bkt"], "left")
+    return joined.withColumn(out, F.col("_loc") + F.col("_off")).drop("_bkt", "_loc", "_off")
