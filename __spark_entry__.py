@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 
 from wideprep.functions import numeric as N
 from wideprep.functions import text as TX
+from wideprep.operators import classify as CL
+from wideprep.operators import columns as CO
 from wideprep.operators import correlate as C
 from wideprep.operators import impute as I
 from wideprep.operators import posthoc as H
 from wideprep.operators import ordered as O
 from wideprep.operators import profile as P
+from wideprep.operators._util import col
+from wideprep.plans import header as HD
+from wideprep.sources import reports as RP
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -592,6 +597,219 @@ SELECT feature, group_1, group_2, n_1, n_2, round(um, 6) AS u,
        THEN 'yes' ELSE 'no' END AS significant FROM q"""
 
 
+# --------------------------------------------------------------------------- header, names, selection
+
+HEADER_COLS = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+def customer_header(spark, d):
+    """First three customers (by key) as header rows, with typographic quotes
+    around names and blanks where ``(row_idx + col_idx) % 3 = 0``."""
+    c = _t(spark, d, "customer")
+    c = c.withColumn("c_name", F.concat(F.lit("« "), F.col("c_name"), F.lit(" »")))
+    h = HD.header_from_rows(c, "c_custkey", 3)
+    return h.withColumn("cell", F.when((F.col("row_idx") + F.col("col_idx")) % 3 == 0, F.lit("")).otherwise(F.col("cell")))
+
+
+def q_pick_names(spark, d):
+    return HD.pick_names(customer_header(spark, d))
+
+
+def q_header_sources(spark, d):
+    return P.counter(HD.pick_names(customer_header(spark, d)), "used_row")
+
+
+def q_dedupe_names(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"))
+    return HD.dedupe_names(p, "name", "p_partkey")
+
+
+def q_find_target(spark, d):
+    h = customer_header(spark, d)
+    return HD.find_target(HD.pick_names(h), h, "« Customer#00000000")
+
+
+def q_promote_header(spark, d):
+    """IO2 on ``orders`` read as text with generic names: the row-2 cells name
+    the columns; the body is returned in long form ``o_orderkey, name, value``."""
+    o = _t(spark, d, "orders")
+    generic = o.select("o_orderkey", *[F.col(c).cast("string").alias(f"COL{i + 1}")
+                                       for i, c in enumerate(ORDERS_COLS[1:])])
+    header, body = HD.header_table(generic, "o_orderkey", 3)
+    names = {r["col_idx"]: r["name"] for r in HD.pick_names(header).collect()}  # one name per column
+    promoted = body.select("o_orderkey", *[F.col(f"COL{i + 1}").alias(names[i]) for i in range(len(names))])
+    return promoted.unpivot(["o_orderkey"], [col(names[i]) for i in range(len(names))], "name", "value")
+
+
+def q_drop_identifier(spark, d):
+    return HD.drop_identifier(_t(spark, d, "customer"), ["C_Cust Key"])
+
+
+def q_report_lines(spark, d):
+    lines = RP.format_fill_lines(P.fill_rate(orders_gaps(spark, d)))
+    parsed = RP.parse_fill_lines(lines)
+    return lines.join(parsed, "column_no")
+
+
+def orders_keep(spark, d):
+    o = _t(spark, d, "orders")
+    k = F.col("o_orderkey")
+    return o.select("o_orderkey", "o_custkey", "o_orderstatus",
+                    _null_if(k % 7 == 0, F.col("o_totalprice")).alias("o_totalprice"),
+                    F.col("o_orderdate").cast("string").alias("o_orderdate"),
+                    _null_if(k % 2 == 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+
+
+def q_keep_filled(spark, d):
+    return CO.keep_filled(orders_keep(spark, d), 80.0)
+
+
+def q_select_numeric(spark, d):
+    return CO.select_numeric(orders_gaps(spark, d), exclude=["o_custkey"])
+
+
+def q_drop_text_columns(spark, d):
+    return CO.drop_text_columns(part_text(spark, d))
+
+
+PART_HINTS = [("P_Brand", "categorical"), ("p retailprice", "numerical")]
+
+
+def q_classify(spark, d):
+    hints = spark.createDataFrame(PART_HINTS, "key string, kind string")
+    return CL.classify_features(_t(spark, d, "part"), hints)
+
+
+def q_classify_text(spark, d):
+    return CL.classify_features(part_text(spark, d), use_patterns=False)
+
+
+# user-supplied cue patterns for the four languages of ``documents``, next to the reference's defaults
+DOC_CAT_EXTRA = [r"\bla\b", r"\bthe\b"]
+DOC_NUM_EXTRA = [r"\bder\b", r"\bthe\b"]
+
+
+def q_name_cues(spark, d):
+    doc = _t(spark, d, "documents").select("doc_id", "text")
+    out = CL.text_cues(doc, "text", CL.CATEGORICAL_PATTERNS + DOC_CAT_EXTRA, CL.NUMERICAL_PATTERNS + DOC_NUM_EXTRA)
+    return out.select("doc_id", "cat_hit", "num_hit", "cue_hit", "kind")
+
+
+def portable_regex(p: str) -> str:
+    """Java ``\\b`` (Unicode) rewritten for RE2, whose ``\\b`` is ASCII-only."""
+    nw = r"[^\pL\pN_]"
+    if p.startswith(r"\(.*?\b"):
+        p = r"\((?:.*?" + nw + ")?" + p[len(r"\(.*?\b"):]
+    if p.startswith(r"\b"):
+        p = "(?:^|" + nw + ")" + p[2:]
+    if p.endswith(r"\b"):
+        p = p[:-2] + "(?:$|" + nw + ")"
+    return p
+
+
+def _sql_any(key: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({key}, '{portable_regex(p)}')" for p in patterns) + ")"
+
+
+def _sql_name_cues() -> str:
+    key = sql_match_key("text")
+    cat = _sql_any("k", CL.CATEGORICAL_PATTERNS + DOC_CAT_EXTRA)
+    num = _sql_any("k", CL.NUMERICAL_PATTERNS + DOC_NUM_EXTRA)
+    cue = "(" + " OR ".join(f"contains(k, '{c}')" for c in CL.CATEGORICAL_CUES) + ")"
+    return (f"WITH t AS (SELECT doc_id, {key} AS k FROM documents)\n"
+            f"SELECT doc_id, {cat} AS cat_hit, {num} AS num_hit, {cue} AS cue_hit, "
+            f"CASE WHEN {cat} AND NOT {num} THEN 'categorical' WHEN {num} AND NOT {cat} THEN 'numerical' END AS kind "
+            "FROM t")
+
+
+def _sql_header_cells() -> str:
+    raws = {"c_name": "concat('« ', c_name, ' »')", "c_nationkey": "CAST(c_nationkey AS VARCHAR)",
+            "c_acctbal": "CAST(c_acctbal AS VARCHAR)", "c_mktsegment": "c_mktsegment"}
+    cells = _union([f"SELECT {i} AS col_idx, row_idx, {raws[c]} AS raw FROM r" for i, c in enumerate(HEADER_COLS)])
+    return ("WITH r AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx FROM "
+            "(SELECT * FROM customer ORDER BY c_custkey LIMIT 3)),\n"
+            f"cells AS ({cells}),\n"
+            f"hc AS (SELECT col_idx, row_idx, CASE WHEN (row_idx + col_idx) % 3 = 0 THEN '' ELSE {sql_normalize('raw')} "
+            "END AS cell FROM cells)")
+
+
+def _sql_pick_names() -> str:
+    return (_sql_header_cells() + ",\n"
+            "w AS (SELECT col_idx, max(CASE WHEN row_idx = 2 AND cell <> '' THEN cell END) AS h2, "
+            "max(CASE WHEN row_idx = 1 AND cell <> '' THEN cell END) AS h1, "
+            "max(CASE WHEN row_idx = 0 AND cell <> '' THEN cell END) AS h0 FROM hc GROUP BY col_idx)\n"
+            "SELECT col_idx, coalesce(h2, h1, h0, '') AS name, CASE WHEN h2 IS NOT NULL THEN 2 WHEN h1 IS NOT NULL "
+            "THEN 1 WHEN h0 IS NOT NULL THEN 0 ELSE 2 END AS used_row FROM w")
+
+
+def _sql_header_sources() -> str:
+    return f"SELECT used_row, count(*) AS n FROM ({_sql_pick_names()}) GROUP BY used_row"
+
+
+def _sql_find_target() -> str:
+    prefix = TX.py_match_key("« Customer#00000000")
+    return (f"WITH n AS ({_sql_pick_names()})\n"
+            f"SELECT col_idx, name, 'derived' AS mode FROM n WHERE starts_with({sql_match_key('name')}, '{prefix}') "
+            f"ORDER BY {sql_match_key('name')}, col_idx LIMIT 1")
+
+
+def _sql_dedupe() -> str:
+    return ("SELECT p_partkey, CASE WHEN rn > 1 THEN p_name || '_' || CAST(rn AS VARCHAR) ELSE p_name END AS name "
+            "FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part)")
+
+
+def _sql_promote_header() -> str:
+    cols = ORDERS_COLS[1:]
+    casts = ", ".join(f"CAST({c} AS VARCHAR) AS c{i + 1}" for i, c in enumerate(cols))
+    names = ", ".join(f"max(CASE WHEN rn = 3 THEN c{i + 1} END) AS n{i + 1}" for i in range(len(cols)))
+    body = _union([f"SELECT b.o_orderkey, h.n{i + 1} AS name, b.c{i + 1} AS value FROM b, h"
+                   for i in range(len(cols))])
+    norm = ", ".join(f"{sql_normalize(f'n{i + 1}')} AS n{i + 1}" for i in range(len(cols)))
+    return (f"WITH t AS (SELECT o_orderkey, {casts}, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders),\n"
+            f"h0 AS (SELECT {names} FROM t WHERE rn <= 3), h AS (SELECT {norm} FROM h0),\n"
+            "b AS (SELECT * FROM t WHERE rn > 3)\n" + body)
+
+
+def _sql_report_lines() -> str:
+    parts = []
+    for i, c in enumerate(ORDERS_COLS):
+        parts.append(f"SELECT {i + 1} AS column_no, count({c}) AS filled, count(*) AS total, "
+                     f"round(100.0 * count({c}) / count(*), 2) AS percentage FROM g")
+    return (f"WITH g AS {ORDERS_GAPS_SQL}, r AS ({_union(parts)})\n"
+            "SELECT column_no, printf('Column %d: Filled=%d, Total=%d, Percentage=%.2f%%', column_no, filled, total, "
+            "percentage) AS line, filled, total, CAST(percentage AS DOUBLE) AS percentage FROM r")
+
+
+def _sql_keep_filled() -> str:
+    return ("SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice "
+            "END AS o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM orders")
+
+
+def _sql_classify(text: bool) -> str:
+    src = PART_TEXT_SQL if text else "(SELECT * FROM part)"
+    cols = PART_TEXT_COLS
+    parts = []
+    for i, c in enumerate(cols):
+        n = sql_to_number(f"CAST({c} AS VARCHAR)") if text else f"CAST({c} AS DOUBLE)" \
+            if c in ("p_partkey", "p_size", "p_retailprice") else "CAST(NULL AS DOUBLE)"
+        parts.append(
+            f"SELECT {i} AS position, '{c}' AS \"column\", CAST(count({n}) AS DOUBLE) / count(*) AS ratio, "
+            f"count(DISTINCT {n}) AS n_num, count(DISTINCT {c}) AS n_raw, "
+            f"coalesce(bool_and(CASE WHEN {n} IS NOT NULL THEN abs({n} - round_even({n}, 0)) <= 1e-9 END), false) "
+            "AS int_like FROM g")
+    hint = "" if text else "WHEN \"column\" = 'p_brand' THEN 'categorical' "
+    hint_src = "" if text else "WHEN \"column\" = 'p_brand' THEN 'hints' "
+    return (f"WITH g AS {src}, s AS ({_union(parts)})\n"
+            f"SELECT position, \"column\", CASE {hint}WHEN ratio >= 0.9 THEN CASE WHEN n_num = 0 THEN 'categorical' "
+            "WHEN int_like AND n_num <= 10 THEN 'categorical' ELSE 'numerical' END ELSE 'categorical' END AS kind, "
+            + (f"CASE {hint_src}ELSE 'heuristic' END AS source, " if not text else "'heuristic' AS source, ") +
+            f"CASE {'WHEN \"column\" = ' + chr(39) + 'p_brand' + chr(39) + ' THEN false ' if not text else ''}"
+            "WHEN ratio < 0.9 THEN n_raw > 10 ELSE false END AS high_card, "
+            f"CASE {'WHEN \"column\" = ' + chr(39) + 'p_brand' + chr(39) + ' THEN false ' if not text else ''}"
+            "WHEN ratio >= 0.9 THEN n_num > 0 AND int_like AND n_num <= 10 AND n_num > 5 "
+            "ELSE n_raw > 5 AND n_raw <= 10 END AS borderline FROM s")
+
+
 # --------------------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -642,6 +860,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "corr_matrix": q_corr_matrix,
         "posthoc_stats": q_posthoc_stats,
         "posthoc_dscf": q_posthoc_dscf,
+        "pick_names": q_pick_names,
+        "header_sources": q_header_sources,
+        "dedupe_names": q_dedupe_names,
+        "find_target": q_find_target,
+        "promote_header": q_promote_header,
+        "drop_identifier": q_drop_identifier,
+        "report_lines": q_report_lines,
+        "keep_filled": q_keep_filled,
+        "select_numeric": q_select_numeric,
+        "drop_text_columns": q_drop_text_columns,
+        "classify": q_classify,
+        "classify_text": q_classify_text,
+        "name_cues": q_name_cues,
     }
 
 
@@ -821,4 +1052,17 @@ def oracle_sql() -> dict[str, str]:
         "corr_pairs_moments": _sql_corr_pairs(),
         "corr_matrix": _sql_corr_matrix(),
         "posthoc_stats": _sql_posthoc_stats(),
+        "pick_names": _sql_pick_names(),
+        "header_sources": _sql_header_sources(),
+        "dedupe_names": _sql_dedupe(),
+        "find_target": _sql_find_target(),
+        "promote_header": _sql_promote_header(),
+        "drop_identifier": "SELECT c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+        "report_lines": _sql_report_lines(),
+        "keep_filled": _sql_keep_filled(),
+        "select_numeric": f"SELECT o_orderkey, o_totalprice FROM {ORDERS_GAPS_SQL}",
+        "drop_text_columns": f"SELECT p_partkey, p_retailprice FROM {PART_TEXT_SQL}",
+        "classify": _sql_classify(False),
+        "classify_text": _sql_classify(True),
+        "name_cues": _sql_name_cues(),
     }
