@@ -19,10 +19,15 @@ from wideprep.functions import text as TX
 from wideprep.operators import classify as CL
 from wideprep.operators import columns as CO
 from wideprep.operators import correlate as C
+from wideprep.operators import explain as EX
+from wideprep.operators import features as FE
 from wideprep.operators import impute as I
+from wideprep.operators import knn as KN
+from wideprep.operators import model as MD
 from wideprep.operators import posthoc as H
 from wideprep.operators import ordered as O
 from wideprep.operators import profile as P
+from wideprep.operators import quantile as Q
 from wideprep.operators._util import col
 from wideprep.plans import header as HD
 from wideprep.sources import reports as RP
@@ -810,6 +815,167 @@ def _sql_classify(text: bool) -> str:
             "ELSE n_raw > 5 AND n_raw <= 10 END AS borderline FROM s")
 
 
+# --------------------------------------------------------------------------- features, KNN, models
+
+def q_split_hash(spark, d):
+    return FE.split_hash(_t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.2, 42)
+
+
+def q_standardize(spark, d):
+    li = lineitem_gaps(spark, d).withColumn("l_const", F.lit(1.0))
+    cols = ["l_quantity", "l_extendedprice", "l_const"]
+    out = FE.standardize(li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *cols), cols)
+    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in cols])
+
+
+def q_onehot_long(spark, d):
+    return FE.onehot_long(orders_gaps(spark, d), "o_orderkey", ["o_orderpriority", "o_orderstatus"])
+
+
+def q_feature_matrix_long(spark, d):
+    out = FE.feature_matrix_long(orders_gaps(spark, d), "o_orderkey", ["o_totalprice"], ["o_orderpriority"])
+    return out.select("o_orderkey", "feature", F.round("value", 6).alias("value"))
+
+
+def part_knn(spark, d):
+    p = _t(spark, d, "part")
+    k = F.col("p_partkey")
+    return p.select("p_partkey",
+                    _null_if(k % 11 == 0, F.col("p_size").cast("double")).alias("p_size"),
+                    _null_if(k % 7 == 0, F.col("p_retailprice")).alias("p_retailprice"),
+                    _null_if(k % 13 == 0, (k % 97) * 1.5).alias("m3"))
+
+
+def q_impute_knn(spark, d):
+    out = KN.impute_knn(part_knn(spark, d), "p_partkey", ["p_size", "p_retailprice", "m3"], k=3)
+    return out.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("p_size", "p_retailprice", "m3")])
+
+
+EMB_DIMS = 8
+
+
+def embeddings_frame(spark, d):
+    e = _t(spark, d, "embeddings")
+    return MD.embedding_features(e, "embedding", EMB_DIMS).drop("embedding")
+
+
+EMB_FEATURES = [f"f{i}" for i in range(EMB_DIMS)]
+
+
+def _emb_model(spark, d, trees=20, depth=5):
+    data = FE.split_hash(embeddings_frame(spark, d), "vec_id", 0.2, 42)
+    train = data.where(F.col("split") == "train")
+    test = data.where(F.col("split") == "test")
+    return MD.train_forest(train, EMB_FEATURES, "label", num_trees=trees, max_depth=depth), test
+
+
+def q_train_importance(spark, d):
+    model, _ = _emb_model(spark, d)
+    return MD.importances(model, EMB_FEATURES)
+
+
+def q_predict(spark, d):
+    model, test = _emb_model(spark, d)
+    return MD.predict(model, test, keep=("vec_id", "label"))
+
+
+def q_explain_topk(spark, d):
+    model, test = _emb_model(spark, d)
+    long = EX.explain(MD.forest(model), test, "vec_id", EMB_FEATURES, "label")
+    return EX.explain_topk(long, 5)
+
+
+def q_explain_global(spark, d):
+    model, test = _emb_model(spark, d)
+    long = EX.explain(MD.forest(model), test, "vec_id", EMB_FEATURES, "label")
+    return EX.explain_global(long)
+
+
+def q_end_to_end(spark, d):
+    e = embeddings_frame(spark, d).withColumn("bucket", (F.col("vec_id") % 4).cast("string"))
+    text = e.select("vec_id", "label", "bucket",
+                    *[F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")).alias(c) for c in EMB_FEATURES])
+    _, imp, _, _ = MD.end_to_end(text, "vec_id", "label", EMB_FEATURES, ["bucket"], num_trees=10, max_depth=4)
+    return imp
+
+
+def q_mean_median(spark, d):
+    out = Q.mean_median(orders_gaps(spark, d))
+    return out.select("column", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"))
+
+
+def q_first_values(spark, d):
+    return P.first_values(orders_gaps(spark, d).select("o_orderkey", "o_orderstatus", "o_totalprice",
+                                                     "o_orderpriority"), "o_orderkey", n=3)
+
+
+def _sql_split_hash() -> str:
+    return ("SELECT o_orderkey, CASE WHEN ('0x' || substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT "
+            "% 10000 < 2000 THEN 'test' ELSE 'train' END AS split FROM orders")
+
+
+def _sql_standardize() -> str:
+    cols = ["l_quantity", "l_extendedprice", "l_const"]
+    exprs = ", ".join(f"round(({c} - (SELECT avg({c}) FROM g)) / (SELECT CASE WHEN coalesce(stddev_pop({c}), 0) = 0 "
+                      f"THEN 1.0 ELSE stddev_pop({c}) END FROM g), 6) AS {c}" for c in cols)
+    return (f"WITH g AS (SELECT *, 1.0::DOUBLE AS l_const FROM {LINEITEM_GAPS_SQL})\n"
+            f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {exprs} FROM g")
+
+
+def _sql_onehot() -> str:
+    return (f"WITH g AS {ORDERS_GAPS_SQL}\n"
+            "SELECT o_orderkey, 'cat__o_orderpriority_' || coalesce(o_orderpriority, 'nan') AS feature, 1.0 AS value "
+            "FROM g UNION ALL SELECT o_orderkey, 'cat__o_orderstatus_' || coalesce(o_orderstatus, 'nan'), 1.0 FROM g")
+
+
+def _sql_feature_matrix() -> str:
+    return (f"WITH g AS {ORDERS_GAPS_SQL}\n"
+            "SELECT o_orderkey, 'num__o_totalprice' AS feature, round((o_totalprice - (SELECT avg(o_totalprice) FROM g)) "
+            "/ (SELECT stddev_pop(o_totalprice) FROM g), 6) AS value FROM g UNION ALL "
+            "SELECT o_orderkey, 'cat__o_orderpriority_' || coalesce(o_orderpriority, 'nan'), 1.0 FROM g")
+
+
+def _sql_impute_knn() -> str:
+    return """WITH b AS (SELECT p_partkey AS id,
+    CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS x0,
+    CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS x1,
+    CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE (p_partkey % 97) * 1.5 END AS x2 FROM part),
+cs AS (SELECT * FROM (VALUES (0), (1), (2)) t(c)),
+r AS (SELECT b.id AS rid, x0 AS r0, x1 AS r1, x2 AS r2, c FROM b, cs
+      WHERE (c = 0 AND x0 IS NULL) OR (c = 1 AND x1 IS NULL) OR (c = 2 AND x2 IS NULL)),
+d AS (SELECT * FROM (SELECT b.id AS did, x0 AS d0, x1 AS d1, x2 AS d2, c,
+      CASE c WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END AS y FROM b, cs) WHERE y IS NOT NULL),
+p AS (SELECT rid, r.c, did, y,
+      (CASE WHEN r0 IS NOT NULL AND d0 IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN r1 IS NOT NULL AND d1 IS NOT NULL
+       THEN 1 ELSE 0 END + CASE WHEN r2 IS NOT NULL AND d2 IS NOT NULL THEN 1 ELSE 0 END) AS ncom,
+      0.0 + CASE WHEN r0 IS NOT NULL AND d0 IS NOT NULL THEN (r0 - d0) ** 2 ELSE 0.0 END
+          + CASE WHEN r1 IS NOT NULL AND d1 IS NOT NULL THEN (r1 - d1) ** 2 ELSE 0.0 END
+          + CASE WHEN r2 IS NOT NULL AND d2 IS NOT NULL THEN (r2 - d2) ** 2 ELSE 0.0 END AS sq
+      FROM r JOIN d ON r.c = d.c),
+q AS (SELECT rid, c, y, row_number() OVER (PARTITION BY rid, c ORDER BY sqrt(3.0 / ncom * sq), did) AS rk
+      FROM p WHERE ncom > 0),
+f AS (SELECT rid, c, avg(y) AS fill FROM q WHERE rk <= 3 GROUP BY rid, c)
+SELECT id AS p_partkey,
+  round(coalesce(x0, (SELECT fill FROM f WHERE f.rid = b.id AND f.c = 0), (SELECT avg(x0) FROM b)), 6) AS p_size,
+  round(coalesce(x1, (SELECT fill FROM f WHERE f.rid = b.id AND f.c = 1), (SELECT avg(x1) FROM b)), 6) AS p_retailprice,
+  round(coalesce(x2, (SELECT fill FROM f WHERE f.rid = b.id AND f.c = 2), (SELECT avg(x2) FROM b)), 6) AS m3
+FROM b"""
+
+
+def _sql_mean_median() -> str:
+    parts = [f"SELECT '{c}' AS \"column\", round(avg({c}), 4) AS mean, round(quantile_cont({c}, 0.5), 4) AS median "
+             "FROM g" for c in ("o_orderkey", "o_custkey", "o_totalprice")]
+    return f"WITH g AS {ORDERS_GAPS_SQL}\n" + _union(parts)
+
+
+def _sql_first_values() -> str:
+    cols = {"o_orderstatus": "o_orderstatus", "o_totalprice": "CAST(o_totalprice AS VARCHAR)",
+            "o_orderpriority": "o_orderpriority"}
+    parts = [f"SELECT '{c}' AS \"column\", row_number() OVER (ORDER BY o_orderkey) AS rank, "
+             f"coalesce({e}, '') AS value FROM h" for c, e in cols.items()]
+    return f"WITH g AS {ORDERS_GAPS_SQL}, h AS (SELECT * FROM g ORDER BY o_orderkey LIMIT 3)\n" + _union(parts)
+
+
 # --------------------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -873,6 +1039,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "classify": q_classify,
         "classify_text": q_classify_text,
         "name_cues": q_name_cues,
+        "split_hash": q_split_hash,
+        "standardize": q_standardize,
+        "onehot_long": q_onehot_long,
+        "feature_matrix_long": q_feature_matrix_long,
+        "impute_knn": q_impute_knn,
+        "mean_median": q_mean_median,
+        "first_values": q_first_values,
+        "train_importance": q_train_importance,
+        "predict": q_predict,
+        "explain_topk": q_explain_topk,
+        "explain_global": q_explain_global,
+        "end_to_end": q_end_to_end,
     }
 
 
@@ -1065,4 +1243,11 @@ def oracle_sql() -> dict[str, str]:
         "classify": _sql_classify(False),
         "classify_text": _sql_classify(True),
         "name_cues": _sql_name_cues(),
+        "split_hash": _sql_split_hash(),
+        "standardize": _sql_standardize(),
+        "onehot_long": _sql_onehot(),
+        "feature_matrix_long": _sql_feature_matrix(),
+        "impute_knn": _sql_impute_knn(),
+        "mean_median": _sql_mean_median(),
+        "first_values": _sql_first_values(),
     }
