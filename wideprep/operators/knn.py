@@ -12,8 +12,8 @@ Plan - exact, and no receiver is compared with all donors:
 * Rows are split by *pattern* (which columns are present).  For a receiver
   pattern S and donor pattern P the common set C = S & P and the weight m/|C|
   are fixed, so within a (S, P) combination it is plain Euclidean kNN on C.
-* Grid rounds: coordinates are cut into cells (cell width = g * std of the
-  column); receivers probe their own and the adjacent cells (3^|C| cells) of
+* Grid rounds: coordinates are cut into cubic cells (the metric is unscaled
+  Euclidean; the width follows the donor density); receivers probe their own and the adjacent cells (3^|C| cells) of
   every donor pattern through one equi-join on the cell key.  A receiver is
   settled when its k-th best distance is within the radius the probed block
   guarantees for every pattern (no unseen donor can be closer).  Unsettled
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from wideprep.functions.numeric import nan_to_null
 from wideprep.operators._util import col
+from wideprep.session import checkpoint_dir
 
 GRID_ROUNDS = (1.0, 4.0)   # cell width multipliers of the base width
 TARGET_PER_CELL = 8        # aim: about this many x k donors in a probed block
@@ -44,9 +45,11 @@ def _bits(mask: int, m: int):
     return [j for j in range(m) if mask >> j & 1]
 
 
-def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_ROUNDS) -> DataFrame:
+def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_ROUNDS,
+               report: dict | None = None) -> DataFrame:
     """Fill missing values of ``columns`` from the k nearest rows; returns the
-    input columns with those columns filled."""
+    input columns with those columns filled.  ``report`` (a dict) receives the
+    number of receivers settled per grid round and left for the exact pass."""
     cols = list(columns)
     m = len(cols)
     xs = [f"_x{j}" for j in range(m)]
@@ -72,6 +75,10 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
         donors = d if donors is None else donors.unionByName(d)
     wdup = Window.partitionBy("_c", "_P", *[f"_d{i}" for i in range(m)]).orderBy("_did")
     donors = donors.withColumn("_r", F.row_number().over(wdup)).where(F.col("_r") <= k).drop("_r")
+    # rounds reuse donors and receivers: cut the lineage once (reliable checkpoint
+    # in the shared folder of spark.checkpoint.dir), so retries never recompute it
+    checkpoint_dir(df.sparkSession)
+    donors = donors.checkpoint()
 
     # receivers: (row, target column) for every missing cell
     recv = None
@@ -79,6 +86,7 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
         r = base.where(F.col(xs[j]).isNull()).select(F.col("_id").alias("_rid"), F.col("_pat").alias("_S"),
                                                       F.lit(j).alias("_c"), *[F.col(x).alias(f"_r{i}") for i, x in enumerate(xs)])
         recv = r if recv is None else recv.unionByName(r)
+    recv = recv.checkpoint()
 
     def dist(prefix_r="_r", prefix_d="_d") -> Column:
         common = F.col("_S").bitwiseAND(F.col("_P"))
@@ -95,10 +103,12 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
 
     settled_parts = []
     pending = recv
-    base_width = 6.0 * (TARGET_PER_CELL * k / max(n, 1)) ** (1.0 / max(m, 1))
+    # the metric is unscaled Euclidean, so cells are cubes of one width in raw
+    # units, sized so a probed block holds about TARGET_PER_CELL * k donors
+    geo_std = math.exp(sum(math.log(s) for s in std) / m)
+    base_width = 6.0 * geo_std * (TARGET_PER_CELL * k / max(n, 1)) ** (1.0 / max(m, 1))
     for mult in exact_rounds:
-        g = base_width * mult
-        width = [g * s for s in std]
+        width = [base_width * mult] * m
         # receiver probes: for each donor pattern P (containing c, meeting S) and each offset of C
         probe_rows = []
         for S in range(full + 1):
@@ -147,9 +157,14 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
                                              F.avg("_y").alias("_fill"))
         judged = pending.select("_rid", "_c", "_S").join(agg, ["_rid", "_c"], "left") \
             .join(F.broadcast(rad_df), ["_S", "_c"], "left")
-        ok = (F.col("_cnt") >= k) & (F.col("_kth") <= F.col("_rad"))
-        settled_parts.append(judged.where(ok).select("_rid", "_c", "_fill"))
-        pending = pending.join(judged.where(~ok | F.col("_cnt").isNull()).select("_rid", "_c"), ["_rid", "_c"], "left_semi")
+        ok = F.coalesce((F.col("_cnt") >= k) & (F.col("_kth") <= F.col("_rad")), F.lit(False))
+        judged = judged.withColumn("_ok", ok).checkpoint()
+        settled_parts.append(judged.where("_ok").select("_rid", "_c", "_fill"))
+        pending = pending.join(judged.where(~F.col("_ok")).select("_rid", "_c"), ["_rid", "_c"], "left_semi") \
+            .checkpoint()
+        if report is not None:
+            report.setdefault("settled", []).append(judged.where("_ok").count())
+            report["pending"] = pending.count()
 
     # the rest: exact comparison with every donor of the column (only unsettled receivers)
     rest = pending.join(donors, "_c").withColumn("_dist", dist()).where(F.col("_dist").isNotNull())

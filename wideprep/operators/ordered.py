@@ -91,7 +91,9 @@ class OrderedFrame:
         seg = [col(p) for p in self.partition_by] + [F.col("_bkt")]
         w = Window.partitionBy(*seg).orderBy(col(order_by))
         wp = w.rowsBetween(Window.unboundedPreceding, 0)
-        wn = w.rowsBetween(0, Window.unboundedFollowing)
+        # "next value" = last value of the descending order: a running frame is
+        # incremental, while a frame ending at unboundedFollowing is recomputed per row
+        wn = Window.partitionBy(*seg).orderBy(col(order_by).desc()).rowsBetween(Window.unboundedPreceding, 0)
         framed = base.withColumn("_lpos", F.row_number().over(w))
         for i, c in enumerate(self.columns):
             item = F.when(col(c).isNotNull() & ~self._is_nan(df, c),
@@ -99,7 +101,7 @@ class OrderedFrame:
             if need_prev:
                 framed = framed.withColumn(f"_p{i}", F.last(item, ignorenulls=True).over(wp))
             if need_next:
-                framed = framed.withColumn(f"_n{i}", F.first(item, ignorenulls=True).over(wn))
+                framed = framed.withColumn(f"_n{i}", F.last(item, ignorenulls=True).over(wn))
         # per-bucket summary: B rows per partition key at most
         keys = self.partition_by + ["_bkt"]
         aggs = [F.count(F.lit(1)).alias("_cnt")]
