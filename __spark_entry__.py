@@ -976,6 +976,49 @@ def _sql_first_values() -> str:
     return f"WITH g AS {ORDERS_GAPS_SQL}, h AS (SELECT * FROM g ORDER BY o_orderkey LIMIT 3)\n" + _union(parts)
 
 
+# --------------------------------------------------------------------------- method choice, report hints
+
+def q_base_methods(spark, d):
+    out = I.base_methods(orders_auto(spark, d), AUTO_CONFIG)
+    return out.select("position", "column", "n_unique", F.round("std", 4).alias("std"), "precision", "rows", "method")
+
+
+def q_report_hints(spark, d):
+    doc = _t(spark, d, "documents").select(F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("name"),
+                                          F.col("text").alias("description"))
+    return CL.hints_from_report(doc, cat_patterns=CL.CATEGORICAL_PATTERNS + DOC_CAT_EXTRA,
+                                num_patterns=CL.NUMERICAL_PATTERNS + DOC_NUM_EXTRA)
+
+
+def _sql_base_methods() -> str:
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_price_k", "o_orderdate", "o_none"]
+    numeric = {"o_orderkey": "int", "o_custkey": "int", "o_totalprice": "dbl", "o_price_k": "dbl", "o_none": "dbl"}
+    parts = []
+    for i, c in enumerate(cols):
+        kind = numeric.get(c)
+        if kind:
+            prec = ("CASE WHEN count(" + c + ") > 0 THEN 0 END" if kind == "int" else
+                    f"max(CASE WHEN {c} IS NOT NULL THEN greatest(1, length(split_part(CAST({c} AS VARCHAR), '.', 2))) END)")
+            parts.append(f"SELECT {i} AS position, '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique, "
+                         f"round(stddev_samp({c}), 4) AS std, CAST({prec} AS INTEGER) AS precision, count(*) AS rows "
+                         "FROM g")
+        else:
+            parts.append(f"SELECT {i} AS position, '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique, "
+                         "CAST(NULL AS DOUBLE) AS std, CAST(NULL AS INTEGER) AS precision, count(*) AS rows FROM g")
+    return (f"WITH g AS {ORDERS_AUTO_SQL}, s AS ({_union(parts)})\n"
+            "SELECT position, \"column\", n_unique, std, precision, rows, CASE WHEN \"column\" = 'o_custkey' THEN 'median' "
+            "WHEN n_unique < 0.2 * rows AND std > 1 AND precision > 0 THEN 'mean' ELSE 'mode' END AS method FROM s")
+
+
+def _sql_report_hints() -> str:
+    key_n = sql_match_key("concat_ws(' ', source, CAST(doc_id AS VARCHAR))")
+    cat = _sql_any("k", CL.CATEGORICAL_PATTERNS + DOC_CAT_EXTRA)
+    num = _sql_any("k", CL.NUMERICAL_PATTERNS + DOC_NUM_EXTRA)
+    return (f"WITH t AS (SELECT {key_n} AS key, {sql_match_key('text')} AS k FROM documents)\n"
+            f"SELECT key, CASE WHEN {cat} AND NOT {num} THEN 'categorical' ELSE 'numerical' END AS kind FROM t "
+            f"WHERE key <> '' AND (({cat}) <> ({num}))")
+
+
 # --------------------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -1051,6 +1094,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "explain_topk": q_explain_topk,
         "explain_global": q_explain_global,
         "end_to_end": q_end_to_end,
+        "base_methods": q_base_methods,
+        "report_hints": q_report_hints,
     }
 
 
@@ -1092,7 +1137,7 @@ def _sql_column_profile() -> str:
         kind = numeric.get(c)
         if kind:
             prec = ("CASE WHEN count(" + c + ") > 0 THEN 0 END" if kind == "int" else
-                    f"max(greatest(1, length(split_part(CAST({c} AS VARCHAR), '.', 2))))")
+                    f"max(CASE WHEN {c} IS NOT NULL THEN greatest(1, length(split_part(CAST({c} AS VARCHAR), '.', 2))) END)")
             parts.append(f"SELECT {i} AS position, '{c}' AS \"column\", round(avg({c}), 4) AS mean, "
                          f"round(stddev_samp({c}), 4) AS std, CAST({prec} AS INTEGER) AS precision, "
                          f"count(DISTINCT {c}) AS n_unique FROM g")
@@ -1250,4 +1295,6 @@ def oracle_sql() -> dict[str, str]:
         "impute_knn": _sql_impute_knn(),
         "mean_median": _sql_mean_median(),
         "first_values": _sql_first_values(),
+        "base_methods": _sql_base_methods(),
+        "report_hints": _sql_report_hints(),
     }

@@ -263,3 +263,27 @@ def impute_policy(df: DataFrame, rules: list[tuple], default_numeric: tuple | No
     if by_method.get("mode"):
         values.update({c: v for c, (v, _) in P.mode_values(df, by_method["mode"], "value").items()})
     return _apply(df, values)
+
+
+def base_methods(df: DataFrame, config: dict | None = None, columns=None) -> DataFrame:
+    """IM9/JN1 as a table: ``column, n_unique, std, precision, rows, method``.
+
+    The column list is left-joined to the profile by name (both tables have
+    one row per column: broadcast); a column without a profile row, or with
+    incomplete stats, gets ``mode``; a configured override wins."""
+    names = list(columns or df.columns)
+    spark = df.sparkSession
+    prof = P.column_profile(df, names)
+    rows = df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
+    cols = spark.createDataFrame([(i, c) for i, c in enumerate(names)], "position int, column string")
+    overrides = (config or {}).get("methods") or {}
+    ov = spark.createDataFrame([(k, v) for k, v in overrides.items() if v in FP.METHODS] or [("", "")],
+                               "column string, override string")
+    joined = cols.join(F.broadcast(prof.drop("position")), "column", "left") \
+        .join(F.broadcast(ov), "column", "left")
+    numeric_rule = ((F.col("n_unique") < F.lit(FP.UNIQUE_SHARE * rows)) & (F.col("std") > F.lit(FP.MIN_STD))
+                    & (F.col("precision") > F.lit(FP.MIN_PRECISION)))
+    method = F.when(F.col("override").isNotNull(), F.col("override")) \
+        .when(F.coalesce(numeric_rule, F.lit(False)), F.lit(FP.MEAN)).otherwise(F.lit(FP.MODE))
+    return joined.select("position", "column", "n_unique", "std", "precision", F.lit(rows).alias("rows"),
+                         method.alias("method"))
