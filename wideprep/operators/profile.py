@@ -173,37 +173,34 @@ def type_profile(df: DataFrame, columns=None) -> DataFrame:
 
 # --------------------------------------------------------------------------- AGG6-AGG8
 
-def _ranked(freq: DataFrame, order) -> DataFrame:
-    w = Window.partitionBy("column").orderBy(*order)
-    return freq.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-
-
 def describe_object(df: DataFrame, columns=None) -> DataFrame:
     """AGG6: ``column, count, unique, top, freq`` (top: most frequent, ties by smallest text)."""
     freq = frequency_table(df, columns)
     per = freq.groupBy("column").agg(F.sum("n").cast("long").alias("count"),
                                      F.count(F.lit(1)).alias("unique"))
-    top = _ranked(freq, [F.col("n").desc(), F.col("value")]).select(
-        "column", F.col("value").alias("top"), F.col("n").alias("freq"))
+    top = _mode_from(freq, "string").select("column", F.col("mode").alias("top"), F.col("mode_count").alias("freq"))
     return per.join(top, "column")
 
 
+def _mode_from(freq: DataFrame, tie: str) -> DataFrame:
+    # max count per column (one row per column: broadcast), then one aggregate
+    # over the tied values - no window, so a near-unique column never meets in one task
+    mx = freq.groupBy("column").agg(F.max("n").alias("_mx"))
+    tied = freq.join(F.broadcast(mx), "column").where(F.col("n") == F.col("_mx"))
+    if tie == "value":
+        pick = F.min_by("value", F.struct(F.coalesce(F.col("num"), F.lit(0.0)), F.col("value")))
+    else:
+        pick = F.min("value")
+    return tied.groupBy("column").agg(pick.alias("mode"), F.first("_mx").alias("mode_count"),
+                                      F.count(F.lit(1)).alias("tie_count"))
+
+
 def mode(df: DataFrame, columns=None, tie: str = "string") -> DataFrame:
     """AGG7 (``tie='string'``: ties by smallest text) / AGG8 (``tie='value'``:
     ties by smallest typed value).  Output ``column, mode, mode_count, tie_count``;
-    a column without values has no row (see ``mode_values`` for the NULL row)."""
+    a column without values has no row."""
     fields = _fields(df, columns)
-    freq = frequency_table(df, [f.name for f in fields])
-    order = [F.col("n").desc()]
-    if tie == "value":
-        order += [F.col("num").asc_nulls_last(), F.col("value")]
-    else:
-        order += [F.col("value")]
-    mx = freq.groupBy("column").agg(F.max("n").alias("_mx"))
-    ties = (freq.join(mx, "column").groupBy("column")
-            .agg(F.count(F.when(F.col("n") == F.col("_mx"), F.lit(1))).alias("tie_count")))
-    top = _ranked(freq, order).select("column", F.col("value").alias("mode"), F.col("n").alias("mode_count"))
-    return top.join(ties, "column")
+    return _mode_from(frequency_table(df, [f.name for f in fields]), tie)
 
 
 def mode_values(df: DataFrame, columns=None, tie: str = "string") -> dict:
