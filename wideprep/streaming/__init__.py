@@ -1,0 +1,9 @@
+"""Streaming.
+
+The reference processes one static table per run: it has no stream source,
+watermark, window over event time, state or late-data handling.  No
+streaming operator is claimed.  Every operator in ``wideprep.operators`` is a
+DataFrame -> DataFrame function; the ones built only from projections
+(``functions``, ``features.split_hash``, ``impute`` with precomputed values)
+also apply unchanged to a streaming DataFrame inside ``foreachBatch``.
+"""
