@@ -30,6 +30,7 @@ from wideprep.operators import profile as P
 from wideprep.operators import quantile as Q
 from wideprep.operators._util import col
 from wideprep.plans import header as HD
+from wideprep.sources import io as IO
 from wideprep.sources import reports as RP
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -1019,6 +1020,39 @@ def _sql_report_hints() -> str:
             f"WHERE key <> '' AND (({cat}) <> ({num}))")
 
 
+# --------------------------------------------------------------------------- multi-header reads, flattening
+
+def q_parquet_header_rows(spark, d):
+    """IO1 on a Parquet file: its first three rows (by ``_metadata.row_index``)
+    are header rows; row 2 names the columns; the body in long form."""
+    header, body = IO.read_parquet_multi_header(spark, f"{d}/customer.parquet", 3)
+    names = {r["col_idx"]: r["name"] for r in HD.pick_names(header).collect()}  # one per column
+    cols = [c for c in body.columns if not c.startswith("_")]
+    named = body.select(F.col("_row").alias("row_index"), *[col(c).alias(names[i]) for i, c in enumerate(cols)])
+    return named.unpivot(["row_index"], [col(names[i]) for i in range(len(cols))], "name", "value")
+
+
+def q_flatten_levels(spark, d):
+    return HD.flatten_levels(customer_header(spark, d), "_", "nan")
+
+
+def _sql_parquet_header_rows() -> str:
+    # the driver files are written in key order, so the key order is the file order here
+    cols = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    casts = ", ".join(f"CAST({c} AS VARCHAR) AS v{i}" for i, c in enumerate(cols))
+    names = ", ".join(f"{sql_normalize(f'max(CASE WHEN rn = 2 THEN v{i} END)')} AS n{i}" for i in range(len(cols)))
+    body = _union([f"SELECT t.rn AS row_index, h.n{i} AS name, t.v{i} AS value FROM t, h WHERE t.rn >= 3"
+                   for i in range(len(cols))])
+    return (f"WITH t AS (SELECT {casts}, row_number() OVER (ORDER BY c_custkey) - 1 AS rn FROM customer),\n"
+            f"h AS (SELECT {names} FROM t)\n" + body)
+
+
+def _sql_flatten_levels() -> str:
+    return (_sql_header_cells() + "\n"
+            "SELECT col_idx, string_agg(cell, '_' ORDER BY row_idx) AS name FROM hc WHERE cell <> 'nan' "
+            "GROUP BY col_idx")
+
+
 # --------------------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -1096,6 +1130,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "end_to_end": q_end_to_end,
         "base_methods": q_base_methods,
         "report_hints": q_report_hints,
+        "parquet_header_rows": q_parquet_header_rows,
+        "flatten_levels": q_flatten_levels,
     }
 
 
@@ -1297,4 +1333,6 @@ def oracle_sql() -> dict[str, str]:
         "first_values": _sql_first_values(),
         "base_methods": _sql_base_methods(),
         "report_hints": _sql_report_hints(),
+        "parquet_header_rows": _sql_parquet_header_rows(),
+        "flatten_levels": _sql_flatten_levels(),
     }

@@ -75,12 +75,20 @@ def text_cues(df: DataFrame, text_col: str, cat_patterns=None, num_patterns=None
     num_patterns = NUMERICAL_PATTERNS if num_patterns is None else num_patterns
     cues = CATEGORICAL_CUES if cues is None else cues
     key = match_key(text_col)
-    cat, num = regex_any(key, cat_patterns), regex_any(key, num_patterns)
+    # one alternation per class: one scan of the (whole) text per class
+    cat, num = regex_any(key, [_alternation(cat_patterns)] if cat_patterns else []), \
+        regex_any(key, [_alternation(num_patterns)] if num_patterns else [])
     cue = F.lit(False)
     for k in cues:
         cue = cue | (F.instr(key, k) > 0)
-    kind = F.when(cat & ~num, F.lit("categorical")).when(num & ~cat, F.lit("numerical"))
-    return df.select("*", cat.alias("cat_hit"), num.alias("num_hit"), cue.alias("cue_hit"), kind.alias("kind"))
+    hits = df.select("*", cat.alias("cat_hit"), num.alias("num_hit"), cue.alias("cue_hit"))
+    kind = F.when(F.col("cat_hit") & ~F.col("num_hit"), F.lit("categorical")) \
+        .when(F.col("num_hit") & ~F.col("cat_hit"), F.lit("numerical"))
+    return hits.withColumn("kind", kind)
+
+
+def _alternation(patterns) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
 
 
 def hints_from_report(lines: DataFrame, name_col: str = "name", desc_col: str = "description",
@@ -89,8 +97,11 @@ def hints_from_report(lines: DataFrame, name_col: str = "name", desc_col: str =
     whose patterns alone hit the description."""
     cued = text_cues(lines.select(col(name_col).alias("_n"), col(desc_col).alias("_d")), "_d",
                      cat_patterns, num_patterns, cues=[])
-    return cued.where(F.col("kind").isNotNull() & (match_key("_n") != "")) \
-        .select(match_key("_n").alias("key"), "kind")
+    # keep decided rows with a generator, not a filter: a filter would be pushed
+    # below the projection and re-evaluate the whole-text cues once per reference
+    item = F.struct(match_key("_n").alias("key"), F.col("kind").alias("kind"))
+    keep = F.when(F.col("kind").isNotNull() & (match_key("_n") != ""), F.array(item)).otherwise(F.array())
+    return cued.select(F.explode(keep).alias("h")).select("h.key", "h.kind")
 
 
 def data_facts(df: DataFrame, columns) -> dict:

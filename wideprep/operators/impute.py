@@ -115,9 +115,11 @@ def fill_facts(df: DataFrame, order_by: str | None, columns=None, config=None) -
         return out
 
     prof = stacked_agg(df, names, stats, extra=lambda: [F.count(F.lit(1)).alias("rows")]).collect()
+    # distinct counts and modes from one frequency table, in one job
     freq = P.frequency_table(df, names)
-    uniq = {r["column"]: r["n_unique"] for r in P.distinct_counts(df, names, freq).collect()}
-    modes = P.mode_values(df, names, "string")
+    per = P.distinct_counts(df, names, freq).join(P._mode_from(freq, "string"), "column", "left").collect()
+    uniq = {r["column"]: r["n_unique"] for r in per}
+    modes = {r["column"]: (r["mode"], r["tie_count"]) for r in per if r["mode"] is not None}
     facts = []
     for r in prof:
         c = r["column"]
@@ -138,7 +140,10 @@ def fill_facts(df: DataFrame, order_by: str | None, columns=None, config=None) -
 
 def plan_filling(df: DataFrame, order_by: str | None = None, config: dict | None = None, columns=None,
                  strict: bool = True) -> list[FP.Decision]:
-    facts = fill_facts(df, order_by, columns, config)
+    return _decide_all(df, fill_facts(df, order_by, columns, config), config, strict, order_by)
+
+
+def _decide_all(df, facts, config, strict, order_by) -> list[FP.Decision]:
     decisions = [FP.decide(f, config, strict) for f in facts]
     need_median = [d.column for d in decisions if d.method == FP.MEDIAN]
     if need_median:
@@ -210,11 +215,12 @@ def apply_filling(df: DataFrame, config: dict | None = None, order_by: str | Non
     fallback, reason``; ``summary``: ``metric, value`` rows with the totals
     and the method distribution (AGG3, AGG13)."""
     spark = df.sparkSession
-    decisions = plan_filling(df, order_by, config, columns, strict)
+    facts = fill_facts(df, order_by, columns, config)
+    decisions = _decide_all(df, facts, config, strict, order_by)
     filled = execute_plan(df, decisions, order_by, partition_by, n_buckets)
     types = _types(df)
     names = [d.column for d in decisions]
-    before = {r["column"]: r["total"] - r["filled"] for r in P.fill_rate(df, names).collect()}
+    before = {f.name: f.missing for f in facts}
     after = {r["column"]: r["total"] - r["filled"] for r in P.fill_rate(filled, names).collect()}
     rows = [(d.column, d.method, FP.params_text(d.params), int(before[d.column]), int(after[d.column]),
              dtype_category(types[d.column]), bool(d.fallback), d.reason) for d in decisions]

@@ -60,15 +60,32 @@ def _bucket_expr(key: Column, bounds: list) -> Column:
     return build(0, len(bounds))
 
 
+GRID_QUANTILES = 1024
+
+
 def bucket_bounds(df: DataFrame, order_by: str, n_buckets: int | None = None) -> list:
+    """Sorted range-bucket boundaries of the order key (B - 1 values).
+
+    Without ``n_buckets`` the row count and a 1024-quantile grid come from one
+    pass; B = max(shuffle partitions, rows / ROWS_PER_BUCKET) boundaries are
+    then read off the grid (a second pass only when B exceeds the grid)."""
+    key = _key_numeric(df, order_by)
     if n_buckets is None:
-        n = df.count()
+        grid = [i / GRID_QUANTILES for i in range(1, GRID_QUANTILES)]
+        row = df.select(F.count(F.lit(1)).alias("n"),
+                        F.percentile_approx(key, grid, 20 * GRID_QUANTILES).alias("b")).first()
+        n = row["n"]
         n_buckets = max(shuffle_partitions(df.sparkSession), math.ceil(n / ROWS_PER_BUCKET))
+        if n_buckets <= 1 or row["b"] is None:
+            return []
+        if n_buckets <= GRID_QUANTILES:
+            picks = [row["b"][round(i * GRID_QUANTILES / n_buckets) - 1] for i in range(1, n_buckets)]
+            return sorted(set(float(x) for x in picks if x is not None))
     if n_buckets <= 1:
         return []
     probs = [i / n_buckets for i in range(1, n_buckets)]
     acc = max(10_000, 20 * n_buckets)
-    row = df.select(F.percentile_approx(_key_numeric(df, order_by), probs, acc).alias("b")).first()
+    row = df.select(F.percentile_approx(key, probs, acc).alias("b")).first()
     if row is None or row["b"] is None:
         return []
     return sorted(set(float(x) for x in row["b"] if x is not None))

@@ -15,7 +15,8 @@ memory, which a billion-row column does not survive.  Here:
    answer as pandas / NumPy ``linear`` quantiles.
 
 Brackets are verified; a column whose bracket misses falls back to the full
-value range for that column only.
+value range for that column only.  The result (one row per column and
+probability) is collected once and returned as a small DataFrame.
 """
 
 from __future__ import annotations
@@ -63,14 +64,16 @@ def exact_quantiles(df: DataFrame, columns=None, probs=(0.5,), accuracy: int = D
     if not rows:
         return spark.createDataFrame([], "column string, prob double, value double")
     brackets = spark.createDataFrame(rows, schema)
-    result = _resolve(long, brackets)
-    missed = [(r["column"], r["prob"], r["n"]) for r in result.where(~F.col("ok")).collect()]
+    # the result has one row per (column, prob): collect it once, check the
+    # brackets, and redo only the columns whose bracket missed
+    got = {(r["column"], r["prob"]): r for r in _resolve(long, brackets).collect()}
+    missed = [(r["column"], r["prob"], r["n"]) for r in got.values() if not r["ok"]]
     if missed:
         wide = spark.createDataFrame([(c, p, n, float("-inf"), float("inf")) for c, p, n in missed], schema)
-        fixed = _resolve(long.where(F.col("column").isin([m[0] for m in missed])), wide)
-        keep = result.join(F.broadcast(wide.select("column", "prob")), ["column", "prob"], "left_anti")
-        result = keep.unionByName(fixed)
-    return result.select("column", "prob", "value")
+        fixed = _resolve(long.where(F.col("column").isin(sorted({m[0] for m in missed}))), wide).collect()
+        got.update({(r["column"], r["prob"]): r for r in fixed})
+    return spark.createDataFrame([(c, p, r["value"]) for (c, p), r in sorted(got.items())],
+                                 "column string, prob double, value double")
 
 
 def _resolve(long: DataFrame, brackets: DataFrame) -> DataFrame:
