@@ -28,7 +28,11 @@ def brute_knn(pdf, cols, k=3):
     return out
 
 
-def test_grid_knn_equals_brute_force(spark):
+import pytest
+
+
+@pytest.mark.parametrize("rounds", [(), (0.05,), (1.0, 4.0, 16.0)])
+def test_grid_knn_equals_brute_force(spark, rounds):
     rng = np.random.default_rng(11)
     n = 250
     pdf = pd.DataFrame({"id": np.arange(n), "a": rng.normal(size=n) * 10, "b": rng.integers(0, 5, n).astype(float),
@@ -38,10 +42,11 @@ def test_grid_knn_equals_brute_force(spark):
     pdf.loc[3, ["a", "b", "c"]] = np.nan                  # a row with nothing: column means
     sdf = spark.createDataFrame(pdf)
     rep = {}
-    got = KN.impute_knn(sdf, "id", ["a", "b", "c"], k=3, report=rep).toPandas().sort_values("id")
+    got = KN.impute_knn(sdf, "id", ["a", "b", "c"], k=3, exact_rounds=rounds, report=rep).toPandas().sort_values("id")
     want = brute_knn(pdf, ["a", "b", "c"])
     assert np.allclose(got[["a", "b", "c"]].to_numpy(), want, atol=1e-9)
-    assert sum(rep["settled"]) > 0
+    if rounds == (1.0, 4.0, 16.0):
+        assert sum(rep["settled"]) > 0
 
 
 def test_treeshap_additivity(spark):

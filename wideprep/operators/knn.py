@@ -13,7 +13,10 @@ Plan - exact, and no receiver is compared with all donors:
   pattern S and donor pattern P the common set C = S & P and the weight m/|C|
   are fixed, so within a (S, P) combination it is plain Euclidean kNN on C.
 * Grid rounds: coordinates are cut into cubic cells (the metric is unscaled
-  Euclidean; the width follows the donor density); receivers probe their own and the adjacent cells (3^|C| cells) of
+  Euclidean; the width follows the donor density) over at most three of the
+  common coordinates (a donor outside the probed block is farther than one
+  cell width in one of them, so pruning stays exact); receivers probe their
+  own and the adjacent cells (at most 27) of
   every donor pattern through one equi-join on the cell key.  A receiver is
   settled when its k-th best distance is within the radius the probed block
   guarantees for every pattern (no unseen donor can be closer).  Unsettled
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import time
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +41,10 @@ from wideprep.functions.numeric import nan_to_null
 from wideprep.operators._util import col
 from wideprep.session import checkpoint_dir
 
-GRID_ROUNDS = (1.0, 4.0)   # cell width multipliers of the base width
-TARGET_PER_CELL = 8        # aim: about this many x k donors in a probed block
+GRID_ROUNDS = (1.0, 4.0, 16.0)   # cell width multipliers of the base width
+TARGET_PER_CELL = 8              # aim: about this many x k donors in a probed block
+GRID_DIMS = 3                    # cells use at most this many common coordinates
+PENDING_BROADCAST_ROWS = 200_000 # unsettled receivers broadcast to the donors below this
 
 
 def _bits(mask: int, m: int):
@@ -49,7 +55,8 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
                report: dict | None = None) -> DataFrame:
     """Fill missing values of ``columns`` from the k nearest rows; returns the
     input columns with those columns filled.  ``report`` (a dict) receives the
-    number of receivers settled per grid round and left for the exact pass."""
+    number of receivers settled per grid round, those left for the exact pass
+    and the seconds spent per step."""
     cols = list(columns)
     m = len(cols)
     xs = [f"_x{j}" for j in range(m)]
@@ -78,15 +85,22 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
     # rounds reuse donors and receivers: cut the lineage once (reliable checkpoint
     # in the shared folder of spark.checkpoint.dir), so retries never recompute it
     checkpoint_dir(df.sparkSession)
+    t0 = time.time()
     donors = donors.checkpoint()
+    if report is not None:
+        report["t_donors"] = round(time.time() - t0, 2)
 
     # receivers: (row, target column) for every missing cell
     recv = None
+    # a row with no value at all has no valid donor: it takes the column mean
     for j in range(m):
-        r = base.where(F.col(xs[j]).isNull()).select(F.col("_id").alias("_rid"), F.col("_pat").alias("_S"),
+        r = base.where(F.col(xs[j]).isNull() & (F.col("_pat") > 0)).select(F.col("_id").alias("_rid"), F.col("_pat").alias("_S"),
                                                       F.lit(j).alias("_c"), *[F.col(x).alias(f"_r{i}") for i, x in enumerate(xs)])
         recv = r if recv is None else recv.unionByName(r)
+    t0 = time.time()
     recv = recv.checkpoint()
+    if report is not None:
+        report["t_recv"] = round(time.time() - t0, 2)
 
     def dist(prefix_r="_r", prefix_d="_d") -> Column:
         common = F.col("_S").bitwiseAND(F.col("_P"))
@@ -101,24 +115,36 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
         w = Window.partitionBy("_rid", "_c").orderBy("_dist", "_did")
         return cands.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
 
+    # patterns that actually occur (at most 2^m each, usually a handful)
+    recv_pats = sorted(r["_S"] for r in recv.select("_S").distinct().collect())
+    donor_count = {(r["_c"], r["_P"]): r["n"] for r in donors.groupBy("_c", "_P").count()
+                   .withColumnRenamed("count", "n").collect()}
+    donor_pats = sorted({P for _, P in donor_count})
+    order = sorted(range(m), key=lambda i: -std[i])  # most spread-out coordinates first
+
+    def grid_dims(common_mask):
+        return [i for i in order if common_mask >> i & 1][:GRID_DIMS]
+
     settled_parts = []
     pending = recv
-    # the metric is unscaled Euclidean, so cells are cubes of one width in raw
-    # units, sized so a probed block holds about TARGET_PER_CELL * k donors
-    geo_std = math.exp(sum(math.log(s) for s in std) / m)
-    base_width = 6.0 * geo_std * (TARGET_PER_CELL * k / max(n, 1)) ** (1.0 / max(m, 1))
+    def cell_width(c, P, dims):
+        # cubic cells (the metric is unscaled Euclidean) sized so the probed 3^|G|
+        # block holds about TARGET_PER_CELL * k of this pattern's donors
+        vol = math.prod(6.0 * std[i] for i in dims)
+        n_p = max(donor_count.get((c, P), 1), 1)
+        return (TARGET_PER_CELL * k * vol / n_p) ** (1.0 / len(dims)) / 3.0
+
     for mult in exact_rounds:
-        width = [base_width * mult] * m
         # receiver probes: for each donor pattern P (containing c, meeting S) and each offset of C
         probe_rows = []
-        for S in range(full + 1):
+        for S in recv_pats:
             for c in range(m):
                 if S >> c & 1:
                     continue
-                for P in range(1, full + 1):
+                for P in donor_pats:
                     if not (P >> c & 1) or not (S & P):
                         continue
-                    C = _bits(S & P, m)
+                    C = grid_dims(S & P)
                     for off in itertools.product((-1, 0, 1), repeat=len(C)):
                         o = [0] * m
                         for jj, v in zip(C, off):
@@ -127,30 +153,32 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
         spark = df.sparkSession
         probes = spark.createDataFrame(probe_rows, ", ".join(["_S int", "_c int", "_P int"] + [f"_o{i} int" for i in range(m)]))
         # probes: patterns x offsets (<= 4^m * 3^m rows, independent of the data) -> broadcast
-        rp = pending.join(F.broadcast(probes), ["_S", "_c"])
-        common = F.col("_S").bitwiseAND(F.col("_P"))
-        for i in range(m):
-            rp = rp.withColumn(f"_k{i}", F.when(common.bitwiseAND(F.lit(1 << i)) > 0,
-                                                F.floor(F.col(f"_r{i}") / F.lit(width[i])) + F.col(f"_o{i}"))
-                               .otherwise(F.lit(0)).cast("long"))
-        # donors keyed per receiver pattern S (c missing in S, S meets P)
-        dk_rows = [(S, c, P) for S in range(full + 1) for c in range(m) for P in range(1, full + 1)
-                   if not (S >> c & 1) and (P >> c & 1) and (S & P)]
-        dk = spark.createDataFrame(dk_rows, "_S int, _c int, _P int")
+        # donors keyed per receiver pattern S (c missing in S, S meets P); the grid
+        # dimensions of each (S, P) are fixed, given to both sides as a bit mask
+        dk_rows = [(S, c, P, sum(1 << i for i in grid_dims(S & P)), mult * cell_width(c, P, grid_dims(S & P)))
+                   for S in recv_pats for c in range(m) for P in donor_pats
+                   if not (S >> c & 1) and (P >> c & 1) and (S & P) and (c, P) in donor_count]
+        if not dk_rows:
+            break
+        dk = spark.createDataFrame(dk_rows, "_S int, _c int, _P int, _G int, _W double")
+        rp = pending.join(F.broadcast(probes), ["_S", "_c"]).join(F.broadcast(dk), ["_S", "_c", "_P"])
         dd = donors.join(F.broadcast(dk), ["_c", "_P"])
-        common_d = F.col("_S").bitwiseAND(F.col("_P"))
-        for i in range(m):
-            dd = dd.withColumn(f"_k{i}", F.when(common_d.bitwiseAND(F.lit(1 << i)) > 0,
-                                                F.floor(F.col(f"_d{i}") / F.lit(width[i])))
-                               .otherwise(F.lit(0)).cast("long"))
+        rp = rp.select("*", *[F.when(F.col("_G").bitwiseAND(F.lit(1 << i)) > 0,
+                                     F.floor(F.col(f"_r{i}") / F.col("_W")) + F.col(f"_o{i}"))
+                              .otherwise(F.lit(0)).cast("long").alias(f"_k{i}") for i in range(m)])
+        dd = dd.select("*", *[F.when(F.col("_G").bitwiseAND(F.lit(1 << i)) > 0,
+                                     F.floor(F.col(f"_d{i}") / F.col("_W")))
+                              .otherwise(F.lit(0)).cast("long").alias(f"_k{i}") for i in range(m)])
+        rp = rp.drop("_G", "_W")
+        dd = dd.drop("_G", "_W")
         keys = ["_S", "_c", "_P"] + [f"_k{i}" for i in range(m)]
         cand = rp.join(dd, keys).withColumn("_dist", dist())
         best = topk(cand.select("_rid", "_c", "_did", "_dist", "_y"))
         # guaranteed radius for (S, c): min over donor patterns of sqrt(m/|C|) * min width on C
         radius = {}
-        for S, c, P in dk_rows:
+        for S, c, P, G, W in dk_rows:
             C = _bits(S & P, m)
-            rad = math.sqrt(m / len(C)) * min(width[i] for i in C)
+            rad = math.sqrt(m / len(C)) * W   # a donor outside the block is > W away in a grid dim
             radius[(S, c)] = min(radius.get((S, c), float("inf")), rad)
         rad_df = spark.createDataFrame([(S, c, r) for (S, c), r in radius.items()], "_S int, _c int, _rad double")
         agg = best.groupBy("_rid", "_c").agg(F.count(F.lit(1)).alias("_cnt"), F.max("_dist").alias("_kth"),
@@ -158,16 +186,26 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
         judged = pending.select("_rid", "_c", "_S").join(agg, ["_rid", "_c"], "left") \
             .join(F.broadcast(rad_df), ["_S", "_c"], "left")
         ok = F.coalesce((F.col("_cnt") >= k) & (F.col("_kth") <= F.col("_rad")), F.lit(False))
+        t0 = time.time()
         judged = judged.withColumn("_ok", ok).checkpoint()
+        if report is not None:
+            report.setdefault("t_round", []).append(round(time.time() - t0, 2))
         settled_parts.append(judged.where("_ok").select("_rid", "_c", "_fill"))
         pending = pending.join(judged.where(~F.col("_ok")).select("_rid", "_c"), ["_rid", "_c"], "left_semi") \
             .checkpoint()
+        left = pending.count()
         if report is not None:
             report.setdefault("settled", []).append(judged.where("_ok").count())
-            report["pending"] = pending.count()
+            report["pending"] = left
+        if left == 0:
+            break
 
     # the rest: exact comparison with every donor of the column (only unsettled receivers)
-    rest = pending.join(donors, "_c").withColumn("_dist", dist()).where(F.col("_dist").isNotNull())
+    # the few unsettled receivers go to the donors (broadcast), so the donors stay
+    # spread over all tasks instead of meeting per target column
+    small = pending.count() <= PENDING_BROADCAST_ROWS
+    rest = donors.join(F.broadcast(pending) if small else pending, "_c") \
+        .withColumn("_dist", dist()).where(F.col("_dist").isNotNull())
     best = topk(rest.select("_rid", "_c", "_did", "_dist", "_y"))
     settled_parts.append(best.groupBy("_rid", "_c").agg(F.avg("_y").alias("_fill")))
     fills = settled_parts[0]
