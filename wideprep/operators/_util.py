@@ -56,3 +56,9 @@ def stacked_agg(df: DataFrame, columns: list[str], per_column, extra=None) -> Da
         exploded = row.select(F.explode(F.array(*items)).alias("_r"), *keep)
         frames.append(exploded.select("_r.position", "_r.column", "_r.s.*", *keep))
     return union_all(frames)
+
+
+def unpivot(df: DataFrame, ids, values, variable: str, value: str) -> DataFrame:
+    """``DataFrame.unpivot`` with quoted column references, so names holding
+    dots or spaces stay whole (the variable column gets the plain name)."""
+    return df.unpivot([col(i) for i in ids], [col(v) for v in values], variable, value)

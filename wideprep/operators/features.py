@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wideprep.functions.numeric import to_number
-from wideprep.operators._util import col, union_all
+from wideprep.operators._util import col, union_all, unpivot
 
 MISSING_CATEGORY = "nan"
 
@@ -54,7 +54,7 @@ def fit_categories(df: DataFrame, columns) -> DataFrame:
     """ML2 fit: the dictionary ``column, category, n``; missing is the category
     ``nan``.  One ``groupBy`` over the unpivoted cells (map-side combined);
     categories sort as text wherever an order is needed."""
-    long = df.select(*[category_text(c).alias(c) for c in columns]).unpivot([], list(columns), "column", "category")
+    long = unpivot(df.select(*[category_text(c).alias(c) for c in columns]), [], list(columns), "column", "category")
     return long.groupBy("column", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -63,8 +63,8 @@ def onehot_long(df: DataFrame, key: str, columns, dictionary: DataFrame | None =
     column (``cat__<column>_<category>``); a category not in the dictionary
     gives no entry (all zeros)."""
     dictionary = dictionary if dictionary is not None else fit_categories(df, columns)
-    long = df.select(col(key), *[category_text(c).alias(c) for c in columns]) \
-        .unpivot([key], list(columns), "column", "category")
+    long = unpivot(df.select(col(key), *[category_text(c).alias(c) for c in columns]), [key], list(columns),
+                   "column", "category")
     # the dictionary has one row per (column, category): broadcast unless huge
     hit = long.join(dictionary, ["column", "category"], "left_semi")
     return hit.select(col(key), F.concat(F.lit("cat__"), F.col("column"), F.lit("_"), F.col("category")).alias("feature"),
@@ -76,7 +76,7 @@ def feature_matrix_long(df: DataFrame, key: str, numeric, categorical, scale_par
     """ML3: ``key, feature, value`` with ``num__<col>`` scaled values first and
     one-hot entries after; other columns are dropped."""
     scaled = standardize(df.select(col(key), *[col(c) for c in numeric]), numeric, scale_params)
-    num = scaled.unpivot([key], list(numeric), "column", "value") \
+    num = unpivot(scaled, [key], list(numeric), "column", "value") \
         .select(col(key), F.concat(F.lit("num__"), F.col("column")).alias("feature"), "value")
     parts = [num]
     if categorical:

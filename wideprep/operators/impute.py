@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wideprep.functions.numeric import NUMERIC_TYPES, decimal_places, dtype_category, nan_to_null
+from wideprep.functions.numeric import NUMERIC_TYPES, dtype_category, nan_to_null
 from wideprep.operators import ordered as O
 from wideprep.operators import profile as P
 from wideprep.operators import quantile as Q
@@ -107,18 +107,17 @@ def fill_facts(df: DataFrame, order_by: str | None, columns=None, config=None) -
             out += [F.lit(None).cast("double").alias(x) for x in ("first_val", "last_gap", "first_gap", "last_val")]
         if isinstance(t, NUMERIC_TYPES):
             v = nan_to_null(col(c).cast("double"))
-            places = decimal_places(v if isinstance(t, (T.FloatType, T.DoubleType)) else col(c), t)
-            out += [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.max(places).alias("precision")]
+            out += [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")]
         else:
-            out += [F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std"),
-                    F.lit(None).cast("int").alias("precision")]
+            out += [F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std")]
         return out
 
     prof = stacked_agg(df, names, stats, extra=lambda: [F.count(F.lit(1)).alias("rows")]).collect()
     # distinct counts and modes from one frequency table, in one job
     freq = P.frequency_table(df, names)
-    per = P.distinct_counts(df, names, freq).join(P._mode_from(freq, "string"), "column", "left").collect()
+    per = P.distinct_stats(df, names, freq).join(P._mode_from(freq, "string"), "column", "left").collect()
     uniq = {r["column"]: r["n_unique"] for r in per}
+    prec = {r["column"]: r["precision"] for r in per}
     modes = {r["column"]: (r["mode"], r["tie_count"]) for r in per if r["mode"] is not None}
     facts = []
     for r in prof:
@@ -131,7 +130,7 @@ def fill_facts(df: DataFrame, order_by: str | None, columns=None, config=None) -
             bfill_reduces=(r["first_gap"] is not None and r["last_val"] is not None
                            and r["first_gap"] < r["last_val"]),
             n_unique=uniq.get(c, 0) if isinstance(types[c], NUMERIC_TYPES) else None,
-            std=r["std"], precision=r["precision"], mean=r["mean"])
+            std=r["std"], precision=prec.get(c), mean=r["mean"])
         if c in modes:
             f.mode, f.mode_ties = modes[c]
         facts.append(f)

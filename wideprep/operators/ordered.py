@@ -103,6 +103,7 @@ class OrderedFrame:
         self.columns = list(columns)
         bounds = bucket_bounds(df, order_by, n_buckets)
         key = _key_numeric(df, order_by)
+        types = {f.name: f.dataType for f in df.schema.fields}
         base = df.withColumn("_bkt", _bucket_expr(key, bounds) if bounds else F.lit(0)) \
             .withColumn("_x", key.cast("double"))
         seg = [col(p) for p in self.partition_by] + [F.col("_bkt")]
@@ -112,18 +113,21 @@ class OrderedFrame:
         # incremental, while a frame ending at unboundedFollowing is recomputed per row
         wn = Window.partitionBy(*seg).orderBy(col(order_by).desc()).rowsBetween(Window.unboundedPreceding, 0)
         framed = base.withColumn("_lpos", F.row_number().over(w))
-        for i, c in enumerate(self.columns):
-            item = F.when(col(c).isNotNull() & ~self._is_nan(df, c),
-                          F.struct(F.col("_lpos").alias("p"), F.col("_x").alias("x"), col(c).alias("v")))
-            if need_prev:
-                framed = framed.withColumn(f"_p{i}", F.last(item, ignorenulls=True).over(wp))
-            if need_next:
-                framed = framed.withColumn(f"_n{i}", F.last(item, ignorenulls=True).over(wn))
+        items = [F.when(col(c).isNotNull() & ~self._is_nan(types[c], c),
+                        F.struct(F.col("_lpos").alias("p"), F.col("_x").alias("x"), col(c).alias("v")))
+                 for c in self.columns]
+        # one projection per window order (not a withColumn chain: wide tables stay shallow)
+        if need_prev and items:
+            framed = framed.select("*", *[F.last(it, ignorenulls=True).over(wp).alias(f"_p{i}")
+                                          for i, it in enumerate(items)])
+        if need_next and items:
+            framed = framed.select("*", *[F.last(it, ignorenulls=True).over(wn).alias(f"_n{i}")
+                                          for i, it in enumerate(items)])
         # per-bucket summary: B rows per partition key at most
         keys = self.partition_by + ["_bkt"]
         aggs = [F.count(F.lit(1)).alias("_cnt")]
         for i, c in enumerate(self.columns):
-            item = F.when(col(c).isNotNull() & ~self._is_nan(df, c),
+            item = F.when(col(c).isNotNull() & ~self._is_nan(types[c], c),
                           F.struct(F.col("_lpos").alias("p"), F.col("_x").alias("x"), col(c).alias("v")))
             aggs += [F.max(item).alias(f"_last{i}"), F.min(item).alias(f"_first{i}")]
         summary = framed.groupBy(*[col(k) for k in keys]).agg(*aggs)
@@ -144,24 +148,24 @@ class OrderedFrame:
         if not self.partition_by:
             summary = F.broadcast(summary)  # exactly one row per bucket
         joined = framed.join(summary, keys, "left")
-        out = joined.withColumn("_pos", F.col("_lpos") + F.col("_off"))
+
+        def globalised(local, carried):
+            lc = F.when(F.col(local).isNotNull(), F.struct(
+                (F.col(local + ".p") + F.col("_off")).alias("p"), F.col(local + ".x").alias("x"),
+                F.col(local + ".v").alias("v")))
+            return F.coalesce(lc, F.col(carried))
+
+        extra = [(F.col("_lpos") + F.col("_off")).alias("_pos")]
         for i, _ in enumerate(self.columns):
             if need_prev:
-                local = F.when(F.col(f"_p{i}").isNotNull(), F.struct(
-                    (F.col(f"_p{i}.p") + F.col("_off")).alias("p"), F.col(f"_p{i}.x").alias("x"),
-                    F.col(f"_p{i}.v").alias("v")))
-                out = out.withColumn(f"_prev{i}", F.coalesce(local, F.col(f"_cp{i}")))
+                extra.append(globalised(f"_p{i}", f"_cp{i}").alias(f"_prev{i}"))
             if need_next:
-                local = F.when(F.col(f"_n{i}").isNotNull(), F.struct(
-                    (F.col(f"_n{i}.p") + F.col("_off")).alias("p"), F.col(f"_n{i}.x").alias("x"),
-                    F.col(f"_n{i}.v").alias("v")))
-                out = out.withColumn(f"_next{i}", F.coalesce(local, F.col(f"_cn{i}")))
-        self.frame = out
+                extra.append(globalised(f"_n{i}", f"_cn{i}").alias(f"_next{i}"))
+        self.frame = joined.select("*", *extra)
         self.source_columns = df.columns
 
     @staticmethod
-    def _is_nan(df, c):
-        t = df.schema[c].dataType
+    def _is_nan(t, c):
         if isinstance(t, (T.FloatType, T.DoubleType)):
             return F.isnan(col(c))
         return F.lit(False)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from wideprep.functions.numeric import NUMERIC_TYPES, nan_to_null
 from wideprep.functions.text import significance_label
-from wideprep.operators._util import col
+from wideprep.operators._util import col, unpivot
 from wideprep.operators.ordered import running_total
 
 ALPHA = 0.05
@@ -69,7 +69,7 @@ def dscf_statistics(df: DataFrame, group_col: str, features=None, n_buckets=None
     g = col(group_col).cast("string")
     sel = [g.alias("_g")] + [nan_to_null(col(c).cast("double")).alias(c) for c in feats]
     long = (df.where(col(group_col).isNotNull()).select(*sel)
-            .unpivot(["_g"], feats, "feature", "v").where(F.col("v").isNotNull()))
+            .transform(lambda w: unpivot(w, ["_g"], feats, "feature", "v")).where(F.col("v").isNotNull()))
     hist = long.groupBy("feature", "_g", "v").agg(F.count(F.lit(1)).alias("c"))
     # k = groups present in the group column (all rows, as in the reference)
     groups = df.where(col(group_col).isNotNull()).select(g.alias("_g")).distinct()

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from wideprep.functions.numeric import (NUMERIC_TYPES, decimal_places, dtype_category,
                                         is_integer_like, nan_to_null, to_number)
-from wideprep.operators._util import col, stacked_agg
+from wideprep.operators._util import col, stacked_agg, unpivot
 
 
 def _fields(df: DataFrame, columns) -> list[T.StructField]:
@@ -25,21 +25,27 @@ def _fields(df: DataFrame, columns) -> list[T.StructField]:
     return [by_name[c] for c in names]
 
 
-def present(df: DataFrame, c: str) -> "F.Column":
+def present(c: str, dtype) -> "F.Column":
     """A cell counts as filled when it is not NULL and, for floats, not NaN."""
-    f = {x.name: x for x in df.schema.fields}[c]
-    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return col(c).isNotNull() & ~F.isnan(col(c))
     return col(c).isNotNull()
 
 
+def _types(df: DataFrame) -> dict:
+    # one schema read per call: df.schema is a JVM round trip over all fields
+    return {f.name: f.dataType for f in df.schema.fields}
+
+
 # --------------------------------------------------------------------------- AGG1-AGG3
 
 def fill_rate(df: DataFrame, columns=None, decimals: int = 2) -> DataFrame:
     """AGG1: ``position, column, filled, total, percentage`` (0 when the table is empty)."""
-    names = [f.name for f in _fields(df, columns)]
+    fields = _fields(df, columns)
+    types = {f.name: f.dataType for f in fields}
+    names = [f.name for f in fields]
     out = stacked_agg(df, names,
-                      lambda c: [F.count(F.when(present(df, c), F.lit(1))).alias("filled")],
+                      lambda c: [F.count(F.when(present(c, types[c]), F.lit(1))).alias("filled")],
                       extra=lambda: [F.count(F.lit(1)).alias("total")])
     pct = F.when(F.col("total") > 0, F.round(F.col("filled") * 100.0 / F.col("total"), decimals)) \
         .otherwise(F.lit(0.0))
@@ -65,8 +71,9 @@ def missing_report(df: DataFrame, columns=None, top: int | None = None) -> DataF
 
 def total_missing(df: DataFrame, columns=None) -> DataFrame:
     """AGG3: one row ``total_missing, total_cells`` over the chosen columns."""
-    names = [f.name for f in _fields(df, columns)]
-    missing = sum((F.count(F.when(~present(df, c), F.lit(1))) for c in names), F.lit(0))
+    fields = _fields(df, columns)
+    names = [f.name for f in fields]
+    missing = sum((F.count(F.when(~present(f.name, f.dataType), F.lit(1))) for f in fields), F.lit(0))
     return df.agg(missing.cast("long").alias("total_missing"),
                   (F.count(F.lit(1)) * F.lit(len(names))).cast("long").alias("total_cells"))
 
@@ -78,10 +85,13 @@ def cells(df: DataFrame, columns=None, keep=()) -> DataFrame:
     fields = _fields(df, columns)
     sel = [col(k) for k in keep]
     for f in fields:
-        v = nan_to_null(col(f.name)) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else col(f.name)
+        v = col(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            # NaN is missing; -0.0 and 0.0 are one value (as in pandas)
+            v = F.when(v == 0, F.lit(0.0).cast(f.dataType)).otherwise(nan_to_null(v))
         sel.append(v.cast("string").alias(f.name))
     wide = df.select(*sel)
-    long = wide.unpivot(list(keep), [f.name for f in fields], "column", "value")
+    long = unpivot(wide, list(keep), [f.name for f in fields], "column", "value")
     return long.where(F.col("value").isNotNull())
 
 
@@ -102,6 +112,30 @@ def distinct_counts(df: DataFrame, columns=None, freq: DataFrame | None = None)
     return freq.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
 
 
+def distinct_stats(df: DataFrame, columns=None, freq: DataFrame | None = None) -> DataFrame:
+    """``column, n_unique, precision`` from the frequency table.
+
+    Decimal places depend only on the value, so they are computed once per
+    distinct value in long form (one expression for any number of columns)
+    instead of per row and per column: float columns by NUM3 on the typed
+    value (the text of a double round-trips exactly), integral columns 0,
+    others NULL."""
+    fields = _fields(df, columns)
+    freq = freq if freq is not None else frequency_table(df, [f.name for f in fields])
+    floats = [f.name for f in fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    ints = [f.name for f in fields if isinstance(f.dataType, NUMERIC_TYPES) and f.name not in floats
+            and not isinstance(f.dataType, T.DecimalType)]
+    decs = {f.name: f.dataType.scale for f in fields if isinstance(f.dataType, T.DecimalType)}
+    places = F.lit(None).cast("int")
+    if floats:
+        places = F.when(F.col("column").isin(floats), decimal_places(F.col("num"), T.DoubleType()))
+    if ints:
+        places = F.when(F.col("column").isin(ints), F.lit(0)).otherwise(places)
+    for c, scale in decs.items():
+        places = F.when(F.col("column") == c, F.lit(max(scale, 0))).otherwise(places)
+    return freq.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), F.max(places).alias("precision"))
+
+
 # --------------------------------------------------------------------------- AGG4
 
 def column_profile(df: DataFrame, columns=None) -> DataFrame:
@@ -117,14 +151,11 @@ def column_profile(df: DataFrame, columns=None) -> DataFrame:
         t = types[c]
         if isinstance(t, NUMERIC_TYPES):
             v = nan_to_null(col(c).cast("double"))
-            places = decimal_places(v if isinstance(t, (T.FloatType, T.DoubleType)) else col(c), t)
-            return [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                    F.max(places).alias("precision")]
-        return [F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std"),
-                F.lit(None).cast("int").alias("precision")]
+            return [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")]
+        return [F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std")]
 
     moments = stacked_agg(df, list(types), stats)
-    uniq = distinct_counts(df, list(types))
+    uniq = distinct_stats(df, list(types))
     return (moments.join(F.broadcast(uniq), "column", "left")  # one row per column: bounded
             .select("position", "column", "mean", "std", "precision",
                     F.coalesce(F.col("n_unique"), F.lit(0)).cast("long").alias("n_unique")))
@@ -144,7 +175,7 @@ def numeric_ratio(df: DataFrame, columns=None) -> DataFrame:
 
     def stats(c):
         n = to_number(col(c), types[c])
-        return [F.count(F.when(present(df, c), F.lit(1))).alias("non_null"),
+        return [F.count(F.when(present(c, types[c]), F.lit(1))).alias("non_null"),
                 F.count(n).alias("numeric"),
                 F.bool_and(F.when(n.isNotNull(), is_integer_like(n))).alias("int_like")]
 
@@ -160,7 +191,7 @@ def numeric_distinct(df: DataFrame, columns=None) -> DataFrame:
     """Distinct count of the coerced numeric values per column (AGG12)."""
     fields = _fields(df, columns)
     sel = [to_number(col(f.name), f.dataType).alias(f.name) for f in fields]
-    long = df.select(*sel).unpivot([], [f.name for f in fields], "column", "v").where(F.col("v").isNotNull())
+    long = unpivot(df.select(*sel), [], [f.name for f in fields], "column", "v").where(F.col("v").isNotNull())
     return (long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("column").agg(F.count(F.lit(1)).alias("n_unique_numeric")))
 
@@ -258,7 +289,7 @@ def first_values(df: DataFrame, order_by: str, columns=None, n: int = 3) -> Data
     names = [c for c in (columns or df.columns) if c != order_by]
     head = df.orderBy(col(order_by)).limit(n)  # top-n: TakeOrderedAndProject
     sel = [col(order_by)] + [col(c).cast("string").alias(c) for c in names]
-    long = head.select(*sel).unpivot([order_by], names, "column", "value")
+    long = unpivot(head.select(*sel), [order_by], names, "column", "value")
     w = Window.partitionBy("column").orderBy(col(order_by))
     return long.select("column", F.row_number().over(w).alias("rank"),
                        F.coalesce(F.col("value"), F.lit("")).alias("value"))

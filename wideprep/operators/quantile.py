@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wideprep.functions.numeric import NUMERIC_TYPES, nan_to_null
-from wideprep.operators._util import col
+from wideprep.operators._util import col, unpivot
 
 DEFAULT_ACCURACY = 100_000
 
@@ -37,7 +37,7 @@ def numeric_long(df: DataFrame, columns=None) -> DataFrame:
               if (columns is None or f.name in columns) and isinstance(f.dataType, NUMERIC_TYPES)]
     names = [f.name for f in fields]
     wide = df.select(*[nan_to_null(col(c).cast("double")).alias(c) for c in names])
-    return wide.unpivot([], names, "column", "v").where(F.col("v").isNotNull())
+    return unpivot(wide, [], names, "column", "v").where(F.col("v").isNotNull())
 
 
 def exact_quantiles(df: DataFrame, columns=None, probs=(0.5,), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
