@@ -1053,6 +1053,18 @@ def _sql_flatten_levels() -> str:
             "GROUP BY col_idx")
 
 
+# --------------------------------------------------------------------------- ranked pairs
+
+def q_corr_ranked(spark, d):
+    out = C.ranked_pairs(lineitem_corr(spark, d))
+    return out.select("rank", "feature_1", "feature_2", F.round("correlation", 6).alias("correlation"))
+
+
+def _sql_corr_ranked() -> str:
+    return ("SELECT row_number() OVER (ORDER BY abs(correlation) DESC NULLS LAST, feature_1, feature_2) AS rank, "
+            f"feature_1, feature_2, round(correlation, 6) AS correlation FROM ({_sql_corr_long()})")
+
+
 # --------------------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -1132,6 +1144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_hints": q_report_hints,
         "parquet_header_rows": q_parquet_header_rows,
         "flatten_levels": q_flatten_levels,
+        "corr_ranked": q_corr_ranked,
     }
 
 
@@ -1335,4 +1348,5 @@ def oracle_sql() -> dict[str, str]:
         "report_hints": _sql_report_hints(),
         "parquet_header_rows": _sql_parquet_header_rows(),
         "flatten_levels": _sql_flatten_levels(),
+        "corr_ranked": _sql_corr_ranked(),
     }

@@ -78,3 +78,16 @@ def test_missing_group_column_is_an_error(spark):
     import pytest
     with pytest.raises(ValueError):
         H.dscf_statistics(spark.createDataFrame(pd.DataFrame({"v": [1.0]})), "nope")
+
+
+def test_approx_profile_close_to_exact(spark):
+    from wideprep.operators import profile as P
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"a": rng.integers(0, 300, 3000).astype(float), "s": rng.choice(list("abcdef"), 3000)})
+    sdf = spark.createDataFrame(pdf)
+    exact = {r["column"]: r for r in P.column_profile(sdf).collect()}
+    approx = {r["column"]: r for r in P.column_profile(sdf, approx=True).collect()}
+    for c in ("a", "s"):
+        assert abs(approx[c]["n_unique"] - exact[c]["n_unique"]) <= 0.05 * exact[c]["n_unique"] + 1
+    assert approx["a"]["precision"] == exact["a"]["precision"] == 1
+    assert abs(approx["a"]["mean"] - exact["a"]["mean"]) < 1e-9

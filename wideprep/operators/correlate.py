@@ -127,9 +127,13 @@ def correlation_pairs(df: DataFrame, columns=None, method: str = "auto") -> Data
 
 
 def ranked_pairs(df: DataFrame, columns=None, method: str = "auto") -> DataFrame:
-    """ST1b/SO3: unique pairs by absolute correlation, undefined last."""
-    return correlation_pairs(df, columns, method).orderBy(
-        F.abs("correlation").desc_nulls_last(), "feature_1", "feature_2")
+    """ST1b/SO3: unique pairs with ``rank`` by absolute correlation, undefined
+    last (ties by feature names).  The pair table has k(k-1)/2 rows - bounded
+    by the schema - so one ordered window over it is fine."""
+    from pyspark.sql import Window
+    pairs = correlation_pairs(df, columns, method)
+    w = Window.orderBy(F.abs("correlation").desc_nulls_last(), "feature_1", "feature_2")
+    return pairs.withColumn("rank", F.row_number().over(w))
 
 
 def correlation_matrix(df: DataFrame, columns=None, decimals: int | None = 2, method: str = "auto") -> DataFrame:

@@ -138,14 +138,18 @@ def distinct_stats(df: DataFrame, columns=None, freq: DataFrame | None = None) -
 
 # --------------------------------------------------------------------------- AGG4
 
-def column_profile(df: DataFrame, columns=None) -> DataFrame:
+def column_profile(df: DataFrame, columns=None, approx: bool = False) -> DataFrame:
     """AGG4/NUM3: ``position, column, mean, std, precision, n_unique``.
 
     Mean, sample std and precision (max decimal places) for numeric columns,
     NULL for others and for numeric columns without values.  ``n_unique``
-    counts distinct non-missing values of every column."""
+    counts distinct non-missing values of every column.  ``approx=True``
+    skips the frequency shuffle: ``approx_count_distinct`` (HyperLogLog++, a
+    fixed-size sketch) for cardinality and precision from the rows."""
     fields = _fields(df, columns)
     types = {f.name: f.dataType for f in fields}
+    if approx:
+        return _column_profile_approx(df, types)
 
     def stats(c):
         t = types[c]
@@ -161,6 +165,21 @@ def column_profile(df: DataFrame, columns=None) -> DataFrame:
                     F.coalesce(F.col("n_unique"), F.lit(0)).cast("long").alias("n_unique")))
 
 
+def _column_profile_approx(df: DataFrame, types: dict) -> DataFrame:
+    def stats(c):
+        t = types[c]
+        v = nan_to_null(col(c).cast("double")) if isinstance(t, NUMERIC_TYPES) else None
+        u = F.approx_count_distinct(F.when(present(c, t), col(c))).alias("n_unique")
+        if v is None:
+            return [F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std"),
+                    F.lit(None).cast("int").alias("precision"), u]
+        places = decimal_places(v if isinstance(t, (T.FloatType, T.DoubleType)) else col(c), t)
+        return [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.max(places).alias("precision"), u]
+
+    out = stacked_agg(df, list(types), stats)
+    return out.select("position", "column", "mean", "std", "precision", F.col("n_unique").cast("long"))
+
+
 # --------------------------------------------------------------------------- AGG5 / AGG12 / PR9
 
 def numeric_ratio(df: DataFrame, columns=None) -> DataFrame:
