@@ -74,3 +74,16 @@ def test_importances_sum_to_100(spark):
     imp = MD.importances(model, ["a", "b", "c"]).toPandas()
     assert abs(imp.importance.sum() - 100) < 1e-9
     assert imp.iloc[0].feature == "a"
+
+
+def test_vectorised_treeshap_equals_row_at_a_time(spark):
+    rng = np.random.default_rng(12)
+    X = rng.normal(size=(120, 5))
+    y = (X[:, 0] + X[:, 2] > 0).astype(int) + (X[:, 4] > 1).astype(int)
+    pdf = pd.DataFrame(X, columns=[f"f{i}" for i in range(5)]).assign(label=y)
+    model = MD.train_forest(spark.createDataFrame(pdf), [f"f{i}" for i in range(5)], "label", num_trees=4,
+                            max_depth=5)
+    trees = EX.forest_arrays(MD.forest(model))
+    a, ba, pa = EX.explain_rows(trees, X[:40])
+    b, bb, pb = EX.explain_batch(trees, X[:40])
+    assert np.allclose(a, b, atol=1e-12) and np.allclose(ba, bb) and np.allclose(pa, pb)

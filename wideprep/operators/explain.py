@@ -9,7 +9,9 @@ own rows in ``mapInPandas``; the output is a long table
 
 A forest's class probability is the mean over trees of the leaf class
 distribution, so contributions and base value are per-tree averages and
-``base_value + sum(contributions) = probability`` for every class.
+``base_value + sum(contributions) = probability`` for every class.  The
+recursion runs once per tree and Arrow batch, vectorised over the batch's
+rows (``explain_batch``); ``explain_rows`` is the row-at-a-time reference.
 """
 
 from __future__ import annotations
@@ -132,6 +134,115 @@ def tree_shap(tree, x, phi):
     rec(0, [], 1.0, 1.0, -1)
 
 
+# ----------------------------------------------------------------------------- vectorised over rows
+# Path-dependent TreeSHAP visits both children of every node for every row;
+# only the "one fraction" (does the row follow this branch) differs per row.
+# So one recursion over the tree serves a whole batch: the path keeps shared
+# feature indices and zero fractions, and per-row arrays of one fractions and
+# weights.
+
+def _v_extend(path, pz, po, pi, n):
+    depth = len(path)
+    path = [[d, z, o, w.copy()] for d, z, o, w in path]
+    path.append([pi, pz, po, np.ones(n) if depth == 0 else np.zeros(n)])
+    for i in range(depth - 1, -1, -1):
+        path[i + 1][3] = path[i + 1][3] + po * path[i][3] * (i + 1) / (depth + 1)
+        path[i][3] = pz * path[i][3] * (depth - i) / (depth + 1)
+    return path
+
+
+def _v_unwind(path, k):
+    depth = len(path) - 1
+    z, o = path[k][1], path[k][2]
+    nz = o != 0
+    safe_o = np.where(nz, o, 1.0)
+    path = [[d, zz, oo, w.copy()] for d, zz, oo, w in path]
+    nxt = path[depth][3]
+    for i in range(depth - 1, -1, -1):
+        cur = path[i][3]
+        w_one = nxt * (depth + 1) / ((i + 1) * safe_o)
+        w_zero = cur * (depth + 1) / (z * (depth - i))
+        path[i][3] = np.where(nz, w_one, w_zero)
+        nxt = np.where(nz, cur - w_one * z * (depth - i) / (depth + 1), nxt)
+    for i in range(k, depth):
+        path[i][0], path[i][1], path[i][2] = path[i + 1][0], path[i + 1][1], path[i + 1][2]
+    return path[:depth]
+
+
+def _v_unwound_sum(path, k):
+    depth = len(path) - 1
+    z, o = path[k][1], path[k][2]
+    nz = o != 0
+    safe_o = np.where(nz, o, 1.0)
+    nxt = path[depth][3]
+    t_one = np.zeros_like(nxt)
+    t_zero = np.zeros_like(nxt)
+    for i in range(depth - 1, -1, -1):
+        tmp = nxt / ((i + 1) * safe_o)
+        t_one = t_one + tmp
+        nxt = path[i][3] - tmp * z * (depth - i)
+        t_zero = t_zero + path[i][3] / ((depth - i) * z)
+    return np.where(nz, t_one, t_zero) * (depth + 1)
+
+
+def _v_goes_left(tree, j, X):
+    v = X[:, tree["feature"][j]]
+    cats = tree["cats"][j]
+    return np.isin(v, list(cats)) if cats is not None else (v <= tree["threshold"][j])
+
+
+def tree_shap_batch(tree, X, phi):
+    """Add one tree's contributions for all rows of ``X`` to ``phi`` (rows x features x classes)."""
+    left, right, cover, value, feat = tree["left"], tree["right"], tree["cover"], tree["value"], tree["feature"]
+    n = X.shape[0]
+
+    def rec(j, path, pz, po, pi):
+        path = _v_extend(path, pz, po, pi, n)
+        if left[j] < 0:
+            for i in range(1, len(path)):
+                w = _v_unwound_sum(path, i)
+                d, z, o = path[i][0], path[i][1], path[i][2]
+                phi[:, d, :] += (w * (o - z))[:, None] * value[j][None, :]
+            return
+        d = feat[j]
+        iz, io = 1.0, np.ones(n)
+        for k in range(len(path)):
+            if path[k][0] == d:
+                iz, io = path[k][1], path[k][2]
+                path = _v_unwind(path, k)
+                break
+        go_left = _v_goes_left(tree, j, X)
+        rec(left[j], path, iz * cover[left[j]] / cover[j], np.where(go_left, io, 0.0), d)
+        rec(right[j], path, iz * cover[right[j]] / cover[j], np.where(go_left, 0.0, io), d)
+
+    rec(0, [], 1.0, np.ones(n), -1)
+
+
+def _leaf_values(tree, X):
+    node = np.zeros(X.shape[0], dtype=int)
+    while True:
+        internal = tree["left"][node] >= 0
+        if not internal.any():
+            return tree["value"][node]
+        for j in np.unique(node[internal]):
+            rows = np.where(node == j)[0]
+            go = _v_goes_left(tree, j, X[rows])
+            node[rows] = np.where(go, tree["left"][j], tree["right"][j])
+
+
+def explain_batch(trees, X: np.ndarray):
+    """Vectorised ``explain_rows``: same outputs, one tree recursion per batch."""
+    n_rows, n_feat = X.shape
+    n_cls = trees[0]["value"].shape[1]
+    phi = np.zeros((n_rows, n_feat, n_cls))
+    prob = np.zeros((n_rows, n_cls))
+    for t in trees:
+        tree_shap_batch(t, X, phi)
+        prob += _leaf_values(t, X)
+    base = np.mean([t["value"][0] for t in trees], axis=0)
+    return phi / len(trees), base, prob / len(trees)
+
+
 def explain_rows(trees, X: np.ndarray):
     """``(contributions[rows, features, classes], base[classes], prob[rows, classes])``."""
     n_rows, n_feat = X.shape
@@ -169,7 +280,7 @@ def explain(rf_model, df: DataFrame, key: str, features, label: str | None = Non
             if not len(pdf):
                 continue
             X = pdf[[f"_f{i}" for i in range(len(feats))]].to_numpy(dtype="float64")
-            contrib, base, prob = explain_rows(tr, X)
+            contrib, base, prob = explain_batch(tr, X)
             n_rows, n_feat, n_cls = contrib.shape
             pred = prob.argmax(axis=1)
             ri, fi, ci = np.meshgrid(np.arange(n_rows), np.arange(n_feat), np.arange(n_cls), indexing="ij")
