@@ -98,13 +98,44 @@ def cells(df: DataFrame, columns=None, keep=()) -> DataFrame:
 def frequency_table(df: DataFrame, columns=None) -> DataFrame:
     """D1: ``column, value, n`` for every distinct non-missing value of every column.
 
-    For numeric columns ``num`` holds the typed value (for value-order ties)."""
+    For numeric columns ``num`` holds the typed value (for value-order ties).
+    Integral, floating and other columns are grouped on their typed values
+    (three narrow scans, Parquet reads each column once) and only the
+    distinct values are formatted as text, after the shuffle."""
     fields = _fields(df, columns)
-    numeric = [f.name for f in fields if isinstance(f.dataType, NUMERIC_TYPES)]
-    freq = cells(df, [f.name for f in fields]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    num = F.when(F.col("column").isin(numeric), F.col("value").try_cast("double")) if numeric \
-        else F.lit(None).cast("double")
-    return freq.withColumn("num", num)
+    ints = [f for f in fields if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))]
+    floats = [f for f in fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    rest = [f for f in fields if f not in ints and f not in floats]   # text, dates, decimals (exact text)
+    parts = []
+    for group, typ in ((ints, "long"), (floats, "double")):
+        if not group:
+            continue
+        sel = []
+        for f in group:
+            v = col(f.name).cast(typ)
+            if typ == "double":  # NaN is missing; -0.0 and 0.0 are one value (as in pandas)
+                v = F.when(v == 0, F.lit(0.0)).otherwise(nan_to_null(v))
+            sel.append(v.alias(f.name))
+        long = unpivot(df.select(*sel), [], [f.name for f in group], "column", "v").where(F.col("v").isNotNull())
+        agg = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+        fmt = {f.name: f.dataType for f in group}
+        text = F.col("v").cast("string")
+        floats_as_float = [c for c, t in fmt.items() if isinstance(t, T.FloatType)]
+        if floats_as_float:  # keep the column type's own text for float columns
+            text = F.when(F.col("column").isin(floats_as_float), F.col("v").cast("float").cast("string")).otherwise(text)
+        parts.append(agg.select("column", text.alias("value"), "n", F.col("v").cast("double").alias("num")))
+    if rest:
+        freq = cells(df, [f.name for f in rest]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        decs = [f.name for f in rest if isinstance(f.dataType, T.DecimalType)]
+        num = F.when(F.col("column").isin(decs), F.col("value").try_cast("double")) if decs \
+            else F.lit(None).cast("double")
+        parts.append(freq.withColumn("num", num))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, value string, n long, num double")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def distinct_counts(df: DataFrame, columns=None, freq: DataFrame | None = None) -> DataFrame:
