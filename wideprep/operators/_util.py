@@ -26,6 +26,7 @@ def chunks(items: list, size: int = AGG_CHUNK):
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
+    """SE1: concatenate results (per feature, train and test) by column name."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

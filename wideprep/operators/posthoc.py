@@ -104,8 +104,9 @@ def dscf_statistics(df: DataFrame, group_col: str, features=None, n_buckets=None
 
 def posthoc_dscf(df: DataFrame, group_col: str, features=None, alpha: float = ALPHA,
                  labels=("yes", "no"), n_buckets=None) -> DataFrame:
-    """ST2: ``group_1, group_2, p_value, feature, significant``: both directions
-    and the diagonal (p = 1), as the reference's stacked square matrix."""
+    """ST2/SE1: ``group_1, group_2, p_value, feature, significant``: both
+    directions and the diagonal (p = 1), as the reference's stacked square
+    matrix, for all features at once (one long result, no per-feature loop)."""
     st = dscf_statistics(df, group_col, features, n_buckets)
 
     def pvalues(batches):

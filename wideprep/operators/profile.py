@@ -294,7 +294,7 @@ def mode_values(df: DataFrame, columns=None, tie: str = "string") -> dict:
 
 def group_counts(df: DataFrame, key: str, labels: DataFrame | None = None,
                  label_key: str = "code", label_col: str = "label", on_missing: str = "null") -> DataFrame:
-    """AGG10/JN4/TX8: ``key, n, total`` (+ ``label`` from a code table).
+    """AGG10/JN4/TX8/SO5: ``key, n, total`` (+ ``label`` from a code table), sorted by key.
 
     The label table is a user mapping (one row per code) joined after the
     aggregation, so only #groups rows meet it.  ``on_missing='error'`` raises

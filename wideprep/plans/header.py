@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wideprep.functions.text import (match_key, normalize_text, py_id_match_key, py_match_key)
 from wideprep.operators._util import col
 from wideprep.operators.ordered import running_total
+from wideprep.session import checkpoint_dir
 
 # Header cells that count as empty besides '' (option of PR2/PR3): pandas'
 # placeholder for unnamed levels and textual missing markers.
@@ -105,6 +106,9 @@ def dedupe_names(df: DataFrame, name_col: str, order_col: str, style: str = "_n"
         dup = cur.groupBy(name_col).count().where(F.col("count") > 1).limit(1).count()
         if dup == 0:
             return cur
+        # another round is needed: cut the lineage (reliable checkpoint) first
+        checkpoint_dir(df.sparkSession)
+        cur = cur.checkpoint()
     raise RuntimeError("names still not unique after several rounds")
 
 
