@@ -31,7 +31,7 @@ def close(a, b):
     return np.allclose(a, b, equal_nan=True, atol=1e-12)
 
 
-@pytest.mark.parametrize("buckets", [1, 4, 23])
+@pytest.mark.parametrize("buckets", [1, 4, 23, 150])
 @pytest.mark.parametrize("limit", [None, 1, 5, 150])
 def test_ffill_bfill(spark, buckets, limit):
     sdf, pdf = frame(spark)

@@ -5,9 +5,10 @@ an explicit ``order_by`` column (a unique key) and optional ``partition_by``
 columns.  A window with no ``partitionBy`` would pull the whole table into
 one task, and a hot partition key would do the same for its rows.  Instead:
 
-1. Range buckets of the order key: ``percentile_approx`` boundaries (one small
-   collect of ``B-1`` values), assigned by a balanced ``CASE`` tree - pure
-   Catalyst, deterministic across task retries.
+1. Range buckets of the order key: boundaries read off a 1023-point
+   ``percentile_approx`` grid (one small collect), assigned by a small
+   ``CASE`` tree or, for many buckets, a JVM binary search (``Bucketizer``);
+   deterministic across task retries.
 2. One window per ``(partition_by, bucket)`` ordered by the key gives the local
    position and, per column, the nearest non-missing value (with position)
    before and after each row inside the bucket.
@@ -15,7 +16,8 @@ one task, and a hot partition key would do the same for its rows.  Instead:
    position) is tiny; running sums / carries over it give each bucket's
    global offset and the values carried in from earlier / later buckets.
 4. The summary is joined back on ``(partition_by, bucket)`` (broadcast when no
-   ``partition_by``: it has ``B`` rows) and every fill is a plain expression.
+   ``partition_by`` and ``B`` is below 100k rows) and every fill is a plain
+   expression.
 
 Hot partition keys are split across buckets, so no group meets in one task.
 Serves IM5 (ffill/bfill with ``limit``), IM6 (interpolation), positions and
@@ -50,9 +52,15 @@ def _key_numeric(df: DataFrame, order_by: str) -> Column:
     return c.cast("double")
 
 
-def _bucket_expr(key: Column, bounds: list) -> Column:
-    """Number of boundaries strictly below ``key`` via a balanced CASE tree."""
-    def build(lo, hi):  # bounds[lo:hi] undecided, answer offset lo
+GRID_QUANTILES = 1024
+SUMMARY_BROADCAST_ROWS = 100_000
+CASE_TREE_MAX_BOUNDS = 64   # beyond this, a JVM binary search instead of a CASE tree
+
+
+def _case_tree(key: Column, bounds: list) -> Column:
+    """Number of boundaries strictly below ``key`` (balanced CASE tree, small lists only:
+    a large tree would exceed the generated-code size limit)."""
+    def build(lo, hi):
         if lo >= hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
@@ -60,35 +68,48 @@ def _bucket_expr(key: Column, bounds: list) -> Column:
     return build(0, len(bounds))
 
 
-GRID_QUANTILES = 1024
+def with_bucket(df: DataFrame, key: Column, bounds: list, out: str = "_bkt") -> DataFrame:
+    """Add a monotone range-bucket id ``out`` of ``key`` for sorted ``bounds``.
+
+    Few boundaries: a CASE tree inside the generated code.  Many (a table of
+    billions of rows has hundreds of thousands of buckets): Spark ML's
+    ``Bucketizer``, a JVM-side binary search, one expression for any count."""
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
+    if len(bounds) <= CASE_TREE_MAX_BOUNDS:
+        return df.withColumn(out, _case_tree(key, bounds))
+    from pyspark.ml.feature import Bucketizer
+    tmp = "_bkt_key"
+    splits = [float("-inf")] + list(bounds) + [float("inf")]
+    staged = df.withColumn(tmp, key.cast("double"))
+    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out + "_d", handleInvalid="keep")
+    return b.transform(staged).withColumn(out, F.col(out + "_d").cast("int")).drop(tmp, out + "_d")
 
 
 def bucket_bounds(df: DataFrame, order_by: str, n_buckets: int | None = None) -> list:
-    """Sorted range-bucket boundaries of the order key (B - 1 values).
+    """Sorted boundaries of ``B`` about equal range buckets of the order key.
 
-    Without ``n_buckets`` the row count and a 1024-quantile grid come from one
-    pass; B = max(shuffle partitions, rows / ROWS_PER_BUCKET) boundaries are
-    then read off the grid (a second pass only when B exceeds the grid)."""
+    One pass gives the row count and a 1023-point quantile grid; ``B`` (given,
+    or max(shuffle partitions, rows / ROWS_PER_BUCKET)) boundaries are read
+    off the grid, interpolating linearly between grid points when ``B``
+    exceeds the grid."""
     key = _key_numeric(df, order_by)
+    probs = [i / GRID_QUANTILES for i in range(1, GRID_QUANTILES)]
+    row = df.select(F.count(F.lit(1)).alias("n"),
+                    F.percentile_approx(key, probs, 20 * GRID_QUANTILES).alias("b")).first()
     if n_buckets is None:
-        grid = [i / GRID_QUANTILES for i in range(1, GRID_QUANTILES)]
-        row = df.select(F.count(F.lit(1)).alias("n"),
-                        F.percentile_approx(key, grid, 20 * GRID_QUANTILES).alias("b")).first()
-        n = row["n"]
-        n_buckets = max(shuffle_partitions(df.sparkSession), math.ceil(n / ROWS_PER_BUCKET))
-        if n_buckets <= 1 or row["b"] is None:
-            return []
-        if n_buckets <= GRID_QUANTILES:
-            picks = [row["b"][round(i * GRID_QUANTILES / n_buckets) - 1] for i in range(1, n_buckets)]
-            return sorted(set(float(x) for x in picks if x is not None))
-    if n_buckets <= 1:
-        return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    acc = max(10_000, 20 * n_buckets)
-    row = df.select(F.percentile_approx(key, probs, acc).alias("b")).first()
-    if row is None or row["b"] is None:
+        n_buckets = max(shuffle_partitions(df.sparkSession), math.ceil((row["n"] or 0) / ROWS_PER_BUCKET))
+    if n_buckets <= 1 or row["b"] is None:
         return []
-    return sorted(set(float(x) for x in row["b"] if x is not None))
+    grid = [float(x) for x in row["b"] if x is not None]
+    out = []
+    for i in range(1, n_buckets):
+        q = i * GRID_QUANTILES / n_buckets - 1          # fractional grid index
+        lo = min(max(int(math.floor(q)), 0), len(grid) - 1)
+        hi = min(lo + 1, len(grid) - 1)
+        f = min(max(q - math.floor(q), 0.0), 1.0) if q >= 0 else 0.0
+        out.append(grid[lo] + (grid[hi] - grid[lo]) * f)
+    return sorted(set(out))
 
 
 class OrderedFrame:
@@ -102,10 +123,10 @@ class OrderedFrame:
         self.partition_by = list(partition_by or [])
         self.columns = list(columns)
         bounds = bucket_bounds(df, order_by, n_buckets)
+        n_b = len(bounds) + 1
         key = _key_numeric(df, order_by)
         types = {f.name: f.dataType for f in df.schema.fields}
-        base = df.withColumn("_bkt", _bucket_expr(key, bounds) if bounds else F.lit(0)) \
-            .withColumn("_x", key.cast("double"))
+        base = with_bucket(df, key, bounds).withColumn("_x", key.cast("double"))
         seg = [col(p) for p in self.partition_by] + [F.col("_bkt")]
         w = Window.partitionBy(*seg).orderBy(col(order_by))
         wp = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -145,8 +166,8 @@ class OrderedFrame:
             if need_next:
                 carry.append(F.first(glob(f"_first{i}"), ignorenulls=True).over(after).alias(f"_cn{i}"))
         summary = summary.select(*carry)
-        if not self.partition_by:
-            summary = F.broadcast(summary)  # exactly one row per bucket
+        if not self.partition_by and n_b <= SUMMARY_BROADCAST_ROWS:
+            summary = F.broadcast(summary)  # one row per bucket: bounded by n_b
         joined = framed.join(summary, keys, "left")
 
         def globalised(local, carried):
@@ -328,7 +349,7 @@ def running_total(df: DataFrame, segment, order_by: str, value: str, out: str =
     segment = list(segment)
     bounds = bucket_bounds(df, order_by, n_buckets)
     key = _key_numeric(df, order_by)
-    base = df.withColumn("_bkt", _bucket_expr(key, bounds) if bounds else F.lit(0))
+    base = with_bucket(df, key, bounds)
     w = Window.partitionBy(*[col(s) for s in segment], F.col("_bkt")).orderBy(col(order_by)) \
         .rowsBetween(Window.unboundedPreceding, -1)
     local = base.withColumn("_loc", F.coalesce(F.sum(col(value)).over(w), F.lit(0)))
