@@ -925,8 +925,8 @@ def _sql_standardize() -> str:
 
 def _sql_onehot() -> str:
     return (f"WITH g AS {ORDERS_GAPS_SQL}\n"
-            "SELECT o_orderkey, 'cat__o_orderpriority_' || coalesce(o_orderpriority, 'nan') AS feature, 1.0 AS value "
-            "FROM g UNION ALL SELECT o_orderkey, 'cat__o_orderstatus_' || coalesce(o_orderstatus, 'nan'), 1.0 FROM g")
+            "SELECT o_orderkey, 'cat__o_orderpriority_' || coalesce(o_orderpriority, 'nan') AS feature, 1.0::DOUBLE AS value "
+            "FROM g UNION ALL SELECT o_orderkey, 'cat__o_orderstatus_' || coalesce(o_orderstatus, 'nan'), 1.0::DOUBLE FROM g")
 
 
 def _sql_feature_matrix() -> str:
@@ -1243,7 +1243,7 @@ def _sql_mode(tie: str) -> str:
 def _sql_group_counts() -> str:
     vals = ", ".join(f"('{a}', '{b}')" for a, b in STATUS_LABELS)
     return ("WITH c AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)\n"
-            f"SELECT c.o_orderstatus, c.n, (SELECT sum(n) FROM c) AS total, m.label FROM c "
+            f"SELECT c.o_orderstatus, c.n, CAST((SELECT sum(n) FROM c) AS BIGINT) AS total, m.label FROM c "
             f"LEFT JOIN (VALUES {vals}) m(code, label) ON c.o_orderstatus = m.code")
 
 

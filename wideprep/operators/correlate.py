@@ -133,7 +133,7 @@ def ranked_pairs(df: DataFrame, columns=None, method: str = "auto") -> DataFrame
     from pyspark.sql import Window
     pairs = correlation_pairs(df, columns, method)
     w = Window.orderBy(F.abs("correlation").desc_nulls_last(), "feature_1", "feature_2")
-    return pairs.withColumn("rank", F.row_number().over(w))
+    return pairs.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 def correlation_matrix(df: DataFrame, columns=None, decimals: int | None = 2, method: str = "auto") -> DataFrame:

@@ -290,5 +290,5 @@ def base_methods(df: DataFrame, config: dict | None = None, columns=None) -> Dat
                     & (F.col("precision") > F.lit(FP.MIN_PRECISION)))
     method = F.when(F.col("override").isNotNull(), F.col("override")) \
         .when(F.coalesce(numeric_rule, F.lit(False)), F.lit(FP.MEAN)).otherwise(F.lit(FP.MODE))
-    return joined.select("position", "column", "n_unique", "std", "precision", F.lit(rows).alias("rows"),
+    return joined.select("position", "column", "n_unique", "std", "precision", F.lit(rows).cast("long").alias("rows"),
                          method.alias("method"))

@@ -330,7 +330,7 @@ def sample_per_column(df: DataFrame, key: str, columns=None, n: int = 3, seed: i
     long = cells(df, [c for c in (columns or df.columns) if c != key], keep=(key,))
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("column"), col(key).cast("string")))
     w = Window.partitionBy("column").orderBy(h, col(key))
-    return (long.withColumn("sample_rank", F.row_number().over(w))
+    return (long.withColumn("sample_rank", F.row_number().over(w).cast("long"))
             .where(F.col("sample_rank") <= n).select("column", "sample_rank", "value"))
 
 
@@ -341,5 +341,5 @@ def first_values(df: DataFrame, order_by: str, columns=None, n: int = 3) -> Data
     sel = [col(order_by)] + [col(c).cast("string").alias(c) for c in names]
     long = unpivot(head.select(*sel), [order_by], names, "column", "value")
     w = Window.partitionBy("column").orderBy(col(order_by))
-    return long.select("column", F.row_number().over(w).alias("rank"),
+    return long.select("column", F.row_number().over(w).cast("long").alias("rank"),
                        F.coalesce(F.col("value"), F.lit("")).alias("value"))
