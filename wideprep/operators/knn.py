@@ -71,7 +71,6 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
     std = [stats[f"s{j}"] or 1.0 for j in range(m)]
     std = [s if s > 0 else 1.0 for s in std]
     means = [stats[f"m{j}"] for j in range(m)]
-    full = (1 << m) - 1
 
     # donors per target column c: rows with c, reduced to k per identical coordinate vector
     donors = None
@@ -94,8 +93,9 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
     recv = None
     # a row with no value at all has no valid donor: it takes the column mean
     for j in range(m):
-        r = base.where(F.col(xs[j]).isNull() & (F.col("_pat") > 0)).select(F.col("_id").alias("_rid"), F.col("_pat").alias("_S"),
-                                                      F.lit(j).alias("_c"), *[F.col(x).alias(f"_r{i}") for i, x in enumerate(xs)])
+        r = base.where(F.col(xs[j]).isNull() & (F.col("_pat") > 0)).select(
+            F.col("_id").alias("_rid"), F.col("_pat").alias("_S"), F.lit(j).alias("_c"),
+            *[F.col(x).alias(f"_r{i}") for i, x in enumerate(xs)])
         recv = r if recv is None else recv.unionByName(r)
     t0 = time.time()
     recv = recv.checkpoint()
@@ -125,8 +125,6 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
     def grid_dims(common_mask):
         return [i for i in order if common_mask >> i & 1][:GRID_DIMS]
 
-    settled_parts = []
-    pending = recv
     def cell_width(c, P, dims):
         # cubic cells (the metric is unscaled Euclidean) sized so the probed 3^|G|
         # block holds about TARGET_PER_CELL * k of this pattern's donors
@@ -134,6 +132,8 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
         n_p = max(donor_count.get((c, P), 1), 1)
         return (TARGET_PER_CELL * k * vol / n_p) ** (1.0 / len(dims)) / 3.0
 
+    settled_parts = []
+    pending = recv
     for mult in exact_rounds:
         # receiver probes: for each donor pattern P (containing c, meeting S) and each offset of C
         probe_rows = []

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wideprep.functions.numeric import NUMERIC_TYPES, nan_to_null
 from wideprep.operators._util import col, unpivot
