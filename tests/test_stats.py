@@ -91,3 +91,22 @@ def test_approx_profile_close_to_exact(spark):
         assert abs(approx[c]["n_unique"] - exact[c]["n_unique"]) <= 0.05 * exact[c]["n_unique"] + 1
     assert approx["a"]["precision"] == exact["a"]["precision"] == 1
     assert abs(approx["a"]["mean"] - exact["a"]["mean"]) < 1e-9
+
+
+def test_blocked_moments_equal_single_pass(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(300, 7))
+    x[:, 3] = x[:, 0] * 0.5 + rng.normal(size=300)
+    pdf = pd.DataFrame(x, columns=[f"x{i}" for i in range(7)])
+    pdf.loc[::6, "x1"] = np.nan
+    pdf.loc[::5, "x3"] = np.nan
+    pdf["k"] = 2.0
+    sdf = spark.createDataFrame(pdf)
+    one = {(r.feature_1, r.feature_2): r for r in C.correlation_pairs(sdf, method="moments").collect()}
+    blk = {(r.feature_1, r.feature_2): r for r in C.correlation_pairs(sdf, method="moments", block=3).collect()}
+    want = pdf.corr()
+    assert one.keys() == blk.keys() and len(one) == 28
+    for key, r in blk.items():
+        assert r.n == one[key].n
+        w = want.loc[key[0], key[1]]
+        assert (r.correlation is None) if np.isnan(w) else abs(r.correlation - w) < 1e-9

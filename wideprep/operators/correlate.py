@@ -9,7 +9,9 @@ where both are present.  With k columns that is k(k-1)/2 masked statistics.
   k x k moment matrices per task (masked matrix products on a mean-shifted
   block), emits them once per task as ``(i, j, ...)`` rows, and one
   ``groupBy(i, j).sum`` - the only shuffle, k^2/2 keys - combines them.  The
-  data never leaves its task; what moves is O(k^2) numbers per task.
+  data never leaves its task; what moves is O(k^2) numbers per task.  Beyond
+  ``MOMENT_BLOCK`` columns the columns are blocked: one narrow pass per block
+  pair keeps task memory at six block x block matrices.
 
 A constant column (zero spread within the pair's rows) gives NULL, never an
 error; fewer than two common rows gives NULL.
@@ -67,37 +69,64 @@ def _pairs_sql(num: DataFrame, names: list[str]) -> DataFrame:
     return st.select("i", "j", "n", _clamp(r).alias("correlation"))
 
 
-def _pairs_moments(num: DataFrame, names: list[str]) -> DataFrame:
+MOMENT_BLOCK = 500   # columns per block: a task holds 6 block x block matrices
+
+
+def _pairs_moments(num: DataFrame, names: list[str], block: int = MOMENT_BLOCK) -> DataFrame:
     import numpy as np
     k = len(names)
-    mean_row = num.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
-    shift = np.array([mean_row[f"m{i}"] if mean_row[f"m{i}"] is not None else 0.0 for i in range(k)])
-    cols = [f"c{i}" for i in range(k)]
-    renamed = num.select(*[col(c).alias(cols[i]) for i, c in enumerate(names)])
-    iu, ju = np.triu_indices(k, 1)
+    means = {}
+    for part in chunks(list(enumerate(names)), 200):   # one narrow job per 200 columns
+        row = num.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in part]).first()
+        means.update({i: row[f"m{i}"] for i, _ in part})
+    shift = np.array([means[i] if means[i] is not None else 0.0 for i in range(k)])
     spark = num.sparkSession
     bshift = spark.sparkContext.broadcast(shift)  # k numbers
-
-    def moments(batches):
-        import pandas as pd
-        s = bshift.value
-        acc = None
-        for pdf in batches:
-            x = pdf.to_numpy(dtype="float64", na_value=np.nan)
-            m = (~np.isnan(x)).astype("float64")
-            x0 = np.where(m > 0, x - s, 0.0)
-            x2 = x0 * x0
-            part = (m.T @ m, x0.T @ m, x2.T @ m, x0.T @ x0)
-            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
-        if acc is None:
-            return
-        n, sx, sxx, sxy = acc
-        # pair (i, j): x = column i, y = column j, both restricted to common rows
-        yield pd.DataFrame({"i": iu, "j": ju, "n": n[iu, ju], "sx": sx[iu, ju], "sy": sx[ju, iu],
-                            "sxx": sxx[iu, ju], "syy": sxx[ju, iu], "sxy": sxy[iu, ju]})
+    blocks = [list(range(a, min(a + block, k))) for a in range(0, k, block)]
+
+    def moments_for(ia, ja):
+        same = ia == ja
+        cols = ia if same else ia + ja
+        na = len(ia)
+
+        def moments(batches):
+            import pandas as pd
+            s = bshift.value[cols]
+            acc = None
+            for pdf in batches:
+                x = pdf.to_numpy(dtype="float64", na_value=np.nan)
+                m = (~np.isnan(x)).astype("float64")
+                x0 = np.where(m > 0, x - s, 0.0)
+                x2 = x0 * x0
+                if same:
+                    a_m, a_x, a_x2, b_m, b_x, b_x2 = m, x0, x2, m, x0, x2
+                else:
+                    a_m, a_x, a_x2 = m[:, :na], x0[:, :na], x2[:, :na]
+                    b_m, b_x, b_x2 = m[:, na:], x0[:, na:], x2[:, na:]
+                # pair (i, j): x = column i, y = column j, both restricted to common rows
+                part = (a_m.T @ b_m, a_x.T @ b_m, a_m.T @ b_x, a_x2.T @ b_m, a_m.T @ b_x2, a_x.T @ b_x)
+                acc = part if acc is None else tuple(u + v for u, v in zip(acc, part))
+            if acc is None:
+                return
+            if same:
+                iu, ju = np.triu_indices(na, 1)
+            else:
+                iu, ju = np.meshgrid(np.arange(na), np.arange(len(ja)), indexing="ij")
+                iu, ju = iu.ravel(), ju.ravel()
+            n, sx, sy, sxx, syy, sxy = (a[iu, ju] for a in acc)
+            gi, gj = np.asarray(ia)[iu], np.asarray(ja)[ju]
+            yield pd.DataFrame({"i": gi, "j": gj, "n": n, "sx": sx, "sy": sy, "sxx": sxx, "syy": syy, "sxy": sxy})
+
+        return moments, cols
 
     schema = "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double"
-    per_task = renamed.mapInPandas(moments, schema)
+    parts = []
+    for bi in range(len(blocks)):
+        for bj in range(bi, len(blocks)):
+            fn, cols = moments_for(blocks[bi], blocks[bj])
+            # each block pair reads only its own columns
+            parts.append(num.select(*[col(names[c]).alias(f"c{c}") for c in cols]).mapInPandas(fn, schema))
+    per_task = union_all(parts)
     tot = per_task.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
@@ -114,13 +143,14 @@ def _pairs_moments(num: DataFrame, names: list[str]) -> DataFrame:
                       _clamp(r).alias("correlation"))
 
 
-def correlation_pairs(df: DataFrame, columns=None, method: str = "auto") -> DataFrame:
+def correlation_pairs(df: DataFrame, columns=None, method: str = "auto", block: int = MOMENT_BLOCK) -> DataFrame:
     """ST1/SE2: ``feature_1, feature_2, n, correlation`` for every unordered pair,
-    ``feature_1`` the earlier column."""
+    ``feature_1`` the earlier column.  With ``method='moments'`` more than
+    ``block`` columns are split into blocks: one pass per block pair."""
     num, names = numeric_view(df, columns)
     if method == "auto":
         method = "sql" if len(names) <= SQL_METHOD_MAX_COLUMNS else "moments"
-    pairs = _pairs_sql(num, names) if method == "sql" else _pairs_moments(num, names)
+    pairs = _pairs_sql(num, names) if method == "sql" else _pairs_moments(num, names, block)
     name_arr = F.array(*[F.lit(n) for n in names])
     return pairs.select(name_arr[F.col("i").cast("int")].alias("feature_1"),
                         name_arr[F.col("j").cast("int")].alias("feature_2"), "n", "correlation")
