@@ -75,3 +75,25 @@ def test_header_grid_to_unique_names(spark, tmp_out):
 def test_identifier_drop_by_spaces_and_case(spark):
     df = spark.createDataFrame([(1, 2)], "`№ пациента` int, x int")
     assert HD.drop_identifier(df, ["№Пациента"]).columns == ["x"]
+
+
+def test_policy_with_knn_group(spark):
+    rng = np.random.default_rng(17)
+    n = 200
+    pdf = pd.DataFrame({"id": np.arange(n), "lab": rng.normal(10, 2, n), "m1": rng.normal(size=n),
+                        "m2": rng.normal(size=n), "other": rng.normal(size=n), "sparse": rng.normal(size=n)})
+    pdf.loc[pdf.index % 10 == 0, "lab"] = np.nan          # 10 % -> median rule
+    pdf.loc[pdf.index % 8 == 1, "m1"] = np.nan            # kNN group, 87.5 % filled
+    pdf.loc[pdf.index % 9 == 2, "m2"] = np.nan
+    pdf.loc[pdf.index % 5 == 3, "other"] = np.nan         # 20 % -> default median
+    pdf.loc[pdf.index % 2 == 0, "sparse"] = np.nan        # 50 % -> left alone
+    sdf = spark.createDataFrame(pdf)
+    out = I.impute_policy(sdf, [(["lab"], "median", 50.0), (["m1", "m2"], "knn", 70.0)], key="id").toPandas()
+    out = out.sort_values("id").reset_index(drop=True)
+    assert out[["lab", "m1", "m2", "other"]].notna().all().all()
+    assert out["sparse"].isna().sum() == 100
+    assert np.isclose(out.loc[0, "lab"], pdf["lab"].median())
+    assert np.isclose(out.loc[3, "other"], pdf["other"].median())
+    from test_knn_explain import brute_knn
+    want = brute_knn(pdf, ["m1", "m2"])
+    assert np.allclose(out[["m1", "m2"]].to_numpy(), want)

@@ -238,36 +238,62 @@ def apply_filling(df: DataFrame, config: dict | None = None, order_by: str | Non
 
 # --------------------------------------------------------------------------- IM11
 
-def impute_policy(df: DataFrame, rules: list[tuple], default_numeric: tuple | None = ("median", 30.0)) -> DataFrame:
-    """IM11: ordered rules ``(columns, method, max_missing_pct)``; a column is
-    filled by the first rule naming it when its missing share (percent) is
-    below the bound.  ``default_numeric`` then fills every other numeric column
-    whose missing share lies strictly between 0 and its bound.  All shares come
-    from one job; all fills happen in one ``select``."""
+def impute_policy(df: DataFrame, rules: list[tuple], default_numeric: tuple | None = ("median", 30.0),
+                  key: str | None = None, k: int = 3) -> DataFrame:
+    """IM11: ordered rules ``(columns, method, bound)``.
+
+    ``median`` / ``mean`` / ``mode`` rules fill a column named first by a rule
+    when its missing share (percent, on the input) is below ``bound``; all such
+    fills happen in one ``select``.  A ``knn`` rule then imputes its columns
+    that exist together (``operators.knn``, keyed by ``key``) when there are
+    more than one and the least filled has more than ``bound`` percent filled.
+    Finally ``default_numeric`` fills every other numeric column whose missing
+    share on the result so far lies strictly between 0 and its bound, with the
+    statistic of that result."""
+    from wideprep.operators.knn import impute_knn
     types = _types(df)
     rate = {r["column"]: (r["total"] - r["filled"], r["total"]) for r in P.fill_rate(df).collect()}
     share = {c: (m * 100.0 / t if t else 0.0) for c, (m, t) in rate.items()}
     chosen: dict[str, str] = {}
+    knn_groups = []
     for cols, method, bound in rules:
+        if method == "knn":
+            knn_groups.append(([c for c in cols if c in types], bound))
+            continue
         for c in cols:
             if c in types and c not in chosen and share[c] < bound:
                 chosen[c] = method
+    out = _apply(df, _statistics(df, chosen))
+    for cols, bound in knn_groups:
+        if len(cols) > 1:
+            if key is None:
+                raise ValueError("a knn rule needs the row key")
+            filled = {r["column"]: r["percentage"] for r in P.fill_rate(out, cols, decimals=12).collect()}
+            if min(filled.values()) > bound:
+                out = impute_knn(out, key, cols, k=k)
+                chosen.update({c: "knn" for c in cols})
     if default_numeric is not None:
         method, bound = default_numeric
-        for c, t in types.items():
-            if c not in chosen and isinstance(t, NUMERIC_TYPES) and 0 < share[c] < bound:
-                chosen[c] = method
-    values: dict = {}
+        now = {r["column"]: r["total"] - r["filled"] for r in P.fill_rate(out).collect()}
+        rows = next(iter(rate.values()))[1] if rate else 0
+        rest = {c: method for c, t in types.items() if c not in chosen and isinstance(t, NUMERIC_TYPES)
+                and 0 < now[c] < rows * bound / 100.0}
+        out = _apply(out, _statistics(out, rest))
+    return out
+
+
+def _statistics(df: DataFrame, chosen: dict) -> dict:
     by_method: dict[str, list] = {}
     for c, m in chosen.items():
         by_method.setdefault(m, []).append(c)
+    values: dict = {}
     if by_method.get("median"):
         values.update(medians(df, by_method["median"]))
     if by_method.get("mean"):
         values.update(means(df, by_method["mean"]))
     if by_method.get("mode"):
         values.update({c: v for c, (v, _) in P.mode_values(df, by_method["mode"], "value").items()})
-    return _apply(df, values)
+    return values
 
 
 def base_methods(df: DataFrame, config: dict | None = None, columns=None) -> DataFrame:
