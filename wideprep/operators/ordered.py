@@ -306,7 +306,7 @@ def _num(v: Column, t) -> Column:
 
 def _from_num(v: Column, t) -> Column:
     if isinstance(t, T.TimestampNTZType):
-        return F.timestampadd("MICROSECOND", F.round(v).cast("long"),
+        return F.timestamp_add("MICROSECOND", F.round(v).cast("long"),
                               F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     if isinstance(t, T.TimestampType):
         return F.timestamp_micros(F.round(v).cast("long"))
