@@ -1065,6 +1065,18 @@ def _sql_corr_ranked() -> str:
             f"feature_1, feature_2, round(correlation, 6) AS correlation FROM ({_sql_corr_long()})")
 
 
+# --------------------------------------------------------------------------- exact split
+
+def q_split_exact(spark, d):
+    return FE.split_hash(_t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 0.2, 42, exact=True)
+
+
+def _sql_split_exact() -> str:
+    return ("SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || "
+            "CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT) <= ceil(0.2 * count(*) OVER ()) THEN 'test' "
+            "ELSE 'train' END AS split FROM orders")
+
+
 # --------------------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -1145,6 +1157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parquet_header_rows": q_parquet_header_rows,
         "flatten_levels": q_flatten_levels,
         "corr_ranked": q_corr_ranked,
+        "split_exact": q_split_exact,
     }
 
 
@@ -1349,4 +1362,5 @@ def oracle_sql() -> dict[str, str]:
         "parquet_header_rows": _sql_parquet_header_rows(),
         "flatten_levels": _sql_flatten_levels(),
         "corr_ranked": _sql_corr_ranked(),
+        "split_exact": _sql_split_exact(),
     }

@@ -106,3 +106,18 @@ def test_header_helpers(spark):
     assert HD.duplicate_report(names).first()["n"] == 2
     with pytest.raises(ValueError):
         HD.header_table(df.where("k < 3"), "k", 3)
+
+
+def test_exact_split_and_unknown_categories(spark):
+    from wideprep.operators import features as FE
+    df = spark.range(0, 997).withColumnRenamed("id", "k")
+    out = FE.split_hash(df, "k", 0.2, 42, exact=True)
+    assert out.where("split = 'test'").count() == 200          # ceil(0.2 * 997)
+    approx = FE.split_hash(df, "k", 0.2, 42)
+    assert 150 < approx.where("split = 'test'").count() < 250
+    train = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, c string")
+    test = spark.createDataFrame([(4, "a"), (5, "zz")], "id int, c string")
+    dic = FE.fit_categories(train, ["c"])
+    assert sorted(r["category"] for r in dic.collect()) == ["a", "b", "nan"]
+    enc = {r["id"]: r["feature"] for r in FE.onehot_long(test, "id", ["c"], dic).collect()}
+    assert enc == {4: "cat__c_a"}                                # unseen 'zz' -> all zeros

@@ -90,9 +90,20 @@ def hash_bucket(key, seed: int = 42) -> "F.Column":
     return F.conv(h, 16, 10).cast("long") % 10000
 
 
-def split_hash(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+def split_hash(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42, exact: bool = False) -> DataFrame:
     """ML4: adds ``split`` = ``test`` / ``train`` from a hash of the row key:
     deterministic, stable under repartitioning and task retries (unlike
-    ``randomSplit``), no shuffle."""
-    return df.withColumn("split", F.when(hash_bucket(key, seed) < int(round(test_share * 10000)), F.lit("test"))
-                         .otherwise(F.lit("train")))
+    ``randomSplit``), no shuffle.  ``exact=True`` makes the test part exactly
+    ``ceil(test_share * n)`` rows (as the reference's splitter): rows are
+    ordered by a 60-bit hash of the key and the first positions - computed by
+    the distributed position plan, never in one task - go to test."""
+    if not exact:
+        return df.withColumn("split", F.when(hash_bucket(key, seed) < int(round(test_share * 10000)),
+                                             F.lit("test")).otherwise(F.lit("train")))
+    import math
+    from wideprep.operators.ordered import with_positions
+    n = df.count()
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+    pos = with_positions(df.withColumn("_h", h), "_h", name="_p")
+    return pos.withColumn("split", F.when(F.col("_p") <= math.ceil(test_share * n), F.lit("test"))
+                          .otherwise(F.lit("train"))).drop("_h", "_p")
