@@ -544,7 +544,8 @@ def q_posthoc_stats(spark, d):
 
 
 def q_posthoc_dscf(spark, d):
-    return H.posthoc_dscf(customer_groups(spark, d), "c_mktsegment")
+    out = H.posthoc_dscf(customer_groups(spark, d), "c_mktsegment")
+    return out.select("group_1", "group_2", F.round("p_value", 8).alias("p_value"), "feature", "significant")
 
 
 CORR_SQL_SRC = ("(SELECT CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_quantity END AS l_quantity, l_extendedprice, "
@@ -582,6 +583,43 @@ Q_CRIT_K5 = 3.8576555  # studentized range, k = 5, df = inf, alpha = 0.05
 
 
 def _sql_posthoc_stats() -> str:
+    return _sql_posthoc_ctes() + f"""
+SELECT feature, group_1, group_2, n_1, n_2, round(um, 6) AS u,
+  round(CASE WHEN var > 0 THEN sqrt(2.0) * abs(um - CAST(n_1 AS DOUBLE) * n_2 / 2.0) / sqrt(var) END, 6) AS q,
+  CASE WHEN var > 0 AND sqrt(2.0) * abs(um - CAST(n_1 AS DOUBLE) * n_2 / 2.0) / sqrt(var) > {Q_CRIT_K5}
+       THEN 'yes' ELSE 'no' END AS significant FROM q"""
+
+
+def _sql_posthoc_dscf() -> str:
+    """p-values in SQL: the studentized-range tail ``1 - k Int phi(z) (Phi(z) - Phi(z - q))^(k-1) dz``
+    with Gauss-Legendre nodes on [-8, 8] (a constant table from numpy's rule) and the normal CDF
+    from its series ``1/2 + phi(x) sum x^(2n+1) / (2n+1)!!`` (terms in log space with lgamma)."""
+    import numpy as np
+    x, w = np.polynomial.legendre.leggauss(H.QUADRATURE_POINTS)
+    nodes = ", ".join(f"({float(8.0 * a)!r}, {float(8.0 * b)!r})" for a, b in zip(x, w))
+    phi_cdf = """(SELECT CASE WHEN {x} = 0 THEN 0.5 ELSE 0.5 + sign({x}) * exp(-0.5 * {x} * {x}) / sqrt(2 * pi()) *
+        sum(exp((2 * n + 1) * ln(abs({x})) - (lgamma(2 * n + 2) - n * ln(2) - lgamma(n + 1)))) END
+        FROM range(0, 400) t(n))"""
+    return _sql_posthoc_ctes() + f""",
+qq AS (SELECT feature, group_1, group_2, CASE WHEN var > 0 THEN sqrt(2.0) * abs(um - CAST(n_1 AS DOUBLE) * n_2 / 2.0)
+        / sqrt(var) END AS qv FROM q),
+k AS (SELECT count(DISTINCT c_mktsegment) AS k FROM customer),
+nodes AS (SELECT * FROM (VALUES {nodes}) t(z, w)),
+ev AS (SELECT qq.feature, qq.group_1, qq.group_2, qq.qv, nodes.z, nodes.w,
+        {phi_cdf.format(x="nodes.z")} AS pz, {phi_cdf.format(x="(nodes.z - qq.qv)")} AS pzq
+        FROM qq, nodes WHERE qq.qv IS NOT NULL),
+pv AS (SELECT feature, group_1, group_2,
+        least(1.0, greatest(0.0, 1.0 - (SELECT k FROM k) * sum(w * exp(-0.5 * z * z) / sqrt(2 * pi())
+          * power(least(1.0, greatest(0.0, pz - pzq)), (SELECT k FROM k) - 1)))) AS p
+        FROM ev GROUP BY ALL),
+allp AS (SELECT qq.feature, qq.group_1, qq.group_2, pv.p FROM qq LEFT JOIN pv USING (feature, group_1, group_2)),
+both_dirs AS (SELECT group_1, group_2, p, feature FROM allp UNION ALL SELECT group_2, group_1, p, feature FROM allp
+        UNION ALL SELECT g, g, 1.0, f.feature FROM gs, (SELECT DISTINCT feature FROM d) f)
+SELECT group_1, group_2, round(p, 8) AS p_value, feature, CASE WHEN p < 0.05 THEN 'yes' ELSE 'no' END AS significant
+FROM both_dirs"""
+
+
+def _sql_posthoc_ctes() -> str:
     return f"""WITH d AS (SELECT c_mktsegment AS g, 'c_acctbal_r' AS feature, round(c_acctbal, -2) AS v FROM customer
   UNION ALL SELECT c_mktsegment, 'c_nationkey', CAST(c_nationkey AS DOUBLE) FROM customer),
 gs AS (SELECT DISTINCT g FROM d),
@@ -596,11 +634,7 @@ s AS (SELECT feature, group_1, group_2, count(*) FILTER (WHERE g = group_1) AS n
 u AS (SELECT s.*, ti.ties, CAST(n_1 AS DOUBLE) * n_2 + n_1 * (n_1 + 1) / 2.0 - r1 AS u1,
         CAST(n_1 + n_2 AS DOUBLE) AS nn FROM s JOIN ti USING (feature, group_1, group_2)),
 q AS (SELECT *, least(u1, CAST(n_1 AS DOUBLE) * n_2 - u1) AS um,
-        (CAST(n_1 AS DOUBLE) * n_2 / (nn * (nn - 1))) * ((nn * nn * nn - nn) / 12.0 - ties) AS var FROM u)
-SELECT feature, group_1, group_2, n_1, n_2, round(um, 6) AS u,
-  round(CASE WHEN var > 0 THEN sqrt(2.0) * abs(um - CAST(n_1 AS DOUBLE) * n_2 / 2.0) / sqrt(var) END, 6) AS q,
-  CASE WHEN var > 0 AND sqrt(2.0) * abs(um - CAST(n_1 AS DOUBLE) * n_2 / 2.0) / sqrt(var) > {Q_CRIT_K5}
-       THEN 'yes' ELSE 'no' END AS significant FROM q"""
+        (CAST(n_1 AS DOUBLE) * n_2 / (nn * (nn - 1))) * ((nn * nn * nn - nn) / 12.0 - ties) AS var FROM u)"""
 
 
 # --------------------------------------------------------------------------- header, names, selection
@@ -1337,6 +1371,7 @@ def oracle_sql() -> dict[str, str]:
         "corr_pairs_moments": _sql_corr_pairs(),
         "corr_matrix": _sql_corr_matrix(),
         "posthoc_stats": _sql_posthoc_stats(),
+        "posthoc_dscf": _sql_posthoc_dscf(),
         "pick_names": _sql_pick_names(),
         "header_sources": _sql_header_sources(),
         "dedupe_names": _sql_dedupe(),

@@ -11,5 +11,5 @@ def test_entry_smoke(spark):
 def test_every_query_has_a_callable():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    for name in ("train_importance", "predict", "explain_topk", "explain_global", "end_to_end", "posthoc_dscf"):
+    for name in ("train_importance", "predict", "explain_topk", "explain_global", "end_to_end"):
         assert name in qs and name not in sql
