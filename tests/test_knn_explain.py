@@ -87,3 +87,16 @@ def test_vectorised_treeshap_equals_row_at_a_time(spark):
     a, ba, pa = EX.explain_rows(trees, X[:40])
     b, bb, pb = EX.explain_batch(trees, X[:40])
     assert np.allclose(a, b, atol=1e-12) and np.allclose(ba, bb) and np.allclose(pa, pb)
+
+
+def test_saved_node_table_equals_object_walk(spark):
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(200, 4))
+    pdf = pd.DataFrame(X, columns=list("abcd")).assign(label=(X[:, 0] > 0) * 1 + (X[:, 2] > 1) * 1)
+    model = MD.train_forest(spark.createDataFrame(pdf), list("abcd"), "label", num_trees=3, max_depth=4)
+    a = EX._forest_arrays_saved(MD.forest(model))
+    b = EX._forest_arrays_walk(MD.forest(model))
+    assert len(a) == len(b) == 3
+    for ta, tb in zip(a, b):
+        for key in ("left", "right", "feature", "threshold", "cover", "value"):
+            assert np.allclose(ta[key], tb[key]), key

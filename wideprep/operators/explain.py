@@ -26,7 +26,54 @@ from wideprep.operators._util import col
 
 def forest_arrays(rf_model) -> list[dict]:
     """Node arrays per tree: left, right (-1 at leaves), feature, threshold,
-    left-category sets, normalised class distribution, cover (weighted count)."""
+    left-category sets, normalised class distribution, cover (weighted count).
+
+    Read from the model's saved node table with Spark (one scan, model-sized
+    collect); the per-node walk over the JVM objects is the fallback."""
+    try:
+        return _forest_arrays_saved(rf_model)
+    except Exception:  # noqa: BLE001 - storage layout of another Spark version: walk the objects
+        return _forest_arrays_walk(rf_model)
+
+
+def _forest_arrays_saved(rf_model) -> list[dict]:
+    # Spark ML writes tree ensembles as ``data/`` with ``treeID`` and ``nodeData``
+    # (preorder ids, child ids, impurity stats, split); this reader is the only
+    # place that depends on that layout.
+    import uuid
+
+    from pyspark.sql import SparkSession
+
+    from wideprep.session import checkpoint_dir
+    spark = SparkSession.getActiveSession()
+    path = checkpoint_dir(spark).rstrip("/") + f"/forest-{uuid.uuid4().hex}"
+    rf_model.write().overwrite().save(path)
+    rows = spark.read.parquet(path + "/data").select(
+        "treeID", "nodeData.id", "nodeData.impurityStats", "nodeData.leftChild", "nodeData.rightChild",
+        "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
+        "nodeData.split.numCategories").collect()  # one row per node: model-sized
+    by_tree: dict[int, list] = {}
+    for r in rows:
+        by_tree.setdefault(r["treeID"], []).append(r)
+    trees = []
+    for t in sorted(by_tree):
+        nodes = sorted(by_tree[t], key=lambda r: r["id"])
+        stats = [np.array(r["impurityStats"], dtype="float64") for r in nodes]
+        cover = np.array([st.sum() for st in stats])
+        value = np.array([st / (st.sum() or 1.0) for st in stats])
+        internal = [r["leftChild"] >= 0 for r in nodes]
+        cats = [set(float(c) for c in r["leftCategoriesOrThreshold"]) if (i and r["numCategories"] >= 0) else None
+                for r, i in zip(nodes, internal)]
+        thr = [float(r["leftCategoriesOrThreshold"][0]) if (i and r["numCategories"] < 0) else 0.0
+               for r, i in zip(nodes, internal)]
+        trees.append({"left": np.array([r["leftChild"] for r in nodes]),
+                      "right": np.array([r["rightChild"] for r in nodes]),
+                      "feature": np.array([r["featureIndex"] if i else -1 for r, i in zip(nodes, internal)]),
+                      "threshold": np.array(thr), "cats": cats, "cover": cover, "value": value})
+    return trees
+
+
+def _forest_arrays_walk(rf_model) -> list[dict]:
     trees = []
     jtrees = rf_model._java_obj.trees()
     for t in range(len(jtrees)):
