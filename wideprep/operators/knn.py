@@ -45,6 +45,7 @@ GRID_ROUNDS = (1.0, 4.0, 16.0)   # cell width multipliers of the base width
 TARGET_PER_CELL = 8              # aim: about this many x k donors in a probed block
 GRID_DIMS = 3                    # cells use at most this many common coordinates
 PENDING_BROADCAST_ROWS = 200_000 # unsettled receivers broadcast to the donors below this
+MAX_COLUMNS = 30                 # presence patterns are int bit masks
 
 
 def _bits(mask: int, m: int):
@@ -59,6 +60,8 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_R
     and the seconds spent per step."""
     cols = list(columns)
     m = len(cols)
+    if not 0 < m <= MAX_COLUMNS:
+        raise ValueError(f"kNN imputation takes 1..{MAX_COLUMNS} related columns, got {m}")
     xs = [f"_x{j}" for j in range(m)]
     base = df.select(col(key).alias("_id"), *[nan_to_null(col(c).cast("double")).alias(xs[j])
                                               for j, c in enumerate(cols)])

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from wideprep.functions.numeric import (NUMERIC_TYPES, decimal_places, dtype_category,
                                         is_integer_like, nan_to_null, to_number)
-from wideprep.operators._util import col, stacked_agg, unpivot
+from wideprep.operators._util import chunks, col, stacked_agg, unpivot
 
 
 def _fields(df: DataFrame, columns) -> list[T.StructField]:
@@ -107,9 +107,9 @@ def frequency_table(df: DataFrame, columns=None) -> DataFrame:
     floats = [f for f in fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
     rest = [f for f in fields if f not in ints and f not in floats]   # text, dates, decimals (exact text)
     parts = []
-    for group, typ in ((ints, "long"), (floats, "double")):
-        if not group:
-            continue
+    # at most AGG_CHUNK columns per unpivot: bounded projection lists, narrow scans
+    typed = [(g, typ) for grp, typ in ((ints, "long"), (floats, "double")) for g in chunks(grp)]
+    for group, typ in typed:
         sel = []
         for f in group:
             v = col(f.name).cast(typ)
@@ -124,9 +124,9 @@ def frequency_table(df: DataFrame, columns=None) -> DataFrame:
         if floats_as_float:  # keep the column type's own text for float columns
             text = F.when(F.col("column").isin(floats_as_float), F.col("v").cast("float").cast("string")).otherwise(text)
         parts.append(agg.select("column", text.alias("value"), "n", F.col("v").cast("double").alias("num")))
-    if rest:
-        freq = cells(df, [f.name for f in rest]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        decs = [f.name for f in rest if isinstance(f.dataType, T.DecimalType)]
+    for group in chunks(rest):
+        freq = cells(df, [f.name for f in group]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        decs = [f.name for f in group if isinstance(f.dataType, T.DecimalType)]
         num = F.when(F.col("column").isin(decs), F.col("value").try_cast("double")) if decs \
             else F.lit(None).cast("double")
         parts.append(freq.withColumn("num", num))
