@@ -110,3 +110,18 @@ def test_blocked_moments_equal_single_pass(spark):
         assert r.n == one[key].n
         w = want.loc[key[0], key[1]]
         assert (r.correlation is None) if np.isnan(w) else abs(r.correlation - w) < 1e-9
+
+
+def test_quadrature_converged_for_many_groups():
+    import math
+    x, w = np.polynomial.legendre.leggauss(4000)
+    z, w = 12.0 * x, 12.0 * w
+    erf = np.vectorize(math.erf)
+    phi = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
+
+    def fine(q, k):
+        cdf = 0.5 * (1 + erf(z / math.sqrt(2))) - 0.5 * (1 + erf((z - q) / math.sqrt(2)))
+        return 1 - k * np.sum(w * phi * np.clip(cdf, 0, 1) ** (k - 1))
+
+    for q, k in [(1.0, 2), (3.858, 5), (5.0, 20), (7.0, 300)]:
+        assert abs(H.studentized_range_sf(q, k)[0] - fine(q, k)) < 1e-12
