@@ -1114,8 +1114,9 @@ def _sql_split_exact() -> str:
 # --------------------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
-    """Flagship: missing-value report of ``orders`` (with injected gaps) at sf0.001."""
-    return q_missing_report_top20(spark, SMOKE_DIR)
+    """Flagship: the type-aware imputation of ``orders`` (injected gaps in five
+    columns, profile job -> fill plan -> one select) at sf0.001."""
+    return q_impute_auto(spark, SMOKE_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

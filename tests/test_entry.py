@@ -5,7 +5,9 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) >= 1
-    assert df.columns == ["column", "missing_count", "missing_percentage", "data_type"]
+    assert df.columns == ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_price_k", "o_orderdate",
+                          "o_none"]
+    assert sum(r["o_totalprice"] is None for r in rows) == 0
 
 
 def test_every_query_has_a_callable():
