@@ -113,9 +113,14 @@ def fill_facts(df: DataFrame, order_by: str | None, columns=None, config=None) -
         return out
 
     prof = stacked_agg(df, names, stats, extra=lambda: [F.count(F.lit(1)).alias("rows")]).collect()
-    # distinct counts and modes from one frequency table, in one job
-    freq = P.frequency_table(df, names)
-    per = P.distinct_stats(df, names, freq).join(P._mode_from(freq, "string"), "column", "left").collect()
+    # distinct counts and modes from one frequency table, in one job - only for
+    # columns with gaps (a complete column is left unchanged whatever its stats,
+    # so near-unique keys never enter the shuffle)
+    gappy = [r["column"] for r in prof if r["missing"] > 0]
+    per = []
+    if gappy:
+        freq = P.frequency_table(df, gappy)
+        per = P.distinct_stats(df, gappy, freq).join(P._mode_from(freq, "string"), "column", "left").collect()
     uniq = {r["column"]: r["n_unique"] for r in per}
     prec = {r["column"]: r["precision"] for r in per}
     modes = {r["column"]: (r["mode"], r["tie_count"]) for r in per if r["mode"] is not None}
