@@ -100,3 +100,19 @@ def test_saved_node_table_equals_object_walk(spark):
     for ta, tb in zip(a, b):
         for key in ("left", "right", "feature", "threshold", "cover", "value"):
             assert np.allclose(ta[key], tb[key]), key
+
+
+def test_end_to_end_with_classification(spark):
+    rng = np.random.default_rng(9)
+    n = 300
+    x = rng.normal(size=n)
+    pdf = pd.DataFrame({"id": np.arange(n), "label": (x > 0).astype(int),
+                        "num_txt": [f"{v:.3f}".replace(".", ",") for v in x * 10],   # decimal comma
+                        "grp": rng.choice(["a", "b", "c"], n), "noise": rng.normal(size=n)})
+    hints = spark.createDataFrame([("num_txt", "numerical")], "key string, kind string")
+    model, imp, scored, names = MD.end_to_end(spark.createDataFrame(pdf), "id", "label", hints=hints,
+                                              num_trees=5, max_depth=3)
+    assert "num__num_txt" in names and "num__noise" in names and "cat__grp_a" in names
+    top = imp.first()
+    assert top["feature"] == "num__num_txt"
+    assert scored.count() > 0

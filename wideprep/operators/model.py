@@ -61,13 +61,20 @@ def embedding_features(df: DataFrame, array_col: str, n: int, prefix: str = "f")
     return df.select("*", *[F.col(array_col)[i].cast("double").alias(f"{prefix}{i}") for i in range(n)])
 
 
-def end_to_end(df: DataFrame, key: str, target: str, numeric, categorical=(), test_share: float = 0.2,
-               num_trees: int = 50, max_depth: int = 6, seed: int = SEED):
-    """ML10: decimal comma -> scaling (fit on all rows, as the reference) and
-    one-hot -> hash split -> train -> importances.  Returns
+def end_to_end(df: DataFrame, key: str, target: str, numeric=None, categorical=None, test_share: float = 0.2,
+               num_trees: int = 50, max_depth: int = 6, seed: int = SEED, hints: DataFrame | None = None):
+    """ML10: classification (when the feature lists are not given: hints, then
+    data heuristics, CL2) -> decimal comma -> scaling (fit on all rows, as the
+    reference) and one-hot -> hash split -> train -> importances.  Returns
     ``(model, importances, scored_test, feature_names)``."""
     from wideprep.functions.text import decimal_comma_to_double
     from wideprep.operators import features as FE
+    if numeric is None or categorical is None:
+        from wideprep.operators.classify import classify_features
+        feats = df.drop(key, target)
+        kinds = {r["column"]: r["kind"] for r in classify_features(feats, hints, use_patterns=False).collect()}
+        numeric = [c for c in feats.columns if kinds[c] == "numerical"] if numeric is None else numeric
+        categorical = [c for c in feats.columns if kinds[c] == "categorical"] if categorical is None else categorical
     num_df = df.select(col(key), col(target), *[decimal_comma_to_double(col(c)).alias(c) for c in numeric],
                        *[col(c) for c in categorical])
     scaled = FE.standardize(num_df, list(numeric))
