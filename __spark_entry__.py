@@ -951,8 +951,9 @@ def _sql_split_hash() -> str:
 
 def _sql_standardize() -> str:
     cols = ["l_quantity", "l_extendedprice", "l_const"]
+    # "+ 0.0" turns DuckDB's -0.0 after rounding into 0.0, as Spark's round gives
     exprs = ", ".join(f"round(({c} - (SELECT avg({c}) FROM g)) / (SELECT CASE WHEN coalesce(stddev_pop({c}), 0) = 0 "
-                      f"THEN 1.0 ELSE stddev_pop({c}) END FROM g), 6) AS {c}" for c in cols)
+                      f"THEN 1.0 ELSE stddev_pop({c}) END FROM g), 6) + 0.0 AS {c}" for c in cols)
     return (f"WITH g AS (SELECT *, 1.0::DOUBLE AS l_const FROM {LINEITEM_GAPS_SQL})\n"
             f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {exprs} FROM g")
 
@@ -966,7 +967,7 @@ def _sql_onehot() -> str:
 def _sql_feature_matrix() -> str:
     return (f"WITH g AS {ORDERS_GAPS_SQL}\n"
             "SELECT o_orderkey, 'num__o_totalprice' AS feature, round((o_totalprice - (SELECT avg(o_totalprice) FROM g)) "
-            "/ (SELECT stddev_pop(o_totalprice) FROM g), 6) AS value FROM g UNION ALL "
+            "/ (SELECT stddev_pop(o_totalprice) FROM g), 6) + 0.0 AS value FROM g UNION ALL "
             "SELECT o_orderkey, 'cat__o_orderpriority_' || coalesce(o_orderpriority, 'nan'), 1.0 FROM g")
 
 
