@@ -450,28 +450,39 @@ def _sql_impute_simple(kind: str) -> str:
     return f"WITH g AS {g} SELECT o_orderkey, o_totalprice FROM g WHERE o_totalprice IS NOT NULL"
 
 
+def _sql_mean_rule(c: str) -> str:
+    """IM9 in SQL: mean when distinct values < 0.2 x rows, sample std > 1 and decimals > 0."""
+    prec = f"max(CASE WHEN {c} IS NOT NULL THEN greatest(1, length(split_part(CAST({c} AS VARCHAR), '.', 2))) END)"
+    return (f"(SELECT coalesce(count(DISTINCT {c}) < 0.2 * count(*) AND stddev_samp({c}) > 1 AND {prec} > 0, false) "
+            "FROM g)")
+
+
 def _sql_impute_auto() -> str:
-    # decisions spelled out: custkey median (config), status mode, totalprice mode (all values tie:
-    # smallest text), price_k mean (few distinct values, spread > 1, decimals), orderdate ffill
-    # (datetime fallback), o_none unchanged (no value, nothing to carry)
+    # decisions: custkey median (config), status mode (text), totalprice and price_k by the
+    # mean/mode rule, orderdate ffill (datetime fallback), o_none unchanged (no value to carry)
     def mode_txt(c):
         return (f"(SELECT v FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM g WHERE {c} IS NOT NULL "
                 "GROUP BY 1) ORDER BY n DESC, v LIMIT 1)")
+
+    def by_rule(c):
+        return (f"coalesce({c}, CASE WHEN {_sql_mean_rule(c)} THEN (SELECT avg({c}) FROM g) "
+                f"ELSE CAST({mode_txt(c)} AS DOUBLE) END)")
     return (f"WITH g AS {ORDERS_AUTO_SQL}\n"
             "SELECT o_orderkey, coalesce(o_custkey, CAST(trunc((SELECT quantile_cont(o_custkey, 0.5) FROM g)) "
             "AS BIGINT)) AS o_custkey,\n"
             f" coalesce(o_orderstatus, {mode_txt('o_orderstatus')}) AS o_orderstatus,\n"
-            f" coalesce(o_totalprice, CAST({mode_txt('o_totalprice')} AS DOUBLE)) AS o_totalprice,\n"
-            " round(coalesce(o_price_k, (SELECT avg(o_price_k) FROM g)), 4) AS o_price_k,\n"
+            f" {by_rule('o_totalprice')} AS o_totalprice,\n"
+            f" round({by_rule('o_price_k')}, 4) AS o_price_k,\n"
             " CAST(coalesce(o_orderdate, last_value(o_orderdate IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS "
             "BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS VARCHAR) AS o_orderdate, o_none FROM g")
 
 
+# method "rule": mean or mode by the profile rule, evaluated in SQL
 AUTO_LOG = [("o_orderkey", "unchanged", "numeric", False, "", False),
             ("o_custkey", "median", "numeric", False, "", True),
             ("o_orderstatus", "mode", "string", False, "", True),
-            ("o_totalprice", "mode", "numeric", False, "", True),
-            ("o_price_k", "mean", "numeric", False, "", True),
+            ("o_totalprice", "rule", "numeric", False, "", True),
+            ("o_price_k", "rule", "numeric", False, "", True),
             ("o_orderdate", "ffill", "datetime", True, "datetime -> ffill", False),
             ("o_none", "unchanged", "numeric", True, "numeric: mode/mode/ffill not applicable -> unchanged",
              False)]
@@ -484,7 +495,8 @@ def _sql_impute_log() -> str:
         if m == "ffill":  # a leading gap has nothing to carry forward
             after = (f"(SELECT count(*) FROM (SELECT last_value({c} IGNORE NULLS) OVER (ORDER BY o_orderkey "
                      "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM g) WHERE f IS NULL)")
-        parts.append(f"SELECT '{c}' AS \"column\", '{m}' AS method, count(*) - count({c}) AS missing_before, "
+        method = f"CASE WHEN {_sql_mean_rule(c)} THEN 'mean' ELSE 'mode' END" if m == "rule" else f"'{m}'"
+        parts.append(f"SELECT '{c}' AS \"column\", {method} AS method, count(*) - count({c}) AS missing_before, "
                      f"{after} AS missing_after, '{t}' AS dtype, {str(fb).lower()} AS fallback, "
                      f"'{reason}' AS reason FROM g")
     return f"WITH g AS {ORDERS_AUTO_SQL}\n" + _union(parts)
