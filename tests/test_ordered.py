@@ -85,3 +85,17 @@ def test_running_total_matches_cumsum(spark):
                           ["g"], "k", "one", "before", n_buckets=6).toPandas().sort_values("k")
     want = pdf.groupby("g").cumcount().to_numpy()
     assert list(out["before"]) == list(want)
+
+
+def test_tie_break_columns(spark):
+    rng = np.random.default_rng(4)
+    n = 200
+    pdf = pd.DataFrame({"k": rng.integers(0, 20, n), "t": np.arange(n)[::-1], "v": rng.normal(size=n)})
+    pdf.loc[rng.random(n) < 0.5, "v"] = np.nan
+    sdf = spark.createDataFrame([(int(a), int(b), None if np.isnan(c) else float(c)) for a, b, c in
+                                 pdf.itertuples(index=False)], "k long, t long, v double")
+    got = O.fill_forward(sdf, ["v"], ["k", "t"], n_buckets=5).toPandas().sort_values(["k", "t"])
+    want = pdf.sort_values(["k", "t"])["v"].ffill()
+    assert np.allclose(got["v"].to_numpy(dtype=float), want.to_numpy(), equal_nan=True)
+    pos = O.with_positions(sdf, ["k", "t"], n_buckets=5).toPandas().sort_values(["k", "t"])
+    assert list(pos["position"]) == list(range(1, n + 1))

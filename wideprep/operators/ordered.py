@@ -1,7 +1,8 @@
 """Order-dependent operators without a single-partition window (design D2).
 
 pandas works on positional row order; Spark has none, so each operator takes
-an explicit ``order_by`` column (a unique key) and optional ``partition_by``
+an explicit ``order_by`` - a unique key, or a list whose first column is the
+key and whose other columns break its ties - and optional ``partition_by``
 columns.  A window with no ``partitionBy`` would pull the whole table into
 one task, and a hot partition key would do the same for its rows.  Instead:
 
@@ -38,7 +39,15 @@ from wideprep.session import shuffle_partitions
 ROWS_PER_BUCKET = 2_000_000
 
 
-def _key_numeric(df: DataFrame, order_by: str) -> Column:
+def _order(order_by) -> tuple[str, list]:
+    """``order_by`` is a column name, or a list: the first column is the (bucketed)
+    order key, the others break its ties inside the windows."""
+    cols = [order_by] if isinstance(order_by, str) else list(order_by)
+    return cols[0], [col(c) for c in cols]
+
+
+def _key_numeric(df: DataFrame, order_by) -> Column:
+    order_by = _order(order_by)[0]
     t = df.schema[order_by].dataType
     c = col(order_by)
     if isinstance(t, T.TimestampNTZType):
@@ -128,11 +137,13 @@ class OrderedFrame:
         types = {f.name: f.dataType for f in df.schema.fields}
         base = with_bucket(df, key, bounds).withColumn("_x", key.cast("double"))
         seg = [col(p) for p in self.partition_by] + [F.col("_bkt")]
-        w = Window.partitionBy(*seg).orderBy(col(order_by))
+        order_cols = _order(order_by)[1]
+        w = Window.partitionBy(*seg).orderBy(*order_cols)
         wp = w.rowsBetween(Window.unboundedPreceding, 0)
         # "next value" = last value of the descending order: a running frame is
         # incremental, while a frame ending at unboundedFollowing is recomputed per row
-        wn = Window.partitionBy(*seg).orderBy(col(order_by).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        wn = Window.partitionBy(*seg).orderBy(*[c.desc() for c in order_cols]) \
+            .rowsBetween(Window.unboundedPreceding, 0)
         framed = base.withColumn("_lpos", F.row_number().over(w))
         items = [F.when(col(c).isNotNull() & ~self._is_nan(types[c], c),
                         F.struct(F.col("_lpos").alias("p"), F.col("_x").alias("x"), col(c).alias("v")))
@@ -329,7 +340,7 @@ def slice_rows(df: DataFrame, order_by: str, start: int = 0, stop: int | None =
     ranges use distributed positions, so skipping a few header rows of a
     billion-row table never funnels the table through one task."""
     if stop is not None and stop <= small_limit:
-        return df.orderBy(col(order_by)).offset(start).limit(max(0, stop - start))
+        return df.orderBy(*_order(order_by)[1]).offset(start).limit(max(0, stop - start))
     pos = with_positions(df, order_by, name="_rowpos")
     cond = F.col("_rowpos") > start
     if stop is not None:
@@ -350,7 +361,7 @@ def running_total(df: DataFrame, segment, order_by: str, value: str, out: str =
     bounds = bucket_bounds(df, order_by, n_buckets)
     key = _key_numeric(df, order_by)
     base = with_bucket(df, key, bounds)
-    w = Window.partitionBy(*[col(s) for s in segment], F.col("_bkt")).orderBy(col(order_by)) \
+    w = Window.partitionBy(*[col(s) for s in segment], F.col("_bkt")).orderBy(*_order(order_by)[1]) \
         .rowsBetween(Window.unboundedPreceding, -1)
     local = base.withColumn("_loc", F.coalesce(F.sum(col(value)).over(w), F.lit(0)))
     tot = local.groupBy(*[col(s) for s in segment], "_bkt").agg(F.sum(col(value)).alias("_tot"))
