@@ -161,12 +161,13 @@ def correlation_pairs(df: DataFrame, columns=None, method: str = "auto", block:
 
 def ranked_pairs(df: DataFrame, columns=None, method: str = "auto") -> DataFrame:
     """ST1b/SO3: unique pairs with ``rank`` by absolute correlation, undefined
-    last (ties by feature names).  The pair table has k(k-1)/2 rows - bounded
-    by the schema - so one ordered window over it is fine."""
-    from pyspark.sql import Window
+    last, ties by feature names.  The rank comes from the distributed position
+    plan (k(k-1)/2 pairs - 12.5 million at 5,000 columns - never sort in one task)."""
+    from wideprep.operators.ordered import with_positions
     pairs = correlation_pairs(df, columns, method)
-    w = Window.orderBy(F.abs("correlation").desc_nulls_last(), "feature_1", "feature_2")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long"))
+    keyed = pairs.withColumn("_key", F.coalesce(-F.abs("correlation"), F.lit(2.0)))  # |r| <= 1; NULL last
+    ranked = with_positions(keyed, ["_key", "feature_1", "feature_2"], name="rank")
+    return ranked.drop("_key")
 
 
 def correlation_matrix(df: DataFrame, columns=None, decimals: int | None = 2, method: str = "auto") -> DataFrame:
