@@ -31,6 +31,7 @@ ALPHA = 0.05
 # Gauss-Legendre nodes for the studentized-range integral over z in [-8, 8]
 QUADRATURE_POINTS = 200
 PAIR_TABLE_BROADCAST_ROWS = 1_000_000
+DRIVER_PAIR_GROUPS = 2_000   # up to this many groups the pair list is built from their names
 
 
 def studentized_range_sf(q, k: int):
@@ -73,9 +74,18 @@ def dscf_statistics(df: DataFrame, group_col: str, features=None, n_buckets=None
     hist = long.groupBy("feature", "_g", "v").agg(F.count(F.lit(1)).alias("c"))
     # k = groups present in the group column (all rows, as in the reference)
     groups = df.where(col(group_col).isNotNull()).select(g.alias("_g")).distinct()
-    k = groups.count()
-    pairs = (groups.select(F.col("_g").alias("group_1"))
-             .join(groups.select(F.col("_g").alias("group_2")), F.col("group_1") < F.col("group_2")))
+    names = [r["_g"] for r in groups.limit(DRIVER_PAIR_GROUPS + 1).collect()]
+    if len(names) <= DRIVER_PAIR_GROUPS:
+        # the pair table is the test's own output size (k(k-1)/2 rows); built from
+        # the group names, it needs no join at all
+        k = len(names)
+        names.sort()
+        pairs = df.sparkSession.createDataFrame(
+            [(a, b) for i, a in enumerate(names) for b in names[i + 1:]], "group_1 string, group_2 string")
+    else:
+        k = groups.count()
+        pairs = (groups.select(F.col("_g").alias("group_1"))
+                 .join(groups.select(F.col("_g").alias("group_2")), F.col("group_1") < F.col("group_2")))
     # each group's membership in pairs: (member, group_1, group_2); k(k-1) rows
     member = pairs.select(F.col("group_1").alias("_g"), "group_1", "group_2").unionByName(
         pairs.select(F.col("group_2").alias("_g"), "group_1", "group_2"))
