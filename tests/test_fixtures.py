@@ -69,7 +69,7 @@ def test_header_grid_to_unique_names(spark, tmp_out):
     assert len(set(uniq.values())) == 3 and uniq[0] == "a"
     final = [r["name"] for r in names.orderBy("col_idx").collect()]
     named = IO.apply_names(body, final)
-    assert named.columns[1:] == final and named.count() == 2
+    assert named.columns[2:] == final and named.count() == 2
 
 
 def test_identifier_drop_by_spaces_and_case(spark):

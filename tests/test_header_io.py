@@ -74,3 +74,24 @@ def test_writers_and_bundle(spark, tmp_out):
                    {"target": "s", "numerical": ["a b,(c)"]}, partition_by=["split"])
     data, meta = IO.load_bundle(spark, os.path.join(tmp_out, "b"))
     assert meta["target"] == "s" and data.count() == 1
+
+
+def test_multi_file_header(spark, tmp_out):
+    d = os.path.join(tmp_out, "parts")
+    os.makedirs(d)
+    with open(os.path.join(d, "part-0.csv"), "w") as f:
+        f.write("A,B\nx,y\nAge,Sex\n1,m\n2,f\n")
+    with open(os.path.join(d, "part-1.csv"), "w") as f:
+        f.write("3,m\n4,f\n")
+    with open(os.path.join(d, "_SUCCESS"), "w") as f:
+        f.write("")
+    header, body = IO.read_multi_header(spark, d, 3)
+    assert [r["name"] for r in HD.pick_names(header).orderBy("col_idx").collect()] == ["Age", "Sex"]
+    assert sorted(r["_c0"] for r in body.collect()) == ["1", "2", "3", "4"]
+    d2 = os.path.join(tmp_out, "parts2")
+    os.makedirs(d2)
+    for i in range(2):
+        with open(os.path.join(d2, f"p{i}.csv"), "w") as f:
+            f.write(f"A,B\nx,y\nAge,Sex\n{i}1,m\n{i}2,f\n")
+    _, body2 = IO.read_multi_header(spark, d2, 3, header_in_every_file=True)
+    assert sorted(r["_c0"] for r in body2.collect()) == ["01", "02", "11", "12"]

@@ -23,24 +23,55 @@ log = logging.getLogger(__name__)
 
 # --------------------------------------------------------------------------- IO1 / IO3
 
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Files under ``path`` (a file, a directory or a glob), sorted by name;
+    hidden and marker files (``_*``, ``.*``) are skipped.  Metadata only."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    out = []
+    for st in fs.globStatus(p) or []:
+        items = fs.listStatus(st.getPath()) if st.isDirectory() else [st]
+        for it in items:
+            name = it.getPath().getName()
+            if it.isFile() and not name.startswith(("_", ".")):
+                out.append(it.getPath().toString())
+    return sorted(out)
+
+
 def read_lines_with_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """``offset, line`` of a text file: the byte offset from Hadoop's line
-    reader is a stable, split-independent order key (no newline inside quotes)."""
-    rdd = spark.sparkContext.newAPIHadoopFile(
-        path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat",
-        "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
-    return rdd.toDF(["offset", "line"])
+    """``file_idx, offset, line`` of the text files under ``path``: the byte
+    offset from Hadoop's line reader plus the file's index (files sorted by
+    name) is a stable, split-independent order key (no newline inside quotes)."""
+    files = list_files(spark, path)
+    if not files:
+        raise ValueError(f"{path}: no files")
+    frames = []
+    for i, f in enumerate(files):
+        rdd = spark.sparkContext.newAPIHadoopFile(
+            f, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat",
+            "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
+        frames.append(rdd.toDF(["offset", "line"]).select(F.lit(i).alias("file_idx"), "offset", "line"))
+    out = frames[0]
+    for fr in frames[1:]:
+        out = out.unionByName(fr)
+    return out
 
 
 def read_multi_header(spark: SparkSession, path: str, n_header: int = 3, sep: str = ",",
-                      typography: bool = True):
-    """IO1: a delimited text file whose first ``n_header`` lines are header rows.
-
-    Returns ``(header, body)``: ``header`` = ``col_idx, row_idx, cell``
-    (normalised), ``body`` = string columns ``_c0.._cN`` plus ``_offset`` (the
-    order key).  Fewer than ``n_header + 1`` lines is an error."""
+                      typography: bool = True, header_in_every_file: bool = False):
+    """IO1: delimited text whose first ``n_header`` lines are header rows.
+
+    ``path`` may be one file or several (a directory or glob, e.g. an export in
+    parts): the header comes from the first file by name; the other files are
+    all body unless ``header_in_every_file``.  Returns ``(header, body)``:
+    ``header`` = ``col_idx, row_idx, cell`` (normalised), ``body`` = string
+    columns ``_c0.._cN`` plus ``_file``/``_offset`` (the order key).  Fewer than
+    ``n_header + 1`` lines in the first file is an error."""
     lines = read_lines_with_offsets(spark, path)
-    head = lines.orderBy("offset").limit(n_header + 1).collect()  # top-k of n_header + 1 lines
+    first = lines.where(F.col("file_idx") == 0)
+    head = first.orderBy("offset").limit(n_header + 1).collect()  # top-k of n_header + 1 lines
     if len(head) < n_header + 1:
         raise ValueError(f"{path}: need at least {n_header + 1} lines, found {len(head)}")
     import csv
@@ -51,8 +82,19 @@ def read_multi_header(spark: SparkSession, path: str, n_header: int = 3, sep: st
         .withColumn("cell", normalize_text("cell", typography))
     schema = ", ".join(f"_c{i} string" for i in range(width))
     cutoff = head[n_header - 1]["offset"]
-    body = lines.where(F.col("offset") > F.lit(cutoff)).select(
-        F.col("offset").alias("_offset"), F.from_csv("line", schema, {"sep": sep}).alias("r")).select("_offset", "r.*")
+    if header_in_every_file:
+        # every file starts with its own n_header lines: the offset of each file's
+        # n-th line (row_number() <= n is a partial per-task limit, so no file
+        # meets in one task), one row per file, broadcast back
+        from pyspark.sql import Window
+        w = Window.partitionBy("file_idx").orderBy("offset")
+        cut = (lines.select("file_idx", "offset").withColumn("_r", F.row_number().over(w))
+               .where(F.col("_r") <= n_header).groupBy("file_idx").agg(F.max("offset").alias("_cut")))
+        body_lines = lines.join(F.broadcast(cut), "file_idx").where(F.col("offset") > F.col("_cut")).drop("_cut")
+    else:
+        body_lines = lines.where((F.col("file_idx") > 0) | (F.col("offset") > F.lit(cutoff)))
+    body = body_lines.select(F.col("file_idx").alias("_file"), F.col("offset").alias("_offset"),
+                             F.from_csv("line", schema, {"sep": sep}).alias("r")).select("_file", "_offset", "r.*")
     return header, body
 
 
@@ -87,7 +129,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
     return reader.load(path)
 
 
-def apply_names(body: DataFrame, names: list[str], keep=("_offset",)) -> DataFrame:
+def apply_names(body: DataFrame, names: list[str], keep=("_file", "_offset")) -> DataFrame:
     """Give body columns ``_c0.._cN`` their resolved names."""
     return body.select(*[col(k) for k in keep if k in body.columns],
                        *[col(f"_c{i}").alias(n) for i, n in enumerate(names)])
