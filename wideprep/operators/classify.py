@@ -109,13 +109,19 @@ def data_facts(df: DataFrame, columns) -> dict:
     the coerced numbers and of the raw values."""
     if not columns:
         return {}
+    from wideprep.functions.numeric import NUMERIC_TYPES
     types = {f.name: f.dataType for f in df.schema.fields}
     ratio = {r["column"]: r for r in P.numeric_ratio(df, columns).collect()}
-    num_view = df.select(*[to_number(col(c), types[c]).alias(c) for c in columns])
-    nd = {r["column"]: r["n_unique"] for r in P.distinct_counts(num_view, columns).collect()}
-    rd = {r["column"]: r["n_unique"] for r in P.distinct_counts(df, columns).collect()}
+    # raw and numeric distinct counts from one frequency table: to_number runs on
+    # the distinct texts only
+    numeric = [c for c in columns if isinstance(types[c], NUMERIC_TYPES)]
+    freq = P.frequency_table(df, columns)
+    numv = F.when(F.col("column").isin(numeric), F.col("num")).otherwise(to_number(F.col("value")))
+    dist = {r["column"]: r for r in freq.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n_raw"), F.count_distinct(numv).alias("n_num")).collect()}
     return {c: {"ratio": ratio[c]["ratio_numeric"], "int_like": ratio[c]["int_like"],
-                "n_num": nd.get(c, 0), "n_raw": rd.get(c, 0)} for c in columns}
+                "n_num": dist[c]["n_num"] if c in dist else 0, "n_raw": dist[c]["n_raw"] if c in dist else 0}
+            for c in columns}
 
 
 def classify_features(df: DataFrame, hints: DataFrame | None = None, use_patterns: bool = True,
