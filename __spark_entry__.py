@@ -678,7 +678,7 @@ def q_dedupe_names(spark, d):
 
 def q_find_target(spark, d):
     h = customer_header(spark, d)
-    return HD.find_target(HD.pick_names(h), h, "« Customer#00000000")
+    return HD.find_target(HD.pick_names(h), h, "« Customer#00000000").select("col_idx", "name", "mode")
 
 
 def q_promote_header(spark, d):

@@ -45,6 +45,8 @@ def test_find_target_and_error(spark):
     header = spark.createDataFrame([(0, 0, "x"), (1, 0, "y"), (2, 0, "Target z")], "col_idx int, row_idx int, cell string")
     r = HD.find_target(names, header, "группа").first()
     assert (r["col_idx"], r["mode"]) == (2, "derived")      # sorted by key: "крови" < "наблюдения"
+    assert r["matched"] == [2, 1]
+    assert HD.find_target(names, header, "группа", tie="first").first()["col_idx"] == 1
     r = HD.find_target(names, header, "target").first()
     assert (r["col_idx"], r["mode"]) == (2, "scanned_row_0")
     with pytest.raises(ValueError):

@@ -11,6 +11,8 @@ skew-safe running count of ``ordered.running_total``.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from wideprep.operators._util import col
 from wideprep.operators.ordered import running_total
 from wideprep.session import checkpoint_dir
 
+log = logging.getLogger(__name__)
+
 # Header cells that count as empty besides '' (option of PR2/PR3): pandas'
 # placeholder for unnamed levels and textual missing markers.
 PLACEHOLDER_PATTERN = r"^(Unnamed: ?\d+.*|nan|none)$"
@@ -118,24 +122,34 @@ def duplicate_report(names: DataFrame, name_col: str = "name") -> DataFrame:
 
 
 def find_target(names: DataFrame, header: DataFrame, prefix: str, tie: str = "sorted") -> DataFrame:
-    """PR6: one row ``col_idx, name, mode`` for the column whose normalised name
-    starts with ``prefix``; several matches -> first by sorted key (``tie='sorted'``)
-    or by position (``'first'``); none -> scan header rows 0, 1, 2 in order;
-    none at all -> ``ValueError`` listing the names."""
+    """PR6: one row ``col_idx, name, mode, matched`` for the column whose
+    normalised name starts with ``prefix``; several matches -> first by sorted
+    key (``tie='sorted'``) or by position (``'first'``), with a warning and all
+    matches in ``matched``; none -> scan header rows 0, 1, 2 in order; none at
+    all -> ``ValueError`` listing the names.  Names and header cells are
+    metadata (#columns rows)."""
     key = py_match_key(prefix)
+    spark = names.sparkSession
     order = [match_key("name"), F.col("col_idx")] if tie == "sorted" else [F.col("col_idx")]
-    hit = names.where(match_key("name").startswith(F.lit(key)))
-    first = hit.orderBy(*order).limit(1).collect()
-    if first:
-        return names.sparkSession.createDataFrame([(first[0]["col_idx"], first[0]["name"], "derived")],
-                                                  "col_idx int, name string, mode string")
+
+    def answer(hits, mode):
+        rows = hits.orderBy(*order).select("col_idx", "name").collect()
+        if not rows:
+            return None
+        if len(rows) > 1:
+            log.warning("%d columns start with %r; using %r", len(rows), prefix, rows[0]["name"])
+        return spark.createDataFrame([(rows[0]["col_idx"], rows[0]["name"], mode, [r["col_idx"] for r in rows])],
+                                     "col_idx int, name string, mode string, matched array<int>")
+
+    found = answer(names.where(match_key("name").startswith(F.lit(key))), "derived")
+    if found is not None:
+        return found
     rows = sorted({r["row_idx"] for r in header.select("row_idx").distinct().collect()})
     for r in rows:
         cells = header.where((F.col("row_idx") == r) & match_key("cell").startswith(F.lit(key))).select("col_idx")
-        cand = names.join(cells, "col_idx").orderBy(*order).limit(1).collect()
-        if cand:
-            return names.sparkSession.createDataFrame([(cand[0]["col_idx"], cand[0]["name"], f"scanned_row_{r}")],
-                                                      "col_idx int, name string, mode string")
+        found = answer(names.join(cells, "col_idx"), f"scanned_row_{r}")
+        if found is not None:
+            return found
     sample = [r["name"] for r in names.orderBy("col_idx").limit(50).collect()]
     raise ValueError(f"no column starts with {prefix!r}; names: {sample}")
 
@@ -152,4 +166,6 @@ def drop_identifier(df: DataFrame, ids, strict: bool = False) -> DataFrame:
             if c not in drop and keyf(c) == k:
                 drop.append(c)
                 break
+        else:
+            log.info("identifier column %r not found", i)
     return df.drop(*drop)
