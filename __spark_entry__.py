@@ -1124,6 +1124,14 @@ def _sql_split_exact() -> str:
             "ELSE 'train' END AS split FROM orders")
 
 
+# --------------------------------------------------------------------------- boosted per-class model
+
+def q_train_boosted_importance(spark, d):
+    data = FE.split_hash(embeddings_frame(spark, d), "vec_id", 0.2, 42)
+    model = MD.train_boosted(data.where(F.col("split") == "train"), EMB_FEATURES, "label", max_iter=5, max_depth=3)
+    return MD.importances(model, EMB_FEATURES)
+
+
 # --------------------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -1206,6 +1214,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flatten_levels": q_flatten_levels,
         "corr_ranked": q_corr_ranked,
         "split_exact": q_split_exact,
+        "train_boosted_importance": q_train_boosted_importance,
     }
 
 

@@ -116,3 +116,18 @@ def test_end_to_end_with_classification(spark):
     top = imp.first()
     assert top["feature"] == "num__num_txt"
     assert scored.count() > 0
+
+
+def test_boosted_per_class_model(spark):
+    rng = np.random.default_rng(14)
+    X = rng.normal(size=(300, 3))
+    y = (X[:, 0] > 0.5).astype(int) + (X[:, 1] > 0).astype(int)
+    pdf = pd.DataFrame(X, columns=["a", "b", "c"]).assign(label=y)
+    sdf = spark.createDataFrame(pdf)
+    model = MD.train_boosted(sdf, ["a", "b", "c"], "label", max_iter=10, max_depth=3)
+    imp = MD.importances(model, ["a", "b", "c"]).toPandas()
+    assert abs(imp.importance.sum() - 100) < 1e-9 and imp.iloc[-1].feature == "c"
+    pred = MD.predict(model, sdf).toPandas()
+    assert np.allclose(pred.probability.apply(sum), 1.0)
+    assert (pred.prediction == y).mean() > 0.8
+    assert (pred.probability.apply(np.argmax) == pred.prediction).all()

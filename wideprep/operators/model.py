@@ -34,13 +34,33 @@ def train_forest(train: DataFrame, features, label: str, num_trees: int = 50, ma
     return pipe.fit(train.select(*[col(c) for c in features], col(label).cast("double").alias(label)))
 
 
+def train_boosted(train: DataFrame, features, label: str, max_iter: int = 50, max_depth: int = 5,
+                  step_size: float = 0.1, seed: int = SEED) -> PipelineModel:
+    """ML5 alternative: boosted trees per class (``OneVsRest(GBTClassifier)``;
+    Spark's GBT is binary only).  Each class model trains distributed."""
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+    gbt = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, seed=seed)
+    ovr = OneVsRest(classifier=gbt, featuresCol="features", labelCol=label, predictionCol="prediction")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), ovr])
+    return pipe.fit(train.select(*[col(c) for c in features], col(label).cast("double").alias(label)))
+
+
 def forest(model: PipelineModel):
     return model.stages[-1]
 
 
+def _is_ovr(model: PipelineModel) -> bool:
+    return hasattr(forest(model), "models")
+
+
 def importances(model: PipelineModel, features, top: int | None = None) -> DataFrame:
-    """ML6/JN3/SO2: ``feature, importance`` (total 100), descending."""
-    imp = forest(model).featureImportances.toArray()
+    """ML6/JN3/SO2: ``feature, importance`` (total 100), descending; for the
+    per-class boosted model the mean over the class models."""
+    if _is_ovr(model):
+        import numpy as np
+        imp = np.mean([m.featureImportances.toArray() for m in forest(model).models], axis=0)
+    else:
+        imp = forest(model).featureImportances.toArray()
     total = float(imp.sum()) or 1.0
     rows = [(f, float(v) * 100.0 / total) for f, v in zip(features, imp)]  # one row per feature
     from pyspark.sql import SparkSession
@@ -50,10 +70,18 @@ def importances(model: PipelineModel, features, top: int | None = None) -> DataF
 
 
 def predict(model: PipelineModel, df: DataFrame, keep=()) -> DataFrame:
-    """ML7: ``*keep, prediction, probability (array<double>)``."""
+    """ML7: ``*keep, prediction, probability (array<double>)``.  For the
+    per-class boosted model the probability is each class model's logistic
+    score ``1 / (1 + exp(-2 margin))``, normalised to sum 1."""
     out = model.transform(df)
+    if _is_ovr(model):
+        scores = F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+        total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
+        prob = F.transform(scores, lambda x: x / total)
+    else:
+        prob = vector_to_array("probability")
     return out.select(*[col(k) for k in keep], F.col("prediction").cast("int").alias("prediction"),
-                      vector_to_array("probability").alias("probability"))
+                      prob.alias("probability"))
 
 
 def embedding_features(df: DataFrame, array_col: str, n: int, prefix: str = "f") -> DataFrame:
