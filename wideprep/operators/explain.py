@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from wideprep.functions.text import sign_label
 from wideprep.operators._util import col
 
+OUTPUT_ROWS_PER_FRAME = 2_000_000
+
 
 def forest_arrays(rf_model) -> list[dict]:
     """Node arrays per tree: left, right (-1 at leaves), feature, threshold,
@@ -320,23 +322,28 @@ def explain(rf_model, df: DataFrame, key: str, features, label: str | None = Non
     src = df.select(col(key).cast("string").alias("_key"), lab.alias("_true"),
                     *[col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(feats)])
 
+    n_cls = len(trees.value[0]["value"][0]) if trees.value else 1
+    # output rows per row = features x classes: slice batches so one emitted frame
+    # stays near OUTPUT_ROWS_PER_FRAME rows whatever the model's width
+    step = max(1, OUTPUT_ROWS_PER_FRAME // max(1, len(feats) * n_cls))
+
     def run(batches):
         import pandas as pd
         tr = trees.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            X = pdf[[f"_f{i}" for i in range(len(feats))]].to_numpy(dtype="float64")
-            contrib, base, prob = explain_batch(tr, X)
-            n_rows, n_feat, n_cls = contrib.shape
-            pred = prob.argmax(axis=1)
-            ri, fi, ci = np.meshgrid(np.arange(n_rows), np.arange(n_feat), np.arange(n_cls), indexing="ij")
-            ri, fi, ci = ri.ravel(), fi.ravel(), ci.ravel()
-            yield pd.DataFrame({
-                "row_key": pdf["_key"].to_numpy()[ri], "true_class": pdf["_true"].to_numpy()[ri],
-                "predicted_class": pred[ri].astype("int64"), "class": ci.astype("int64"),
-                "feature_name": np.array(feats, dtype=object)[fi], "shap_value": contrib.ravel(),
-                "base_value": base[ci], "probability": prob[ri, ci]})
+        for whole in batches:
+            for start in range(0, len(whole), step):
+                pdf = whole.iloc[start:start + step]
+                X = pdf[[f"_f{i}" for i in range(len(feats))]].to_numpy(dtype="float64")
+                contrib, base, prob = explain_batch(tr, X)
+                n_rows, n_feat, n_c = contrib.shape
+                pred = prob.argmax(axis=1)
+                ri, fi, ci = np.meshgrid(np.arange(n_rows), np.arange(n_feat), np.arange(n_c), indexing="ij")
+                ri, fi, ci = ri.ravel(), fi.ravel(), ci.ravel()
+                yield pd.DataFrame({
+                    "row_key": pdf["_key"].to_numpy()[ri], "true_class": pdf["_true"].to_numpy()[ri],
+                    "predicted_class": pred[ri].astype("int64"), "class": ci.astype("int64"),
+                    "feature_name": np.array(feats, dtype=object)[fi], "shap_value": contrib.ravel(),
+                    "base_value": base[ci], "probability": prob[ri, ci]})
 
     schema = ("row_key string, true_class string, predicted_class long, class long, feature_name string, "
               "shap_value double, base_value double, probability double")
