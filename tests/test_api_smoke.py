@@ -121,3 +121,17 @@ def test_exact_split_and_unknown_categories(spark):
     assert sorted(r["category"] for r in dic.collect()) == ["a", "b", "nan"]
     enc = {r["id"]: r["feature"] for r in FE.onehot_long(test, "id", ["c"], dic).collect()}
     assert enc == {4: "cat__c_a"}                                # unseen 'zz' -> all zeros
+
+
+def test_tune_for_input(spark, tmp_out):
+    from wideprep.session import input_bytes, tune_for_input
+    path = os.path.join(tmp_out, "f.txt")
+    with open(path, "w") as f:
+        f.write("x" * 1000)
+    assert input_bytes(spark, path) == 1000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    s = tune_for_input(spark, 100 * 1024 ** 4)           # 100 TB
+    assert s["spark.sql.shuffle.partitions"] == "200000"  # capped
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(256 * 1024 * 1024)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))

@@ -37,6 +37,7 @@ from wideprep.operators._util import col
 from wideprep.session import shuffle_partitions
 
 ROWS_PER_BUCKET = 2_000_000
+MIN_ROWS_PER_BUCKET = 1_000
 
 
 def _order(order_by) -> tuple[str, list]:
@@ -107,7 +108,9 @@ def bucket_bounds(df: DataFrame, order_by: str, n_buckets: int | None = None) ->
     row = df.select(F.count(F.lit(1)).alias("n"),
                     F.percentile_approx(key, probs, 20 * GRID_QUANTILES).alias("b")).first()
     if n_buckets is None:
-        n_buckets = max(shuffle_partitions(df.sparkSession), math.ceil((row["n"] or 0) / ROWS_PER_BUCKET))
+        n = row["n"] or 0
+        n_buckets = max(shuffle_partitions(df.sparkSession), math.ceil(n / ROWS_PER_BUCKET))
+        n_buckets = min(n_buckets, max(1, math.ceil(n / MIN_ROWS_PER_BUCKET)))  # small tables: few buckets
     if n_buckets <= 1 or row["b"] is None:
         return []
     grid = [float(x) for x in row["b"] if x is not None]

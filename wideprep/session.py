@@ -56,3 +56,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+# Target bytes per shuffle partition and per scan split: large enough to
+# amortise task overhead, small enough to stay in executor memory without spill.
+PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def input_bytes(spark: SparkSession, *paths: str) -> int:
+    """Bytes on disk under ``paths`` (Hadoop file-system metadata, no data read)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        total += p.getFileSystem(conf).getContentSummary(p).getLength()
+    return total
+
+
+def tune_for_input(spark: SparkSession, n_bytes: int, partition_bytes: int = PARTITION_BYTES,
+                   max_partitions: int = 200_000) -> dict:
+    """Size shuffles and scans for an input of ``n_bytes``: about one shuffle
+    partition per ``partition_bytes`` of input (AQE coalesces the small ones
+    and splits skewed ones at run time), the same size for scan splits.  For
+    100 TB that is about 400,000 partitions, capped at ``max_partitions``."""
+    parts = int(min(max_partitions, max(shuffle_partitions(spark), -(-n_bytes // partition_bytes))))
+    settings = {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    return settings
