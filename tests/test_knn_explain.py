@@ -131,3 +131,21 @@ def test_boosted_per_class_model(spark):
     assert np.allclose(pred.probability.apply(sum), 1.0)
     assert (pred.prediction == y).mean() > 0.8
     assert (pred.probability.apply(np.argmax) == pred.prediction).all()
+
+
+def test_boosted_treeshap_additive_on_margin(spark):
+    from pyspark.ml.functions import vector_to_array
+    rng = np.random.default_rng(15)
+    X = rng.normal(size=(240, 3))
+    y = (X[:, 0] > 0.3).astype(int) + (X[:, 1] > 0).astype(int)
+    pdf = pd.DataFrame(X, columns=["a", "b", "c"]).assign(label=y, id=np.arange(240))
+    sdf = spark.createDataFrame(pdf)
+    model = MD.train_boosted(sdf, ["a", "b", "c"], "label", max_iter=6, max_depth=3)
+    long = EX.explain_boosted(MD.forest(model), sdf.limit(15), "id", ["a", "b", "c"], "label").toPandas()
+    sums = long.groupby(["row_key", "class"]).agg(s=("shap_value", "sum"), b=("base_value", "first"),
+                                                  m=("margin", "first"))
+    assert np.allclose(sums.s + sums.b, sums.m, atol=1e-9)
+    raw = model.transform(sdf.limit(15)).select("id", vector_to_array("rawPrediction").alias("r")).toPandas()
+    for rec in raw.itertuples():
+        for c in range(3):
+            assert abs(sums.loc[(str(rec.id), c), "m"] - rec.r[c]) < 1e-9

@@ -76,15 +76,23 @@ def _forest_arrays_saved(rf_model) -> list[dict]:
 
 
 def _forest_arrays_walk(rf_model) -> list[dict]:
+    return _walk_trees(rf_model._java_obj.trees(), regression=False)
+
+
+def _walk_trees(jtrees, regression: bool) -> list[dict]:
+    """Node arrays from the JVM tree objects.  Classification trees: value =
+    normalised class distribution, cover = its total.  Regression trees (the
+    members of boosted models): value = the node's prediction, cover = its
+    weighted count (first impurity statistic)."""
     trees = []
-    jtrees = rf_model._java_obj.trees()
     for t in range(len(jtrees)):
         nodes = []
 
         def walk(node):
             idx = len(nodes)
             stats = np.array(list(node.impurityStats().stats()), dtype="float64")
-            entry = {"stats": stats, "left": -1, "right": -1, "feature": -1, "threshold": 0.0, "cats": None}
+            entry = {"stats": stats, "pred": float(node.prediction()), "left": -1, "right": -1, "feature": -1,
+                     "threshold": 0.0, "cats": None}
             nodes.append(entry)
             if node.getClass().getSimpleName() == "InternalNode":
                 split = node.split()
@@ -98,8 +106,12 @@ def _forest_arrays_walk(rf_model) -> list[dict]:
             return idx
 
         walk(jtrees[t].rootNode())
-        cover = np.array([n["stats"].sum() for n in nodes])
-        value = np.array([n["stats"] / (n["stats"].sum() or 1.0) for n in nodes])
+        if regression:
+            cover = np.array([n["stats"][0] for n in nodes])
+            value = np.array([[n["pred"]] for n in nodes])
+        else:
+            cover = np.array([n["stats"].sum() for n in nodes])
+            value = np.array([n["stats"] / (n["stats"].sum() or 1.0) for n in nodes])
         trees.append({"left": np.array([n["left"] for n in nodes]), "right": np.array([n["right"] for n in nodes]),
                       "feature": np.array([n["feature"] for n in nodes]),
                       "threshold": np.array([n["threshold"] for n in nodes]),
@@ -279,17 +291,22 @@ def _leaf_values(tree, X):
             node[rows] = np.where(go, tree["left"][j], tree["right"][j])
 
 
-def explain_batch(trees, X: np.ndarray):
-    """Vectorised ``explain_rows``: same outputs, one tree recursion per batch."""
+def explain_batch(trees, X: np.ndarray, weights=None):
+    """Vectorised ``explain_rows``: same outputs, one tree recursion per batch.
+    ``weights`` (default 1/T: a forest's average) weight each tree's output,
+    e.g. a boosted model's tree weights."""
     n_rows, n_feat = X.shape
     n_cls = trees[0]["value"].shape[1]
+    w = np.full(len(trees), 1.0 / len(trees)) if weights is None else np.asarray(weights, dtype="float64")
     phi = np.zeros((n_rows, n_feat, n_cls))
-    prob = np.zeros((n_rows, n_cls))
-    for t in trees:
-        tree_shap_batch(t, X, phi)
-        prob += _leaf_values(t, X)
-    base = np.mean([t["value"][0] for t in trees], axis=0)
-    return phi / len(trees), base, prob / len(trees)
+    out = np.zeros((n_rows, n_cls))
+    for t, wt in zip(trees, w):
+        part = np.zeros_like(phi)
+        tree_shap_batch(t, X, part)
+        phi += wt * part
+        out += wt * _leaf_values(t, X)
+    base = np.sum([wt * t["value"][0] for t, wt in zip(trees, w)], axis=0)
+    return phi, base, out
 
 
 def explain_rows(trees, X: np.ndarray):
@@ -350,6 +367,56 @@ def explain(rf_model, df: DataFrame, key: str, features, label: str | None = Non
     return src.mapInPandas(run, schema)
 
 
+def boosted_arrays(ovr_model) -> list[tuple[list[dict], np.ndarray]]:
+    """Per class of a ``OneVsRest(GBTClassifier)`` model: its regression trees'
+    node arrays and tree weights (model-sized)."""
+    out = []
+    for m in ovr_model.models:
+        jm = m._java_obj
+        out.append((_walk_trees(jm.trees(), regression=True), np.array(list(jm.treeWeights()), dtype="float64")))
+    return out
+
+
+def explain_boosted(ovr_model, df: DataFrame, key: str, features, label: str | None = None) -> DataFrame:
+    """ML8 for the per-class boosted model: TreeSHAP of every class model's
+    margin (the quantity the class scores are computed from), so
+    ``base_value + sum(contributions) = margin`` per row and class.  Output as
+    ``explain`` with ``margin`` in place of ``probability``."""
+    spark = df.sparkSession
+    per_class = spark.sparkContext.broadcast(boosted_arrays(ovr_model))  # model-sized
+    feats = list(features)
+    lab = col(label).cast("string") if label else F.lit(None).cast("string")
+    src = df.select(col(key).cast("string").alias("_key"), lab.alias("_true"),
+                    *[col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(feats)])
+    n_cls = len(per_class.value)
+    step = max(1, OUTPUT_ROWS_PER_FRAME // max(1, len(feats) * n_cls))
+
+    def run(batches):
+        import pandas as pd
+        classes = per_class.value
+        for whole in batches:
+            for start in range(0, len(whole), step):
+                pdf = whole.iloc[start:start + step]
+                X = pdf[[f"_f{i}" for i in range(len(feats))]].to_numpy(dtype="float64")
+                parts = [explain_batch(trees, X, weights) for trees, weights in classes]
+                contrib = np.concatenate([p[0] for p in parts], axis=2)     # rows x features x classes
+                base = np.concatenate([p[1] for p in parts])
+                margin = np.concatenate([p[2] for p in parts], axis=1)
+                n_rows, n_feat, n_c = contrib.shape
+                pred = margin.argmax(axis=1)
+                ri, fi, ci = np.meshgrid(np.arange(n_rows), np.arange(n_feat), np.arange(n_c), indexing="ij")
+                ri, fi, ci = ri.ravel(), fi.ravel(), ci.ravel()
+                yield pd.DataFrame({
+                    "row_key": pdf["_key"].to_numpy()[ri], "true_class": pdf["_true"].to_numpy()[ri],
+                    "predicted_class": pred[ri].astype("int64"), "class": ci.astype("int64"),
+                    "feature_name": np.array(feats, dtype=object)[fi], "shap_value": contrib.ravel(),
+                    "base_value": base[ci], "margin": margin[ri, ci]})
+
+    schema = ("row_key string, true_class string, predicted_class long, class long, feature_name string, "
+              "shap_value double, base_value double, margin double")
+    return src.mapInPandas(run, schema)
+
+
 def explain_predicted(long: DataFrame) -> DataFrame:
     """ML8 for the predicted class only."""
     return long.where(F.col("class") == F.col("predicted_class")).drop("class")
