@@ -29,6 +29,10 @@ ZERO_WIDTH_CHARS = "".join(chr(c) for c in [*range(0x200B, 0x2010), *range(0x202
 WHITESPACE_CLASS = (r"[\t\n\x0B\f\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}"
                     r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 WHITESPACE_RUN = WHITESPACE_CLASS + "+"
+# The same characters as a list (for ``translate``): tab..CR, U+001C-U+0020,
+# U+0085, U+00A0, U+1680, U+2000-U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+WHITESPACE_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                                            *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 # Case folding beyond ``lower``: the folds Python's casefold adds for the
 # scripts of the data (German sharp s, Greek final sigma).
 CASEFOLD_EXTRA = (("ß", "ss"), ("ς", "σ"))
@@ -53,11 +57,17 @@ def _col(c) -> Column:
 def normalize_text(c, typography: bool = True) -> Column:
     """TX1 (``typography=True``) / TX2 (``False``): NULL -> '', map quotes and
     dashes, NBSP -> space, delete zero-width characters, collapse whitespace,
-    trim.  Case is kept."""
+    trim.  Case is kept.
+
+    One ``translate`` maps quotes, dashes and every whitespace character to
+    their targets and deletes the invisible ones; a plain ``' {2,}'`` collapse
+    and ``trim`` finish (no Unicode class regex over the text)."""
     src, dst = _translate_args(typography)
-    s = F.translate(F.coalesce(_col(c).cast("string"), F.lit("")), src, dst)
-    s = F.regexp_replace(s, WHITESPACE_RUN, " ")
-    # after the collapse every whitespace run is one ASCII space
+    ws = "".join(ch for ch in WHITESPACE_CHARS if ch not in src)
+    # deleted characters must come after all mapped ones in translate's source
+    mapped, deleted = src[:len(dst)], src[len(dst):]
+    s = F.translate(F.coalesce(_col(c).cast("string"), F.lit("")), mapped + ws + deleted, dst + " " * len(ws))
+    s = F.regexp_replace(s, " {2,}", " ")
     return F.trim(s)
 
 
