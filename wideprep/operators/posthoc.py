@@ -133,8 +133,9 @@ def posthoc_dscf(df: DataFrame, group_col: str, features=None, alpha: float = AL
                                     F.col("group_1").alias("group_2"), "p_value"))
     gs = df.where(col(group_col).isNotNull()).select(col(group_col).cast("string").alias("group_1")).distinct()
     feats = st.select("feature").distinct()
-    # features x groups: both sides are small (#features, k rows)
-    diag = feats.withColumn("_k", F.lit(1)).join(F.broadcast(gs.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    # features x groups: the feature list (bounded by the schema) is broadcast,
+    # the groups stay distributed
+    diag = gs.withColumn("_k", F.lit(1)).join(F.broadcast(feats.withColumn("_k", F.lit(1))), "_k").drop("_k")
     diag = diag.select("feature", "group_1", F.col("group_1").alias("group_2"), F.lit(1.0).alias("p_value"))
     out = both.unionByName(diag)
     return out.select("group_1", "group_2", "p_value", "feature",
