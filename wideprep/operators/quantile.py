@@ -28,6 +28,7 @@ from wideprep.functions.numeric import NUMERIC_TYPES, nan_to_null
 from wideprep.operators._util import col, unpivot
 
 DEFAULT_ACCURACY = 100_000
+SKETCH_BUDGET = 20_000_000   # accuracy x columns held per task
 
 
 def numeric_long(df: DataFrame, columns=None) -> DataFrame:
@@ -39,10 +40,16 @@ def numeric_long(df: DataFrame, columns=None) -> DataFrame:
     return unpivot(wide, [], names, "column", "v").where(F.col("v").isNotNull())
 
 
-def exact_quantiles(df: DataFrame, columns=None, probs=(0.5,), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """``column, prob, value`` exact linear-interpolated quantiles per numeric column."""
+def exact_quantiles(df: DataFrame, columns=None, probs=(0.5,), accuracy: int | None = None) -> DataFrame:
+    """``column, prob, value`` exact linear-interpolated quantiles per numeric column.
+
+    ``accuracy`` defaults to 100,000 for up to 200 columns and shrinks for wider
+    inputs (each task keeps one sketch per column; the bracket just gets wider)."""
     spark = df.sparkSession
     long = numeric_long(df, columns)
+    if accuracy is None:
+        k = len([f for f in df.schema.fields if columns is None or f.name in columns])
+        accuracy = int(min(DEFAULT_ACCURACY, max(10_000, SKETCH_BUDGET // max(k, 1))))
     margin = 3.0 / accuracy
     lo_p = [max(0.0, p - margin) for p in probs]
     hi_p = [min(1.0, p + margin) for p in probs]
@@ -101,7 +108,7 @@ def _resolve(long: DataFrame, brackets: DataFrame) -> DataFrame:
         .select("column", "prob", "n", "value", F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
-def median(df: DataFrame, columns=None, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def median(df: DataFrame, columns=None, accuracy: int | None = None) -> DataFrame:
     """``column, median`` per numeric column (exact)."""
     return exact_quantiles(df, columns, (0.5,), accuracy).select("column", F.col("value").alias("median"))
 
