@@ -56,3 +56,22 @@ def test_profile_invariant_to_partitioning(spark, vals, parts):
     pa = sorted((r["column"], r["n_unique"], r["precision"]) for r in P.column_profile(a).collect())
     pb = sorted((r["column"], r["n_unique"], r["precision"]) for r in P.column_profile(b).collect())
     assert pa == pb
+
+
+from wideprep.functions import text as _TX  # noqa: E402
+
+# every character the normaliser treats specially, plus a few plain ones
+ALPHABET = ("abZß'\"- " + _TX.QUOTE_CHARS + _TX.DASH_CHARS + _TX.NBSP_CHARS + _TX.ZERO_WIDTH_CHARS
+            + _TX.WHITESPACE_CHARS)
+
+
+@common
+@given(texts=st.lists(st.text(alphabet=ALPHABET, max_size=30), min_size=1, max_size=20))
+def test_normalisation_equals_python_twin(spark, texts):
+    from wideprep.functions import text as TX
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    got = {r["i"]: (r["n"], r["k"], r["n2"]) for r in df.select(
+        "i", TX.normalize_text("s").alias("n"), TX.match_key("s").alias("k"),
+        TX.normalize_name("s").alias("n2")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (TX.py_normalize_text(t), TX.py_match_key(t), TX.py_normalize_text(t, False)), repr(t)
