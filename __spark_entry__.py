@@ -1132,6 +1132,36 @@ def q_train_boosted_importance(spark, d):
     return MD.importances(model, EMB_FEATURES)
 
 
+# --------------------------------------------------------------------------- type report lines
+
+def q_type_report_lines(spark, d):
+    """IO11 second format: per column of ``part`` (as text) its kind and three
+    seeded samples, formatted as report lines and parsed back."""
+    pt = part_text(spark, d)
+    kinds = P.numeric_ratio(pt).select("position", "column", "kind")
+    samples = (P.sample_per_column(pt, "p_partkey", PART_TEXT_COLS[1:], n=3, seed=42)
+               .groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+                   F.struct("sample_rank", "value"))), lambda x: x["value"]), ", ").alias("samples")))
+    info = kinds.join(samples, "column")  # one row per column on both sides
+    lines = RP.format_type_lines(info)
+    numbered = lines.select(F.regexp_extract("line", r"^Column (\d+):", 1).cast("int").alias("column_no"), "line")
+    return RP.parse_type_lines(lines).join(numbered, "column_no")
+
+
+def _sql_type_report_lines() -> str:
+    kinds = _union([f"SELECT {i} AS position, '{c}' AS \"column\", CASE WHEN count({c}) > count({sql_to_number(c)}) "
+                    f"THEN 'text' ELSE 'numeric' END AS kind FROM g" for i, c in enumerate(PART_TEXT_COLS)])
+    long = _union([f"SELECT p_partkey, '{c}' AS \"column\", {c} AS value FROM g WHERE {c} IS NOT NULL"
+                   for c in PART_TEXT_COLS[1:]])
+    return (f"WITH g AS {PART_TEXT_SQL}, k AS ({kinds}), l AS ({long}),\n"
+            "r AS (SELECT \"column\", value, row_number() OVER (PARTITION BY \"column\" ORDER BY "
+            "md5(concat_ws(':', '42', \"column\", p_partkey)), p_partkey) AS rk FROM l),\n"
+            "s AS (SELECT \"column\", string_agg(value, ', ' ORDER BY rk) AS samples FROM r WHERE rk <= 3 GROUP BY 1)\n"
+            "SELECT position + 1 AS column_no, k.\"column\" AS name, kind AS type, samples, "
+            "printf('Column %d: Name=''%s'', Type=''%s'', Samples=%s', position + 1, k.\"column\", kind, samples) AS line "
+            "FROM k JOIN s ON k.\"column\" = s.\"column\"")
+
+
 # --------------------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -1215,6 +1245,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "corr_ranked": q_corr_ranked,
         "split_exact": q_split_exact,
         "train_boosted_importance": q_train_boosted_importance,
+        "type_report_lines": q_type_report_lines,
     }
 
 
@@ -1421,4 +1452,5 @@ def oracle_sql() -> dict[str, str]:
         "flatten_levels": _sql_flatten_levels(),
         "corr_ranked": _sql_corr_ranked(),
         "split_exact": _sql_split_exact(),
+        "type_report_lines": _sql_type_report_lines(),
     }
