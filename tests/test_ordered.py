@@ -99,3 +99,17 @@ def test_tie_break_columns(spark):
     assert np.allclose(got["v"].to_numpy(dtype=float), want.to_numpy(), equal_nan=True)
     pos = O.with_positions(sdf, ["k", "t"], n_buckets=5).toPandas().sort_values(["k", "t"])
     assert list(pos["position"]) == list(range(1, n + 1))
+
+
+def test_text_order_key(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcxyzäé"), rng.integers(1, 9))) + str(i) for i in range(300)]
+    v = rng.normal(size=300)
+    v[rng.random(300) < 0.4] = np.nan
+    pdf = pd.DataFrame({"k": words, "v": v})
+    sdf = spark.createDataFrame([(a, None if np.isnan(b) else float(b)) for a, b in pdf.itertuples(index=False)],
+                                "k string, v double")
+    got = O.fill_forward(sdf, ["v"], "k", n_buckets=7).toPandas().sort_values("k")
+    want = pdf.sort_values("k")["v"].ffill()          # Python str order = code points = UTF-8 byte order
+    assert list(got["k"]) == list(pdf.sort_values("k")["k"])
+    assert np.allclose(got["v"].to_numpy(dtype=float), want.to_numpy(), equal_nan=True)

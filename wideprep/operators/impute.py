@@ -94,7 +94,8 @@ def fill_facts(df: DataFrame, order_by: str | None, columns=None, config=None) -
     needs it, one exact-median job."""
     types = _types(df)
     names = list(columns or df.columns)
-    key = O._key_numeric(df, order_by) if order_by else None
+    # raw order-key values (numbers, datetimes and text all compare the same on the driver)
+    key = O._order(order_by)[1][0] if order_by else None
 
     def stats(c):
         t = types[c]

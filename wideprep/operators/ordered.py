@@ -58,7 +58,12 @@ def _key_numeric(df: DataFrame, order_by) -> Column:
     if isinstance(t, T.DateType):
         return F.unix_date(c).cast("long")
     if isinstance(t, T.StringType):
-        raise TypeError("order_by must be numeric, date or timestamp; map text keys to a number first")
+        # text keys: the first 7 UTF-8 bytes as a 56-bit number (right-padded with
+        # zero bytes) are monotone in Spark's byte-wise string order, so they serve
+        # for bucketing; the windows still order by the full text.  Keys sharing a
+        # long common prefix share a bucket.
+        prefix = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0")
+        return F.conv(prefix, 16, 10).cast("double")
     return c.cast("double")
 
 
