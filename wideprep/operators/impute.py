@@ -226,7 +226,17 @@ def apply_filling(df: DataFrame, config: dict | None = None, order_by: str | Non
     types = _types(df)
     names = [d.column for d in decisions]
     before = {f.name: f.missing for f in facts}
-    after = {r["column"]: r["total"] - r["filled"] for r in P.fill_rate(filled, names).collect()}
+    # a constant fill (mean, median, mode, constant with a value) leaves no gap and
+    # "unchanged" keeps its count; only ordered fills need counting on the result
+    after = {}
+    for d in decisions:
+        if d.method in (FP.MEAN, FP.MEDIAN, FP.MODE, FP.CONSTANT) and d.params.get("constant_value") is not None:
+            after[d.column] = 0
+        elif d.method in (FP.UNCHANGED, FP.DROP_ROWS):
+            after[d.column] = before[d.column]
+    pending = [c for c in names if c not in after]
+    if pending:
+        after.update({r["column"]: r["total"] - r["filled"] for r in P.fill_rate(filled, pending).collect()})
     rows = [(d.column, d.method, FP.params_text(d.params), int(before[d.column]), int(after[d.column]),
              dtype_category(types[d.column]), bool(d.fallback), d.reason) for d in decisions]
     log = spark.createDataFrame(rows, "column string, method string, params string, missing_before long, "
