@@ -41,3 +41,13 @@ def test_wide_apply_filling(spark):
     assert log.count() == 81
     s = {r["metric"]: r["value"] for r in summary.collect()}
     assert s["total_missing_after"] == "0"
+
+
+def test_wide_approx_profile(spark):
+    sdf, pdf = wide_frame(spark)
+    prof = {r["column"]: r for r in P.column_profile(sdf, approx=True).collect()}
+    assert len(prof) == 301
+    for c in list(pdf.columns)[1:10]:
+        assert prof[c]["precision"] == 2 or pdf[c].dropna().round(1).eq(pdf[c].dropna()).all()
+        assert abs(prof[c]["n_unique"] - pdf[c].nunique()) <= 0.1 * pdf[c].nunique() + 2
+    assert prof["id"]["precision"] == 0

@@ -199,16 +199,33 @@ def column_profile(df: DataFrame, columns=None, approx: bool = False) -> DataFra
 def _column_profile_approx(df: DataFrame, types: dict) -> DataFrame:
     def stats(c):
         t = types[c]
-        v = nan_to_null(col(c).cast("double")) if isinstance(t, NUMERIC_TYPES) else None
         u = F.approx_count_distinct(F.when(present(c, t), col(c))).alias("n_unique")
-        if v is None:
-            return [F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std"),
-                    F.lit(None).cast("int").alias("precision"), u]
-        places = decimal_places(v if isinstance(t, (T.FloatType, T.DoubleType)) else col(c), t)
-        return [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.max(places).alias("precision"), u]
+        if not isinstance(t, NUMERIC_TYPES):
+            return [F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std"), u]
+        v = nan_to_null(col(c).cast("double"))
+        return [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), u]
 
     out = stacked_agg(df, list(types), stats)
-    return out.select("position", "column", "mean", "std", "precision", F.col("n_unique").cast("long"))
+    # decimal places in long form: one expression for every float column, a per-task
+    # partial max, one row per column shuffled
+    floats = [c for c, t in types.items() if isinstance(t, (T.FloatType, T.DoubleType))]
+    ints = [c for c, t in types.items() if isinstance(t, NUMERIC_TYPES) and c not in floats]
+    prec = None
+    if floats:
+        long = unpivot(df.select(*[nan_to_null(col(c).cast("double")).alias(c) for c in floats]), [], floats,
+                       "column", "v")
+        prec = long.groupBy("column").agg(F.max(decimal_places(F.col("v"), T.DoubleType())).alias("precision"))
+    if ints:
+        has = df.agg(*[F.max(F.when(col(c).isNotNull(), F.lit(0))).alias(f"_i{i}") for i, c in enumerate(ints)])
+        ip = has.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_i{i}").alias("precision"))
+                                            for i, c in enumerate(ints)])).alias("r")).select("r.*")
+        prec = ip if prec is None else prec.unionByName(ip)
+    if prec is not None:
+        out = out.join(F.broadcast(prec), "column", "left")  # one row per column
+    else:
+        out = out.withColumn("precision", F.lit(None).cast("int"))
+    return out.select("position", "column", "mean", "std", F.col("precision").cast("int"),
+                      F.col("n_unique").cast("long"))
 
 
 # --------------------------------------------------------------------------- AGG5 / AGG12 / PR9
