@@ -33,6 +33,15 @@ from wideprep.plans import header as HD
 from wideprep.sources import io as IO
 from wideprep.sources import reports as RP
 
+# The training-data operators are an optional part: without their files the rest works alone.
+try:
+    import corpus_pipeline
+    from wideprep.llm import queries as LLM
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "wideprep.llm"):
+        raise
+    LLM = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -1170,7 +1179,7 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_impute_auto(spark, SMOKE_DIR)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "fill_rate": q_fill_rate,
         "missing_report_top20": q_missing_report_top20,
@@ -1383,7 +1392,7 @@ def _sql_decimal_comma() -> str:
     return f"SELECT p_partkey, {txt} AS txt, {sql_to_number(f'replace({txt}, {chr(39)},{chr(39)}, {chr(39)}.{chr(39)})')} AS value FROM part"
 
 
-def oracle_sql() -> dict[str, str]:
+def _own_oracle_sql() -> dict[str, str]:
     return {
         "fill_rate": _sql_fill_rate(),
         "missing_report_top20": _sql_missing_report(),
@@ -1454,3 +1463,12 @@ def oracle_sql() -> dict[str, str]:
         "split_exact": _sql_split_exact(),
         "type_report_lines": _sql_type_report_lines(),
     }
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _own_queries() | ({} if LLM is None else LLM.queries() | {"pipeline": corpus_pipeline.run})
+
+
+def oracle_sql() -> dict[str, str]:
+    pipeline = {} if LLM is None or corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return _own_oracle_sql() | ({} if LLM is None else LLM.oracle_sql() | pipeline)

@@ -43,14 +43,19 @@ def get_session(master: str | None = None, app: str = "wideprep",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting must point at shared storage and is only read.
-    Where it is unset (local tests) a private scratch folder is created and set.
+    On a cluster the setting must point at shared storage; without it this
+    raises, since a folder of the driver's machine cannot serve the executors.
+    Only a local master (tests) gets a private scratch folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="wideprep-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
@@ -74,13 +79,12 @@ def input_bytes(spark: SparkSession, *paths: str) -> int:
     return total
 
 
-def tune_for_input(spark: SparkSession, n_bytes: int, partition_bytes: int = PARTITION_BYTES,
-                   max_partitions: int = 200_000) -> dict:
+def tune_for_input(spark: SparkSession, n_bytes: int, partition_bytes: int = PARTITION_BYTES) -> dict:
     """Size shuffles and scans for an input of ``n_bytes``: about one shuffle
     partition per ``partition_bytes`` of input (AQE coalesces the small ones
     and splits skewed ones at run time), the same size for scan splits.  For
-    100 TB that is about 400,000 partitions, capped at ``max_partitions``."""
-    parts = int(min(max_partitions, max(shuffle_partitions(spark), -(-n_bytes // partition_bytes))))
+    100 TB that is about 400,000 partitions."""
+    parts = int(max(shuffle_partitions(spark), -(-n_bytes // partition_bytes)))
     settings = {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
