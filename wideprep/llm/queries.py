@@ -9,13 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wideprep.llm import chat, decontaminate, fingerprints, mixing, sharding, simhash
+from wideprep.llm import chat, decontaminate, fingerprints, langid, learn, mixing, quality, sharding, simhash, toxicity
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").select("doc_id", "text", "lang")
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, _t(spark, d, "labels")), keep=["doc_id"])
+    return found.select("doc_id", (learn.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality.train(docs, _t(spark, d, "labels")), keep=["doc_id"])
+    return found.select("doc_id", (learn.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+                        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     paired = fingerprints.with_next(docs, "doc_id", F.xxhash64("text"), {"sketch": fingerprints.sketch(F.col("text"))}, ["text", "sketch"])
@@ -38,6 +52,13 @@ def op5_simhash(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_langid(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs), keep=["doc_id"])
+    return found.select("doc_id", (learn.fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+                        F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))
+
+
 def op7_mixing(spark: SparkSession, d: str) -> DataFrame:
     out = mixing.mix(_t(spark, d, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -164,7 +185,7 @@ FROM placed, crc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_fingerprints, op5_simhash, op7_mixing, op8_chat, op9_sharding, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_toxicity, op3_quality, op4_fingerprints, op5_simhash, op6_langid, op7_mixing, op8_chat, op9_sharding, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
