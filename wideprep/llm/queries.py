@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wideprep.llm import chat, decontaminate, fingerprints, langid, learn, mixing, quality, sharding, simhash, toxicity
+from wideprep.llm import chat, decontaminate, fingerprints, langid, learn, mixing, pages, quality, sharding, simhash, toxicity
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_pagediff(spark: SparkSession, d: str) -> DataFrame:
+    return pages.main_text(_t(spark, d, "pages").select("page_id", "url", "html"))
+
+
 def op2_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").select("doc_id", "text", "lang")
     found = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, _t(spark, d, "labels")), keep=["doc_id"])
@@ -185,7 +189,7 @@ FROM placed, crc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_quality, op4_fingerprints, op5_simhash, op6_langid, op7_mixing, op8_chat, op9_sharding, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_pagediff, op2_toxicity, op3_quality, op4_fingerprints, op5_simhash, op6_langid, op7_mixing, op8_chat, op9_sharding, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
