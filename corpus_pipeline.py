@@ -1,21 +1,49 @@
-"""The corpus pipeline: stages that each apply one training-data operator to all documents left."""
+"""The corpus pipeline: five stages, each applying one training-data operator to all documents left.
+
+Toxic documents go, one document of each near-duplicate class stays, contaminated documents go, the sources are mixed to their
+targets (a document may appear twice), and the rest is cut into contiguous shards.  A stage takes the session, the documents that its
+predecessor left and the folder of the other tables; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wideprep.llm import simhash
+from wideprep.llm import decontaminate, mixing, sharding, simhash, toxicity
 from wideprep.session import checkpoint_dir
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays: the one with the smallest ``doc_id``."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores under its threshold."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, into="__score").where(F.col("__score") < 0.5).drop("__score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest ``doc_id`` of each SimHash class."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash near-dedup", near_duplicates)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which under one word in twenty lies in a benchmark window."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.take(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with ``shard`` and ``slot``."""
+    return sharding.place(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash near-dedup", drop_near_duplicates), ("benchmark decontamination", drop_contaminated),
+          ("mixing sources", mix_sources), ("sharding", shard)]
 
 #: SQL cannot express the classifier of the first stage.
 ORACLE_SQL = None
@@ -24,7 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared checkpoint folder and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = checkpoint_dir(spark).rstrip("/") + f"/corpus-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)

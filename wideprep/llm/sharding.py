@@ -12,6 +12,9 @@ partition.  Extra columns are ignored by ``shards``.  An empty table gives no ro
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +23,17 @@ from wideprep.session import checkpoint_dir, shuffle_partitions
 SHARDS = 8
 
 
-def shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHARDS) -> DataFrame:
-    """``doc_id``, ``size``, ``text_crc32``, ``shard`` and ``slot`` (place in the shard, from 0) of every row."""
+def shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHARDS,
+           keep: list[str] | None = None) -> DataFrame:
+    """``doc_id``, ``size``, ``text_crc32``, ``shard`` and ``slot`` (place in the shard, from 0) of every row,
+    and the (light) columns ``keep``."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
     raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     light = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"),
-                        F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("salt"))
-    order = ["doc_id", "size", "text_crc32", "salt"]
+                        F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("salt"),
+                        *[F.col(f"`{c}`") for c in keep or []])
+    order, keep = ["doc_id", "size", "text_crc32", "salt"], keep or []
     ranged = light.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order) \
         .withColumn("part", F.spark_partition_id()).checkpoint()
     totals = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
@@ -40,8 +46,23 @@ def shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     before = F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ranged.select("*", before.alias("before"), F.row_number().over(own).alias("row")) \
         .join(F.broadcast(offsets), "part") \
-        .select("doc_id", "size", "text_crc32",
+        .select("doc_id", "size", "text_crc32", *[F.col(f"`{c}`") for c in keep],
                 F.expr(f"int((part_bytes + before) * {n} div total)").alias("shard"), (F.col("part_rows") + F.col("row") - 1).alias("pos"))
     first = placed.groupBy("shard").agg(F.min("pos").alias("first"))                 # one row per shard
     return placed.join(F.broadcast(first), "shard") \
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("pos") - F.col("first")).cast("long").alias("slot"))
+        .select("doc_id", "size", "text_crc32", "shard", (F.col("pos") - F.col("first")).cast("long").alias("slot"),
+                *[F.col(f"`{c}`") for c in keep])
+
+
+def place(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHARDS) -> DataFrame:
+    """All rows of ``docs`` with ``shard`` and ``slot``.  Rows are told apart by their place in the Parquet files they
+    are read from; a table that is not read from files is written to the shared checkpoint folder first."""
+    where = ["__file", "__at"]
+    try:
+        marked = docs.select("*", F.col("_metadata.file_name").alias(where[0]), F.col("_metadata.row_index").alias(where[1]))
+    except AnalysisException:
+        path = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/sharding-{uuid.uuid4().hex}"
+        docs.write.parquet(path)
+        return place(docs.sparkSession.read.parquet(path), doc_id, text, n)
+    found = shards(marked, doc_id, text, n, keep=where).select(*where, "shard", "slot")
+    return marked.join(found, where).drop(*where)
