@@ -54,6 +54,11 @@ def features(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return ids, before
 
 
+def places():
+    """Index, width and first column in ``conv`` of every filter width."""
+    return [(k, w, sum(WIDTHS[:k]) * FILTERS) for k, w in enumerate(WIDTHS)]
+
+
 class Model:
     """``table`` holds the word vectors, ``conv`` one matrix per width and place, ``out`` the last layer."""
 
@@ -72,17 +77,16 @@ class Model:
     def embed(self, ids: np.ndarray) -> np.ndarray:
         return self.table[ids].sum(axis=1)
 
-    def respond(self, ids: np.ndarray) -> np.ndarray:
+    def respond(self, ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         """Filter responses (before the maximum) at each word but the last ``max(WIDTHS) - 1``, which only follow."""
-        n, x = len(ids) - max(WIDTHS) + 1, self.embed(ids) @ self.conv
-        parts, col = [], 0
-        for w in WIDTHS:
-            y = x[:n, col:col + FILTERS].copy()
+        n, x = len(ids) - max(WIDTHS) + 1, vectors @ self.conv
+        y = np.empty((n, len(WIDTHS) * FILTERS), np.float32)
+        for k, w, col in places():
+            part = y[:, k * FILTERS:(k + 1) * FILTERS]
+            part[:] = x[:n, col:col + FILTERS]
             for j in range(1, w):
-                y += x[j:n + j, col + j * FILTERS:col + (j + 1) * FILTERS]
-            parts.append(y)
-            col += w * FILTERS
-        y = np.concatenate(parts, axis=1) + self.bias
+                part += x[j:n + j, col + j * FILTERS:col + (j + 1) * FILTERS]
+        y += self.bias
         y[ids[:n, 0] == 0] = -np.inf        # no window begins between two documents
         return y
 
@@ -97,7 +101,8 @@ class Model:
         while lo < len(edges):
             hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + CHUNK)))
             end = int(edges[hi]) if hi < len(edges) else stop
-            y = self.respond(padded[edges[lo]:end + max(WIDTHS) - 1])
+            part = padded[edges[lo]:end + max(WIDTHS) - 1]
+            y = self.respond(part, self.embed(part))
             best = np.maximum(np.maximum.reduceat(y, edges[lo:hi] - edges[lo], axis=0), 0)
             docs, first = np.unique(owner[lo:hi], return_index=True)
             top[docs] = np.maximum(top[docs], np.maximum.reduceat(best, first, axis=0))
@@ -144,7 +149,8 @@ def _train_batch(model: Model, adam: learn.Adam, ids: np.ndarray, before: np.nda
     padded, begin = pad(ids, before)
     edges, owner = block_edges(before, begin)
     n_docs, n_f = len(labels), len(WIDTHS) * FILTERS
-    y = model.respond(padded)
+    x = model.embed(padded)
+    y = model.respond(padded, x)
     n = len(y)
     best = np.maximum.reduceat(y, edges, axis=0)
     docs, first = np.unique(owner, return_index=True)
@@ -163,35 +169,24 @@ def _train_batch(model: Model, adam: learn.Adam, ids: np.ndarray, before: np.nda
     of_block = np.repeat(np.arange(len(docs)), blocks)
     g = back[owner][:, n_f:] / blocks[of_block][:, None]
     g = g + np.where(best >= top[owner], back[owner][:, :n_f], 0)
-    g = np.where(best > 0, g, 0)
-    b, f = np.nonzero(np.abs(g) > 1e-9)
-    # The place of each maximum: the first word of the block with that response.
-    length = np.diff(np.r_[edges, n])
-    reach = np.minimum(length[b], BLOCK)
-    at = edges[b].copy()
-    open_ = np.arange(len(b))
-    for step in range(BLOCK):
-        open_ = open_[reach[open_] > step]
-        same = y[edges[b[open_]] + step, f[open_]] == best[b[open_], f[open_]]
-        at[open_[same]] = edges[b[open_[same]]] + step
-        open_ = open_[~same]
-    value = g[b, f]
-    grads["bias"] = np.bincount(f, value, n_f).astype(np.float32)
-    grads["conv"] = np.zeros_like(model.conv)
-    rows, dx = [], []
-    col = 0
-    for k, w in enumerate(WIDTHS):
-        own = np.flatnonzero(f // FILTERS == k)
+    g = np.where(best > 0, g, 0).astype(np.float32)
+    # It goes to the first word of the block with that response.
+    block = np.repeat(np.arange(len(edges)), np.diff(np.r_[edges, n]))
+    word, f = np.nonzero(y == best[block])
+    at = np.zeros(best.shape, np.int64)
+    at[block[word[::-1]], f[::-1]] = word[::-1]
+    dy = np.zeros_like(y)
+    dy[at, np.arange(n_f)] = g
+    grads["bias"] = dy.sum(axis=0)
+    grads["conv"], dx = np.zeros_like(model.conv), np.zeros_like(x)
+    for k, w, col in places():
+        own = dy[:, k * FILTERS:(k + 1) * FILTERS]
         for j in range(w):
-            x = model.embed(padded[at[own] + j])
-            c = col + j * FILTERS + f[own] % FILTERS
-            spread = np.zeros((len(own), FILTERS), np.float32)
-            spread[np.arange(len(own)), f[own] % FILTERS] = value[own]
-            grads["conv"][:, col + j * FILTERS:col + (j + 1) * FILTERS] += x.T @ spread
-            rows.append(at[own] + j)
-            dx.append(value[own, None] * model.conv[:, c].T)
-        col += w * FILTERS
-    rows, dx = learn.sum_rows(np.concatenate(rows), np.concatenate(dx).astype(np.float32))
+            c = slice(col + j * FILTERS, col + (j + 1) * FILTERS)
+            grads["conv"][:, c] = x[j:n + j].T @ own
+            dx[j:n + j] += own @ model.conv[:, c].T
+    rows = np.flatnonzero(dx.any(axis=1))
+    dx = dx[rows]
     flat, share = padded[rows].ravel(), np.repeat(dx, padded.shape[1], axis=0)
     live = model.live[flat]
     used, dt = learn.sum_rows(flat[live], share[live])
