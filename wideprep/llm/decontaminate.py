@@ -9,6 +9,7 @@ goes through ``scan_by_join``, which shuffles window hashes instead and gives th
 
 Null or empty texts have no words and no hits.  A null benchmark text adds no window, a null
 ``item_id`` counts as the item ``null``; repeated item ids count once.  Repeated documents are judged alike.
+Extra columns pass through; a column named like the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ def scan_by_join(docs: DataFrame, benchmark: DataFrame, text: str = "text", into
                  keep: list[str] | None = None, size: int = WINDOW) -> DataFrame:
     """``scan`` for a benchmark of any size: window hashes are shuffled, hits verified on the window's words.
     Spans are left null (they are word ranges of the text that ``scan`` reports in bytes)."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != into]
     key = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
     texts = docs.select(key.alias("key"), F.col(f"`{text}`").alias("t")).groupBy("key").agg(F.first("t").alias("t")) \
         .select("key", _split(F.col("t")).alias("words"))
@@ -170,14 +171,14 @@ def scan_by_join(docs: DataFrame, benchmark: DataFrame, text: str = "text", into
             F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     result = F.struct("n_words", "n_hit", "items", F.lit(None).cast(FIELDS["spans"].dataType).alias("spans")).alias(into)
     judged = judged.select(F.col("key").alias("__key"), result)
-    return docs.withColumn("__key", key).join(judged, "__key").select(*[F.col(f"`{c}`") for c in keep], into)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], key.alias("__key")).join(judged, "__key").select(*[F.col(f"`{c}`") for c in keep], into)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "hits", keep: list[str] | None = None,
          size: int = WINDOW, max_set_bytes: int = MAX_SET_BYTES) -> DataFrame:
     """The columns ``keep`` (default: all) of ``docs`` and a struct ``into``: n_words, n_hit, items (sorted
     ids of the items with a window in the text) and spans (byte ranges of the hit words)."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != into]
     n_bytes = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if n_bytes > max_set_bytes:
         return scan_by_join(docs, benchmark, text, into, keep, size)

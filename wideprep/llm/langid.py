@@ -5,7 +5,7 @@ and a softmax over the languages of the sample gives probabilities, with a tempe
 probability is below the calibrated confidence is marked ``rejected``; the prediction itself stays.
 
 A text that is null or has no letter gets ``und`` with score 0 and is rejected.  ``lang`` is a training label only.  Rows without it are not learned from.
-Whole texts are read; repeated and extra columns pass through.
+Whole texts are read; repeated rows and extra columns pass through, a column named like the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -161,7 +161,7 @@ def train(docs: DataFrame, folds: int = 3, held_out: int = 1, sample: int = SAMP
 
 def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "language", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of ``docs`` and a struct ``into``: lang, score and rejected."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != into]
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     read = docs.select(*[F.col(f"`{c}`") for c in {*keep, text}], F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))

@@ -7,7 +7,7 @@ alike neighbouring words are.  A network with one hidden layer, trained on the p
 its temperature is fitted on held-back rows, so that scores are probabilities.
 
 Whole texts are read.  Null, empty and wordless texts are pooled to zeros and scored like any other.  Rows without a label are not learned
-from; repeated and extra columns pass through.
+from; repeated rows and extra columns pass through, a column named like the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -162,6 +162,7 @@ class Network:
 
 
 def _mapped(docs: DataFrame, text: str, keep: list[str], into: str, kind, arrow_kind, compute) -> DataFrame:
+    keep = [c for c in keep if c != into]
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(into, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,8 @@ partition adds the rows' own prefix.  A row whose preceding bytes are b of B goe
 
 A null text has no bytes (size 1, crc32 0).  Null ids sort first.  Ties in the id are ordered by size and crc32;
 rows equal in all of these are interchangeable and are spread by a salt, so that repeated rows fill no single
-partition.  Extra columns are ignored by ``shards``.  An empty table gives no rows.
+partition.  Extra columns are ignored by ``shards`` and
+pass through ``place``, which replaces columns named shard or slot.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def place(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     are read from; a table that is not read from files is written to the shared checkpoint folder first."""
     where = ["__file", "__at"]
     try:
-        marked = docs.select("*", F.col("_metadata.file_name").alias(where[0]), F.col("_metadata.row_index").alias(where[1]))
+        marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")], F.col("_metadata.file_name").alias(where[0]), F.col("_metadata.row_index").alias(where[1]))
     except AnalysisException:
         path = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/sharding-{uuid.uuid4().hex}"
         docs.write.parquet(path)

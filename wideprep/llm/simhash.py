@@ -13,7 +13,7 @@ A tile pair emits a spanning forest of its links (fewer than its fingerprints),
 Equal fingerprints meet in one row before any comparison, so a group of copies of any size costs
 one fingerprint.  Null text has no words and fingerprint 0, as has an empty text.  A null ``doc_id``
 belongs to its fingerprint's class but never names it; a class of null ids only has a null id.
-Repeated rows and extra columns pass through.
+Repeated rows and extra columns pass through; a column named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def majority_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS,
                  seed: int = SEED, name: str = "fp") -> DataFrame:
     """The rows of ``docs`` without their text, plus the fingerprint as a long."""
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, name)]
     schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0).cast("long").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +275,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     names = rooted.join(least, "__root").select("__fp", "__root", "__least")
     out = marked.join(names, "__fp")
     extra = [F.col("__root").alias(root)] if root else []
-    return out.select(*[F.col(f"`{c}`") for c in marked.columns if c != "__fp"], F.col("__fp").alias(fp),
+    given = [F.col(f"`{c}`") for c in marked.columns if c not in ("__fp", fp, component, root)]
+    return out.select(*given, F.col("__fp").alias(fp),
                       F.col("__least").alias(component), *extra)
 
 

@@ -6,8 +6,9 @@ largest and the mean of its block maxima.  A linear layer gives the logit.  ``la
 threshold applies is guessed from the text by word frequencies that are learned with the classifier.  Scores are shifted so that
 0.5 is the threshold of the guessed language.
 
-Whole texts are read whatever their length; work memory is bounded by blocks of words.  Null, empty and wordless texts get the score of
-a document without any response.  Rows without a label are not learned from; repeated and extra columns pass through.
+Whole texts are read whatever their length; work memory is bounded by blocks of words.  Null, empty and wordless texts are clean:
+their score is about 0.  Rows without a label are not learned from; repeated rows and extra columns pass
+through, a column named like the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ LEAST_DOCUMENTS = 4
 #: Labelled documents of a guessed language from which it gets a threshold of its own.
 LEAST_PER_LANGUAGE = 40
 HELD_BACK = 5
+NOTHING = -50.0
+BLANK_WEIGHT = 0.1
 
 
 def features(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +124,8 @@ class Model:
         return out
 
     def logits(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return self.pool(ids, before) @ self.out + self.base[0]
+        """Of each document; one without words holds nothing toxic."""
+        return np.where(np.diff(before) > 0, self.pool(ids, before) @ self.out + self.base[0], NOTHING)
 
     def score(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
         return learn.sigmoid((self.logits(ids, before).astype(float) - self.cuts[self.language(ids, before)]) / self.scale)
@@ -163,7 +167,9 @@ def _train_batch(model: Model, adam: learn.Adam, ids: np.ndarray, before: np.nda
     logit = pooled @ model.out + model.base[0]
     p = learn.sigmoid(logit)
     err = ((p - labels) * weight).astype(np.float32) / n_docs
-    grads = {"out": pooled.T @ err, "base": np.array([err.sum()], np.float32)}
+    # A text without any response is clean: one such row goes with every batch.
+    blank = BLANK_WEIGHT * learn.sigmoid(model.base)
+    grads = {"out": pooled.T @ err, "base": np.array([err.sum()], np.float32) + blank.astype(np.float32)}
     back = err[:, None] * model.out
     # Each live block passes the mean's share on; the document's best block the maximum's too.
     of_block = np.repeat(np.arange(len(docs)), blocks)
@@ -192,7 +198,7 @@ def _train_batch(model: Model, adam: learn.Adam, ids: np.ndarray, before: np.nda
     used, dt = learn.sum_rows(flat[live], share[live])
     grads["table"] = dt
     adam.step(grads, {"table": used})
-    return float(np.mean(np.logaddexp(0, logit) - labels * logit))
+    return float(np.mean(np.logaddexp(0, logit) - labels * logit) + BLANK_WEIGHT * np.logaddexp(0, model.base[0]))
 
 
 def _languages(ids: np.ndarray, before: np.ndarray, langs: list) -> tuple[np.ndarray, list]:
@@ -279,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of ``docs`` and the score; 0.5 is the threshold."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != into]
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(into, T.DoubleType())])
 
