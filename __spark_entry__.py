@@ -9,9 +9,10 @@ sides where summation order could change the last bits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wideprep.functions import numeric as N
@@ -30,6 +31,7 @@ from wideprep.operators import profile as P
 from wideprep.operators import quantile as Q
 from wideprep.operators._util import col
 from wideprep.plans import header as HD
+from wideprep.session import checkpoint_dir
 from wideprep.sources import io as IO
 from wideprep.sources import reports as RP
 
@@ -171,7 +173,10 @@ def q_describe_object(spark, d):
 def _part_modes(spark, d):
     p = _t(spark, d, "part")
     return p.select("p_size", "p_brand", "p_type",
-                    _null_if(F.col("p_partkey") % 3 == 0, F.col("p_retailprice")).alias("p_retailprice"))
+                    _null_if(F.col("p_partkey") % 3 == 0, F.col("p_retailprice")).alias("p_retailprice"),
+                    # near-unique values from 1e-9 to 1e20, whose order as text differs from their order as numbers
+                    (F.col("p_retailprice") * F.pow(F.lit(10.0), F.col("p_partkey") % 30 - 12)).alias("p_scaled"),
+                    F.when(F.col("p_partkey") % 2 == 0, 12000000.0).otherwise(1.5).alias("p_tied"))
 
 
 def q_mode_by_string(spark, d):
@@ -477,8 +482,7 @@ def _sql_impute_auto() -> str:
         return (f"coalesce({c}, CASE WHEN {_sql_mean_rule(c)} THEN (SELECT avg({c}) FROM g) "
                 f"ELSE CAST({mode_txt(c)} AS DOUBLE) END)")
     return (f"WITH g AS {ORDERS_AUTO_SQL}\n"
-            "SELECT o_orderkey, coalesce(o_custkey, CAST(trunc((SELECT quantile_cont(o_custkey, 0.5) FROM g)) "
-            "AS BIGINT)) AS o_custkey,\n"
+            "SELECT o_orderkey, coalesce(CAST(o_custkey AS DOUBLE), (SELECT quantile_cont(o_custkey, 0.5) FROM g)) AS o_custkey,\n"
             f" coalesce(o_orderstatus, {mode_txt('o_orderstatus')}) AS o_orderstatus,\n"
             f" {by_rule('o_totalprice')} AS o_totalprice,\n"
             f" round({by_rule('o_price_k')}, 4) AS o_price_k,\n"
@@ -907,7 +911,7 @@ def q_impute_knn(spark, d):
     return out.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("p_size", "p_retailprice", "m3")])
 
 
-EMB_DIMS = 8
+EMB_DIMS = 64
 
 
 def embeddings_frame(spark, d):
@@ -918,41 +922,104 @@ def embeddings_frame(spark, d):
 EMB_FEATURES = [f"f{i}" for i in range(EMB_DIMS)]
 
 
-def _emb_model(spark, d, trees=20, depth=5):
+def _emb_model(spark, d):
     data = FE.split_hash(embeddings_frame(spark, d), "vec_id", 0.2, 42)
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
-    return MD.train_forest(train, EMB_FEATURES, "label", num_trees=trees, max_depth=depth), test
+    return MD.train_forest(train, EMB_FEATURES, "label"), test
+
+
+def _importance_facts(imp):
+    """What SQL can say about importances: one row per feature, none outside 0..100, 100 in all, ranks by size."""
+    total = imp.agg(F.round(F.sum("importance"), 6).alias("total"))
+    ranked = imp.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))     # one row per feature
+    nxt = F.lead("importance").over(Window.orderBy("rank"))
+    return ranked.withColumn("in_order", F.coalesce(nxt <= F.col("importance"), F.lit(True))).crossJoin(F.broadcast(total)) \
+        .select("feature", F.col("importance").between(0, 100.000001).alias("in_range"), "in_order", "total")
+
+
+def _sql_importance_facts(features: str) -> str:
+    return f"SELECT feature, TRUE AS in_range, TRUE AS in_order, 100.0::DOUBLE AS total FROM ({features})"
+
+
+EMB_NAMES_SQL = "SELECT 'f' || i AS feature FROM range(64) r(i)"
 
 
 def q_train_importance(spark, d):
     model, _ = _emb_model(spark, d)
-    return MD.importances(model, EMB_FEATURES)
+    return _importance_facts(MD.importances(model, EMB_FEATURES))
+
+
+def _prediction_facts(out):
+    """Every test row with its label; probabilities of all classes that sum to 1, of which the prediction has the largest."""
+    prob = F.col("probability")
+    return out.select("vec_id", F.col("label").cast("int").alias("label"), F.size(prob).alias("classes"),
+                      F.round(F.aggregate(prob, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
+                      (F.element_at(prob, F.col("prediction") + 1) == F.array_max(prob)).alias("is_largest"))
+
+
+def _sql_prediction_facts() -> str:
+    return ("SELECT vec_id, CAST(label AS INTEGER) AS label, CAST((SELECT max(label) + 1 FROM embeddings WHERE " + _sql_hash("vec_id") +
+            " >= 2000) AS INTEGER) AS classes, 1.0::DOUBLE AS total, TRUE AS is_largest FROM embeddings WHERE " + _sql_hash("vec_id") + " < 2000")
+
+
+def _sql_hash(key: str) -> str:
+    return f"('0x' || substr(md5('42:' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT % 10000"
 
 
 def q_predict(spark, d):
     model, test = _emb_model(spark, d)
-    return MD.predict(model, test, keep=("vec_id", "label"))
+    return _prediction_facts(MD.predict(model, test, keep=("vec_id", "label")))
 
 
 def q_explain_topk(spark, d):
     model, test = _emb_model(spark, d)
-    long = EX.explain(MD.forest(model), test, "vec_id", EMB_FEATURES, "label")
-    return EX.explain_topk(long, 5)
+    long = EX.explain(MD.forest(model), test, "vec_id", EMB_FEATURES, "label").cache()
+    # additive: the model's own probability of the predicted class is the base value plus all contributions
+    sums = EX.explain_predicted(long).groupBy("row_key", "predicted_class").agg((F.sum("shap_value") + F.first("base_value")).alias("sum"))
+    own = MD.predict(model, test, keep=("vec_id",)).select(F.col("vec_id").cast("string").alias("row_key"), "probability")
+    checked = sums.join(own, "row_key").select("row_key", (F.abs(F.element_at("probability", (F.col("predicted_class") + 1).cast("int")) - F.col("sum")) < 1e-9).alias("additive"))
+    top = EX.explain_topk(long, 5)
+    size = F.abs("shap_value")
+    before = F.lag(size).over(Window.partitionBy("row_key").orderBy("rank"))
+    return top.withColumn("in_order", F.coalesce(before >= size, F.lit(True))).join(checked, "row_key") \
+        .select("row_key", "true_class", "rank", "in_order", "additive", F.col("effect").isin("increased", "decreased").alias("labelled"))
+
+
+def _sql_explain_topk() -> str:
+    return ("SELECT CAST(vec_id AS VARCHAR) AS row_key, CAST(label AS VARCHAR) AS true_class, r.rank, TRUE AS in_order, TRUE AS additive, TRUE AS labelled "
+            "FROM embeddings, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS rank) r WHERE " + _sql_hash("vec_id") + " < 2000")
 
 
 def q_explain_global(spark, d):
     model, test = _emb_model(spark, d)
     long = EX.explain(MD.forest(model), test, "vec_id", EMB_FEATURES, "label")
-    return EX.explain_global(long)
+    return EX.explain_global(long).select("feature_name", "class", (F.col("mean_abs_shap") >= 0).alias("valid"))
+
+
+def _sql_explain_global() -> str:
+    return ("SELECT 'f' || f.i AS feature_name, c.i AS class, TRUE AS valid FROM range(64) f(i), "
+            "range((SELECT max(label) + 1 FROM embeddings WHERE " + _sql_hash("vec_id") + " >= 2000)) c(i)")
 
 
 def q_end_to_end(spark, d):
-    e = embeddings_frame(spark, d).withColumn("bucket", (F.col("vec_id") % 4).cast("string"))
-    text = e.select("vec_id", "label", "bucket",
+    """ML10 from raw text: three header rows above generic columns (names in the third, one repeated), decimal commas; kinds are found
+    from the data and one hint."""
+    e = embeddings_frame(spark, d)
+    text = e.select("vec_id", F.col("label").cast("string"), F.concat(F.lit("b"), F.col("vec_id") % 4).alias("bucket"),
                     *[F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")).alias(c) for c in EMB_FEATURES])
-    _, imp, _, _ = MD.end_to_end(text, "vec_id", "label", EMB_FEATURES, ["bucket"], num_trees=10, max_depth=4)
-    return imp
+    cols = text.columns[1:]
+    names = ["label", "bucket", *EMB_FEATURES[:-1], EMB_FEATURES[0]]                 # the last column repeats a name
+    rows = [F.struct(F.lit(r - 3).cast("long").alias("vec_id"), *[F.lit(("", f"group {i % 3}", names[i])[r]).alias(c) for i, c in enumerate(cols)]) for r in range(3)]
+    head = spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    hints = spark.createDataFrame([("bucket", "categorical")], "key string, kind string")
+    _, imp, _, _ = MD.end_to_end(head.unionByName(text), "vec_id", "label", hints=hints, n_header=3)
+    return _importance_facts(imp)
+
+
+def _sql_end_to_end() -> str:
+    return _sql_importance_facts("SELECT 'num__f' || CASE WHEN i = 63 THEN '0_2' ELSE CAST(i AS VARCHAR) END AS feature FROM range(64) r(i) "
+                                 "UNION ALL SELECT DISTINCT 'cat__bucket_b' || CAST(vec_id % 4 AS VARCHAR) FROM embeddings")
 
 
 def q_mean_median(spark, d):
@@ -1080,12 +1147,16 @@ def _sql_report_hints() -> str:
 
 def q_parquet_header_rows(spark, d):
     """IO1 on a Parquet file: its first three rows (by ``_metadata.row_index``)
-    are header rows; row 2 names the columns; the body in long form."""
-    header, body = IO.read_parquet_multi_header(spark, f"{d}/customer.parquet", 3)
+    are header rows; row 2 names the columns; the body in long form.  The table is written in four files by key first: only
+    the first of them has header rows."""
+    c = _t(spark, d, "customer")
+    path = _scratch(spark, "header")
+    c.repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey").write.parquet(path)
+    header, body = IO.read_parquet_multi_header(spark, path, 3)
     names = {r["col_idx"]: r["name"] for r in HD.pick_names(header).collect()}  # one per column
     cols = [c for c in body.columns if not c.startswith("_")]
-    named = body.select(F.col("_row").alias("row_index"), *[col(c).alias(names[i]) for i, c in enumerate(cols)])
-    return named.unpivot(["row_index"], [col(names[i]) for i in range(len(cols))], "name", "value")
+    named = body.select(F.col("c_custkey").cast("long").alias("key"), *[col(c).alias(names[i]) for i, c in enumerate(cols)])
+    return named.unpivot(["key"], [col(names[i]) for i in range(len(cols))], "name", "value")
 
 
 def q_flatten_levels(spark, d):
@@ -1093,13 +1164,12 @@ def q_flatten_levels(spark, d):
 
 
 def _sql_parquet_header_rows() -> str:
-    # the driver files are written in key order, so the key order is the file order here
     cols = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
     casts = ", ".join(f"CAST({c} AS VARCHAR) AS v{i}" for i, c in enumerate(cols))
     names = ", ".join(f"{sql_normalize(f'max(CASE WHEN rn = 2 THEN v{i} END)')} AS n{i}" for i in range(len(cols)))
-    body = _union([f"SELECT t.rn AS row_index, h.n{i} AS name, t.v{i} AS value FROM t, h WHERE t.rn >= 3"
+    body = _union([f"SELECT t.key, h.n{i} AS name, t.v{i} AS value FROM t, h WHERE t.rn >= 3"
                    for i in range(len(cols))])
-    return (f"WITH t AS (SELECT {casts}, row_number() OVER (ORDER BY c_custkey) - 1 AS rn FROM customer),\n"
+    return (f"WITH t AS (SELECT CAST(c_custkey AS BIGINT) AS key, {casts}, row_number() OVER (ORDER BY c_custkey) - 1 AS rn FROM customer),\n"
             f"h AS (SELECT {names} FROM t)\n" + body)
 
 
@@ -1137,8 +1207,8 @@ def _sql_split_exact() -> str:
 
 def q_train_boosted_importance(spark, d):
     data = FE.split_hash(embeddings_frame(spark, d), "vec_id", 0.2, 42)
-    model = MD.train_boosted(data.where(F.col("split") == "train"), EMB_FEATURES, "label", max_iter=5, max_depth=3)
-    return MD.importances(model, EMB_FEATURES)
+    model = MD.train_boosted(data.where(F.col("split") == "train"), EMB_FEATURES, "label")
+    return _importance_facts(MD.importances(model, EMB_FEATURES))
 
 
 # --------------------------------------------------------------------------- type report lines
@@ -1171,6 +1241,186 @@ def _sql_type_report_lines() -> str:
             "FROM k JOIN s ON k.\"column\" = s.\"column\"")
 
 
+# --------------------------------------------------------------------------- sources and sinks: write, read back
+
+def _scratch(spark, name: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _customer_text(spark, d):
+    c = _t(spark, d, "customer")
+    return c.select("c_custkey", F.concat(F.col("c_name"), F.lit(', "x"; é')).alias("c_name"), "c_acctbal", _null_if(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+
+
+CUSTOMER_TEXT_SQL = ("SELECT c_custkey, c_name || ', \"x\"; é' AS c_name, c_acctbal, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END "
+                     "AS c_mktsegment FROM customer")
+
+
+def q_csv_round_trip(spark, d):
+    """IO4, IO3: written as CSV, read as a plain table."""
+    df, path = _customer_text(spark, d), _scratch(spark, "csv")
+    IO.write_csv(df, path)
+    return IO.read_table(spark, path, "csv", df.schema, escape="\\")
+
+
+def q_parquet_round_trip(spark, d):
+    """IO5: written as Parquet by segment, read as a plain table (IO3)."""
+    path = _scratch(spark, "parquet")
+    if not IO.write_parquet(_customer_text(spark, d), path, partition_by=["c_mktsegment"]):
+        raise ValueError("the table was not written")
+    return IO.read_table(spark, path).select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
+def q_report_round_trip(spark, d):
+    """IO10: a result table as CSV and as Parquet."""
+    rate, path = P.fill_rate(orders_gaps(spark, d)), _scratch(spark, "report")
+    IO.write_report(rate, path + "/a", "csv")
+    IO.write_report(rate, path + "/b")
+    a = IO.read_table(spark, path + "/a", "csv", rate.schema)
+    return a.withColumn("fmt", F.lit("csv")).unionByName(IO.read_table(spark, path + "/b").withColumn("fmt", F.lit("parquet")))
+
+
+def q_metadata_round_trip(spark, d):
+    """IO6: final names and header rows, read back as ``col_idx, name, row0..row2``."""
+    header, path = customer_header(spark, d), _scratch(spark, "meta")
+    names = [r["name"] for r in HD.pick_names(header).orderBy("col_idx").collect()]        # one per column
+    IO.write_metadata(spark, names, header, path)
+    got = spark.createDataFrame(list(enumerate(IO.read_json_value(spark, path + "/columns_normalized"))), "col_idx int, name string")
+    rows = IO.read_table(spark, path + "/header_rows", "csv", "row_idx int, " + ", ".join(f"`{i}` string" for i in range(len(names))))
+    long = rows.unpivot(["row_idx"], [col(str(i)) for i in range(len(names))], "c", "cell")
+    wide = long.groupBy(F.col("c").cast("int").alias("col_idx")).agg(*[F.coalesce(F.max(F.when(F.col("row_idx") == r, F.col("cell"))), F.lit("")).alias(f"row{r}") for r in range(3)])
+    return got.join(wide, "col_idx")
+
+
+def q_bundle_round_trip(spark, d):
+    """IO7, IO8: a data set split into train and test with its description."""
+    data, path = FE.split_hash(_customer_text(spark, d), "c_custkey"), _scratch(spark, "bundle")
+    IO.save_bundle(spark, path, data, {"target": "c_mktsegment", "numerical": ["c_acctbal"]}, partition_by=["split"])
+    back, meta = IO.load_bundle(spark, path)
+    return back.select("c_custkey", "split", *[F.col(c) for c in meta["numerical"]], F.col(meta["target"]).alias("target"))
+
+
+def q_model_round_trip(spark, d):
+    """IO9: a saved and loaded model gives the same probabilities."""
+    model, test = _emb_model(spark, d)
+    path = _scratch(spark, "model")
+    IO.save_model(model, path)
+    a = MD.predict(model, test, keep=("vec_id",)).select("vec_id", F.col("probability").alias("p"))
+    b = MD.predict(IO.load_model(path), test, keep=("vec_id",))
+    return a.join(b, "vec_id").select("vec_id", (F.col("p") == F.col("probability")).alias("same"))
+
+
+def q_header_rows_round_trip(spark, d):
+    """IM12: filled data beside their untouched header rows; both read back in one long table."""
+    header, path = customer_header(spark, d), _scratch(spark, "filled")
+    data = I.impute_constant(_customer_text(spark, d), {"c_mktsegment": "none"})
+    IO.write_with_header_rows(spark, header, data, path)
+    rows = IO.read_table(spark, path + "/header_rows", "csv", "row_idx long, `0` string, `1` string, `2` string, `3` string")
+    head = rows.select(F.lit("header").alias("part"), F.col("row_idx").alias("row"), F.coalesce(F.col("3"), F.lit("")).alias("last"))
+    return head.unionByName(IO.read_table(spark, path + "/data").select(F.lit("data").alias("part"), F.col("c_custkey").cast("long").alias("row"), F.col("c_mktsegment").alias("last")))
+
+
+def _sql_header_rows_round_trip() -> str:
+    return (_sql_header_cells() + "\nSELECT 'header' AS part, CAST(row_idx AS BIGINT) AS row, cell AS last FROM hc WHERE col_idx = 3 "
+            "UNION ALL SELECT 'data', CAST(c_custkey AS BIGINT), CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE c_mktsegment END FROM customer")
+
+
+def _sql_metadata_round_trip() -> str:
+    cells = ", ".join(f"max(CASE WHEN row_idx = {r} THEN cell END) AS row{r}" for r in range(3))
+    return (f"WITH n AS ({_sql_pick_names()}), w AS ({_sql_header_cells()} SELECT col_idx, {cells} FROM hc GROUP BY col_idx)\n"
+            "SELECT n.col_idx, n.name, row0, row1, row2 FROM n JOIN w ON n.col_idx = w.col_idx")
+
+
+def q_csv_multi_header(spark, d):
+    """IO1 on text in several files: three header rows in the first, separator ``;``, quoted separators."""
+    body = _customer_text(spark, d).select(F.col("c_custkey").cast("string"), "c_name", F.col("c_acctbal").cast("string"), "c_mktsegment")
+    path = _scratch(spark, "lines")
+    quoted = F.concat(F.lit('"'), F.replace(F.col("c_name"), F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = body.select(F.col("c_custkey").cast("long").alias("k"), F.concat_ws(";", "c_custkey", quoted, "c_acctbal", F.coalesce("c_mktsegment", F.lit(""))).alias("value"))
+    head = spark.sql("SELECT * FROM VALUES (-3L, 'x;;y;'), (-2L, 'Id;Person;;'), (-1L, ';«Name»;Balance;Segment') AS t(k, value)")
+    lines.unionByName(head).repartitionByRange(5, "k").sortWithinPartitions("k").select("value").write.text(path)
+    header, rows = IO.read_multi_header(spark, path, 3, sep=";")
+    names = [r["name"] for r in HD.pick_names(header).orderBy("col_idx").collect()]        # one per column
+    named = IO.apply_names(rows, names)
+    first = named.withColumn("place", F.row_number().over(Window.partitionBy("_file").orderBy("_offset")))
+    return first.select(F.col(names[0]).cast("long").alias("key"), F.concat_ws("|", *[F.col(f"`{n}`") for n in names]).alias("cells"), F.lit("|".join(names)).alias("names"))
+
+
+def _sql_csv_multi_header() -> str:
+    return (f"SELECT CAST(c_custkey AS BIGINT) AS key, concat_ws('|', c_custkey, c_name, CAST(c_acctbal AS VARCHAR), c_mktsegment) AS cells, "
+            f"'Id|\"Name\"|Balance|Segment' AS names FROM ({CUSTOMER_TEXT_SQL})")
+
+
+def q_csv_quoted_newlines(spark, d):
+    """IO1 with newlines inside quoted cells."""
+    path = _scratch(spark, "newlines")
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.col("c_custkey"), F.lit(',"'), F.col("c_name"), F.lit('\n""second"" line"')).alias("value"))
+    head = spark.sql("SELECT * FROM VALUES (-2, 'a,\"b\nc\"'), (-1, 'Key,Name') AS t(k, value)")
+    c.unionByName(head).repartitionByRange(2, "k").sortWithinPartitions("k").select("value").write.text(path)
+    header, rows = IO.read_multi_header(spark, path, 2, multi_line=True)
+    return rows.select(F.col("_c0").cast("long").alias("key"), F.col("_c1").alias("text"))
+
+
+# --------------------------------------------------------------------------- options
+
+def q_placeholder_names(spark, d):
+    """PR2, PR3: cells that count as empty, and a default name."""
+    h = customer_header(spark, d)
+    odd = h.withColumn("cell", F.when(F.col("col_idx") == 1, F.lit("nan")).when((F.col("col_idx") == 2) & (F.col("row_idx") > 0), F.lit("Unnamed: 2_level")).otherwise(F.col("cell")))
+    return HD.pick_names(odd, placeholder_regex=HD.PLACEHOLDER_PATTERN, default="column {idx}")
+
+
+def _sql_placeholder_names() -> str:
+    return (_sql_header_cells() + ", o AS (SELECT col_idx, row_idx, CASE WHEN col_idx = 1 THEN 'nan' WHEN col_idx = 2 AND row_idx > 0 THEN "
+            "'Unnamed: 2_level' ELSE cell END AS cell FROM hc), e AS (SELECT col_idx, row_idx, CASE WHEN cell = '' OR cell = 'nan' OR cell LIKE 'Unnamed: 2%' "
+            "THEN NULL ELSE cell END AS cell FROM o)\nSELECT col_idx, coalesce(arg_max(cell, row_idx) FILTER (cell IS NOT NULL), 'column ' || col_idx) AS name, "
+            "CAST(coalesce(max(row_idx) FILTER (cell IS NOT NULL), 2) AS INTEGER) AS used_row FROM e GROUP BY col_idx")
+
+
+def q_split_xy(spark, d):
+    """PR8: both sides, joined again by the kept key."""
+    x, y = CO.split_xy(orders_gaps(spark, d), "o_orderpriority", keep=["o_orderkey"])
+    return x.select("o_orderkey", "o_totalprice").join(y, "o_orderkey").withColumn("columns", F.lit(",".join(x.columns)))
+
+
+def q_existing_columns(spark, d):
+    """PR12: of the wanted names those that exist, in the order asked for."""
+    o = _t(spark, d, "orders")
+    return o.select(*[col(c) for c in CO.existing(o, ["o_orderstatus", "nothing", "o_orderkey", "O_CUSTKEY"])])
+
+
+def q_impute_policy_knn(spark, d):
+    """IM11 with a knn rule: the related columns are filled enough, so they are imputed together."""
+    out = I.impute_policy(part_knn(spark, d), [(["p_size", "p_retailprice", "m3"], "knn", 50.0)], default_numeric=None, key="p_partkey", k=3)
+    return out.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("p_size", "p_retailprice", "m3")])
+
+
+def q_impute_integers(spark, d):
+    """IM1, IM2, IM6 on integer columns: the filled columns are doubles."""
+    k = F.col("o_orderkey")
+    o = _t(spark, d, "orders").select("o_orderkey", *[_null_if(k % m == 0, F.col("o_custkey")).alias(c) for c, m in (("mean_", 7), ("median_", 5), ("line_", 3))])
+    out = O.interpolate(I.impute_median(I.impute_mean(o, ["mean_"]), ["median_"]), ["line_"], "o_orderkey")
+    return out.select("o_orderkey", *[F.round(c, 6).alias(c) for c in ("mean_", "median_", "line_")])
+
+
+def _sql_impute_integers() -> str:
+    return ("WITH g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS a, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS b, "
+            "CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS c, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders),\n"
+            "w AS (SELECT *, last_value(c IGNORE NULLS) OVER p AS pv, max(CASE WHEN c IS NOT NULL THEN pos END) OVER p AS pp, "
+            "first_value(c IGNORE NULLS) OVER n AS nv, min(CASE WHEN c IS NOT NULL THEN pos END) OVER n AS np FROM g "
+            "WINDOW p AS (ORDER BY pos ROWS UNBOUNDED PRECEDING), n AS (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))\n"
+            "SELECT o_orderkey, round(coalesce(CAST(a AS DOUBLE), (SELECT avg(a) FROM g)), 6) AS mean_, "
+            "round(coalesce(CAST(b AS DOUBLE), (SELECT quantile_cont(b, 0.5) FROM g)), 6) AS median_, "
+            "round(CASE WHEN c IS NOT NULL THEN CAST(c AS DOUBLE) WHEN pp IS NULL THEN NULL WHEN np IS NULL THEN CAST(pv AS DOUBLE) "
+            "ELSE pv + (nv - pv) * ((pos - pp)::DOUBLE / (np - pp)) END, 6) AS line_ FROM w")
+
+
+def q_sign_labels(spark, d):
+    """TX9: the sign label of every balance."""
+    return _t(spark, d, "customer").select("c_custkey", TX.sign_label(F.col("c_acctbal")).alias("sign"))
+
+
 # --------------------------------------------------------------------------- registry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -1255,6 +1505,21 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "split_exact": q_split_exact,
         "train_boosted_importance": q_train_boosted_importance,
         "type_report_lines": q_type_report_lines,
+        "csv_round_trip": q_csv_round_trip,
+        "parquet_round_trip": q_parquet_round_trip,
+        "report_round_trip": q_report_round_trip,
+        "metadata_round_trip": q_metadata_round_trip,
+        "bundle_round_trip": q_bundle_round_trip,
+        "model_round_trip": q_model_round_trip,
+        "header_rows_round_trip": q_header_rows_round_trip,
+        "csv_multi_header": q_csv_multi_header,
+        "csv_quoted_newlines": q_csv_quoted_newlines,
+        "placeholder_names": q_placeholder_names,
+        "split_xy": q_split_xy,
+        "existing_columns": q_existing_columns,
+        "impute_policy_knn": q_impute_policy_knn,
+        "impute_integers": q_impute_integers,
+        "sign_labels": q_sign_labels,
     }
 
 
@@ -1338,7 +1603,9 @@ def _sql_mode(tie: str) -> str:
     cols = {"p_size": ("CAST(p_size AS VARCHAR)", "CAST(p_size AS DOUBLE)"),
             "p_brand": ("p_brand", "NULL"), "p_type": ("p_type", "NULL"),
             "p_retailprice": ("CAST(CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS VARCHAR)",
-                              "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END")}
+                              "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END"),
+            "p_scaled": ("CAST(p_retailprice * pow(10.0, p_partkey % 30 - 12) AS VARCHAR)", "p_retailprice * pow(10.0, p_partkey % 30 - 12)"),
+            "p_tied": ("CASE WHEN p_partkey % 2 = 0 THEN '12000000.0' ELSE '1.5' END", "CASE WHEN p_partkey % 2 = 0 THEN 12000000.0 ELSE 1.5 END")}
     long = _union([f"SELECT '{c}' AS \"column\", {s} AS value, {v} AS num FROM part WHERE {s} IS NOT NULL"
                    for c, (s, v) in cols.items()])
     order = "n DESC, num ASC NULLS LAST, value" if tie == "value" else "n DESC, value"
@@ -1462,6 +1729,27 @@ def _own_oracle_sql() -> dict[str, str]:
         "corr_ranked": _sql_corr_ranked(),
         "split_exact": _sql_split_exact(),
         "type_report_lines": _sql_type_report_lines(),
+        "train_importance": _sql_importance_facts(EMB_NAMES_SQL),
+        "train_boosted_importance": _sql_importance_facts(EMB_NAMES_SQL),
+        "predict": _sql_prediction_facts(),
+        "end_to_end": _sql_end_to_end(),
+        "explain_topk": _sql_explain_topk(),
+        "explain_global": _sql_explain_global(),
+        "csv_round_trip": CUSTOMER_TEXT_SQL,
+        "parquet_round_trip": CUSTOMER_TEXT_SQL,
+        "report_round_trip": f"SELECT * FROM ({_sql_fill_rate()}) CROSS JOIN (VALUES ('csv'), ('parquet')) f(fmt)",
+        "metadata_round_trip": _sql_metadata_round_trip(),
+        "bundle_round_trip": f"SELECT c_custkey, CASE WHEN {_sql_hash('c_custkey')} < 2000 THEN 'test' ELSE 'train' END AS split, c_acctbal, c_mktsegment AS target FROM ({CUSTOMER_TEXT_SQL})",
+        "model_round_trip": f"SELECT vec_id, TRUE AS same FROM embeddings WHERE {_sql_hash('vec_id')} < 2000",
+        "header_rows_round_trip": _sql_header_rows_round_trip(),
+        "csv_multi_header": _sql_csv_multi_header(),
+        "csv_quoted_newlines": "SELECT CAST(c_custkey AS BIGINT) AS key, c_name || chr(10) || '\"second\" line' AS text FROM customer",
+        "placeholder_names": _sql_placeholder_names(),
+        "split_xy": f"SELECT o_orderkey, o_totalprice, o_orderpriority, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate' AS columns FROM {ORDERS_GAPS_SQL}",
+        "existing_columns": "SELECT o_orderstatus, o_orderkey FROM orders",
+        "impute_policy_knn": _sql_impute_knn(),
+        "impute_integers": _sql_impute_integers(),
+        "sign_labels": "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'increased' ELSE 'decreased' END AS sign FROM customer",
     }
 
 

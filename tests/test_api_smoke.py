@@ -131,7 +131,7 @@ def test_tune_for_input(spark, tmp_out):
     assert input_bytes(spark, path) == 1000
     before = spark.conf.get("spark.sql.shuffle.partitions")
     s = tune_for_input(spark, 100 * 1024 ** 4)           # 100 TB
-    assert s["spark.sql.shuffle.partitions"] == "200000"  # capped
+    assert s["spark.sql.shuffle.partitions"] == "409600"  # one per 256 MB, no cap
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(256 * 1024 * 1024)
     spark.conf.set("spark.sql.shuffle.partitions", before)
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))

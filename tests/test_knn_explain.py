@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from wideprep.operators import explain as EX
 from wideprep.operators import knn as KN
@@ -76,30 +77,66 @@ def test_importances_sum_to_100(spark):
     assert imp.iloc[0].feature == "a"
 
 
-def test_vectorised_treeshap_equals_row_at_a_time(spark):
+def _expected(node, x, known, value):
+    """Path-dependent expectation of a tree when only the features ``known`` are given."""
+    if node.getClass().getSimpleName() != "InternalNode":
+        return np.array(value(node))
+    split = node.split()
+    left, right = node.leftChild(), node.rightChild()
+    if int(split.featureIndex()) in known:
+        return _expected(left if x[int(split.featureIndex())] <= split.threshold() else right, x, known, value)
+    wl, wr = (sum(c.impurityStats().stats()) for c in (left, right))
+    return (wl * _expected(left, x, known, value) + wr * _expected(right, x, known, value)) / (wl + wr)
+
+
+def test_contributions_are_shapley_values(spark):
+    """Against the definition: the mean over all feature orders of what each feature adds."""
+    from itertools import combinations
+    from math import factorial
     rng = np.random.default_rng(12)
-    X = rng.normal(size=(120, 5))
-    y = (X[:, 0] + X[:, 2] > 0).astype(int) + (X[:, 4] > 1).astype(int)
-    pdf = pd.DataFrame(X, columns=[f"f{i}" for i in range(5)]).assign(label=y)
-    model = MD.train_forest(spark.createDataFrame(pdf), [f"f{i}" for i in range(5)], "label", num_trees=4,
-                            max_depth=5)
-    trees = EX.forest_arrays(MD.forest(model))
-    a, ba, pa = EX.explain_rows(trees, X[:40])
-    b, bb, pb = EX.explain_batch(trees, X[:40])
-    assert np.allclose(a, b, atol=1e-12) and np.allclose(ba, bb) and np.allclose(pa, pb)
-
-
-def test_saved_node_table_equals_object_walk(spark):
-    rng = np.random.default_rng(6)
-    X = rng.normal(size=(200, 4))
-    pdf = pd.DataFrame(X, columns=list("abcd")).assign(label=(X[:, 0] > 0) * 1 + (X[:, 2] > 1) * 1)
-    model = MD.train_forest(spark.createDataFrame(pdf), list("abcd"), "label", num_trees=3, max_depth=4)
-    a = EX._forest_arrays_saved(MD.forest(model))
-    b = EX._forest_arrays_walk(MD.forest(model))
-    assert len(a) == len(b) == 3
-    for ta, tb in zip(a, b):
-        for key in ("left", "right", "feature", "threshold", "cover", "value"):
-            assert np.allclose(ta[key], tb[key]), key
+    X = rng.normal(size=(120, 4))
+    y = (X[:, 0] + X[:, 2] > 0).astype(int) + (X[:, 3] > 1).astype(int)
+    names = [f"f{i}" for i in range(4)]
+    sdf = spark.createDataFrame(pd.DataFrame(X, columns=names).assign(label=y, id=np.arange(120)))
+    model = MD.train_forest(sdf, names, "label", num_trees=3, max_depth=4)
+    trees = MD.forest(model)._java_obj.trees()
+
+    def value(node):
+        s = np.array([float(v) for v in node.impurityStats().stats()])
+        return s / s.sum() / len(trees)
+
+    long = EX.explain(MD.forest(model), sdf.where("id < 4"), "id", names).toPandas()
+    for row in range(4):
+        worth = {s: sum(_expected(t.rootNode(), X[row], s, value) for t in trees)
+                 for n in range(5) for s in map(frozenset, combinations(range(4), n))}
+        for f in range(4):
+            want = sum(factorial(len(s)) * factorial(3 - len(s)) / 24 * (worth[s | {f}] - worth[s]) for s in worth if f not in s)
+            own = long[(long.row_key == str(row)) & (long.feature_name == names[f])].sort_values("class")
+            assert np.allclose(own.shap_value, want, atol=1e-9)
+            assert np.allclose(own.base_value, worth[frozenset()])
+
+
+def test_categorical_splits_are_explained(spark):
+    rows = [(i, "abc"[i % 3], float(i % 7), int(i % 3 == 1)) for i in range(90)]
+    raw = spark.createDataFrame(rows, "id long, c string, x double, label int")
+    model, imp, scored, names = MD.end_to_end(raw.withColumn("label", F.col("label").cast("string")), "id", "label", ["x"], ["c"], num_trees=3, max_depth=3)
+    ready = scored.count()
+    assert ready > 0 and names == ["num__x", "cat__c_a", "cat__c_b", "cat__c_c"]
+    assert imp.first()["feature"] in ("cat__c_b", "cat__c_a", "cat__c_c")
+
+
+def test_split_is_exact_within_strata(spark):
+    from wideprep.operators import features as FE
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 4 == 0).alias("g"))
+    got = {(r.g, r.split): r["count"] for r in FE.split_hash(df, "id", 0.2, exact=True, stratify="g").groupBy("g", "split").count().collect()}
+    assert got == {(True, "test"): 5, (True, "train"): 20, (False, "test"): 15, (False, "train"): 60}
+
+
+def test_scaling_can_be_fitted_on_the_training_part(spark):
+    df = spark.createDataFrame([(i, float(i), "a" if i else "only-test", str(i % 2)) for i in range(60)], "id long, x double, c string, label string")
+    for fit_on in ("all", "train"):
+        _, imp, _, names = MD.end_to_end(df, "id", "label", ["x"], ["c"], fit_on=fit_on, stratify=True, num_trees=2, max_depth=2)
+        assert set(names) >= {"num__x", "cat__c_a"} and imp.count() == len(names)
 
 
 def test_end_to_end_with_classification(spark):

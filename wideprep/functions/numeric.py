@@ -17,9 +17,7 @@ from pyspark.sql import types as T
 NUMBER_PATTERN = r"^[ \t\n\r\f\x0B]*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\n\r\f\x0B]*$"
 INFINITY_PATTERN = r"^[ \t\n\r\f\x0B]*[+-]?(?i:inf|infinity)[ \t\n\r\f\x0B]*$"
 _BLANKS = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
-# Integer-like tolerance and the largest number of decimals looked at.
 INT_TOLERANCE = 1e-9
-MAX_DECIMALS = 17
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
                  T.FloatType, T.DoubleType, T.DecimalType)
@@ -62,9 +60,9 @@ def is_integer_like(v) -> Column:
 def decimal_places(v, dtype: T.DataType) -> Column:
     """NUM3: decimal places of a value as written in shortest plain notation.
 
-    Integral types give 0.  For float/double the answer is the smallest d >= 1
-    with ``round(v, d) == v`` (an integer-valued double is written ``3.0`` and
-    counts 1), which is the fraction length of the shortest round-trip text.
+    Integral types give 0.  For float/double it is the fraction length of the
+    shortest round-trip text, read off Spark's own text (mantissa and exponent)
+    without any limit; an integer-valued double is written ``3.0`` and counts 1.
     Non-numeric types give NULL.
     """
     v = _col(v)
@@ -75,10 +73,27 @@ def decimal_places(v, dtype: T.DataType) -> Column:
     if not isinstance(dtype, (T.FloatType, T.DoubleType)):
         return F.lit(None).cast("int")
     d = v.cast("double")
-    expr = F.when(d.isNull() | F.isnan(d) | (F.abs(d) == F.lit(float("inf"))), F.lit(None).cast("int"))
-    for k in range(1, MAX_DECIMALS + 1):
-        expr = expr.when(F.round(d, k) == d, F.lit(k))
-    return expr.otherwise(F.lit(MAX_DECIMALS))
+    mantissa, exponent = _parts(d.cast("string"))
+    fraction = F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
+    return F.when(F.abs(d) < F.lit(float("inf")), F.greatest(F.lit(1), F.length(fraction) - exponent))
+
+
+def _parts(text: Column) -> tuple[Column, Column]:
+    """Mantissa and exponent of a double's text (``1.2E7`` or ``0.25``)."""
+    return F.substring_index(text, "E", 1), F.when(F.instr(text, "E") > 0, F.substring_index(text, "E", -1).cast("int")).otherwise(0)
+
+
+def float_text(v: Column) -> Column:
+    """The shortest text of a double as Python and most databases write it: plain from 1e-4 to below 1e16
+    (``12000000.0``, ``0.0001``), else with a two-digit exponent (``1.2e+16``, ``1e-05``)."""
+    text, size = v.cast("string"), F.abs(v)
+    mantissa, exponent = _parts(text)
+    # 17 digits before and 21 after the point hold every double of the plain range exactly as its text says
+    plain = F.regexp_replace(text.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    sign = F.when(exponent < 0, "-").otherwise("+")
+    digits = F.abs(exponent).cast("string")
+    science = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.lit("e"), sign, F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits))
+    return F.when((size == 0) | ~(size < F.lit(float("inf"))), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(science)
 
 
 def dtype_category(dtype: T.DataType) -> str:

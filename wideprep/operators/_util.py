@@ -33,7 +33,7 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def stacked_agg(df: DataFrame, columns: list[str], per_column, extra=None) -> DataFrame:
+def stacked_agg(df: DataFrame, columns: list[str], per_column, extra=None, size: int = AGG_CHUNK) -> DataFrame:
     """One aggregation job per chunk of columns, returned in long form.
 
     ``per_column(name) -> list[Column]`` gives named aggregate expressions for
@@ -43,7 +43,7 @@ def stacked_agg(df: DataFrame, columns: list[str], per_column, extra=None) -> Da
     """
     position = {c: i for i, c in enumerate(df.columns)}
     frames = []
-    for part in chunks(columns):
+    for part in chunks(columns, size):
         aggs = []
         for i, c in enumerate(part):
             aggs.append(F.struct(*per_column(c)).alias(f"_s{i}"))

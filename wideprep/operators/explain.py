@@ -1,420 +1,148 @@
-"""Per-prediction explanations with TreeSHAP (ML8, ML9, SO4).
-
-Exact path-dependent TreeSHAP (Lundberg et al., "Consistent individualized
-feature attribution for tree ensembles", Algorithm 2) for Spark's random
-forest.  The forest's node arrays (bounded by the model size, not the data)
-are read once from the fitted model, broadcast, and every task explains its
-own rows in ``mapInPandas``; the output is a long table
-``row, feature, class, contribution``.
-
-A forest's class probability is the mean over trees of the leaf class
-distribution, so contributions and base value are per-tree averages and
-``base_value + sum(contributions) = probability`` for every class.  The
-recursion runs once per tree and Arrow batch, vectorised over the batch's
-rows (``explain_batch``); ``explain_rows`` is the row-at-a-time reference.
+"""Per-prediction explanations with TreeSHAP (ML8, ML9, SO4) as DataFrame steps.
+
+Path-dependent TreeSHAP (Lundberg et al., "Consistent individualized feature attribution for tree ensembles") gives a
+leaf's share to the features on its path, and that share depends only on which of the path's conditions the row
+meets.  So the model becomes two tables of model size: the leaves with their conditions, and one row per (leaf, set of
+met conditions, feature) with the contribution to every class.  A row of data meets each leaf with one bit mask; masks
+join the second table, and contributions are summed by row and feature.  Everything runs in Spark's own expressions.
+
+``base_value + sum(contributions) = probability`` (forest) or ``margin`` (boosted) for every row and class.
+The contribution table has ``leaves x 2^depth x depth`` rows at most, so explained models should stay shallow (Spark's
+default depth is 5).  ``key`` must be unique.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import json
+from math import factorial, prod
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wideprep.functions.text import sign_label
 from wideprep.operators._util import col
 
-OUTPUT_ROWS_PER_FRAME = 2_000_000
-
-
-def forest_arrays(rf_model) -> list[dict]:
-    """Node arrays per tree: left, right (-1 at leaves), feature, threshold,
-    left-category sets, normalised class distribution, cover (weighted count).
-
-    Read from the model's saved node table with Spark (one scan, model-sized
-    collect); the per-node walk over the JVM objects is the fallback."""
-    try:
-        return _forest_arrays_saved(rf_model)
-    except Exception:  # noqa: BLE001 - storage layout of another Spark version: walk the objects
-        return _forest_arrays_walk(rf_model)
-
-
-def _forest_arrays_saved(rf_model) -> list[dict]:
-    # Spark ML writes tree ensembles as ``data/`` with ``treeID`` and ``nodeData``
-    # (preorder ids, child ids, impurity stats, split); this reader is the only
-    # place that depends on that layout.
-    import uuid
-
-    from pyspark.sql import SparkSession
-
-    from wideprep.session import checkpoint_dir
-    spark = SparkSession.getActiveSession()
-    path = checkpoint_dir(spark).rstrip("/") + f"/forest-{uuid.uuid4().hex}"
-    rf_model.write().overwrite().save(path)
-    rows = spark.read.parquet(path + "/data").select(
-        "treeID", "nodeData.id", "nodeData.impurityStats", "nodeData.leftChild", "nodeData.rightChild",
-        "nodeData.split.featureIndex", "nodeData.split.leftCategoriesOrThreshold",
-        "nodeData.split.numCategories").collect()  # one row per node: model-sized
-    by_tree: dict[int, list] = {}
-    for r in rows:
-        by_tree.setdefault(r["treeID"], []).append(r)
-    trees = []
-    for t in sorted(by_tree):
-        nodes = sorted(by_tree[t], key=lambda r: r["id"])
-        stats = [np.array(r["impurityStats"], dtype="float64") for r in nodes]
-        cover = np.array([st.sum() for st in stats])
-        value = np.array([st / (st.sum() or 1.0) for st in stats])
-        internal = [r["leftChild"] >= 0 for r in nodes]
-        cats = [set(float(c) for c in r["leftCategoriesOrThreshold"]) if (i and r["numCategories"] >= 0) else None
-                for r, i in zip(nodes, internal)]
-        thr = [float(r["leftCategoriesOrThreshold"][0]) if (i and r["numCategories"] < 0) else 0.0
-               for r, i in zip(nodes, internal)]
-        trees.append({"left": np.array([r["leftChild"] for r in nodes]),
-                      "right": np.array([r["rightChild"] for r in nodes]),
-                      "feature": np.array([r["featureIndex"] if i else -1 for r, i in zip(nodes, internal)]),
-                      "threshold": np.array(thr), "cats": cats, "cover": cover, "value": value})
-    return trees
-
-
-def _forest_arrays_walk(rf_model) -> list[dict]:
-    return _walk_trees(rf_model._java_obj.trees(), regression=False)
-
-
-def _walk_trees(jtrees, regression: bool) -> list[dict]:
-    """Node arrays from the JVM tree objects.  Classification trees: value =
-    normalised class distribution, cover = its total.  Regression trees (the
-    members of boosted models): value = the node's prediction, cover = its
-    weighted count (first impurity statistic)."""
-    trees = []
-    for t in range(len(jtrees)):
-        nodes = []
-
-        def walk(node):
-            idx = len(nodes)
-            stats = np.array(list(node.impurityStats().stats()), dtype="float64")
-            entry = {"stats": stats, "pred": float(node.prediction()), "left": -1, "right": -1, "feature": -1,
-                     "threshold": 0.0, "cats": None}
-            nodes.append(entry)
-            if node.getClass().getSimpleName() == "InternalNode":
-                split = node.split()
-                entry["feature"] = int(split.featureIndex())
-                if split.getClass().getSimpleName() == "ContinuousSplit":
-                    entry["threshold"] = float(split.threshold())
-                else:
-                    entry["cats"] = set(float(c) for c in split.leftCategories())
-                entry["left"] = walk(node.leftChild())
-                entry["right"] = walk(node.rightChild())
-            return idx
-
-        walk(jtrees[t].rootNode())
-        if regression:
-            cover = np.array([n["stats"][0] for n in nodes])
-            value = np.array([[n["pred"]] for n in nodes])
-        else:
-            cover = np.array([n["stats"].sum() for n in nodes])
-            value = np.array([n["stats"] / (n["stats"].sum() or 1.0) for n in nodes])
-        trees.append({"left": np.array([n["left"] for n in nodes]), "right": np.array([n["right"] for n in nodes]),
-                      "feature": np.array([n["feature"] for n in nodes]),
-                      "threshold": np.array([n["threshold"] for n in nodes]),
-                      "cats": [n["cats"] for n in nodes], "cover": cover, "value": value})
-    return trees
-
-
-# ----------------------------------------------------------------------------- TreeSHAP
-
-def _extend(path, pz, po, pi):
-    depth = len(path)
-    path = [list(e) for e in path] + [[pi, pz, po, 1.0 if depth == 0 else 0.0]]
-    for i in range(depth - 1, -1, -1):
-        path[i + 1][3] += po * path[i][3] * (i + 1) / (depth + 1)
-        path[i][3] = pz * path[i][3] * (depth - i) / (depth + 1)
-    return path
-
-
-def _unwind(path, k):
-    depth = len(path) - 1
-    o, z = path[k][2], path[k][1]
-    path = [list(e) for e in path]
-    nxt = path[depth][3]
-    for i in range(depth - 1, -1, -1):
-        if o != 0:
-            tmp = path[i][3]
-            path[i][3] = nxt * (depth + 1) / ((i + 1) * o)
-            nxt = tmp - path[i][3] * z * (depth - i) / (depth + 1)
-        else:
-            path[i][3] = path[i][3] * (depth + 1) / (z * (depth - i))
-    for i in range(k, depth):
-        path[i][0], path[i][1], path[i][2] = path[i + 1][0], path[i + 1][1], path[i + 1][2]
-    return path[:depth]
-
-
-def _unwound_sum(path, k):
-    depth = len(path) - 1
-    o, z = path[k][2], path[k][1]
-    nxt = path[depth][3]
-    total = 0.0
-    if o != 0:
-        for i in range(depth - 1, -1, -1):
-            tmp = nxt / ((i + 1) * o)
-            total += tmp
-            nxt = path[i][3] - tmp * z * (depth - i)
-    else:
-        for i in range(depth - 1, -1, -1):
-            total += path[i][3] / ((depth - i) * z)
-    return total * (depth + 1)
-
-
-def _goes_left(tree, j, x):
-    v = x[tree["feature"][j]]
-    cats = tree["cats"][j]
-    return (v in cats) if cats is not None else (v <= tree["threshold"][j])
-
-
-def tree_shap(tree, x, phi):
-    """Add one tree's contributions for row ``x`` to ``phi`` (features x classes)."""
-    left, right, cover, value, feat = tree["left"], tree["right"], tree["cover"], tree["value"], tree["feature"]
-
-    def rec(j, path, pz, po, pi):
-        path = _extend(path, pz, po, pi)
-        if left[j] < 0:
-            for i in range(1, len(path)):
-                w = _unwound_sum(path, i)
-                d, z, o = path[i][0], path[i][1], path[i][2]
-                phi[d] += w * (o - z) * value[j]
-            return
-        hot, cold = (left[j], right[j]) if _goes_left(tree, j, x) else (right[j], left[j])
-        iz, io = 1.0, 1.0
-        d = feat[j]
-        for k in range(len(path)):
-            if path[k][0] == d:
-                iz, io = path[k][1], path[k][2]
-                path = _unwind(path, k)
-                break
-        rec(hot, path, iz * cover[hot] / cover[j], io, d)
-        rec(cold, path, iz * cover[cold] / cover[j], 0.0, d)
-
-    rec(0, [], 1.0, 1.0, -1)
-
-
-# ----------------------------------------------------------------------------- vectorised over rows
-# Path-dependent TreeSHAP visits both children of every node for every row;
-# only the "one fraction" (does the row follow this branch) differs per row.
-# So one recursion over the tree serves a whole batch: the path keeps shared
-# feature indices and zero fractions, and per-row arrays of one fractions and
-# weights.
-
-def _v_extend(path, pz, po, pi, n):
-    depth = len(path)
-    path = [[d, z, o, w.copy()] for d, z, o, w in path]
-    path.append([pi, pz, po, np.ones(n) if depth == 0 else np.zeros(n)])
-    for i in range(depth - 1, -1, -1):
-        path[i + 1][3] = path[i + 1][3] + po * path[i][3] * (i + 1) / (depth + 1)
-        path[i][3] = pz * path[i][3] * (depth - i) / (depth + 1)
-    return path
-
-
-def _v_unwind(path, k):
-    depth = len(path) - 1
-    z, o = path[k][1], path[k][2]
-    nz = o != 0
-    safe_o = np.where(nz, o, 1.0)
-    path = [[d, zz, oo, w.copy()] for d, zz, oo, w in path]
-    nxt = path[depth][3]
-    for i in range(depth - 1, -1, -1):
-        cur = path[i][3]
-        w_one = nxt * (depth + 1) / ((i + 1) * safe_o)
-        w_zero = cur * (depth + 1) / (z * (depth - i))
-        path[i][3] = np.where(nz, w_one, w_zero)
-        nxt = np.where(nz, cur - w_one * z * (depth - i) / (depth + 1), nxt)
-    for i in range(k, depth):
-        path[i][0], path[i][1], path[i][2] = path[i + 1][0], path[i + 1][1], path[i + 1][2]
-    return path[:depth]
-
-
-def _v_unwound_sum(path, k):
-    depth = len(path) - 1
-    z, o = path[k][1], path[k][2]
-    nz = o != 0
-    safe_o = np.where(nz, o, 1.0)
-    nxt = path[depth][3]
-    t_one = np.zeros_like(nxt)
-    t_zero = np.zeros_like(nxt)
-    for i in range(depth - 1, -1, -1):
-        tmp = nxt / ((i + 1) * safe_o)
-        t_one = t_one + tmp
-        nxt = path[i][3] - tmp * z * (depth - i)
-        t_zero = t_zero + path[i][3] / ((depth - i) * z)
-    return np.where(nz, t_one, t_zero) * (depth + 1)
-
-
-def _v_goes_left(tree, j, X):
-    v = X[:, tree["feature"][j]]
-    cats = tree["cats"][j]
-    return np.isin(v, list(cats)) if cats is not None else (v <= tree["threshold"][j])
-
-
-def tree_shap_batch(tree, X, phi):
-    """Add one tree's contributions for all rows of ``X`` to ``phi`` (rows x features x classes)."""
-    left, right, cover, value, feat = tree["left"], tree["right"], tree["cover"], tree["value"], tree["feature"]
-    n = X.shape[0]
-
-    def rec(j, path, pz, po, pi):
-        path = _v_extend(path, pz, po, pi, n)
-        if left[j] < 0:
-            for i in range(1, len(path)):
-                w = _v_unwound_sum(path, i)
-                d, z, o = path[i][0], path[i][1], path[i][2]
-                phi[:, d, :] += (w * (o - z))[:, None] * value[j][None, :]
+LEAF_SCHEMA = "array<struct<leaf: int, conditions: array<struct<f: int, bit: int, lo: double, hi: double, cats: array<double>>>>>"
+
+
+def leaves(java_tree, value) -> list[dict]:
+    """Leaves of one fitted tree: ``value(node)`` and, per feature on the path, the interval or category set that leads
+    there and the share of training rows that take those branches."""
+    out = []
+
+    def weight(node):
+        return float(sum(node.impurityStats().stats())) if node.impurityStats().count() is None else float(node.impurityStats().count())
+
+    def walk(node, path):
+        if node.getClass().getSimpleName() != "InternalNode":
+            out.append({"value": value(node), "path": path})
             return
-        d = feat[j]
-        iz, io = 1.0, np.ones(n)
-        for k in range(len(path)):
-            if path[k][0] == d:
-                iz, io = path[k][1], path[k][2]
-                path = _v_unwind(path, k)
-                break
-        go_left = _v_goes_left(tree, j, X)
-        rec(left[j], path, iz * cover[left[j]] / cover[j], np.where(go_left, io, 0.0), d)
-        rec(right[j], path, iz * cover[right[j]] / cover[j], np.where(go_left, 0.0, io), d)
-
-    rec(0, [], 1.0, np.ones(n), -1)
-
-
-def _leaf_values(tree, X):
-    node = np.zeros(X.shape[0], dtype=int)
-    while True:
-        internal = tree["left"][node] >= 0
-        if not internal.any():
-            return tree["value"][node]
-        for j in np.unique(node[internal]):
-            rows = np.where(node == j)[0]
-            go = _v_goes_left(tree, j, X[rows])
-            node[rows] = np.where(go, tree["left"][j], tree["right"][j])
-
-
-def explain_batch(trees, X: np.ndarray, weights=None):
-    """Vectorised ``explain_rows``: same outputs, one tree recursion per batch.
-    ``weights`` (default 1/T: a forest's average) weight each tree's output,
-    e.g. a boosted model's tree weights."""
-    n_rows, n_feat = X.shape
-    n_cls = trees[0]["value"].shape[1]
-    w = np.full(len(trees), 1.0 / len(trees)) if weights is None else np.asarray(weights, dtype="float64")
-    phi = np.zeros((n_rows, n_feat, n_cls))
-    out = np.zeros((n_rows, n_cls))
-    for t, wt in zip(trees, w):
-        part = np.zeros_like(phi)
-        tree_shap_batch(t, X, part)
-        phi += wt * part
-        out += wt * _leaf_values(t, X)
-    base = np.sum([wt * t["value"][0] for t, wt in zip(trees, w)], axis=0)
-    return phi, base, out
-
-
-def explain_rows(trees, X: np.ndarray):
-    """``(contributions[rows, features, classes], base[classes], prob[rows, classes])``."""
-    n_rows, n_feat = X.shape
-    n_cls = trees[0]["value"].shape[1]
-    out = np.zeros((n_rows, n_feat, n_cls))
-    base = np.mean([t["value"][0] for t in trees], axis=0)
-    prob = np.zeros((n_rows, n_cls))
-    for r in range(n_rows):
-        phi = np.zeros((n_feat, n_cls))
-        for t in trees:
-            tree_shap(t, X[r], phi)
-            j = 0
-            while t["left"][j] >= 0:
-                j = t["left"][j] if _goes_left(t, j, X[r]) else t["right"][j]
-            prob[r] += t["value"][j]
-        out[r] = phi / len(trees)
-        prob[r] /= len(trees)
-    return out, base, prob
+        split, total = node.split(), weight(node)
+        f = int(split.featureIndex())
+        lo, hi, cats, share = path.get(f, (None, None, None, 1.0))
+        if split.getClass().getSimpleName() == "ContinuousSplit":
+            t = float(split.threshold())
+            sides = ((node.leftChild(), (lo, t if hi is None else min(t, hi), None)), (node.rightChild(), (t if lo is None else max(t, lo), hi, None)))
+        else:
+            sides = tuple((n, (None, None, sorted(set(map(float, c)) & set(cats or map(float, c)))))
+                          for n, c in ((node.leftChild(), split.leftCategories()), (node.rightChild(), split.rightCategories())))
+        for child, interval in sides:
+            walk(child, {**path, f: (*interval, share * weight(child) / (total or 1.0))})
+
+    walk(java_tree.rootNode(), {})
+    return out
+
+
+def forest_leaves(rf_model) -> list[dict]:
+    """Leaves of all trees of a random forest; values are class distributions over the number of trees."""
+    trees = rf_model._java_obj.trees()
+
+    def value(node):
+        stats = [float(x) for x in node.impurityStats().stats()]
+        return [x / (sum(stats) or 1.0) / len(trees) for x in stats]
+
+    return [leaf for t in trees for leaf in leaves(t, value)]
+
+
+def boosted_leaves(ovr_model) -> list[dict]:
+    """Leaves of all trees of a ``OneVsRest(GBTClassifier)`` model; a tree counts for its own class only."""
+    out, n = [], len(ovr_model.models)
+    for c, m in enumerate(ovr_model.models):
+        for tree, w in zip(m._java_obj.trees(), m._java_obj.treeWeights()):
+            out += leaves(tree, lambda node, c=c, w=w: [float(w) * float(node.prediction()) if k == c else 0.0 for k in range(n)])
+    return out
+
+
+def _weight(shares: list[float], met: int, i: int) -> float:
+    """Shapley weight of condition ``i`` of a leaf when the conditions in the bit set ``met`` are met."""
+    sizes = [1.0]          # sum over the other conditions' subsets, by subset size
+    for k, z in enumerate(shares):
+        if k != i:
+            one = met >> k & 1
+            sizes = [(sizes[s] * z if s < len(sizes) else 0.0) + (sizes[s - 1] * one if s else 0.0) for s in range(len(sizes) + 1)]
+    d = len(shares)
+    return ((met >> i & 1) - shares[i]) * sum(x * factorial(s) * factorial(d - 1 - s) / factorial(d) for s, x in enumerate(sizes))
+
+
+def _explain(found: list[dict], df: DataFrame, key: str, features, label: str | None, total: str) -> DataFrame:
+    spark, feats = df.sparkSession, list(features)
+    n_classes = len(found[0]["value"])
+    tests, rows = [], []
+    base = [0.0] * n_classes
+    for number, leaf in enumerate(found):
+        path = sorted(leaf["path"].items())
+        shares = [p[3] for _, p in path]
+        base = [b + v * prod(shares) for b, v in zip(base, leaf["value"])]
+        tests.append({"leaf": number, "conditions": [{"f": f, "bit": 1 << k, "lo": p[0], "hi": p[1], "cats": p[2]} for k, (f, p) in enumerate(path)]})
+        for met in range(1 << len(path)):
+            for k, (f, _) in enumerate(path):
+                w = _weight(shares, met, k)
+                if w:
+                    rows.append((number, met, f, [w * v for v in leaf["value"]]))
+    weights = spark.createDataFrame(pd.DataFrame(rows, columns=["leaf", "met", "f", "w"]), "leaf int, met int, f int, w array<double>") if rows \
+        else spark.createDataFrame([], "leaf int, met int, f int, w array<double>")
+    model = F.from_json(F.lit(json.dumps(tests)), LEAF_SCHEMA)
+
+    def met(x, c):
+        v = F.get(x, c["f"])
+        inside = F.coalesce(v > c["lo"], F.lit(True)) & F.coalesce(v <= c["hi"], F.lit(True))
+        return F.when(F.when(c["cats"].isNotNull(), F.array_contains(c["cats"], v)).otherwise(inside), c["bit"]).otherwise(F.lit(0))
+
+    lab = col(label).cast("string") if label else F.lit(None).cast("string")
+    x = F.array(*[F.coalesce(col(c).cast("double"), F.lit(float("nan"))) for c in feats])
+    src = df.select(col(key).cast("string").alias("row_key"), lab.alias("true_class"), x.alias("x"))
+    hits = src.select("row_key", "true_class", F.explode(F.transform(model, lambda leaf: F.struct(
+        leaf["leaf"].alias("leaf"),
+        F.aggregate(leaf["conditions"], F.lit(0), lambda a, c: a + met(F.col("x"), c)).alias("met")))).alias("h")) \
+        .select("row_key", "true_class", "h.leaf", "h.met")
+    parts = hits.join(F.broadcast(weights), ["leaf", "met"]).groupBy("row_key", "true_class", "f") \
+        .agg(*[F.sum(F.col("w")[c]).alias(f"s{c}") for c in range(n_classes)])
+    found_ = parts.groupBy("row_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("f", F.array(*[F.col(f"s{c}") for c in range(n_classes)]).alias("s")))).alias("by_feature"),
+        F.array(*[F.lit(base[c]) + F.sum(f"s{c}") for c in range(n_classes)]).alias("all"))
+    whole = src.select("row_key", "true_class").join(found_, "row_key", "left") \
+        .withColumn("all", F.coalesce("all", F.array(*[F.lit(b) for b in base])))
+    zero = F.array(*[F.lit(0.0)] * n_classes)
+    pred = (F.array_position("all", F.array_max("all")) - 1).alias("predicted_class")
+    by_feature = whole.select("row_key", "true_class", pred, "all", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.lit(len(feats) - 1)), lambda i: F.coalesce(F.col("by_feature")[i], zero))).alias("i", "s"))
+    long = by_feature.select("row_key", "true_class", "predicted_class", "all", "i", F.posexplode("s").alias("class", "shap_value"))
+    return long.select("row_key", "true_class", "predicted_class", F.col("class").cast("long").alias("class"),
+                       F.element_at(F.lit(feats), F.col("i") + 1).alias("feature_name"), "shap_value",
+                       F.element_at(F.lit(base), F.col("class") + 1).alias("base_value"), F.element_at("all", F.col("class") + 1).alias(total))
 
 
 def explain(rf_model, df: DataFrame, key: str, features, label: str | None = None) -> DataFrame:
-    """ML8: long table ``key, true_class, predicted_class, class, feature_name,
+    """ML8: long table ``row_key, true_class, predicted_class, class, feature_name,
     shap_value, base_value, probability`` for every row, feature and class."""
-    spark = df.sparkSession
-    trees = spark.sparkContext.broadcast(forest_arrays(rf_model))  # model-sized
-    feats = list(features)
-    lab = col(label).cast("string") if label else F.lit(None).cast("string")
-    src = df.select(col(key).cast("string").alias("_key"), lab.alias("_true"),
-                    *[col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(feats)])
-
-    n_cls = len(trees.value[0]["value"][0]) if trees.value else 1
-    # output rows per row = features x classes: slice batches so one emitted frame
-    # stays near OUTPUT_ROWS_PER_FRAME rows whatever the model's width
-    step = max(1, OUTPUT_ROWS_PER_FRAME // max(1, len(feats) * n_cls))
-
-    def run(batches):
-        import pandas as pd
-        tr = trees.value
-        for whole in batches:
-            for start in range(0, len(whole), step):
-                pdf = whole.iloc[start:start + step]
-                X = pdf[[f"_f{i}" for i in range(len(feats))]].to_numpy(dtype="float64")
-                contrib, base, prob = explain_batch(tr, X)
-                n_rows, n_feat, n_c = contrib.shape
-                pred = prob.argmax(axis=1)
-                ri, fi, ci = np.meshgrid(np.arange(n_rows), np.arange(n_feat), np.arange(n_c), indexing="ij")
-                ri, fi, ci = ri.ravel(), fi.ravel(), ci.ravel()
-                yield pd.DataFrame({
-                    "row_key": pdf["_key"].to_numpy()[ri], "true_class": pdf["_true"].to_numpy()[ri],
-                    "predicted_class": pred[ri].astype("int64"), "class": ci.astype("int64"),
-                    "feature_name": np.array(feats, dtype=object)[fi], "shap_value": contrib.ravel(),
-                    "base_value": base[ci], "probability": prob[ri, ci]})
-
-    schema = ("row_key string, true_class string, predicted_class long, class long, feature_name string, "
-              "shap_value double, base_value double, probability double")
-    return src.mapInPandas(run, schema)
-
-
-def boosted_arrays(ovr_model) -> list[tuple[list[dict], np.ndarray]]:
-    """Per class of a ``OneVsRest(GBTClassifier)`` model: its regression trees'
-    node arrays and tree weights (model-sized)."""
-    out = []
-    for m in ovr_model.models:
-        jm = m._java_obj
-        out.append((_walk_trees(jm.trees(), regression=True), np.array(list(jm.treeWeights()), dtype="float64")))
-    return out
+    return _explain(forest_leaves(rf_model), df, key, features, label, "probability")
 
 
 def explain_boosted(ovr_model, df: DataFrame, key: str, features, label: str | None = None) -> DataFrame:
-    """ML8 for the per-class boosted model: TreeSHAP of every class model's
-    margin (the quantity the class scores are computed from), so
-    ``base_value + sum(contributions) = margin`` per row and class.  Output as
-    ``explain`` with ``margin`` in place of ``probability``."""
-    spark = df.sparkSession
-    per_class = spark.sparkContext.broadcast(boosted_arrays(ovr_model))  # model-sized
-    feats = list(features)
-    lab = col(label).cast("string") if label else F.lit(None).cast("string")
-    src = df.select(col(key).cast("string").alias("_key"), lab.alias("_true"),
-                    *[col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(feats)])
-    n_cls = len(per_class.value)
-    step = max(1, OUTPUT_ROWS_PER_FRAME // max(1, len(feats) * n_cls))
-
-    def run(batches):
-        import pandas as pd
-        classes = per_class.value
-        for whole in batches:
-            for start in range(0, len(whole), step):
-                pdf = whole.iloc[start:start + step]
-                X = pdf[[f"_f{i}" for i in range(len(feats))]].to_numpy(dtype="float64")
-                parts = [explain_batch(trees, X, weights) for trees, weights in classes]
-                contrib = np.concatenate([p[0] for p in parts], axis=2)     # rows x features x classes
-                base = np.concatenate([p[1] for p in parts])
-                margin = np.concatenate([p[2] for p in parts], axis=1)
-                n_rows, n_feat, n_c = contrib.shape
-                pred = margin.argmax(axis=1)
-                ri, fi, ci = np.meshgrid(np.arange(n_rows), np.arange(n_feat), np.arange(n_c), indexing="ij")
-                ri, fi, ci = ri.ravel(), fi.ravel(), ci.ravel()
-                yield pd.DataFrame({
-                    "row_key": pdf["_key"].to_numpy()[ri], "true_class": pdf["_true"].to_numpy()[ri],
-                    "predicted_class": pred[ri].astype("int64"), "class": ci.astype("int64"),
-                    "feature_name": np.array(feats, dtype=object)[fi], "shap_value": contrib.ravel(),
-                    "base_value": base[ci], "margin": margin[ri, ci]})
-
-    schema = ("row_key string, true_class string, predicted_class long, class long, feature_name string, "
-              "shap_value double, base_value double, margin double")
-    return src.mapInPandas(run, schema)
+    """ML8 for the per-class boosted model: contributions to every class model's margin; ``margin`` in place of
+    ``probability``."""
+    return _explain(boosted_leaves(ovr_model), df, key, features, label, "margin")
 
 
 def explain_predicted(long: DataFrame) -> DataFrame:

@@ -60,13 +60,12 @@ def fit_categories(df: DataFrame, columns) -> DataFrame:
 
 def onehot_long(df: DataFrame, key: str, columns, dictionary: DataFrame | None = None) -> DataFrame:
     """ML2 in sparse long form: ``key, feature, value`` with one 1.0 per row and
-    column (``cat__<column>_<category>``); a category not in the dictionary
+    column (``cat__<column>_<category>``); a category not in a given dictionary
     gives no entry (all zeros)."""
-    dictionary = dictionary if dictionary is not None else fit_categories(df, columns)
     long = unpivot(df.select(col(key), *[category_text(c).alias(c) for c in columns]), [key], list(columns),
                    "column", "category")
-    # the dictionary has one row per (column, category): broadcast unless huge
-    hit = long.join(dictionary, ["column", "category"], "left_semi")
+    # without a dictionary every category of the table is in it: nothing to look up
+    hit = long if dictionary is None else long.join(dictionary, ["column", "category"], "left_semi")
     return hit.select(col(key), F.concat(F.lit("cat__"), F.col("column"), F.lit("_"), F.col("category")).alias("feature"),
                       F.lit(1.0).alias("value"))
 
@@ -90,20 +89,27 @@ def hash_bucket(key, seed: int = 42) -> "F.Column":
     return F.conv(h, 16, 10).cast("long") % 10000
 
 
-def split_hash(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42, exact: bool = False) -> DataFrame:
+def split_hash(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42, exact: bool = False,
+               stratify: str | None = None) -> DataFrame:
     """ML4: adds ``split`` = ``test`` / ``train`` from a hash of the row key:
     deterministic, stable under repartitioning and task retries (unlike
     ``randomSplit``), no shuffle.  ``exact=True`` makes the test part exactly
     ``ceil(test_share * n)`` rows (as the reference's splitter): rows are
     ordered by a 60-bit hash of the key and the first positions - computed by
-    the distributed position plan, never in one task - go to test."""
+    the distributed position plan, never in one task - go to test.  ``stratify``
+    (with ``exact``) names a column; the share then holds within each of its values."""
     if not exact:
         return df.withColumn("split", F.when(hash_bucket(key, seed) < int(round(test_share * 10000)),
                                              F.lit("test")).otherwise(F.lit("train")))
     import math
     from wideprep.operators.ordered import with_positions
-    n = df.count()
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), col(key).cast("string"))), 1, 15), 16, 10).cast("long")
-    pos = with_positions(df.withColumn("_h", h), "_h", name="_p")
-    return pos.withColumn("split", F.when(F.col("_p") <= math.ceil(test_share * n), F.lit("test"))
-                          .otherwise(F.lit("train"))).drop("_h", "_p")
+    hashed = df.withColumn("_h", h)
+    if stratify:
+        n = df.groupBy(col(stratify)).agg(F.count(F.lit(1)).alias("_n"))        # one row per value
+        pos = with_positions(hashed, "_h", [stratify], name="_p").join(n, stratify)
+        last = F.ceil(F.lit(test_share) * F.col("_n"))
+    else:
+        pos, last = with_positions(hashed, "_h", name="_p"), F.lit(math.ceil(test_share * df.count()))
+    return pos.withColumn("split", F.when(F.col("_p") <= last, F.lit("test")).otherwise(F.lit("train"))) \
+        .select(*[col(c) for c in df.columns], "split")

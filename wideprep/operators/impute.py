@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wideprep.functions.numeric import NUMERIC_TYPES, dtype_category, nan_to_null
+from wideprep.functions.numeric import INTEGRAL_TYPES, NUMERIC_TYPES, dtype_category, nan_to_null
 from wideprep.operators import ordered as O
 from wideprep.operators import profile as P
 from wideprep.operators import quantile as Q
@@ -31,7 +31,11 @@ def _missing(c: str, t) -> Column:
     return col(c).isNull()
 
 
-def _fill_const(c: str, t, value) -> Column:
+def _fill_const(c: str, t, value, widen: bool = False) -> Column:
+    """``widen``: a mean or median of an integer column is a double, and so is the filled column."""
+    widen = widen and isinstance(t, INTEGRAL_TYPES)
+    if widen:
+        return F.coalesce(col(c).cast("double"), F.lit(value).cast("double")).alias(c)
     if value is None:
         return col(c)
     lit = F.lit(value).cast(t) if not isinstance(value, str) or isinstance(t, T.StringType) \
@@ -39,9 +43,9 @@ def _fill_const(c: str, t, value) -> Column:
     return F.when(_missing(c, t), lit).otherwise(col(c)).alias(c)
 
 
-def _apply(df: DataFrame, values: dict) -> DataFrame:
+def _apply(df: DataFrame, values: dict, widen=()) -> DataFrame:
     types = _types(df)
-    return df.select(*[_fill_const(c, types[c], values[c]) if c in values else col(c) for c in df.columns])
+    return df.select(*[_fill_const(c, types[c], values[c], c in widen) if c in values else col(c) for c in df.columns])
 
 
 def means(df: DataFrame, columns) -> dict:
@@ -56,13 +60,15 @@ def medians(df: DataFrame, columns) -> dict:
 
 
 def impute_mean(df: DataFrame, columns) -> DataFrame:
-    """IM1: numeric columns only; an all-missing column is left as is."""
-    return _apply(df, means(df, columns))
+    """IM1: numeric columns only; an all-missing column keeps its gaps.  Integer columns become double."""
+    found = means(df, columns)
+    return _apply(df, found, found)
 
 
 def impute_median(df: DataFrame, columns) -> DataFrame:
-    """IM2 (exact median, see ``quantile``)."""
-    return _apply(df, medians(df, columns))
+    """IM2 (exact median, see ``quantile``).  Integer columns become double."""
+    found = medians(df, columns)
+    return _apply(df, found, found)
 
 
 def impute_mode(df: DataFrame, columns, tie: str = "string") -> DataFrame:
@@ -143,11 +149,6 @@ def fill_facts(df: DataFrame, order_by: str | None, columns=None, config=None) -
     return facts
 
 
-def plan_filling(df: DataFrame, order_by: str | None = None, config: dict | None = None, columns=None,
-                 strict: bool = True) -> list[FP.Decision]:
-    return _decide_all(df, fill_facts(df, order_by, columns, config), config, strict, order_by)
-
-
 def _decide_all(df, facts, config, strict, order_by) -> list[FP.Decision]:
     decisions = [FP.decide(f, config, strict) for f in facts]
     need_median = [d.column for d in decisions if d.method == FP.MEDIAN]
@@ -184,34 +185,15 @@ def execute_plan(df: DataFrame, decisions: list[FP.Decision], order_by: str | No
                 ok = n.isNotNull() if limit is None else (n["p"] - pos <= limit)
                 exprs[c] = F.when(_missing(c, t) & ok, n["v"]).otherwise(col(c))
             else:
-                exprs[c] = _interp_expr(of, c, t, d.params)
+                exprs[c] = O.interpolated(of, c, t, d.params.get("interpolation_method", "linear"), d.params.get("limit"),
+                                          d.params.get("limit_direction") or "forward")
     for d in decisions:
         if d.method in (FP.MEAN, FP.MEDIAN, FP.MODE, FP.CONSTANT):
-            exprs[d.column] = _fill_const(d.column, types[d.column], d.params.get("constant_value"))
+            exprs[d.column] = _fill_const(d.column, types[d.column], d.params.get("constant_value"),
+                                          d.method in (FP.MEAN, FP.MEDIAN))
     return source.select(*[exprs[c].alias(c) if c in exprs else col(c) for c in df.columns])
 
 
-def _interp_expr(of, c, t, params) -> Column:
-    method = params.get("interpolation_method", "linear")
-    limit = params.get("limit")
-    direction = params.get("limit_direction") or "forward"
-    pos = F.col("_pos")
-    p, n = of.prev(c), of.next(c)
-    pv, nv = O._num(p["v"], t), O._num(n["v"], t)
-    if method == "nearest":
-        val = F.when(p.isNotNull() & n.isNotNull(),
-                     F.when((pos - p["p"]) <= (n["p"] - pos), pv).otherwise(nv))
-    else:
-        tt = ((pos - p["p"]).cast("double") / (n["p"] - p["p"]).cast("double")) if method == "linear" \
-            else (F.col("_x") - p["x"]) / (n["x"] - p["x"])
-        val = F.when(p.isNotNull() & n.isNotNull(), pv + (nv - pv) * tt).when(p.isNotNull(), pv) \
-            .when(n.isNotNull(), nv)
-    fwd = p.isNotNull() if limit is None else (p.isNotNull() & (pos - p["p"] <= limit))
-    bwd = n.isNotNull() if limit is None else (n.isNotNull() & (n["p"] - pos <= limit))
-    allowed = {"forward": fwd, "backward": bwd, "both": fwd | bwd}[direction]
-    return F.when(_missing(c, t) & allowed, O._from_num(val, t)).otherwise(col(c))
-
-
 def apply_filling(df: DataFrame, config: dict | None = None, order_by: str | None = None, columns=None,
                   strict: bool = True, partition_by=(), n_buckets=None):
     """IM10: returns ``(filled, log, summary)``.
@@ -279,7 +261,8 @@ def impute_policy(df: DataFrame, rules: list[tuple], default_numeric: tuple | No
         for c in cols:
             if c in types and c not in chosen and share[c] < bound:
                 chosen[c] = method
-    out = _apply(df, _statistics(df, chosen))
+    wide = lambda methods: [c for c, m in methods.items() if m in ("mean", "median")]
+    out = _apply(df, _statistics(df, chosen), wide(chosen))
     for cols, bound in knn_groups:
         if len(cols) > 1:
             if key is None:
@@ -294,7 +277,7 @@ def impute_policy(df: DataFrame, rules: list[tuple], default_numeric: tuple | No
         rows = next(iter(rate.values()))[1] if rate else 0
         rest = {c: method for c, t in types.items() if c not in chosen and isinstance(t, NUMERIC_TYPES)
                 and 0 < now[c] < rows * bound / 100.0}
-        out = _apply(out, _statistics(out, rest))
+        out = _apply(out, _statistics(out, rest), wide(rest))
     return out
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wideprep.functions.numeric import INTEGRAL_TYPES
 from wideprep.operators._util import col
 from wideprep.session import shuffle_partitions
 
@@ -286,31 +287,29 @@ def interpolate(df: DataFrame, columns, order_by: str, method: str = "linear", l
         if not isinstance(types[c], (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
             raise TypeError(f"column {c} is not numeric or datetime")
     of = OrderedFrame(df, order_by, columns, partition_by, n_buckets)
-    pos = F.col("_pos")
-    rep = {}
-    for c in columns:
-        p, n = of.prev(c), of.next(c)
-        pv, nv = _num(p["v"], types[c]), _num(n["v"], types[c])
-        if method == "nearest":
-            take_prev = (pos - p["p"]) <= (n["p"] - pos)
-            inner = F.when(take_prev, pv).otherwise(nv)
-            val = F.when(p.isNotNull() & n.isNotNull(), inner)
+    return of.result({c: interpolated(of, c, types[c], method, limit, direction) for c in columns})
+
+
+def interpolated(of: OrderedFrame, c: str, t, method: str, limit: int | None, direction: str) -> Column:
+    """Column ``c`` of an ordered frame with its gaps interpolated; integer columns become double."""
+    pos, p, n = F.col("_pos"), of.prev(c), of.next(c)
+    pv, nv = _num(p["v"], t), _num(n["v"], t)
+    if method == "nearest":
+        val = F.when(p.isNotNull() & n.isNotNull(), F.when((pos - p["p"]) <= (n["p"] - pos), pv).otherwise(nv))
+    else:
+        if method == "linear":
+            share = (pos - p["p"]).cast("double") / (n["p"] - p["p"]).cast("double")
         else:
-            if method == "linear":
-                t = (pos - p["p"]).cast("double") / (n["p"] - p["p"]).cast("double")
-            else:
-                t = (F.col("_x") - p["x"]) / (n["x"] - p["x"])
-            inner = pv + (nv - pv) * t
-            val = (F.when(p.isNotNull() & n.isNotNull(), inner)
-                   .when(p.isNotNull(), pv)      # trailing gap: edge value
-                   .when(n.isNotNull(), nv))     # leading gap: edge value
-        # pandas preserves leading NaNs for forward, trailing for backward
-        fwd_ok = p.isNotNull() if limit is None else (p.isNotNull() & (pos - p["p"] <= limit))
-        bwd_ok = n.isNotNull() if limit is None else (n.isNotNull() & (n["p"] - pos <= limit))
-        allowed = {"forward": fwd_ok, "backward": bwd_ok, "both": fwd_ok | bwd_ok}[direction]
-        filled = _from_num(val, types[c])
-        rep[c] = F.when(_missing(c, types) & allowed, filled).otherwise(col(c))
-    return of.result(rep)
+            share = (F.col("_x") - p["x"]) / (n["x"] - p["x"])
+        val = (F.when(p.isNotNull() & n.isNotNull(), pv + (nv - pv) * share)
+               .when(p.isNotNull(), pv)      # trailing gap: edge value
+               .when(n.isNotNull(), nv))     # leading gap: edge value
+    # pandas preserves leading NaNs for forward, trailing for backward
+    fwd_ok = p.isNotNull() if limit is None else (p.isNotNull() & (pos - p["p"] <= limit))
+    bwd_ok = n.isNotNull() if limit is None else (n.isNotNull() & (n["p"] - pos <= limit))
+    allowed = {"forward": fwd_ok, "backward": bwd_ok, "both": fwd_ok | bwd_ok}[direction]
+    own = col(c).cast("double") if isinstance(t, INTEGRAL_TYPES) else col(c)
+    return F.when(_missing(c, {c: t}) & allowed, _from_num(val, t)).otherwise(own)
 
 
 def _num(v: Column, t) -> Column:
@@ -331,7 +330,7 @@ def _from_num(v: Column, t) -> Column:
         return F.timestamp_micros(F.round(v).cast("long"))
     if isinstance(t, T.DateType):
         return F.date_from_unix_date(F.round(v).cast("int"))
-    return v.cast(t)
+    return v if isinstance(t, INTEGRAL_TYPES) else v.cast(t)
 
 
 def with_positions(df: DataFrame, order_by: str, partition_by=(), n_buckets=None, name="position") -> DataFrame:
@@ -340,15 +339,9 @@ def with_positions(df: DataFrame, order_by: str, partition_by=(), n_buckets=None
     return of.result({}, keep_position=True).withColumnRenamed("position", name)
 
 
-def slice_rows(df: DataFrame, order_by: str, start: int = 0, stop: int | None = None,
-               small_limit: int = 100_000) -> DataFrame:
-    """PR13: rows ``[start, stop)`` by position (0-based) in ``order_by`` order.
-
-    Short heads use a top-k (``orderBy().offset().limit()``); long or open
-    ranges use distributed positions, so skipping a few header rows of a
-    billion-row table never funnels the table through one task."""
-    if stop is not None and stop <= small_limit:
-        return df.orderBy(*_order(order_by)[1]).offset(start).limit(max(0, stop - start))
+def slice_rows(df: DataFrame, order_by: str, start: int = 0, stop: int | None = None) -> DataFrame:
+    """PR13: rows ``[start, stop)`` by position (0-based) in ``order_by`` order, by
+    distributed positions: no part of the table, however long, meets in one task."""
     pos = with_positions(df, order_by, name="_rowpos")
     cond = F.col("_rowpos") > start
     if stop is not None:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wideprep.functions.numeric import (NUMERIC_TYPES, decimal_places, dtype_category,
+from wideprep.functions.numeric import (NUMERIC_TYPES, decimal_places, dtype_category, float_text,
                                         is_integer_like, nan_to_null, to_number)
 from wideprep.operators._util import chunks, col, stacked_agg, unpivot
 
@@ -119,7 +119,7 @@ def frequency_table(df: DataFrame, columns=None) -> DataFrame:
         long = unpivot(df.select(*sel), [], [f.name for f in group], "column", "v").where(F.col("v").isNotNull())
         agg = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
         fmt = {f.name: f.dataType for f in group}
-        text = F.col("v").cast("string")
+        text = float_text(F.col("v")) if typ == "double" else F.col("v").cast("string")
         floats_as_float = [c for c, t in fmt.items() if isinstance(t, T.FloatType)]
         if floats_as_float:  # keep the column type's own text for float columns
             text = F.when(F.col("column").isin(floats_as_float), F.col("v").cast("float").cast("string")).otherwise(text)
@@ -138,11 +138,6 @@ def frequency_table(df: DataFrame, columns=None) -> DataFrame:
     return out
 
 
-def distinct_counts(df: DataFrame, columns=None, freq: DataFrame | None = None) -> DataFrame:
-    freq = freq if freq is not None else frequency_table(df, columns)
-    return freq.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
-
-
 def distinct_stats(df: DataFrame, columns=None, freq: DataFrame | None = None) -> DataFrame:
     """``column, n_unique, precision`` from the frequency table.
 
@@ -230,6 +225,10 @@ def _column_profile_approx(df: DataFrame, types: dict) -> DataFrame:
 
 # --------------------------------------------------------------------------- AGG5 / AGG12 / PR9
 
+#: Columns parsed as numbers in one scan: their patterns are long, and generated code has a size limit.
+TEXT_CHUNK = 24
+
+
 def numeric_ratio(df: DataFrame, columns=None) -> DataFrame:
     """AGG5/AGG12/NUM1/NUM2/PR9 in one pass per column chunk:
     ``position, column, non_null, numeric, ratio_numeric, int_like, kind``.
@@ -240,13 +239,17 @@ def numeric_ratio(df: DataFrame, columns=None) -> DataFrame:
     fields = _fields(df, columns)
     types = {f.name: f.dataType for f in fields}
 
+    # numbers are read once per cell, below the aggregates that use them several times
+    number = {c: f"_number{i}" for i, c in enumerate(types)}
+    read = df.select("*", *[to_number(col(c), types[c]).alias(n) for c, n in number.items()])
+
     def stats(c):
-        n = to_number(col(c), types[c])
+        n = F.col(number[c])
         return [F.count(F.when(present(c, types[c]), F.lit(1))).alias("non_null"),
                 F.count(n).alias("numeric"),
                 F.bool_and(F.when(n.isNotNull(), is_integer_like(n))).alias("int_like")]
 
-    out = stacked_agg(df, list(types), stats, extra=lambda: [F.count(F.lit(1)).alias("total")])
+    out = stacked_agg(read, list(types), stats, extra=lambda: [F.count(F.lit(1)).alias("total")], size=TEXT_CHUNK)
     return out.select(
         "position", "column", "non_null", "numeric",
         F.when(F.col("total") > 0, F.col("numeric") / F.col("total")).otherwise(F.lit(0.0)).alias("ratio_numeric"),
@@ -274,23 +277,17 @@ def type_profile(df: DataFrame, columns=None) -> DataFrame:
 def describe_object(df: DataFrame, columns=None) -> DataFrame:
     """AGG6: ``column, count, unique, top, freq`` (top: most frequent, ties by smallest text)."""
     freq = frequency_table(df, columns)
-    per = freq.groupBy("column").agg(F.sum("n").cast("long").alias("count"),
-                                     F.count(F.lit(1)).alias("unique"))
-    top = _mode_from(freq, "string").select("column", F.col("mode").alias("top"), F.col("mode_count").alias("freq"))
-    return per.join(top, "column")
+    return _mode_from(freq, "string").select("column", "count", "unique", F.col("mode").alias("top"), F.col("mode_count").alias("freq"))
 
 
 def _mode_from(freq: DataFrame, tie: str) -> DataFrame:
-    # max count per column (one row per column: broadcast), then one aggregate
-    # over the tied values - no window, so a near-unique column never meets in one task
-    mx = freq.groupBy("column").agg(F.max("n").alias("_mx"))
-    tied = freq.join(F.broadcast(mx), "column").where(F.col("n") == F.col("_mx"))
-    if tie == "value":
-        pick = F.min_by("value", F.struct(F.coalesce(F.col("num"), F.lit(0.0)), F.col("value")))
-    else:
-        pick = F.min("value")
-    return tied.groupBy("column").agg(pick.alias("mode"), F.first("_mx").alias("mode_count"),
-                                      F.count(F.lit(1)).alias("tie_count"))
+    # one chain: the frequency table is grouped by count first (a near-unique column collapses into one
+    # row per count already map-side), then the largest count of each column is picked
+    first = F.struct(F.coalesce(F.col("num"), F.lit(0.0)), F.col("value")) if tie == "value" else F.struct("value")
+    by_count = freq.groupBy("column", "n").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("ties"))
+    return by_count.groupBy("column").agg(
+        F.max_by(F.col("first.value"), "n").alias("mode"), F.max("n").alias("mode_count"), F.max_by("ties", "n").alias("tie_count"),
+        F.sum(F.col("n") * F.col("ties")).cast("long").alias("count"), F.sum("ties").alias("unique"))
 
 
 def mode(df: DataFrame, columns=None, tie: str = "string") -> DataFrame:
@@ -298,7 +295,7 @@ def mode(df: DataFrame, columns=None, tie: str = "string") -> DataFrame:
     ties by smallest typed value).  Output ``column, mode, mode_count, tie_count``;
     a column without values has no row."""
     fields = _fields(df, columns)
-    return _mode_from(frequency_table(df, [f.name for f in fields]), tie)
+    return _mode_from(frequency_table(df, [f.name for f in fields]), tie).drop("count", "unique")
 
 
 def mode_values(df: DataFrame, columns=None, tie: str = "string") -> dict:

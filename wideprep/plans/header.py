@@ -92,14 +92,15 @@ def flatten_levels(header: DataFrame, sep: str = "_", skip: str = "nan") -> Data
     return levels.select("col_idx", F.array_join(kept, sep).alias("name"))
 
 
-def dedupe_names(df: DataFrame, name_col: str, order_col: str, style: str = "_n", max_rounds: int = 8,
+def dedupe_names(df: DataFrame, name_col: str, order_col: str, style: str = "_n",
                  n_buckets=None) -> DataFrame:
     """PR4: the first occurrence of a name (in ``order_col`` order) keeps it,
     later ones become ``name_2, name_3`` (``style='_n'``) or ``name_dup1, ...``
     (``'_dup'``).  A made name may equal a real one; rounds repeat until all
-    names are unique.  Output: input columns with ``name_col`` replaced."""
+    names are unique (every made name is longer than the one it replaces, so real names
+    that it can meet run out).  Output: input columns with ``name_col`` replaced."""
     cur = df
-    for _ in range(max_rounds):
+    while True:
         counted = running_total(cur.withColumn("_one", F.lit(1)), [name_col], order_col, "_one", "_earlier",
                                 n_buckets).drop("_one")
         rank = F.col("_earlier") + 1
@@ -113,7 +114,6 @@ def dedupe_names(df: DataFrame, name_col: str, order_col: str, style: str = "_n"
         # another round is needed: cut the lineage (reliable checkpoint) first
         checkpoint_dir(df.sparkSession)
         cur = cur.checkpoint()
-    raise RuntimeError("names still not unique after several rounds")
 
 
 def duplicate_report(names: DataFrame, name_col: str = "name") -> DataFrame:

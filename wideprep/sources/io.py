@@ -12,7 +12,7 @@ import json
 import logging
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wideprep.functions.text import normalize_text
@@ -40,82 +40,97 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
-def read_lines_with_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """``file_idx, offset, line`` of the text files under ``path``: the byte
-    offset from Hadoop's line reader plus the file's index (files sorted by
-    name) is a stable, split-independent order key (no newline inside quotes)."""
-    files = list_files(spark, path)
-    if not files:
-        raise ValueError(f"{path}: no files")
-    frames = []
-    for i, f in enumerate(files):
-        rdd = spark.sparkContext.newAPIHadoopFile(
-            f, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat",
-            "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
-        frames.append(rdd.toDF(["offset", "line"]).select(F.lit(i).alias("file_idx"), "offset", "line"))
-    out = frames[0]
-    for fr in frames[1:]:
-        out = out.unionByName(fr)
-    return out
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` of a file scan with ``_path``, ``_block`` (start of their split) and ``_id`` get ``_offset``:
+    the split's start plus the row's index in it.  A row holds a byte at least, so offsets grow with the place in the
+    file and are unique in it.  The first id of each split comes from one light aggregation (a row per split)."""
+    first = rows.groupBy("_path", "_block").agg(F.min("_id").alias("_first"))
+    return rows.join(first, ["_path", "_block"]).withColumn("_offset", F.col("_block") + F.col("_id") - F.col("_first")) \
+        .drop("_block", "_id", "_first")
+
+
+def _scan(df: DataFrame, *cols) -> DataFrame:
+    return df.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_id"), *cols)
 
 
 def read_multi_header(spark: SparkSession, path: str, n_header: int = 3, sep: str = ",",
-                      typography: bool = True, header_in_every_file: bool = False):
-    """IO1: delimited text whose first ``n_header`` lines are header rows.
+                      typography: bool = True, header_in_every_file: bool = False, multi_line: bool = False):
+    """IO1: delimited text whose first ``n_header`` records are header rows.
 
     ``path`` may be one file or several (a directory or glob, e.g. an export in
-    parts): the header comes from the first file by name; the other files are
+    parts): the header comes from the first file by path; the other files are
     all body unless ``header_in_every_file``.  Returns ``(header, body)``:
     ``header`` = ``col_idx, row_idx, cell`` (normalised), ``body`` = string
-    columns ``_c0.._cN`` plus ``_file``/``_offset`` (the order key).  Fewer than
-    ``n_header + 1`` lines in the first file is an error."""
-    lines = read_lines_with_offsets(spark, path)
-    first = lines.where(F.col("file_idx") == 0)
-    head = first.orderBy("offset").limit(n_header + 1).collect()  # top-k of n_header + 1 lines
+    columns ``_c0.._cN`` plus ``_file`` (the path) and ``_offset``, together the
+    order key.  Fewer than ``n_header + 1`` records in the first file is an error.
+
+    Lines are read and parsed on the JVM, split by split.  A line with an unpaired quote is
+    an error; ``multi_line`` reads quoted newlines, one task per file."""
+    files = list_files(spark, path)
+    if not files:
+        raise ValueError(f"{path}: no files")
+    if multi_line:
+        reader = spark.read.option("multiLine", True).option("sep", sep).option("escape", '"')
+        width = max(len(reader.csv(f).columns) for f in files[:1])
+        names = [f"_c{i}" for i in range(width)]
+        schema = ", ".join(f"{c} string" for c in names)
+        cells_of = lambda p: _placed(_scan(reader.schema(schema).csv(p), *names))
+    else:
+        def cells_of(p, schema=None):
+            rows = _placed(_scan(spark.read.text(p), "value"))
+            if schema is None:
+                return rows
+            quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+            line = F.when(quotes % 2 == 1, F.raise_error(F.lit("unpaired quote: read with multi_line=True"))).otherwise(F.col("value"))
+            return rows.select("_path", "_offset", F.from_csv(line, schema, {"sep": sep, "escape": '"'}).alias("r")).select("_path", "_offset", "r.*")
+    head = cells_of(files[0]).orderBy("_offset").limit(n_header + 1).collect()  # top-k of n_header + 1 rows
     if len(head) < n_header + 1:
         raise ValueError(f"{path}: need at least {n_header + 1} lines, found {len(head)}")
-    import csv
-    rows = [next(csv.reader([r["line"]], delimiter=sep)) for r in head[:n_header]]
-    width = max(len(r) for r in rows)
-    cells = [(i, r, rows[r][i] if i < len(rows[r]) else "") for r in range(n_header) for i in range(width)]
+    if multi_line:
+        rows = [[r[c] for c in names] for r in head[:n_header]]
+    else:
+        import csv
+        rows = [next(csv.reader([r["value"]], delimiter=sep)) for r in head[:n_header]]
+        width = max(len(r) for r in rows)
+        schema = ", ".join(f"_c{i} string" for i in range(width))
+    cells = [(i, r, (rows[r][i] if i < len(rows[r]) else "") or "") for r in range(n_header) for i in range(width)]
     header = spark.createDataFrame(cells, "col_idx int, row_idx int, cell string") \
         .withColumn("cell", normalize_text("cell", typography))
-    schema = ", ".join(f"_c{i} string" for i in range(width))
-    cutoff = head[n_header - 1]["offset"]
+    body = cells_of(files) if multi_line else cells_of(files, schema)
     if header_in_every_file:
-        # every file starts with its own n_header lines: the offset of each file's
-        # n-th line (row_number() <= n is a partial per-task limit, so no file
-        # meets in one task), one row per file, broadcast back
-        from pyspark.sql import Window
-        w = Window.partitionBy("file_idx").orderBy("offset")
-        cut = (lines.select("file_idx", "offset").withColumn("_r", F.row_number().over(w))
-               .where(F.col("_r") <= n_header).groupBy("file_idx").agg(F.max("offset").alias("_cut")))
-        body_lines = lines.join(F.broadcast(cut), "file_idx").where(F.col("offset") > F.col("_cut")).drop("_cut")
+        # the n-th offset of each file, one row per file (row_number() <= n is a partial per-task limit)
+        w = Window.partitionBy("_path").orderBy("_offset")
+        heads = body.select("_path", "_offset").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_header)
+        cut = heads.groupBy("_path").agg(F.max("_offset").alias("_cut"))
+        body = body.join(cut, "_path").where(F.col("_offset") > F.col("_cut")).drop("_cut")
     else:
-        body_lines = lines.where((F.col("file_idx") > 0) | (F.col("offset") > F.lit(cutoff)))
-    body = body_lines.select(F.col("file_idx").alias("_file"), F.col("offset").alias("_offset"),
-                             F.from_csv("line", schema, {"sep": sep}).alias("r")).select("_file", "_offset", "r.*")
-    return header, body
+        first = head[0]["_path"]
+        body = body.where((F.col("_path") != first) | (F.col("_offset") > F.lit(head[n_header - 1]["_offset"])))
+    return header, body.withColumnRenamed("_path", "_file")
 
 
-def read_parquet_multi_header(spark: SparkSession, path: str, n_header: int = 3):
-    """IO1 for a Parquet file whose first rows are header rows: the hidden
-    ``_metadata.row_index`` is the order key (per file)."""
-    df = spark.read.parquet(path)
-    data_cols = df.columns
-    withpos = df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"),
-                        *[col(c).cast("string").alias(c) for c in data_cols])
-    head = withpos.where(F.col("_row") < n_header).orderBy("_file", "_row").collect()
-    files = sorted({r["_file"] for r in head})
+def read_parquet_multi_header(spark: SparkSession, path: str, n_header: int = 3, header_in_every_file: bool = False):
+    """IO1 for Parquet whose first rows are header rows: the hidden ``_metadata.row_index`` is the order key (per file).
+    The header is read from the first file by path alone; other files are all body unless ``header_in_every_file``."""
+    files = list_files(spark, path)
     if not files:
         raise ValueError(f"{path}: empty")
-    first = [r for r in head if r["_file"] == files[0]]
-    if len(first) < n_header:
+    df = spark.read.parquet(path)
+    data_cols = df.columns
+
+    def placed(frame):
+        return frame.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"),
+                            *[col(c).cast("string").alias(c) for c in data_cols])
+
+    head = placed(spark.read.parquet(files[0])).where(F.col("_row") < n_header).orderBy("_row").collect()
+    if len(head) < n_header:
         raise ValueError(f"{path}: need at least {n_header} header rows")
-    cells = [(i, r, first[r][c]) for r in range(n_header) for i, c in enumerate(data_cols)]
+    cells = [(i, r, head[r][c]) for r in range(n_header) for i, c in enumerate(data_cols)]
     header = spark.createDataFrame(cells, "col_idx int, row_idx int, cell string") \
         .withColumn("cell", normalize_text("cell"))
-    body = withpos.where(F.col("_row") >= n_header)
+    late = F.col("_row") >= n_header
+    body = placed(df).where(late if header_in_every_file else late | (F.col("_file") != head[0]["_file"]))
     return header, body
 
 
