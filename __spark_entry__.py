@@ -543,12 +543,12 @@ def lineitem_corr(spark, d):
 
 
 def q_corr_pairs(spark, d):
-    out = C.correlation_pairs(lineitem_corr(spark, d), method="sql")
+    out = C.correlation_pairs(lineitem_corr(spark, d))
     return out.select("feature_1", "feature_2", "n", F.round("correlation", 6).alias("correlation"))
 
 
 def q_corr_pairs_moments(spark, d):
-    out = C.correlation_pairs(lineitem_corr(spark, d), method="moments")
+    out = C.correlation_pairs(lineitem_corr(spark, d))
     return out.select("feature_1", "feature_2", "n", F.round("correlation", 6).alias("correlation"))
 
 

@@ -84,7 +84,7 @@ def test_classify_patterns_and_hints(spark):
 
 
 def test_correlation_matrix_and_ranked(small):
-    m = C.correlation_matrix(small, ["id", "x"], method="moments").collect()
+    m = C.correlation_matrix(small, ["id", "x"]).collect()
     assert len(m) == 2
     r = C.ranked_pairs(small, ["id", "x"]).first()
     assert r["rank"] == 1

@@ -30,8 +30,8 @@ def test_correlation_methods_match_pandas(spark):
     pdf.loc[::7, "y"] = np.nan
     sdf = spark.createDataFrame(pdf)
     want = pdf.corr()
-    for method in ("sql", "moments"):
-        for r in C.correlation_pairs(sdf, method=method).collect():
+    for block in (500, 2):
+        for r in C.correlation_pairs(sdf, block=block).collect():
             w = want.loc[r["feature_1"], r["feature_2"]]
             if np.isnan(w):
                 assert r["correlation"] is None
@@ -102,8 +102,8 @@ def test_blocked_moments_equal_single_pass(spark):
     pdf.loc[::5, "x3"] = np.nan
     pdf["k"] = 2.0
     sdf = spark.createDataFrame(pdf)
-    one = {(r.feature_1, r.feature_2): r for r in C.correlation_pairs(sdf, method="moments").collect()}
-    blk = {(r.feature_1, r.feature_2): r for r in C.correlation_pairs(sdf, method="moments", block=3).collect()}
+    one = {(r.feature_1, r.feature_2): r for r in C.correlation_pairs(sdf).collect()}
+    blk = {(r.feature_1, r.feature_2): r for r in C.correlation_pairs(sdf, block=3).collect()}
     want = pdf.corr()
     assert one.keys() == blk.keys() and len(one) == 28
     for key, r in blk.items():

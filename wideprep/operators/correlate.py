@@ -3,15 +3,12 @@
 pandas ``DataFrame.corr`` uses, for every pair of columns, only the rows
 where both are present.  With k columns that is k(k-1)/2 masked statistics.
 
-* ``method='sql'`` (up to three columns): per pair ``covar_pop(a, b)`` over the
-  masked ``stddev_pop`` of each side - plain aggregates in one job.
-* ``method='moments'`` (many columns): one ``mapInPandas`` pass keeps six
-  k x k moment matrices per task (masked matrix products on a mean-shifted
-  block), emits them once per task as ``(i, j, ...)`` rows, and one
-  ``groupBy(i, j).sum`` - the only shuffle, k^2/2 keys - combines them.  The
-  data never leaves its task; what moves is O(k^2) numbers per task.  Beyond
-  ``MOMENT_BLOCK`` columns the columns are blocked: one narrow pass per block
-  pair keeps task memory at six block x block matrices.
+One ``mapInPandas`` pass keeps six k x k moment matrices per task (masked
+matrix products on a mean-shifted block), emits them once per task as
+``(i, j, ...)`` rows, and one ``groupBy(i, j).sum`` - the only shuffle, k^2/2
+keys - combines them.  The data never leaves its task; what moves is O(k^2)
+numbers per task.  Beyond ``MOMENT_BLOCK`` columns the columns are blocked: one
+narrow pass per block pair keeps task memory at six block x block matrices.
 
 A constant column (zero spread within the pair's rows) gives NULL, never an
 error; fewer than two common rows gives NULL.
@@ -19,19 +16,14 @@ error; fewer than two common rows gives NULL.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wideprep.functions.numeric import to_number
 from wideprep.operators._util import chunks, col, union_all
+from wideprep.session import checkpoint_dir
 
-# The masked-aggregate path needs six aggregates per pair; measured at sf0.1 on
-# six columns the moment-matrix path is 3-4x faster, so it is the default from
-# four columns up.
-SQL_METHOD_MAX_COLUMNS = 3
 # a spread below this share of the column's magnitude counts as zero
 CONSTANT_TOLERANCE = 1e-12
 
@@ -48,30 +40,6 @@ def numeric_view(df: DataFrame, columns=None) -> tuple[DataFrame, list[str]]:
     return df.select(*[to_number(col(c), types[c]).alias(c) for c in names]), names
 
 
-def _pairs_sql(num: DataFrame, names: list[str]) -> DataFrame:
-    aggs = []
-    pairs = list(itertools.combinations(range(len(names)), 2))
-    for i, j in pairs:
-        a, b = col(names[i]), col(names[j])
-        am, bm = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-        sa, sb = F.stddev_pop(am), F.stddev_pop(bm)
-        aggs.append(F.struct(
-            F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).alias("n"),
-            F.covar_pop(a, b).alias("cov"), sa.alias("sa"), sb.alias("sb"),
-            F.avg(am).alias("ma"), F.avg(bm).alias("mb")).alias(f"_p{i}_{j}"))
-    frames = []
-    for part in chunks(list(zip(pairs, aggs)), 150):
-        row = num.agg(*[a for _, a in part])
-        items = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_p{i}_{j}").alias("s"))
-                 for (i, j), _ in part]
-        frames.append(row.select(F.explode(F.array(*items)).alias("r")).select("r.i", "r.j", "r.s.*"))
-    st = union_all(frames)
-    const_a = F.col("sa") <= F.lit(CONSTANT_TOLERANCE) * F.greatest(F.lit(1.0), F.abs("ma"))
-    const_b = F.col("sb") <= F.lit(CONSTANT_TOLERANCE) * F.greatest(F.lit(1.0), F.abs("mb"))
-    r = F.when((F.col("n") >= 2) & ~const_a & ~const_b, F.col("cov") / (F.col("sa") * F.col("sb")))
-    return st.select("i", "j", "n", _clamp(r).alias("correlation"))
-
-
 MOMENT_BLOCK = 500   # columns per block: a task holds 6 block x block matrices
 
 
@@ -146,35 +114,34 @@ def _pairs_moments(num: DataFrame, names: list[str], block: int = MOMENT_BLOCK)
                       _clamp(r).alias("correlation"))
 
 
-def correlation_pairs(df: DataFrame, columns=None, method: str = "auto", block: int = MOMENT_BLOCK) -> DataFrame:
+def correlation_pairs(df: DataFrame, columns=None, block: int = MOMENT_BLOCK) -> DataFrame:
     """ST1/SE2: ``feature_1, feature_2, n, correlation`` for every unordered pair,
-    ``feature_1`` the earlier column.  With ``method='moments'`` more than
-    ``block`` columns are split into blocks: one pass per block pair."""
+    ``feature_1`` the earlier column.  More than ``block`` columns are split into
+    blocks: one pass per block pair."""
     num, names = numeric_view(df, columns)
-    if method == "auto":
-        method = "sql" if len(names) <= SQL_METHOD_MAX_COLUMNS else "moments"
-    pairs = _pairs_sql(num, names) if method == "sql" else _pairs_moments(num, names, block)
+    pairs = _pairs_moments(num, names, block)
     name_arr = F.array(*[F.lit(n) for n in names])
     return pairs.select(name_arr[F.col("i").cast("int")].alias("feature_1"),
                         name_arr[F.col("j").cast("int")].alias("feature_2"), "n", "correlation")
 
 
-def ranked_pairs(df: DataFrame, columns=None, method: str = "auto") -> DataFrame:
+def ranked_pairs(df: DataFrame, columns=None) -> DataFrame:
     """ST1b/SO3: unique pairs with ``rank`` by absolute correlation, undefined
-    last, ties by feature names.  The rank comes from the distributed position
-    plan (k(k-1)/2 pairs - 12.5 million at 5,000 columns - never sort in one task)."""
+    last, ties by feature names.  The pair table is written once (k(k-1)/2 rows); its rank
+    comes from the distributed position plan (12.5 million pairs at 5,000 columns never sort in one task)."""
     from wideprep.operators.ordered import with_positions
-    pairs = correlation_pairs(df, columns, method)
-    keyed = pairs.withColumn("_key", F.coalesce(-F.abs("correlation"), F.lit(2.0)))  # |r| <= 1; NULL last
+    checkpoint_dir(df.sparkSession)
+    pairs = correlation_pairs(df, columns)
+    keyed = pairs.withColumn("_key", F.coalesce(-F.abs("correlation"), F.lit(2.0))).checkpoint()  # |r| <= 1; NULL last
     ranked = with_positions(keyed, ["_key", "feature_1", "feature_2"], name="rank")
     return ranked.drop("_key")
 
 
-def correlation_matrix(df: DataFrame, columns=None, decimals: int | None = 2, method: str = "auto") -> DataFrame:
+def correlation_matrix(df: DataFrame, columns=None, decimals: int | None = 2) -> DataFrame:
     """SE3/SE4: square matrix ``feature`` x one column per feature (mirrored,
     diagonal 1 when the column has any spread)."""
     num, names = numeric_view(df, columns)
-    pairs = correlation_pairs(num, names, method)
+    pairs = correlation_pairs(num, names)
     both = pairs.select("feature_1", "feature_2", "correlation").unionByName(
         pairs.select(F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2"), "correlation"))
     spread = num.agg(*[F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(names)])

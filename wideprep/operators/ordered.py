@@ -6,19 +6,20 @@ key and whose other columns break its ties - and optional ``partition_by``
 columns.  A window with no ``partitionBy`` would pull the whole table into
 one task, and a hot partition key would do the same for its rows.  Instead:
 
-1. Range buckets of the order key: boundaries read off a 1023-point
-   ``percentile_approx`` grid (one small collect), assigned by a small
-   ``CASE`` tree or, for many buckets, a JVM binary search (``Bucketizer``);
-   deterministic across task retries.
+1. Range buckets of the whole order key, ties included: boundaries are read
+   off a sample of about ``SAMPLE_PER_BUCKET`` keys per bucket (one small
+   collect) and compared as structs, so texts with a long common prefix and
+   bursts of equal first keys are split like any other.
 2. One window per ``(partition_by, bucket)`` ordered by the key gives the local
    position and, per column, the nearest non-missing value (with position)
    before and after each row inside the bucket.
 3. A per-bucket summary (row count, first and last non-missing value with
    position) is tiny; running sums / carries over it give each bucket's
-   global offset and the values carried in from earlier / later buckets.
+   global offset and the values carried in from earlier / later buckets.  It is
+   computed from the same exchanged rows as step 2 (Spark reuses the exchange).
 4. The summary is joined back on ``(partition_by, bucket)`` (broadcast when no
-   ``partition_by`` and ``B`` is below 100k rows) and every fill is a plain
-   expression.
+   ``partition_by`` and ``B`` is below 100k rows, which only changes the plan)
+   and every fill is a plain expression.
 
 Hot partition keys are split across buckets, so no group meets in one task.
 Serves IM5 (ffill/bfill with ``limit``), IM6 (interpolation), positions and
@@ -49,6 +50,7 @@ def _order(order_by) -> tuple[str, list]:
 
 
 def _key_numeric(df: DataFrame, order_by) -> Column:
+    """The order key as a number (the x of interpolation by key); NULL for text."""
     order_by = _order(order_by)[0]
     t = df.schema[order_by].dataType
     c = col(order_by)
@@ -59,18 +61,13 @@ def _key_numeric(df: DataFrame, order_by) -> Column:
     if isinstance(t, T.DateType):
         return F.unix_date(c).cast("long")
     if isinstance(t, T.StringType):
-        # text keys: the first 7 UTF-8 bytes as a 56-bit number (right-padded with
-        # zero bytes) are monotone in Spark's byte-wise string order, so they serve
-        # for bucketing; the windows still order by the full text.  Keys sharing a
-        # long common prefix share a bucket.
-        prefix = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0")
-        return F.conv(prefix, 16, 10).cast("double")
+        return F.lit(None).cast("double")
     return c.cast("double")
 
 
-GRID_QUANTILES = 1024
+SAMPLE_PER_BUCKET = 30
 SUMMARY_BROADCAST_ROWS = 100_000
-CASE_TREE_MAX_BOUNDS = 64   # beyond this, a JVM binary search instead of a CASE tree
+CASE_TREE_MAX_BOUNDS = 64   # beyond this, two steps of sqrt(B) comparisons instead of a CASE tree (plan only)
 
 
 def _case_tree(key: Column, bounds: list) -> Column:
@@ -80,54 +77,44 @@ def _case_tree(key: Column, bounds: list) -> Column:
         if lo >= hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(key <= F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+        return F.when(key <= bounds[mid], build(lo, mid)).otherwise(build(mid + 1, hi))
     return build(0, len(bounds))
 
 
-def with_bucket(df: DataFrame, key: Column, bounds: list, out: str = "_bkt") -> DataFrame:
-    """Add a monotone range-bucket id ``out`` of ``key`` for sorted ``bounds``.
-
-    Few boundaries: a CASE tree inside the generated code.  Many (a table of
-    billions of rows has hundreds of thousands of buckets): Spark ML's
-    ``Bucketizer``, a JVM-side binary search, one expression for any count."""
+def with_bucket(df: DataFrame, order_by, bounds: list, out: str = "_bkt") -> DataFrame:
+    """Add a monotone range-bucket id ``out`` of the order key for sorted ``bounds`` (rows of its columns)."""
     if not bounds:
         return df.withColumn(out, F.lit(0))
-    if len(bounds) <= CASE_TREE_MAX_BOUNDS:
-        return df.withColumn(out, _case_tree(key, bounds))
-    from pyspark.ml.feature import Bucketizer
-    tmp = "_bkt_key"
-    splits = [float("-inf")] + list(bounds) + [float("inf")]
-    staged = df.withColumn(tmp, key.cast("double"))
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out + "_d", handleInvalid="keep")
-    return b.transform(staged).withColumn(out, F.col(out + "_d").cast("int")).drop(tmp, out + "_d")
-
-
-def bucket_bounds(df: DataFrame, order_by: str, n_buckets: int | None = None) -> list:
-    """Sorted boundaries of ``B`` about equal range buckets of the order key.
-
-    One pass gives the row count and a 1023-point quantile grid; ``B`` (given,
-    or max(shuffle partitions, rows / ROWS_PER_BUCKET)) boundaries are read
-    off the grid, interpolating linearly between grid points when ``B``
-    exceeds the grid."""
-    key = _key_numeric(df, order_by)
-    probs = [i / GRID_QUANTILES for i in range(1, GRID_QUANTILES)]
-    row = df.select(F.count(F.lit(1)).alias("n"),
-                    F.percentile_approx(key, probs, 20 * GRID_QUANTILES).alias("b")).first()
+    cols = _order(order_by)[1]
+    names = [order_by] if isinstance(order_by, str) else list(order_by)
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
+    types = [df.schema[n].dataType for n in names]
+    lits = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))]) for b in bounds]
+    if len(lits) <= CASE_TREE_MAX_BOUNDS:
+        return df.withColumn(out, _case_tree(key, lits))
+    step = math.isqrt(len(lits))
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col("_bkt_key")))
+    block = F.greatest(F.col("_coarse"), F.lit(1)) - 1
+    fine = block * step + below(F.slice(F.array(*lits), block * step + 1, F.lit(step)))
+    return df.withColumn("_bkt_key", key).withColumn("_coarse", below(F.array(*lits[::step]))) \
+        .withColumn(out, fine.cast("int")).drop("_bkt_key", "_coarse")
+
+
+def bucket_bounds(df: DataFrame, order_by, n_buckets: int | None = None) -> list:
+    """Sorted boundaries of ``B`` about equal range buckets of the order key: ``B`` (given, or max(shuffle
+    partitions, rows / ROWS_PER_BUCKET)) - 1 quantiles of a sample of the keys.  Reads the key columns only."""
+    keys = df.select(*[c.alias(f"k{i}") for i, c in enumerate(_order(order_by)[1])])
+    n = keys.count()
     if n_buckets is None:
-        n = row["n"] or 0
         n_buckets = max(shuffle_partitions(df.sparkSession), math.ceil(n / ROWS_PER_BUCKET))
         n_buckets = min(n_buckets, max(1, math.ceil(n / MIN_ROWS_PER_BUCKET)))  # small tables: few buckets
-    if n_buckets <= 1 or row["b"] is None:
+    if n_buckets <= 1 or not n:
         return []
-    grid = [float(x) for x in row["b"] if x is not None]
-    out = []
-    for i in range(1, n_buckets):
-        q = i * GRID_QUANTILES / n_buckets - 1          # fractional grid index
-        lo = min(max(int(math.floor(q)), 0), len(grid) - 1)
-        hi = min(lo + 1, len(grid) - 1)
-        f = min(max(q - math.floor(q), 0.0), 1.0) if q >= 0 else 0.0
-        out.append(grid[lo] + (grid[hi] - grid[lo]) * f)
-    return sorted(set(out))
+    share = min(1.0, SAMPLE_PER_BUCKET * n_buckets / n)
+    sample = keys if share == 1.0 else keys.sample(share, seed=7)
+    sample = sample.orderBy(*sample.columns).collect()          # about SAMPLE_PER_BUCKET rows per bucket
+    picked = [tuple(sample[min(len(sample) - 1, i * len(sample) // n_buckets)]) for i in range(1, n_buckets)] if sample else []
+    return [b for i, b in enumerate(picked) if i == 0 or b != picked[i - 1]]
 
 
 class OrderedFrame:
@@ -144,8 +131,11 @@ class OrderedFrame:
         n_b = len(bounds) + 1
         key = _key_numeric(df, order_by)
         types = {f.name: f.dataType for f in df.schema.fields}
-        base = with_bucket(df, key, bounds).withColumn("_x", key.cast("double"))
-        seg = [col(p) for p in self.partition_by] + [F.col("_bkt")]
+        # one never-null struct for the partition keys: joins on it add no filter of their own, so both
+        # uses of the exchanged rows keep the same plan
+        base = with_bucket(df, order_by, bounds).withColumn("_x", key.cast("double")) \
+            .withColumn("_seg", F.struct(*[col(p).alias(f"p{i}") for i, p in enumerate(self.partition_by)] or [F.lit(0).alias("p")]))
+        seg = [F.col("_seg"), F.col("_bkt")]
         order_cols = _order(order_by)[1]
         w = Window.partitionBy(*seg).orderBy(*order_cols)
         wp = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -165,18 +155,19 @@ class OrderedFrame:
             framed = framed.select("*", *[F.last(it, ignorenulls=True).over(wn).alias(f"_n{i}")
                                           for i, it in enumerate(items)])
         # per-bucket summary: B rows per partition key at most
-        keys = self.partition_by + ["_bkt"]
-        aggs = [F.count(F.lit(1)).alias("_cnt")]
+        keys = ["_seg", "_bkt"]
+        # _all makes the summary need every column, so that its exchange is the frame's own
+        aggs = [F.count(F.lit(1)).alias("_cnt"), F.max(F.hash(*[col(c) for c in df.columns])).alias("_all")]
         for i, c in enumerate(self.columns):
             item = F.when(col(c).isNotNull() & ~self._is_nan(types[c], c),
                           F.struct(F.col("_lpos").alias("p"), F.col("_x").alias("x"), col(c).alias("v")))
             aggs += [F.max(item).alias(f"_last{i}"), F.min(item).alias(f"_first{i}")]
         summary = framed.groupBy(*[col(k) for k in keys]).agg(*aggs)
-        ws = Window.partitionBy(*[col(p) for p in self.partition_by]).orderBy("_bkt")
+        ws = Window.partitionBy("_seg").orderBy("_bkt")
         before = ws.rowsBetween(Window.unboundedPreceding, -1)
         after = ws.rowsBetween(1, Window.unboundedFollowing)
         summary = summary.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-        carry = [col(k) for k in keys] + [F.col("_off")]
+        carry = [col(k) for k in keys] + [F.col("_off"), F.col("_all")]
         for i, c in enumerate(self.columns):
             def glob(s):
                 return F.when(F.col(s).isNotNull(), F.struct((F.col(s + ".p") + F.col("_off")).alias("p"),
@@ -188,7 +179,7 @@ class OrderedFrame:
         summary = summary.select(*carry)
         if not self.partition_by and n_b <= SUMMARY_BROADCAST_ROWS:
             summary = F.broadcast(summary)  # one row per bucket: bounded by n_b
-        joined = framed.join(summary, keys, "left")
+        joined = framed.join(summary, keys, "left").where(F.col("_all").isNotNull())
 
         def globalised(local, carried):
             lc = F.when(F.col(local).isNotNull(), F.struct(
@@ -360,14 +351,11 @@ def running_total(df: DataFrame, segment, order_by: str, value: str, out: str =
     buckets instead of one task."""
     segment = list(segment)
     bounds = bucket_bounds(df, order_by, n_buckets)
-    key = _key_numeric(df, order_by)
-    base = with_bucket(df, key, bounds)
-    w = Window.partitionBy(*[col(s) for s in segment], F.col("_bkt")).orderBy(*_order(order_by)[1]) \
-        .rowsBetween(Window.unboundedPreceding, -1)
+    base = with_bucket(df, order_by, bounds).withColumn("_seg", F.struct(*[col(c).alias(f"p{i}") for i, c in enumerate(segment)]))
+    w = Window.partitionBy("_seg", "_bkt").orderBy(*_order(order_by)[1]).rowsBetween(Window.unboundedPreceding, -1)
     local = base.withColumn("_loc", F.coalesce(F.sum(col(value)).over(w), F.lit(0)))
-    tot = local.groupBy(*[col(s) for s in segment], "_bkt").agg(F.sum(col(value)).alias("_tot"))
-    ws = Window.partitionBy(*[col(s) for s in segment]).orderBy("_bkt") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*[col(s) for s in segment], "_bkt", F.coalesce(F.sum("_tot").over(ws), F.lit(0)).alias("_off"))
-    joined = local.join(offs, segment + ["_bkt"], "left")
-    return joined.withColumn(out, F.col("_loc") + F.col("_off")).drop("_bkt", "_loc", "_off")
+    tot = local.groupBy("_seg", "_bkt").agg(F.sum(col(value)).alias("_tot"))
+    ws = Window.partitionBy("_seg").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_seg", "_bkt", F.coalesce(F.sum("_tot").over(ws), F.lit(0)).alias("_off"))
+    joined = local.join(offs, ["_seg", "_bkt"], "left")
+    return joined.withColumn(out, F.col("_loc") + F.col("_off")).drop("_seg", "_bkt", "_loc", "_off")

@@ -14,8 +14,8 @@ memory, which a billion-row column does not survive.  Here:
    around ``p * (n - 1)``; linear interpolation between them gives the same
    answer as pandas / NumPy ``linear`` quantiles.
 
-Brackets are verified; a column whose bracket misses falls back to the full
-value range for that column only.  The result (one row per column and
+Brackets are verified; a column whose bracket misses is tried again with a
+bracket eight times as wide, never at once with its whole range.  The result (one row per column and
 probability) is collected once and returned as a small DataFrame.
 """
 
@@ -50,38 +50,34 @@ def exact_quantiles(df: DataFrame, columns=None, probs=(0.5,), accuracy: int | N
     if accuracy is None:
         k = len([f for f in df.schema.fields if columns is None or f.name in columns])
         accuracy = int(min(DEFAULT_ACCURACY, max(10_000, SKETCH_BUDGET // max(k, 1))))
-    margin = 3.0 / accuracy
-    lo_p = [max(0.0, p - margin) for p in probs]
-    hi_p = [min(1.0, p + margin) for p in probs]
-    sketch = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", lo_p, accuracy).alias("lo"),
-        F.percentile_approx("v", hi_p, accuracy).alias("hi"))
-    # one row per (column, prob): bounded by the number of columns -> broadcast
-    rows = []
-    for r in sketch.collect():
-        for i, p in enumerate(probs):
-            if r["n"] < accuracy:  # small column: the sketch's rank error bound is below one row
-                lo, hi = float("-inf"), float("inf")
-            else:
-                lo, hi = float(r["lo"][i]), float(r["hi"][i])
-            rows.append((r["column"], float(p), int(r["n"]), lo, hi))
-    schema = "column string, prob double, n long, lo double, hi double"
-    if not rows:
-        return spark.createDataFrame([], "column string, prob double, value double")
-    brackets = spark.createDataFrame(rows, schema)
-    # the result has one row per (column, prob): collect it once, check the
-    # brackets, and redo only the columns whose bracket missed
-    got = {(r["column"], r["prob"]): r for r in _resolve(long, brackets).collect()}
-    missed = [(r["column"], r["prob"], r["n"]) for r in got.values() if not r["ok"]]
-    if missed:
-        wide = spark.createDataFrame([(c, p, n, float("-inf"), float("inf")) for c, p, n in missed], schema)
-        fixed = _resolve(long.where(F.col("column").isin(sorted({m[0] for m in missed}))), wide).collect()
-        got.update({(r["column"], r["prob"]): r for r in fixed})
+    margin, got, todo = 3.0 / accuracy, {}, long
+    while True:
+        # one row per (column, prob): bounded by the number of columns -> broadcast
+        rows = _brackets(todo, probs, margin, accuracy)
+        if not rows:
+            break
+        wanted = {(c, p) for c, p, *_ in rows if (c, p) not in got}
+        brackets = spark.createDataFrame([r for r in rows if (r[0], r[1]) in wanted], "column string, prob double, n long, lo double, hi double")
+        found = {(r["column"], r["prob"]): r for r in _resolve(todo, brackets).collect()}
+        got.update({k: r for k, r in found.items() if r["ok"]})
+        missed = sorted({c for (c, _), r in found.items() if not r["ok"]})
+        if not missed:
+            break
+        todo, margin = long.where(F.col("column").isin(missed)), 8 * margin
     return spark.createDataFrame([(c, p, r["value"]) for (c, p), r in sorted(got.items())],
                                  "column string, prob double, value double")
 
 
+def _brackets(long: DataFrame, probs, margin: float, accuracy: int) -> list[tuple]:
+    """``(column, prob, n, lo, hi)``: values around the ranks ``prob -/+ margin``; a margin past an end of the range is open there."""
+    sketch = long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("v", [max(0.0, p - margin) for p in probs], accuracy).alias("lo"),
+        F.percentile_approx("v", [min(1.0, p + margin) for p in probs], accuracy).alias("hi"))
+    return [(r["column"], float(p), int(r["n"]), float("-inf") if p <= margin else float(r["lo"][i]),
+             float("inf") if p >= 1 - margin else float(r["hi"][i])) for r in sketch.collect() for i, p in enumerate(probs)]
+
+
 def _resolve(long: DataFrame, brackets: DataFrame) -> DataFrame:
     b = brackets.withColumn("r", F.col("prob") * (F.col("n") - 1)) \
         .withColumn("k", F.floor("r").cast("long")) \
