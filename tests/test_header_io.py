@@ -97,3 +97,62 @@ def test_multi_file_header(spark, tmp_out):
             f.write(f"A,B\nx,y\nAge,Sex\n{i}1,m\n{i}2,f\n")
     _, body2 = IO.read_multi_header(spark, d2, 3, header_in_every_file=True)
     assert sorted(r["_c0"] for r in body2.collect()) == ["01", "02", "11", "12"]
+
+
+def test_parquet_header_rows_only_in_the_first_file(spark, tmp_out):
+    path = os.path.join(tmp_out, "pq")
+    spark.range(40).select(F.col("id").cast("string").alias("a")).repartitionByRange(4, F.col("a").cast("int")) \
+        .sortWithinPartitions(F.col("a").cast("int")).write.parquet(path)
+    _, body = IO.read_parquet_multi_header(spark, path, 3)
+    assert sorted(int(r["a"]) for r in body.collect()) == list(range(3, 40))
+    _, each = IO.read_parquet_multi_header(spark, path, 3, header_in_every_file=True)
+    assert each.count() == 40 - 4 * 3
+
+
+def test_quoted_newlines_are_read_or_refused(spark, tmp_out):
+    path = os.path.join(tmp_out, "q.csv")
+    with open(path, "w") as f:
+        f.write('a,b\nx,y\n1,"two\nlines"\n2,"say ""hi"""\n')
+    _, body = IO.read_multi_header(spark, path, 2, multi_line=True)
+    assert [(r["_c0"], r["_c1"]) for r in body.orderBy("_offset").collect()] == [("1", "two\nlines"), ("2", 'say "hi"')]
+    with pytest.raises(Exception, match="unpaired quote"):
+        IO.read_multi_header(spark, path, 2)[1].collect()
+
+
+def test_offsets_keep_the_order_over_splits(spark, tmp_out):
+    path = os.path.join(tmp_out, "long.csv")
+    with open(path, "w") as f:
+        f.write("h\n" + "".join(f"{i}\n" for i in range(5000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        _, body = IO.read_multi_header(spark, path, 1)
+        assert body.rdd.getNumPartitions() > 1
+        assert [int(r["_c0"]) for r in body.orderBy("_offset").collect()] == list(range(5000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_float_text_is_the_shortest_plain_text(spark):
+    from wideprep.functions.numeric import decimal_places, float_text
+    from pyspark.sql import types as T
+    values = [12000000.0, 1.5, 0.0001, 1e-05, 1.5e-18, 1e16, 9999999999999998.0, 123456789.25, -0.002, 1e300, -2.5e-7, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select("v", float_text(F.col("v")).alias("t"), decimal_places(F.col("v"), T.DoubleType()).alias("p")).collect()
+    assert [r.t for r in got] == [repr(r.v) for r in got]
+    assert {r.v: r.p for r in got}[1.5e-18] == 19 and {r.v: r.p for r in got}[12000000.0] == 1
+
+
+def test_checkpoint_folder_must_be_shared(spark):
+    from wideprep import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077", "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Cluster())

@@ -113,3 +113,15 @@ def test_text_order_key(spark):
     want = pdf.sort_values("k")["v"].ffill()          # Python str order = code points = UTF-8 byte order
     assert list(got["k"]) == list(pdf.sort_values("k")["k"])
     assert np.allclose(got["v"].to_numpy(dtype=float), want.to_numpy(), equal_nan=True)
+
+
+def test_buckets_split_long_prefixes_and_ties(spark):
+    from pyspark.sql import functions as F
+    names = spark.range(20000).select(F.format_string("Customer#%012d", "id").alias("k"))
+    ties = spark.range(20000).select(F.when(F.col("id") % 20 == 0, F.col("id")).otherwise(7).alias("a"), F.col("id").alias("b"))
+    for df, key, n in ((names, "k", 8), (ties, ["a", "b"], 8), (ties, ["a", "b"], 100)):
+        bounds = O.bucket_bounds(df, key, n)
+        counts = [r["count"] for r in O.with_bucket(df, key, bounds).groupBy("_bkt").count().collect()]
+        assert len(counts) == n and max(counts) < 3 * 20000 / n
+    got = O.with_positions(ties, ["a", "b"], n_buckets=100).collect()
+    assert [r.position for r in sorted(got, key=lambda r: (r.a, r.b))] == list(range(1, 20001))
