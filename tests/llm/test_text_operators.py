@@ -143,6 +143,29 @@ def test_scan_matches_brute_force_on_both_ways(spark, odd):
         assert not any(w in ("one", "two") for w in _words(r.text))
 
 
+def test_spans_are_the_same_on_both_ways(spark, odd):
+    """The shuffled join reports the broadcast set's spans, and cut_spans takes it for a large benchmark."""
+    texts = [r.text for r in odd.where("length(text) between 10 and 10000").collect()]
+    edge = ("ONE", "  É-" + texts[0] + " !! ", texts[1][:70] + " gap " + texts[1][70:], None)
+    docs = odd.unionByName(spark.createDataFrame([(30 + i, t, "en", "s", 1, "x") for i, t in enumerate(edge)], SCHEMA))
+    items = [(7, texts[0][20:180]), (7, texts[0][60:240]), (8, texts[1]), (9, "one"), (10, "one-two"), (11, ""), (12, None), (None, texts[3][:90])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    norm = lambda df: sorted(map(str, df.collect()))
+    for wanted in (bench, bench.limit(0)):
+        whole = decontaminate.scan(docs, wanted)
+        assert norm(decontaminate.scan(docs, wanted, max_set_bytes=-1)) == norm(whole)
+    assert decontaminate.scan(docs, bench).where("size(hits.spans) > 1").count() and not whole.where("size(hits.spans) > 0").count()
+    cut = decontaminate.cut_spans(docs, bench, max_set_bytes=-1)
+    assert cut.columns == docs.columns and norm(cut) == norm(decontaminate.cut_spans(docs, bench))
+    assert norm(cut) != norm(docs)
+
+
+def test_cut_spans_does_not_broadcast_a_large_benchmark(spark, odd, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_scan", None)
+    bench = spark.createDataFrame([(1, "one two"), (2, "zz " * (decontaminate.MAX_SET_BYTES // 3 + 1))], "item_id long, text string")
+    assert {r.text for r in decontaminate.cut_spans(odd.where("doc_id in (24, 25)"), bench).collect()} == {"One", ""}
+
+
 def test_long_text_is_scanned_whole(spark, odd):
     long = odd.where("doc_id = 23").first().text
     tail = " ".join(long.split()[-20:])

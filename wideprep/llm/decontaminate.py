@@ -33,6 +33,10 @@ FIELDS = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
     T.StructField("items", T.ArrayType(T.StringType())),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
+                  ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+#: Where windows were hit in a text: first word and number of words.
+PLACES = "array<struct<at:int,size:int>>"
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,6 +47,21 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return data, starts, ends, before, offsets
 
 
+def _hit_words(edge: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list]:
+    """For each row: number of hit words and their spans in bytes.  ``edge`` counts the windows that begin less those that end at each word."""
+    hit = np.cumsum(edge[:-1]) > 0
+    total = np.concatenate([[0], np.cumsum(hit)])
+    begin, stop, owner = runs(hit, before)
+    spans = [[{"start": int(starts[b] - offsets[r]), "end": int(ends[e - 1] - offsets[r])} for b, e in zip(begin[owner[r]:owner[r + 1]], stop[owner[r]:owner[r + 1]])]
+             if owner[r + 1] > owner[r] else [] for r in range(len(before) - 1)]
+    return total[before[1:]] - total[before[:-1]], spans
+
+
+def _result(n_words: np.ndarray, n_hit: np.ndarray, items: list, spans: list) -> pa.StructArray:
+    parts = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, KIND[2].type), pa.array(spans, KIND[3].type)]
+    return pa.StructArray.from_arrays(parts, fields=list(KIND))
+
+
 class WindowSet:
     """The benchmark's windows: sorted hashes, and the item and place each comes from."""
 
@@ -106,25 +125,17 @@ def _hits(found: WindowSet, column: pa.Array) -> tuple[np.ndarray, list, list, l
                     items[r].add(found.names[found.item[entry]])
                     edge[a] += 1
                     edge[a + n] -= 1
-    hit = np.cumsum(edge[:-1]) > 0
-    total = np.concatenate([[0], np.cumsum(hit)])
-    begin, stop, owner = runs(hit, before)
-    spans = [[{"start": int(starts[b] - offsets[r]), "end": int(ends[e - 1] - offsets[r])} for b, e in zip(begin[owner[r]:owner[r + 1]], stop[owner[r]:owner[r + 1]])]
-             if owner[r + 1] > owner[r] else [] for r in range(n_rows)]
-    return np.diff(before), (total[before[1:]] - total[before[:-1]]), [sorted(x) for x in items], spans
+    n_hit, spans = _hit_words(edge, starts, ends, before, offsets)
+    return np.diff(before), n_hit, [sorted(x) for x in items], spans
 
 
 def _scan(docs: DataFrame, found: WindowSet, text: str, into: str, keep: list[str]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(found)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(into, FIELDS)])
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
-                      ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            n_words, n_hit, items, spans = _hits(held.value, batch.column(text))
-            parts = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, kind[2].type), pa.array(spans, kind[3].type)]
-            result = pa.StructArray.from_arrays(parts, fields=list(kind))
+            result = _result(*_hits(held.value, batch.column(text)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], result], names=[*keep, into])
 
     return docs.mapInArrow(run, schema)
@@ -141,14 +152,28 @@ def _window_rows(rows: DataFrame, length) -> DataFrame:
         .withColumn("window", F.array_join(F.slice("words", F.col("at") + 1, F.col("size")), " "))
 
 
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key and result of rows of key, text, hit places and items."""
+    for batch in slices(batches, "t"):
+        _, starts, ends, before, offsets = _words(batch.column("t"))
+        edge = np.zeros(len(starts) + 1, np.int64)
+        for r, places in enumerate(batch.column("places").to_pylist()):
+            for p in places or ():
+                edge[before[r] + p["at"]] += 1
+                edge[before[r] + p["at"] + p["size"]] -= 1
+        n_hit, spans = _hit_words(edge, starts, ends, before, offsets)
+        result = _result(np.diff(before), n_hit, [x or [] for x in batch.column("items").to_pylist()], spans)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), result], names=["__key", "__result"])
+
+
 def scan_by_join(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "hits",
                  keep: list[str] | None = None, size: int = WINDOW) -> DataFrame:
-    """``scan`` for a benchmark of any size: window hashes are shuffled, hits verified on the window's words.
-    Spans are left null (they are word ranges of the text that ``scan`` reports in bytes)."""
+    """``scan`` for a benchmark of any size: window hashes are shuffled, hits verified on the window's words.  The hit places
+    of each text (at most its windows) meet the text again, where they become spans."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != into]
     key = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
     texts = docs.select(key.alias("key"), F.col(f"`{text}`").alias("t")).groupBy("key").agg(F.first("t").alias("t")) \
-        .select("key", _split(F.col("t")).alias("words"))
+        .select("key", "t", _split(F.col("t")).alias("words"))
     wanted = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), _split(F.col("text")).alias("words")) \
         .where(F.size("words") > 0)
     wanted = _window_rows(wanted, F.least(F.size("words"), F.lit(size))).select("item", "size", "window", F.xxhash64("window").alias("h")).distinct()
@@ -158,19 +183,14 @@ def scan_by_join(docs: DataFrame, benchmark: DataFrame, text: str = "text", into
         part = _window_rows(texts, n).select("key", "at", "size", F.xxhash64("window").alias("h"))
         hits = part if hits is None else hits.union(part)
     if hits is None:
-        judged = texts.select("key", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
-                              F.array().cast("array<string>").alias("items"))
+        found = texts.select("key", "t", F.lit(None).cast(PLACES).alias("places"), F.lit(None).cast("array<string>").alias("items"))
     else:
-        hits = hits.join(wanted, ["h", "size"]).join(texts, "key") \
+        hits = hits.join(wanted, ["h", "size"]).join(texts.select("key", "words"), "key") \
             .where(F.array_join(F.slice("words", F.col("at") + 1, F.col("size")), " ") == F.col("window"))
-        found = hits.groupBy("key").agg(
-            F.sort_array(F.collect_set("item")).alias("items"),
-            F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1))))).cast("long").alias("n_hit"))
-        judged = texts.join(found, "key", "left").select(
-            "key", F.size("words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    result = F.struct("n_words", "n_hit", "items", F.lit(None).cast(FIELDS["spans"].dataType).alias("spans")).alias(into)
-    judged = judged.select(F.col("key").alias("__key"), result)
+        hits = hits.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"), F.collect_set(F.struct("at", "size")).alias("places"))
+        found = texts.select("key", "t").join(hits, "key", "left").select("key", "t", "places", "items")
+    judged = found.mapInArrow(_judge, T.StructType([T.StructField("__key", T.StringType()), T.StructField("__result", FIELDS)])) \
+        .withColumnRenamed("__result", into)
     return docs.select(*[F.col(f"`{c}`") for c in keep], key.alias("__key")).join(judged, "__key").select(*[F.col(f"`{c}`") for c in keep], into)
 
 
@@ -200,7 +220,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kwargs) -> DataFrame:
     """All documents, with the hit spans cut out of their texts (a null text stays null)."""
-    found = scan(docs, benchmark, text, "__hits", **{**kwargs, "max_set_bytes": 1 << 62})
+    found = scan(docs, benchmark, text, "__hits", **kwargs)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
