@@ -242,6 +242,27 @@ def test_language_id(spark):
     assert {r.language.lang for r in langid.predict(df, nothing).collect()} == {"und"}
 
 
+def test_language_id_learns_rare_languages(spark, monkeypatch):
+    """Languages that a uniform sample of the corpus misses, or holds once, are learned and predicted."""
+    rnd = random.Random(6)
+    vocab = {x: ["".join(rnd.choices(letters, k=rnd.randint(2, 7))) for _ in range(60)]
+             for x, letters in (("aa", "abcdefg"), ("bb", "efghijkl"), ("cc", "mnopqrst"), ("dd", "stuvwxyz"))}
+    langs = ["aa"] * 6000 + ["bb"] * 2000 + ["cc"] * 9 + ["dd"] * 3
+    rows = [(i, " ".join(rnd.choices(vocab[x], k=20)), x) for i, x in enumerate(langs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    assert learnt == set(vocab)
+    model = langid.train(df, sample=200)
+    assert model.names == sorted(vocab)
+    got = {r.doc_id: r.language.lang for r in langid.predict(df, model).collect()}
+    assert all(got[r[0]] == r[2] for r in rows if r[2] in ("cc", "dd"))
+    assert sum(got[r[0]] == r[2] for r in rows) >= 0.99 * len(rows)
+    for seed in range(8):       # the only row of a language is never held back
+        table = pa.table({"text": [r[1] for r in rows[:40] + rows[-1:]], "lang": ["aa"] * 40 + ["dd"]})
+        model = langid.fit(table, seed=seed)
+        assert model.names[int(model.probabilities(*langid.subwords(pa.array([rows[-2][1]]))).argmax())] == "dd"
+
+
 def test_subwords_stay_in_their_row():
     codes, before = langid.subwords(pa.array(["ab", None, "", "abc d", "ab"]))
     each = [codes[a:b].tolist() for a, b in zip(before[:-1], before[1:])]

@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax, trained by SGD in numpy.
 
 A text's subwords are the runs of 3 and 4 bytes of its lower-cased words (with a blank before and after each word).  Their hashed vectors are averaged
-and a softmax over the languages of the sample gives probabilities, with a temperature fitted on held-back rows.  A text whose best
+and a softmax over all languages of the labelled rows gives probabilities, with a temperature fitted on held-back rows.  A text whose best
 probability is below the calibrated confidence is marked ``rejected``; the prediction itself stays.
 
 A text that is null or has no letter gets ``und`` with score 0 and is rejected.  ``lang`` is a training label only.  Rows without it are not learned from.
@@ -24,8 +24,12 @@ from wideprep.llm.arrow_text import LOWER, WORD_BYTES, slices, string_buffers
 BUCKETS = 1 << 15
 DIM = 16
 SIZES = (3, 4)
-#: Documents learned from, chosen by hash.
+#: Documents learned from, chosen by hash; a language gets its share of them.
 SAMPLE = 4000
+#: Documents that a language gets at least, beyond ``SAMPLE`` if need be (all it has if it has fewer).
+LEAST_PER_LANGUAGE = 100
+#: Texts of a language seen in training at least: those of a language with few are read more often.
+LEAST_SEEN = 400
 EPOCHS = 4
 HELD_BACK = 5
 #: Share of right predictions wanted among the accepted held-back rows.
@@ -98,21 +102,26 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(table: pa.Table, epochs: int = EPOCHS, seed: int = 1, rate: float = 0.5) -> Model:
-    """Train on rows of text and lang; every ``HELD_BACK``-th row only calibrates."""
+def fit(table: pa.Table, epochs: int = EPOCHS, seed: int = 1, rate: float = 0.5, names: list[str] | None = None) -> Model:
+    """Train on rows of text and lang (one of ``names``); every ``HELD_BACK``-th row only calibrates, but never the first of a language."""
     langs = table.column("lang").to_pylist()
-    names = sorted(set(langs))
+    names = sorted(set(langs) if names is None else names)
     model = Model(names, seed)
     if not names:
         return model
-    docs, target = [], np.array([names.index(x) for x in langs])
+    place = {x: k for k, x in enumerate(names)}
+    docs, target = [], np.array([place[x] for x in langs], dtype=np.int64)
     for batch in slices(iter(table.select(["text"]).to_batches()), "text"):
         codes, before = subwords(batch.column("text"))
         docs += [codes[a:b] for a, b in zip(before[:-1], before[1:])]
     rng = np.random.default_rng(seed)
     held = rng.permutation(len(docs)) % HELD_BACK == 0
     bags = [np.unique(d, return_counts=True) for d in docs]
-    own = np.array([i for i in np.flatnonzero(~held) if len(docs[i])], dtype=np.int64)
+    some = np.flatnonzero([len(d) > 0 for d in docs])
+    held[some[np.unique(target[some], return_index=True)[1]]] = False
+    own = some[~held[some]]
+    often = -(-LEAST_SEEN // (epochs * np.maximum(1, np.bincount(target[own], minlength=len(names)))))
+    own = np.repeat(own, np.maximum(1, often)[target[own]])
     steps = max(1, epochs * len(own))
     for step, i in enumerate(np.concatenate([rng.permutation(own) for _ in range(epochs)])):
         pace = rate * (1 - step / steps)
@@ -153,10 +162,14 @@ def fit(table: pa.Table, epochs: int = EPOCHS, seed: int = 1, rate: float = 0.5)
 
 
 def train(docs: DataFrame, folds: int = 3, held_out: int = 1, sample: int = SAMPLE, **kwargs) -> Model:
-    """Fit on about ``sample`` documents with a language outside the held-out fold."""
+    """Fit on about ``sample`` documents with a language outside the held-out fold, or more where a language has less than
+    ``LEAST_PER_LANGUAGE`` among them.  One row per language, its number of documents, reaches the driver."""
     rows = docs.where((learn.fold(F.col("doc_id"), folds) != held_out) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()) \
         .groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    return fit(learn.gather(docs.select("doc_id", "text"), learn.sample(rows, "doc_id", sample)), **kwargs)
+    counts = dict(rows.groupBy("lang").count().collect())
+    share = sample / max(1, sum(counts.values()))
+    wanted = learn.sample_groups(rows, "doc_id", "lang", {k: (n, max(n * share, LEAST_PER_LANGUAGE)) for k, n in counts.items()})
+    return fit(learn.gather(docs.select("doc_id", "text"), wanted), names=list(counts), **kwargs)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "language", keep: list[str] | None = None) -> DataFrame:

@@ -28,6 +28,14 @@ def sample(rows: DataFrame, doc_id: str, n: int, seed: int = 1) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id).cast("string")), F.lit(1 << 30)) < int(n / total * (1 << 30)))
 
 
+def sample_groups(rows: DataFrame, doc_id: str, group: str, quotas: dict, seed: int = 1) -> DataFrame:
+    """``sample`` within each group: ``quotas`` gives each group's number of rows and how many of them are wanted."""
+    hash_ = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id).cast("string")), F.lit(1 << 30))
+    limits = [(k, int(min(1.0, wanted / max(1, n)) * (1 << 30))) for k, (n, wanted) in quotas.items()]
+    limits = rows.sparkSession.createDataFrame(limits, f"`{group}` {rows.schema[group].dataType.simpleString()}, __limit long")
+    return rows.join(F.broadcast(limits), group).where(hash_ < F.col("__limit")).select(*rows.columns)
+
+
 def gather(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bytes: int = SAMPLE_BYTES) -> pa.Table:
     """The texts of the ``wanted`` ids (a bounded sample) with the other columns of ``wanted``, at most ``max_bytes`` of text."""
     found = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(wanted), doc_id)
