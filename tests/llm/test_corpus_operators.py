@@ -278,6 +278,31 @@ def test_classifiers_without_labels_or_rows(spark, docs):
     assert toxicity.score(docs.limit(0), toxicity.Model()).count() == 0
 
 
+def test_long_texts_do_not_displace_short_ones(spark):
+    """The sample's bytes are bounded; the longest texts go first, and every group keeps its share."""
+    rows = [(i, "short text " * (1 + i % 3), 1) for i in range(300)] + [(1000 + i, "long " * 20_000, 1) for i in range(100)]
+    rows += [(2000, "often " * 20, 1)] * 2000 + [(3000 + i, "long " * 3000, 0) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(sorted({(r[0], r[2]) for r in rows}), "doc_id long, label int")
+    for room, want in ((400_000, {0, 1}), (100 << 20, {0, 1}), (70_000, {0, 1}), (3000, {1})):
+        wanted = learn.draw(docs, labels, "label", lambda counts: {0: 200, 1: 200}, max_bytes=room)
+        table = learn.gather(docs, wanted).to_pydict()
+        ones = {i for i, x in zip(table["doc_id"], table["label"]) if x == 1}
+        assert sum(map(len, table["text"])) <= room and set(table["label"]) == want
+        assert len(ones) == 200 or room < 10_000
+        assert room > 1 << 20 or all(i < 1000 for i in ones)
+        assert room < 1 << 20 or (len(set(table["doc_id"])) == 240 and any(i >= 1000 for i in ones))
+    assert learn.draw(docs.limit(0), labels, "label", lambda counts: {}).count() == 0
+
+
+def test_rare_language_of_long_texts_is_learned(spark, monkeypatch):
+    rows = [(i, "the quick brown fox " * 40, "en") for i in range(400)] + [(1000 + i, "renard brun saute " * 3000, "fr") for i in range(9)]
+    monkeypatch.setattr(learn.draw, "__defaults__", tuple(200_000 if x == learn.SAMPLE_BYTES else x for x in learn.draw.__defaults__))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.train(df))
+    assert got.where("language.lang != lang").count() == 0
+
+
 def test_calibration_helpers():
     assert learn.best_threshold(np.array([0.0, 1.0, 2.0, 3.0]), np.array([0, 0, 1, 1])) == 1.5
     z = np.random.default_rng(0).normal(0, 4, 4000)

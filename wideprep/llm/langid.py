@@ -166,10 +166,15 @@ def train(docs: DataFrame, folds: int = 3, held_out: int = 1, sample: int = SAMP
     ``LEAST_PER_LANGUAGE`` among them.  One row per language, its number of documents, reaches the driver."""
     rows = docs.where((learn.fold(F.col("doc_id"), folds) != held_out) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()) \
         .groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    counts = dict(rows.groupBy("lang").count().collect())
-    share = sample / max(1, sum(counts.values()))
-    wanted = learn.sample_groups(rows, "doc_id", "lang", {k: (n, max(n * share, LEAST_PER_LANGUAGE)) for k, n in counts.items()})
-    return fit(learn.gather(docs.select("doc_id", "text"), wanted), names=list(counts), **kwargs)
+    names: list[str] = []
+
+    def quota(counts: dict) -> dict:
+        names.extend(counts)
+        share = sample / max(1, sum(counts.values()))
+        return {k: max(round(n * share), LEAST_PER_LANGUAGE) for k, n in counts.items()}
+
+    wanted = learn.draw(docs, rows, "lang", quota)
+    return fit(learn.gather(docs.select("doc_id", "text"), wanted), names=names, **kwargs)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "language", keep: list[str] | None = None) -> DataFrame:

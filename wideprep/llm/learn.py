@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text a training sample may hold: rows beyond it, in hash order of their ids, are left out.
+#: Bytes of text a training sample may hold, with ``ROW_BYTES`` for each row; ``draw`` leaves out the longest texts beyond it.
 SAMPLE_BYTES = 48 << 20
+ROW_BYTES = 16
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -28,20 +29,51 @@ def sample(rows: DataFrame, doc_id: str, n: int, seed: int = 1) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id).cast("string")), F.lit(1 << 30)) < int(n / total * (1 << 30)))
 
 
-def sample_groups(rows: DataFrame, doc_id: str, group: str, quotas: dict, seed: int = 1) -> DataFrame:
-    """``sample`` within each group: ``quotas`` gives each group's number of rows and how many of them are wanted."""
+def draw(docs: DataFrame, rows: DataFrame, group: str, quota, doc_id: str = "doc_id", text: str = "text",
+         max_bytes: int = SAMPLE_BYTES, seed: int = 1) -> DataFrame:
+    """Ids and groups of a sample of ``rows`` (one row per id): ``quota`` maps each group's number of ids to the number wanted.
+    Ids are taken in hash order.  The texts of the sample, all rows of an id counted, hold at most ``max_bytes``.  Groups have
+    equal shares, with what others do not need; a group that needs more leaves out its longest ids, as far as that gives it more ids in all.
+
+    One job counts ids by group and bit length of their bytes; another brings the candidates' ids to the driver."""
+    spark = rows.sparkSession
+    sizes = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).alias("__size"))
+    sized = rows.select(doc_id, group).join(sizes, doc_id).withColumn("__bits", F.length(F.bin("__size")))
+    held: dict = {}
+    for g, bits, n, size in sorted(tuple(r) for r in sized.groupBy(group, "__bits").agg(F.count("*"), F.sum("__size")).collect()):
+        steps = held.setdefault(g, [])
+        last = steps[-1] if steps else (0, 0, 0)
+        steps.append((bits, last[1] + n, last[2] + size))
+    wanted = {g: min(int(n), held[g][-1][1]) for g, n in quota({g: x[-1][1] for g, x in held.items()}).items()}
+    order = sorted((g for g in held if wanted[g] > 0), key=lambda g: wanted[g] * held[g][-1][2] / held[g][-1][1])      # least need first
+    left, share, limits = max_bytes, {}, []
+    for k, g in enumerate(order):
+        room = left / (len(order) - k)
+        found, bits, n = max((min(wanted[g], n, room * n / size), bits, n) for bits, n, size in held[g])
+        mean = next(size / n for b, n, size in held[g] if b == bits)
+        share[g], left = max(1, int(found)), left - min(room, found * mean)
+        rate = (share[g] + 4 * share[g] ** 0.5 + 10) / n
+        limits.append((g, bits, int(min(1.0, rate) * (1 << 30))))
+    schema = f"`{group}` {rows.schema[group].dataType.simpleString()}, __most int, __limit long"
     hash_ = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id).cast("string")), F.lit(1 << 30))
-    limits = [(k, int(min(1.0, wanted / max(1, n)) * (1 << 30))) for k, (n, wanted) in quotas.items()]
-    limits = rows.sparkSession.createDataFrame(limits, f"`{group}` {rows.schema[group].dataType.simpleString()}, __limit long")
-    return rows.join(F.broadcast(limits), group).where(hash_ < F.col("__limit")).select(*rows.columns)
-
-
-def gather(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bytes: int = SAMPLE_BYTES) -> pa.Table:
-    """The texts of the ``wanted`` ids (a bounded sample) with the other columns of ``wanted``, at most ``max_bytes`` of text."""
+    near = sized.withColumn("__hash", hash_).join(F.broadcast(spark.createDataFrame(limits, schema)), group) \
+        .where((F.col("__bits") <= F.col("__most")) & (F.col("__hash") < F.col("__limit"))).select(doc_id, group, "__size", "__hash").collect()
+    by: dict = {g: [] for g in order}
+    for r in sorted(near, key=lambda r: (r["__hash"], str(r[doc_id]))):
+        by[r[group]].append(r)
+    chosen, left = [], max_bytes
+    for k, g in enumerate(order):
+        room, n = left / (len(order) - k), 0
+        for r in by[g]:
+            if n < share[g] and r["__size"] <= (room if n else left):
+                chosen.append((r[doc_id], g))
+                n, room, left = n + 1, room - r["__size"], left - r["__size"]
+    return spark.createDataFrame(chosen, sized.select(doc_id, group).schema)
+
+
+def gather(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> pa.Table:
+    """The texts of the ``wanted`` ids (a sample bounded by ``draw``) with the other columns of ``wanted``."""
     found = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(wanted), doc_id)
-    size = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_bytes:        # fewer rows, not shorter texts
-        found = found.where(F.pmod(F.xxhash64(F.lit(7), F.col(doc_id).cast("string")), F.lit(1 << 30)) < int(max_bytes / size * (1 << 30)))
     return found.toArrow().sort_by(doc_id)
 
 

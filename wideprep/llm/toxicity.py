@@ -278,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     """Fit on at most about ``sample`` labelled documents (of label 1, of label 0) outside the held-out fold."""
     rows = labels.where((learn.fold(F.col("doc_id"), folds) != held_out) & F.col(label).isNotNull() & F.col("doc_id").isNotNull()) \
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    wanted = learn.sample(rows.where("label = 1"), "doc_id", sample[0]).union(learn.sample(rows.where("label = 0"), "doc_id", sample[1]))
+    wanted = learn.draw(docs, rows.where("label in (0, 1)"), "label", lambda counts: {k: sample[1 - k] for k in counts})
     langs = docs.select("doc_id", "lang").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.min("lang").alias("lang"))
     return fit(learn.gather(docs, langs), **kwargs)
 
