@@ -92,6 +92,19 @@ def test_place_keeps_whole_rows(docs, tmp_path):
     assert got.count() == 0
 
 
+def test_place_tells_files_of_a_partitioned_table_apart(spark, tmp_path):
+    """One task's files in the folders of a partitioned table share a name."""
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), (F.col("id") % 3).alias("part"))
+    rows.coalesce(1).write.partitionBy("part").parquet(str(tmp_path / "t"))
+    given = spark.read.parquet(str(tmp_path / "t"))
+    names = [r[0] for r in given.select("_metadata.file_name").distinct().collect()]
+    assert len(names) == 1
+    got = sharding.place(given)
+    assert Counter(map(tuple, got.select(*given.columns).collect())) == Counter(map(tuple, given.collect()))
+    want = {(r.doc_id, r.shard, r.slot) for r in sharding.shards(given).collect()}
+    assert {(r.doc_id, r.shard, r.slot) for r in got.collect()} == want
+
+
 def test_hot_rows_spread_over_shards(spark):
     same = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
     counts = [r["count"] for r in sharding.shards(same).groupBy("shard").count().collect()]

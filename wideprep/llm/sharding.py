@@ -56,11 +56,11 @@ def shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
 
 
 def place(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHARDS) -> DataFrame:
-    """All rows of ``docs`` with ``shard`` and ``slot``.  Rows are told apart by their place in the Parquet files they
+    """All rows of ``docs`` with ``shard`` and ``slot``.  Rows are told apart by their place (path and row) in the Parquet files they
     are read from; a table that is not read from files is written to the shared checkpoint folder first."""
     where = ["__file", "__at"]
     try:
-        marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")], F.col("_metadata.file_name").alias(where[0]), F.col("_metadata.row_index").alias(where[1]))
+        marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")], F.col("_metadata.file_path").alias(where[0]), F.col("_metadata.row_index").alias(where[1]))
     except AnalysisException:
         path = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/sharding-{uuid.uuid4().hex}"
         docs.write.parquet(path)
