@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wideprep.llm import chat, decontaminate, fingerprints, langid, learn, mixing, pages, quality, sharding, simhash, toxicity
+from wideprep.llm import chat, decontaminate, exact_dedup, fingerprints, langid, learn, mixing, pages, quality, sharding, simhash, toxicity
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -188,9 +188,25 @@ FROM placed, crc
 """
 
 
+def op13_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return exact_dedup.groups(_t(spark, d, "documents").select("doc_id", "text"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents),
+g AS (SELECT norm, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id NULLS FIRST) AS keep_id FROM t GROUP BY norm)
+SELECT t.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept,
+  sha256(norm) AS text_sha256
+FROM t JOIN g USING (norm)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pagediff, op2_toxicity, op3_quality, op4_fingerprints, op5_simhash, op6_langid, op7_mixing, op8_chat, op9_sharding, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_pagediff, op2_toxicity, op3_quality, op4_fingerprints, op5_simhash, op6_langid, op7_mixing, op8_chat, op9_sharding, op10_decontaminate,
+                                    op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL, "op8_chat": OP8_SQL, "op9_sharding": OP9_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op7_mixing": OP7_SQL, "op8_chat": OP8_SQL, "op9_sharding": OP9_SQL, "op10_decontaminate": OP10_SQL,
+            "op13_exact_dedup": OP13_SQL}
