@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wideprep.llm import chat, decontaminate, exact_dedup, fingerprints, langid, learn, mixing, pages, quality, sharding, simhash, toxicity
+from wideprep.llm import chat, decontaminate, exact_dedup, fingerprints, langid, learn, mixing, pages, quality, sharding, simhash, toxicity, whitening
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -188,6 +188,10 @@ FROM placed, crc
 """
 
 
+def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(_t(spark, d, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.groups(_t(spark, d, "documents").select("doc_id", "text"))
 
@@ -204,7 +208,7 @@ FROM t JOIN g USING (norm)
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_pagediff, op2_toxicity, op3_quality, op4_fingerprints, op5_simhash, op6_langid, op7_mixing, op8_chat, op9_sharding, op10_decontaminate,
-                                    op13_exact_dedup)}
+                                    op12_whitening, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
