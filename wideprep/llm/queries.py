@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wideprep.llm import chat, decontaminate, exact_dedup, fingerprints, langid, learn, mixing, pages, quality, sharding, simhash, toxicity, whitening
+from wideprep.llm import chat, decontaminate, exact_dedup, fingerprints, langid, learn, lexical, mixing, pages, quality, sharding, simhash, toxicity, whitening
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -188,6 +188,34 @@ FROM placed, crc
 """
 
 
+def op11_lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.rank(_t(spark, d, "documents").select("doc_id", "text"), _t(spark, d, "benchmark"))
+
+
+#: Scores every document that shares a term with an item: no signatures, no bounds.
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+corpus AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM words),
+held AS (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS t FROM words) GROUP BY r, t),
+asked AS (
+  SELECT item_id, t, CAST(count(*) AS BIGINT) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, t),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM (SELECT t, count(*) AS df FROM held GROUP BY t), corpus),
+sized AS (SELECT r, doc_id, 75 + (25 * CAST(len(w) AS BIGINT) * docs) // terms AS m FROM words, corpus WHERE len(w) > 0),
+scores AS (
+  SELECT item_id, s.r, any_value(s.doc_id) AS doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN held USING (t) JOIN weights USING (t) JOIN sized s ON s.r = held.r GROUP BY item_id, s.r)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
 def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
     return whitening.whiten(_t(spark, d, "embeddings").select("vec_id", "embedding"))
 
@@ -208,9 +236,9 @@ FROM t JOIN g USING (norm)
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_pagediff, op2_toxicity, op3_quality, op4_fingerprints, op5_simhash, op6_langid, op7_mixing, op8_chat, op9_sharding, op10_decontaminate,
-                                    op12_whitening, op13_exact_dedup)}
+                                    op11_lexical_search, op12_whitening, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op7_mixing": OP7_SQL, "op8_chat": OP8_SQL, "op9_sharding": OP9_SQL, "op10_decontaminate": OP10_SQL,
-            "op13_exact_dedup": OP13_SQL}
+            "op11_lexical_search": OP11_SQL, "op13_exact_dedup": OP13_SQL}
