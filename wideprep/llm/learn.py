@@ -1,15 +1,18 @@
 """What the trained operators share: bounded samples of labelled rows, Adam, calibration.
 
-Training data are a documented, bounded sample that one Spark job gathers to the driver, where numpy trains a model of
-fixed size; scoring runs over all rows in Spark tasks with the model broadcast.
+Training data are a documented, bounded sample that one Spark job gathers to the driver or to one task, where numpy trains a
+model of fixed size; scoring runs over all rows in Spark tasks with the model broadcast.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text a training sample may hold, with ``ROW_BYTES`` for each row; ``draw`` leaves out the longest texts beyond it.
 SAMPLE_BYTES = 48 << 20
@@ -73,8 +76,26 @@ def draw(docs: DataFrame, rows: DataFrame, group: str, quota, doc_id: str = "doc
 
 def gather(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> pa.Table:
     """The texts of the ``wanted`` ids (a sample bounded by ``draw``) with the other columns of ``wanted``."""
-    found = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(wanted), doc_id)
-    return found.toArrow().sort_by(doc_id)
+    return texts_of(docs, wanted, doc_id, text).toArrow().sort_by(doc_id)
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``gather``, where they lie."""
+    return docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(wanted), doc_id)
+
+
+def fit_in_task(sample: DataFrame, fit, order: str = "doc_id"):
+    """The model that ``fit`` makes of a bounded sample (an Arrow table, sorted by ``order``).  One task trains it, which
+    Spark repeats elsewhere if it is lost; the driver only receives the model."""
+
+    def run(batches):
+        held = list(batches)
+        table = pa.Table.from_batches(held, held[0].schema if held else empty)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], names=["model"])
+
+    empty = to_arrow_schema(sample.schema)
+    found = sample.repartition(1).sortWithinPartitions(order).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(empty.empty_table())
 
 
 class Adam:

@@ -14,6 +14,7 @@ through, a column named like the result is replaced by it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -280,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     wanted = learn.draw(docs, rows.where("label in (0, 1)"), "label", lambda counts: {k: sample[1 - k] for k in counts})
     langs = docs.select("doc_id", "lang").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.min("lang").alias("lang"))
-    return fit(learn.gather(docs, langs), **kwargs)
+    return learn.fit_in_task(learn.texts_of(docs, langs), partial(fit, **kwargs))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score", keep: list[str] | None = None) -> DataFrame:
