@@ -125,3 +125,21 @@ def test_buckets_split_long_prefixes_and_ties(spark):
         assert len(counts) == n and max(counts) < 3 * 20000 / n
     got = O.with_positions(ties, ["a", "b"], n_buckets=100).collect()
     assert [r.position for r in sorted(got, key=lambda r: (r.a, r.b))] == list(range(1, 20001))
+
+
+def test_bounds_are_data_not_plan(spark, tmp_out):
+    """Ten and 3,000 buckets give plans of one size, one exchange of the table, and the same rows."""
+    from pyspark.sql import functions as F
+    spark.range(30_000).select((F.col("id") * 7919 % 30_011).alias("k"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("v")) \
+        .write.parquet(f"{tmp_out}/t")
+    df = spark.read.parquet(f"{tmp_out}/t")
+    sizes, sums = [], []
+    for n in (10, 3000):
+        got = O.fill_forward(df, ["v"], "k", n_buckets=n)
+        sizes.append(len(got._jdf.queryExecution().optimizedPlan().toString()))
+        rows = got.collect()
+        sums.append(sum(r.v or 0 for r in rows))
+        final = got._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in final and len(rows) == 30_000
+    assert abs(sizes[0] - sizes[1]) < 200 and sums[0] == sums[1]
+    assert len(set(r._bkt for r in O.with_bucket(df, "k", O.bucket_bounds(df, "k", 3000)).select("_bkt").collect())) == 3000

@@ -6,10 +6,12 @@ key and whose other columns break its ties - and optional ``partition_by``
 columns.  A window with no ``partitionBy`` would pull the whole table into
 one task, and a hot partition key would do the same for its rows.  Instead:
 
-1. Range buckets of the whole order key, ties included: boundaries are read
-   off a sample of about ``SAMPLE_PER_BUCKET`` keys per bucket (one small
-   collect) and compared as structs, so texts with a long common prefix and
-   bursts of equal first keys are split like any other.
+1. Range buckets of the whole order key, ties included: bounds are read off a
+   sample of about ``SAMPLE_PER_BUCKET`` keys per bucket by Spark's range
+   partitioner and compared as structs, so texts with a long common prefix and
+   bursts of equal first keys are split like any other.  The bounds are data
+   (one checkpointed row), not part of the plan: it has the same size for ten
+   buckets and for 100,000.
 2. One window per ``(partition_by, bucket)`` ordered by the key gives the local
    position and, per column, the nearest non-missing value (with position)
    before and after each row inside the bucket.
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 
 from wideprep.functions.numeric import INTEGRAL_TYPES
 from wideprep.operators._util import col
-from wideprep.session import shuffle_partitions
+from wideprep.session import checkpoint_dir, shuffle_partitions
 
 ROWS_PER_BUCKET = 2_000_000
 MIN_ROWS_PER_BUCKET = 1_000
@@ -66,55 +68,53 @@ def _key_numeric(df: DataFrame, order_by) -> Column:
 
 
 SAMPLE_PER_BUCKET = 30
+SAMPLE_LEAST = 100_000
 SUMMARY_BROADCAST_ROWS = 100_000
-CASE_TREE_MAX_BOUNDS = 64   # beyond this, two steps of sqrt(B) comparisons instead of a CASE tree (plan only)
+BUCKETS_PER_TASK = 64       # buckets whose bounds one task reads off its range of the sample
 
 
-def _case_tree(key: Column, bounds: list) -> Column:
-    """Number of boundaries strictly below ``key`` (balanced CASE tree, small lists only:
-    a large tree would exceed the generated-code size limit)."""
-    def build(lo, hi):
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= bounds[mid], build(lo, mid)).otherwise(build(mid + 1, hi))
-    return build(0, len(bounds))
+class Bounds:
+    """The sorted bounds of about ``n_buckets`` range buckets: one row with one array, written to the checkpoint folder.  A
+    plan refers to it by a scalar subquery, so its size does not depend on the number of buckets."""
 
+    def __init__(self, array: DataFrame | None = None, n_buckets: int = 1):
+        self.array, self.n_buckets = array, n_buckets
 
-def with_bucket(df: DataFrame, order_by, bounds: list, out: str = "_bkt") -> DataFrame:
-    """Add a monotone range-bucket id ``out`` of the order key for sorted ``bounds`` (rows of its columns)."""
-    if not bounds:
+
+def with_bucket(df: DataFrame, order_by, bounds: Bounds, out: str = "_bkt") -> DataFrame:
+    """Add a monotone range-bucket id ``out`` of the order key: how many bounds are below it, by binary search."""
+    if bounds.array is None:
         return df.withColumn(out, F.lit(0))
-    cols = _order(order_by)[1]
-    names = [order_by] if isinstance(order_by, str) else list(order_by)
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
-    types = [df.schema[n].dataType for n in names]
-    lits = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))]) for b in bounds]
-    if len(lits) <= CASE_TREE_MAX_BOUNDS:
-        return df.withColumn(out, _case_tree(key, lits))
-    step = math.isqrt(len(lits))
-    below = lambda values: F.size(F.filter(values, lambda b: b < F.col("_bkt_key")))
-    block = F.greatest(F.col("_coarse"), F.lit(1)) - 1
-    fine = block * step + below(F.slice(F.array(*lits), block * step + 1, F.lit(step)))
-    return df.withColumn("_bkt_key", key).withColumn("_coarse", below(F.array(*lits[::step]))) \
-        .withColumn(out, fine.cast("int")).drop("_bkt_key", "_coarse")
-
-
-def bucket_bounds(df: DataFrame, order_by, n_buckets: int | None = None) -> list:
-    """Sorted boundaries of ``B`` about equal range buckets of the order key: ``B`` (given, or max(shuffle
-    partitions, rows / ROWS_PER_BUCKET)) - 1 quantiles of a sample of the keys.  Reads the key columns only."""
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_order(order_by)[1])])
+    steps = [1 << i for i in reversed(range((2 * bounds.n_buckets).bit_length()))]      # a sample may be longer than expected
+    # beyond the last bound ``get`` gives null, which is below no key
+    search = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(F.get("_bounds", at + step - 1) < F.col("_bkt_key"), at + step).otherwise(at))
+    return df.select("*", bounds.array.scalar().alias("_bounds")).withColumn("_bkt_key", key) \
+        .withColumn(out, F.coalesce(search, F.lit(0))).drop("_bounds", "_bkt_key")      # never null: joins on it add no filter
+
+
+def bucket_bounds(df: DataFrame, order_by, n_buckets: int | None = None) -> Bounds:
+    """Bounds of ``B`` about equal range buckets of the order key: ``B`` (given, or max(shuffle partitions, rows /
+    ROWS_PER_BUCKET)) quantiles of a sample of about ``SAMPLE_PER_BUCKET`` keys per bucket.  Reads the key columns only.
+
+    Spark's range partitioner sorts the sample; every task picks each so-many-th key of its range.  Keys meet
+    in one row only as the B - 1 bounds."""
     keys = df.select(*[c.alias(f"k{i}") for i, c in enumerate(_order(order_by)[1])])
     n = keys.count()
     if n_buckets is None:
         n_buckets = max(shuffle_partitions(df.sparkSession), math.ceil(n / ROWS_PER_BUCKET))
         n_buckets = min(n_buckets, max(1, math.ceil(n / MIN_ROWS_PER_BUCKET)))  # small tables: few buckets
     if n_buckets <= 1 or not n:
-        return []
-    share = min(1.0, SAMPLE_PER_BUCKET * n_buckets / n)
+        return Bounds()
+    checkpoint_dir(df.sparkSession)
+    share = min(1.0, max(SAMPLE_LEAST, SAMPLE_PER_BUCKET * n_buckets) / n)
     sample = keys if share == 1.0 else keys.sample(share, seed=7)
-    sample = sample.orderBy(*sample.columns).collect()          # about SAMPLE_PER_BUCKET rows per bucket
-    picked = [tuple(sample[min(len(sample) - 1, i * len(sample) // n_buckets)]) for i in range(1, n_buckets)] if sample else []
-    return [b for i, b in enumerate(picked) if i == 0 or b != picked[i - 1]]
+    every = math.ceil(n * share / n_buckets)
+    tasks = max(1, min(shuffle_partitions(df.sparkSession), n_buckets // BUCKETS_PER_TASK))
+    ranged = sample.repartitionByRange(tasks, *keys.columns).withColumn("_part", F.spark_partition_id())
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*keys.columns))
+    picked = ranged.withColumn("_nth", nth).where(F.col("_nth") % every == 0).agg(F.collect_set(F.struct(*keys.columns)).alias("bounds"))
+    return Bounds(picked.select(F.sort_array("bounds").alias("bounds")).checkpoint(), n_buckets)
 
 
 class OrderedFrame:
@@ -128,7 +128,6 @@ class OrderedFrame:
         self.partition_by = list(partition_by or [])
         self.columns = list(columns)
         bounds = bucket_bounds(df, order_by, n_buckets)
-        n_b = len(bounds) + 1
         key = _key_numeric(df, order_by)
         types = {f.name: f.dataType for f in df.schema.fields}
         # one never-null struct for the partition keys: joins on it add no filter of their own, so both
@@ -177,8 +176,8 @@ class OrderedFrame:
             if need_next:
                 carry.append(F.first(glob(f"_first{i}"), ignorenulls=True).over(after).alias(f"_cn{i}"))
         summary = summary.select(*carry)
-        if not self.partition_by and n_b <= SUMMARY_BROADCAST_ROWS:
-            summary = F.broadcast(summary)  # one row per bucket: bounded by n_b
+        if not self.partition_by and bounds.n_buckets <= SUMMARY_BROADCAST_ROWS:
+            summary = F.broadcast(summary)  # one row per bucket
         joined = framed.join(summary, keys, "left").where(F.col("_all").isNotNull())
 
         def globalised(local, carried):
