@@ -179,6 +179,14 @@ def _part_modes(spark, d):
                     F.when(F.col("p_partkey") % 2 == 0, 12000000.0).otherwise(1.5).alias("p_tied"))
 
 
+def q_mode_by_string_float(spark, d):
+    """AGG7 on float columns; of two equally common values the smaller text wins."""
+    k = F.col("p_partkey")
+    tied = F.when(k % 2 == 0, F.lit(12_000_000.0)).otherwise(1.5)
+    return P.mode(_t(spark, d, "part").select(F.col("p_retailprice").cast("float").alias("price"), tied.cast("float").alias("tied"),
+                                              F.when(k % 5 > 0, (k % 7) / 10).cast("float").alias("tenths")), tie="string")
+
+
 def q_mode_by_string(spark, d):
     return P.mode(_part_modes(spark, d), tie="string")
 
@@ -1362,6 +1370,17 @@ def q_csv_quoted_newlines(spark, d):
     return rows.select(F.col("_c0").cast("long").alias("key"), F.col("_c1").alias("text"))
 
 
+def q_csv_wide_records(spark, d):
+    """IO1: records with more cells than the header, and newlines inside quotes over many splits."""
+    path, k = _scratch(spark, "wide"), F.col("o_orderkey")
+    more = F.when(k % 11 == 0, F.concat(F.lit(',"extra\n'), k.cast("string"), F.lit('"'))).when(k % 13 == 0, F.lit(",,last")).otherwise("")
+    o = _t(spark, d, "orders").select(k.alias("k"), F.concat(k, F.lit(',"'), F.col("o_orderpriority"), F.lit('\n, ""x"""'), more).alias("value"))
+    head = spark.sql("SELECT * FROM VALUES (-2L, 'a,\"b\nc\"'), (-1L, 'Key,Name') AS t(k, value)")
+    o.unionByName(head).repartitionByRange(2, "k").sortWithinPartitions("k").select("value").write.text(path)
+    header, rows = IO.read_multi_header(spark, path, 2, multi_line=True)
+    return rows.select(F.col("_c0").cast("long").alias("key"), F.col("_c1").alias("text"), F.col("_c2").alias("third"), F.col("_c3").alias("fourth"))
+
+
 # --------------------------------------------------------------------------- options
 
 def q_placeholder_names(spark, d):
@@ -1514,6 +1533,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "header_rows_round_trip": q_header_rows_round_trip,
         "csv_multi_header": q_csv_multi_header,
         "csv_quoted_newlines": q_csv_quoted_newlines,
+        "csv_wide_records": q_csv_wide_records,
+        "mode_by_string_float": q_mode_by_string_float,
         "placeholder_names": q_placeholder_names,
         "split_xy": q_split_xy,
         "existing_columns": q_existing_columns,
@@ -1599,6 +1620,15 @@ def _sql_describe_object() -> str:
             "FROM r GROUP BY 1")
 
 
+def _sql_mode_by_string_float() -> str:
+    cols = {"price": "CAST(p_retailprice AS FLOAT)", "tied": "CAST(CASE WHEN p_partkey % 2 = 0 THEN 12000000.0 ELSE 1.5 END AS FLOAT)",
+            "tenths": "CAST(CASE WHEN p_partkey % 5 > 0 THEN (p_partkey % 7) / 10.0 END AS FLOAT)"}
+    long = _union([f"SELECT '{c}' AS \"column\", CAST({v} AS VARCHAR) AS value FROM part WHERE {v} IS NOT NULL" for c, v in cols.items()])
+    return (f"WITH f AS (SELECT \"column\", value, count(*) AS n FROM ({long}) GROUP BY 1, 2),\n"
+            "m AS (SELECT \"column\", max(n) AS n FROM f GROUP BY 1)\n"
+            "SELECT \"column\", min(value) AS mode, any_value(m.n) AS mode_count, count(*) AS tie_count FROM f JOIN m USING (\"column\", n) GROUP BY 1")
+
+
 def _sql_mode(tie: str) -> str:
     cols = {"p_size": ("CAST(p_size AS VARCHAR)", "CAST(p_size AS DOUBLE)"),
             "p_brand": ("p_brand", "NULL"), "p_type": ("p_type", "NULL"),
@@ -1743,6 +1773,10 @@ def _own_oracle_sql() -> dict[str, str]:
         "model_round_trip": f"SELECT vec_id, TRUE AS same FROM embeddings WHERE {_sql_hash('vec_id')} < 2000",
         "header_rows_round_trip": _sql_header_rows_round_trip(),
         "csv_multi_header": _sql_csv_multi_header(),
+        "csv_wide_records": "SELECT CAST(o_orderkey AS BIGINT) AS key, o_orderpriority || chr(10) || ', \"x\"' AS text, "
+                            "CASE WHEN o_orderkey % 11 = 0 THEN 'extra' || chr(10) || o_orderkey END AS third, "
+                            "CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 = 0 THEN 'last' END AS fourth FROM orders",
+        "mode_by_string_float": _sql_mode_by_string_float(),
         "csv_quoted_newlines": "SELECT CAST(c_custkey AS BIGINT) AS key, c_name || chr(10) || '\"second\" line' AS text FROM customer",
         "placeholder_names": _sql_placeholder_names(),
         "split_xy": f"SELECT o_orderkey, o_totalprice, o_orderpriority, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate' AS columns FROM {ORDERS_GAPS_SQL}",

@@ -156,3 +156,67 @@ def test_checkpoint_folder_must_be_shared(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Cluster())
+
+
+def quoted_csv(rng, n, width=4):
+    """Rows with separators, doubled quotes and newlines inside quoted cells, some wider than the header."""
+    def cell():
+        kind = rng.integers(0, 6)
+        if kind == 0:
+            return "x" * int(rng.integers(0, 5))
+        if kind == 1:
+            return 'say "hi", ' + "y" * int(rng.integers(0, 9))
+        if kind == 2:
+            return "line\n" * int(rng.integers(1, 40)) + "end"
+        if kind == 3:
+            return "\n\n"
+        return str(rng.integers(0, 10**6))
+    return [[str(i)] + [cell() for _ in range(int(rng.integers(width - 2, width + 3)))] for i in range(n)]
+
+
+def test_quoted_newlines_are_read_by_many_tasks(spark, tmp_out):
+    """Records that cross one split or several come out whole, in order, and in as many columns as the widest has."""
+    import csv
+
+    import numpy as np
+    rows = {f"p{k}.csv": quoted_csv(np.random.default_rng(k), 700) for k in range(2)}
+    rows["p0.csv"][350][1] = "a\nb" * 3000                # longer than two splits
+    for name, body in rows.items():
+        with open(os.path.join(tmp_out, name), "w", newline="") as f:
+            w = csv.writer(f, lineterminator="\n")
+            w.writerows([["a", "b", 'c\n"c"', ""], ["x", "y"]] if name == "p0.csv" else [])
+            w.writerows(body)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        header, body = IO.read_multi_header(spark, tmp_out, 2, multi_line=True)
+        got = body.orderBy("_file", "_offset").collect()
+        assert IO._scan_lines(spark, tmp_out).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    wide = max(len(r) for v in rows.values() for r in v)
+    want = [[c if c else None for c in r] + [None] * (wide - len(r)) for name in sorted(rows) for r in rows[name]]
+    assert [[r[f"_c{i}"] for i in range(wide)] for r in got] == want
+    assert len({(r["_file"], r["_offset"]) for r in got}) == 1400
+    assert header.count() == 2 * wide and header.where("row_idx = 0 AND col_idx = 2").first()["cell"] == 'c "c"'
+
+
+def test_no_cell_is_lost(spark, tmp_out):
+    path = os.path.join(tmp_out, "w.csv")
+    with open(path, "w") as f:
+        f.write('a,b\n1,2\n3,4,5\n"x,1","y ""q"", z",,"",7\n')
+    header, body = IO.read_multi_header(spark, path, 1)
+    assert [tuple(r)[2:] for r in body.orderBy("_offset").collect()] == [
+        ("1", "2", None, None, None), ("3", "4", "5", None, None), ("x,1", 'y "q", z', None, None, "7")]
+    assert [r["name"] for r in HD.pick_names(header).orderBy("col_idx").collect()][:2] == ["a", "b"] and header.count() == 5
+    with pytest.raises(Exception, match="more cells than 3"):
+        IO.read_multi_header(spark, path, 1, width=3)[1].collect()
+    assert len(IO.read_multi_header(spark, path, 1, width=9)[1].columns) == 11
+
+
+def test_an_odd_number_of_quotes_raises(spark, tmp_out):
+    path = os.path.join(tmp_out, "odd.csv")
+    with open(path, "w") as f:
+        f.write('a,b\n1,"2\n3,4\n')
+    with pytest.raises(Exception, match="unpaired quote in"):
+        IO.read_multi_header(spark, path, 1, multi_line=True)[1].collect()

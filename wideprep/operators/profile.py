@@ -121,8 +121,8 @@ def frequency_table(df: DataFrame, columns=None) -> DataFrame:
         fmt = {f.name: f.dataType for f in group}
         text = float_text(F.col("v")) if typ == "double" else F.col("v").cast("string")
         floats_as_float = [c for c, t in fmt.items() if isinstance(t, T.FloatType)]
-        if floats_as_float:  # keep the column type's own text for float columns
-            text = F.when(F.col("column").isin(floats_as_float), F.col("v").cast("float").cast("string")).otherwise(text)
+        if floats_as_float:  # the shortest text of a float is shorter than that of the double with its value
+            text = F.when(F.col("column").isin(floats_as_float), float_text(F.col("v").cast("float"))).otherwise(text)
         parts.append(agg.select("column", text.alias("value"), "n", F.col("v").cast("double").alias("num")))
     for group in chunks(rest):
         freq = cells(df, [f.name for f in group]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))

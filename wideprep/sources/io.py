@@ -8,11 +8,13 @@ well, never with a driver-local ``open``.
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import logging
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wideprep.functions.text import normalize_text
@@ -40,22 +42,112 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """``rows`` of a file scan with ``_path``, ``_block`` (start of their split) and ``_id`` get ``_offset``:
-    the split's start plus the row's index in it.  A row holds a byte at least, so offsets grow with the place in the
-    file and are unique in it.  The first id of each split comes from one light aggregation (a row per split)."""
-    first = rows.groupBy("_path", "_block").agg(F.min("_id").alias("_first"))
-    return rows.join(first, ["_path", "_block"]).withColumn("_offset", F.col("_block") + F.col("_id") - F.col("_first")) \
-        .drop("_block", "_id", "_first")
-
-
-def _scan(df: DataFrame, *cols) -> DataFrame:
-    return df.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
-                     F.monotonically_increasing_id().alias("_id"), *cols)
+def _scan_lines(spark: SparkSession, paths) -> DataFrame:
+    """Physical lines with the place of their split: ``_path``, ``_block`` (where it starts) and ``_id``, which rises line by line."""
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                                         F.monotonically_increasing_id().alias("_id"), "value")
+
+
+def _quotes(text="value") -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+
+
+def _placed(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """``lines`` with the columns of ``splits`` (a row per split, with its first id) and ``_offset``: the split's start plus the line's
+    index in it.  A line holds a byte at least, so offsets grow with the place in the file and are unique in it.  The table of splits
+    (400,000 rows for 100 TB in splits of 256 MB, some 60 MB) is broadcast, so no line is shuffled."""
+    return lines.join(F.broadcast(splits), ["_path", "_block"]).withColumn("_offset", F.col("_block") + F.col("_id") - F.col("_first")) \
+        .drop("_id", "_first")
+
+
+def _single_lines(lines: DataFrame) -> DataFrame:
+    """Records of one line each: ``_path``, ``_offset``, ``value``.  An unpaired quote raises."""
+    line = F.when(_quotes() % 2 == 1, F.raise_error(F.lit("unpaired quote: read with multi_line=True"))).otherwise(F.col("value"))
+    return _placed(lines, lines.groupBy("_path", "_block").agg(F.min("_id").alias("_first"))).select("_path", "_offset", line.alias("value"))
+
+
+def _quote_splits(lines: DataFrame) -> DataFrame:
+    """For each split its first id and whether it starts (``_inside``) and ends (``_open``) inside quotes: the parity of the quotes
+    before it and with it, a running sum over a row per split.  A file with an odd number of quotes raises."""
+    counts = lines.groupBy("_path", "_block").agg(F.min("_id").alias("_first"), F.sum(_quotes()).alias("_n"))
+    file = Window.partitionBy("_path")
+    upto = F.sum("_n").over(file.orderBy("_block").rowsBetween(Window.unboundedPreceding, 0))
+    paired = F.when(F.sum("_n").over(file) % 2 == 1, F.raise_error(F.concat(F.lit("unpaired quote in "), F.col("_path")))).otherwise(upto)
+    return counts.withColumn("_upto", paired).select("_path", "_block", "_first", ((F.col("_upto") - F.col("_n")) % 2 == 1).alias("_inside"),
+                                                     (F.col("_upto") % 2 == 1).alias("_open"))
+
+
+def _joined(whole: bool):
+    """Joins the lines of a scan, in file order, into records.  ``whole``: the records that lie inside one split.  Else the pieces of the
+    others: lines that go on with a record of an earlier split (``_begins`` is false), and what a split leaves open."""
+    names = ["_path", "_offset", "_begins", "value"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.string()]
+        split, odd, held, at, begins = None, 0, [], 0, True
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = []
+            blocks, offsets = batch.column("_block").to_numpy(), batch.column("_offset").to_numpy()
+            paths = batch.column("_path").dictionary_encode()
+            counts = pc.count_substring(batch.column("value"), '"').to_numpy(zero_copy_only=False).astype(np.int64)
+            file = paths.indices.to_numpy()
+            edges = np.flatnonzero(np.r_[True, (blocks[1:] != blocks[:-1]) | (file[1:] != file[:-1])]).tolist()
+            for lo, hi in zip(edges, [*edges[1:], len(blocks)]):
+                here = (paths.dictionary[int(file[lo])].as_py(), int(blocks[lo]))
+                if here != split:
+                    if held and not whole:
+                        rows.append((split[0], at, begins, "\n".join(held)))
+                    split, odd, held, at = here, int(batch.column("_inside")[lo].as_py()), [], int(offsets[lo])
+                    begins = not odd
+                after = (odd + np.cumsum(counts[lo:hi])) % 2
+                odd, first = int(after[-1]), 0
+                lines = batch.column("value").slice(lo, hi - lo).to_pylist()
+                for end in np.flatnonzero(after == 0).tolist():              # a record ends with each line that closes all quotes
+                    record = lines[first] if not held and end == first else "\n".join([*held, *lines[first:end + 1]])
+                    if begins == whole:
+                        rows.append((here[0], at if held else int(offsets[lo + first]), begins, record))
+                    held, begins, first = [], True, end + 1
+                if first < len(lines):
+                    at = at if held else int(offsets[lo + first])
+                    held += lines[first:]
+            yield made(rows)
+        if held and not whole:
+            yield made([(split[0], at, begins, "\n".join(held))])
+
+    return run
+
+
+def _quoted_lines(lines: DataFrame) -> DataFrame:
+    """Records whose quoted cells may hold newlines: ``_path``, ``_offset``, ``value``.  Every split is parsed by itself once the parity of the
+    quotes before it is known; only the pieces of records that cross the edge of a split, two a split at most, are shuffled."""
+    placed = _placed(lines, _quote_splits(lines))
+    schema = "_path string, _offset long, _begins boolean, value string"
+    inner = placed.mapInArrow(_joined(True), schema)
+    pieces = placed.where("_inside OR _open").mapInArrow(_joined(False), schema)
+    record = F.last(F.when(F.col("_begins"), F.col("_offset")), ignorenulls=True) \
+        .over(Window.partitionBy("_path").orderBy("_offset").rowsBetween(Window.unboundedPreceding, 0))
+    crossing = pieces.withColumn("_record", record).groupBy("_path", "_record").agg(F.sort_array(F.collect_list(F.struct("_offset", "value"))).alias("p"))
+    return inner.select("_path", "_offset", "value").unionByName(
+        crossing.select("_path", F.col("_record").alias("_offset"), F.array_join("p.value", "\n").alias("value")))
+
+
+def _n_cells(record: Column, sep: str) -> Column:
+    """Cells of a record: separators outside quotes, and one."""
+    plain = F.regexp_replace(record, '"[^"]*"', "")
+    return ((F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit("")))) / len(sep)).cast("int") + 1
 
 
 def read_multi_header(spark: SparkSession, path: str, n_header: int = 3, sep: str = ",",
-                      typography: bool = True, header_in_every_file: bool = False, multi_line: bool = False):
+                      typography: bool = True, header_in_every_file: bool = False, multi_line: bool = False, width: int | None = None):
     """IO1: delimited text whose first ``n_header`` records are header rows.
 
     ``path`` may be one file or several (a directory or glob, e.g. an export in
@@ -65,39 +157,33 @@ def read_multi_header(spark: SparkSession, path: str, n_header: int = 3, sep: st
     columns ``_c0.._cN`` plus ``_file`` (the path) and ``_offset``, together the
     order key.  Fewer than ``n_header + 1`` records in the first file is an error.
 
-    Lines are read and parsed on the JVM, split by split.  A line with an unpaired quote is
-    an error; ``multi_line`` reads quoted newlines, one task per file."""
+    There are as many columns as the widest record has cells, which one pass over
+    the text finds; columns beyond the header's have empty header cells.  With
+    ``width`` given that pass is left out, and a record with more cells raises.
+
+    Lines are read split by split and parsed on the JVM.  A line with an unpaired quote is
+    an error; ``multi_line`` reads quoted newlines, also split by split: quotes in a file pair up, and a quote
+    inside an unquoted cell is not supported."""
     files = list_files(spark, path)
     if not files:
         raise ValueError(f"{path}: no files")
-    if multi_line:
-        reader = spark.read.option("multiLine", True).option("sep", sep).option("escape", '"')
-        width = max(len(reader.csv(f).columns) for f in files[:1])
-        names = [f"_c{i}" for i in range(width)]
-        schema = ", ".join(f"{c} string" for c in names)
-        cells_of = lambda p: _placed(_scan(reader.schema(schema).csv(p), *names))
-    else:
-        def cells_of(p, schema=None):
-            rows = _placed(_scan(spark.read.text(p), "value"))
-            if schema is None:
-                return rows
-            quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-            line = F.when(quotes % 2 == 1, F.raise_error(F.lit("unpaired quote: read with multi_line=True"))).otherwise(F.col("value"))
-            return rows.select("_path", "_offset", F.from_csv(line, schema, {"sep": sep, "escape": '"'}).alias("r")).select("_path", "_offset", "r.*")
-    head = cells_of(files[0]).orderBy("_offset").limit(n_header + 1).collect()  # top-k of n_header + 1 rows
+    records_of = lambda paths: (_quoted_lines if multi_line else _single_lines)(_scan_lines(spark, paths))
+    head = records_of(files[0]).orderBy("_offset").limit(n_header + 1).collect()  # top-k of n_header + 1 rows
     if len(head) < n_header + 1:
         raise ValueError(f"{path}: need at least {n_header + 1} lines, found {len(head)}")
-    if multi_line:
-        rows = [[r[c] for c in names] for r in head[:n_header]]
-    else:
-        import csv
-        rows = [next(csv.reader([r["value"]], delimiter=sep)) for r in head[:n_header]]
-        width = max(len(r) for r in rows)
-        schema = ", ".join(f"_c{i} string" for i in range(width))
-    cells = [(i, r, (rows[r][i] if i < len(rows[r]) else "") or "") for r in range(n_header) for i in range(width)]
+    records = records_of(files)
+    rows = [next(csv.reader(io.StringIO(r["value"], newline=""), delimiter=sep), []) for r in head[:n_header]]
+    wide = max([len(r) for r in rows] + [width or records.agg(F.max(_n_cells(F.col("value"), sep))).first()[0]])
+    cells = [(i, r, (rows[r][i] if i < len(rows[r]) else "") or "") for r in range(n_header) for i in range(wide)]
     header = spark.createDataFrame(cells, "col_idx int, row_idx int, cell string") \
         .withColumn("cell", normalize_text("cell", typography))
-    body = cells_of(files) if multi_line else cells_of(files, schema)
+    value = F.col("value")
+    if width:
+        said = F.concat(F.lit("a record has more cells than "), F.lit(str(wide)), F.lit(": "), F.substring(value, 1, 200))
+        value = F.when(_n_cells(value, sep) > wide, F.raise_error(said)).otherwise(value)
+    schema = ", ".join(f"_c{i} string" for i in range(wide))
+    options = {"sep": sep, "escape": '"', "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, wide + 1))}
+    body = records.select("_path", "_offset", F.from_csv(value, schema, options).alias("r")).select("_path", "_offset", "r.*")
     if header_in_every_file:
         # the n-th offset of each file, one row per file (row_number() <= n is a partial per-task limit)
         w = Window.partitionBy("_path").orderBy("_offset")
