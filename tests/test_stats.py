@@ -6,19 +6,20 @@ from wideprep.operators import posthoc as H
 from wideprep.operators import quantile as Q
 
 
-def test_exact_median_with_brackets(spark):
+def test_exact_median(spark, monkeypatch):
     rng = np.random.default_rng(3)
     a = rng.integers(0, 50, 5001).astype(float)           # many ties
     b = rng.normal(size=5001)
     b[::7] = np.nan
     pdf = pd.DataFrame({"a": a, "b": b})
     sdf = spark.createDataFrame(pdf)
-    for acc in (100, 100_000):                            # bracket path and small-column path
-        got = {r["column"]: r["value"] for r in Q.exact_quantiles(sdf, None, (0.5, 0.25, 0.9), acc)
+    for bits in (16, 8):                                  # four and eight digits
+        monkeypatch.setattr(Q, "BITS", bits)
+        got = {r["column"]: r["value"] for r in Q.exact_quantiles(sdf, None, (0.5, 0.25, 0.9))
                .where("prob = 0.5").collect()}
         assert np.isclose(got["a"], np.median(a))
         assert np.isclose(got["b"], np.nanmedian(b))
-        q = {r["prob"]: r["value"] for r in Q.exact_quantiles(sdf, ["b"], (0.25, 0.9), acc).collect()}
+        q = {r["prob"]: r["value"] for r in Q.exact_quantiles(sdf, ["b"], (0.25, 0.9)).collect()}
         assert np.isclose(q[0.25], pdf["b"].quantile(0.25)) and np.isclose(q[0.9], pdf["b"].quantile(0.9))
 
 

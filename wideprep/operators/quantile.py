@@ -1,34 +1,41 @@
-"""Exact quantiles without a whole-column buffer (AGG9 median).
-
-Spark's exact ``percentile`` keeps every value of a group in one task's
-memory, which a billion-row column does not survive.  Here:
-
-1. ``percentile_approx`` (one pass, bounded sketch, map-side partial) gives,
-   per column, a value bracket ``[lo, hi]`` around the wanted rank; its rank
-   error is at most ``n / accuracy``, so brackets at ``p -/+ 3/accuracy``
-   contain the exact rank.
-2. One pass counts the values below ``lo`` and builds the frequency table of
-   the values inside the bracket (at most ~6n/accuracy distinct values; hot
-   values collapse in the map-side combine).
-3. A running count over that small table finds the values at the two ranks
-   around ``p * (n - 1)``; linear interpolation between them gives the same
-   answer as pandas / NumPy ``linear`` quantiles.
-
-Brackets are verified; a column whose bracket misses is tried again with a
-bracket eight times as wide, never at once with its whole range.  The result (one row per column and
-probability) is collected once and returned as a small DataFrame.
+"""Exact quantiles by selection on order-preserving integers (AGG9 median).
+
+Spark's exact ``percentile`` keeps every value of a group in one task's memory, which a billion-row column
+does not survive.  Here every double gets a 64-bit integer of the same order (its IEEE 754 bits, negated
+for negative numbers), and the value at a rank is found digit by digit, ``BITS`` bits a level:
+
+1. One pass counts the cells by column and leading digit (at most ``2**BITS`` bins a column, summed in
+   every task first).  The bins' running counts name the bin that holds each wanted rank.
+2. A second pass counts the next digit inside these bins only.
+3. A third pass reduces what lies in the bins that are left, some 2**-20 of a column's value range each, to a
+   frequency table (column, key, count), written to the checkpoint folder.  Copies of a value collapse
+   into one row before any shuffle, so a hot value is a number, not rows.
+4. The remaining digits are read off that table.
+
+As soon as the bins that are left hold at most ``2**BITS`` cells each, their keys take the place of digits and the next pass is the last.
+
+No accuracy is chosen, no bracket can miss and the work does not depend on how values are spread.  A bin list is at
+most ``2**BITS`` small entries however long the column.  Linear interpolation between the values at the two ranks around
+``p * (n - 1)`` gives the same answer as pandas / NumPy ``linear`` quantiles.  The result (one row
+per column and probability) reaches the driver, where keys become values again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+import struct
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wideprep.functions.numeric import NUMERIC_TYPES, nan_to_null
 from wideprep.operators._util import col, unpivot
+from wideprep.session import checkpoint_dir
 
-DEFAULT_ACCURACY = 100_000
-SKETCH_BUDGET = 20_000_000   # accuracy x columns held per task
+#: Bits of a digit; four digits make a key.
+BITS = 16
+#: Digits read from the whole table before the rest is written out.
+SCANNED = 2
 
 
 def numeric_long(df: DataFrame, columns=None) -> DataFrame:
@@ -40,73 +47,91 @@ def numeric_long(df: DataFrame, columns=None) -> DataFrame:
     return unpivot(wide, [], names, "column", "v").where(F.col("v").isNotNull())
 
 
-def exact_quantiles(df: DataFrame, columns=None, probs=(0.5,), accuracy: int | None = None) -> DataFrame:
-    """``column, prob, value`` exact linear-interpolated quantiles per numeric column.
+def with_key(long: DataFrame, value: str = "v", out: str = "key") -> DataFrame:
+    """Add the 64-bit integer ``out`` that orders like the double ``value`` (-0.0 as 0.0; no NaN)."""
+    size = F.abs(value)
+    rough = long.withColumn("_e", F.when((size > 0) & (size < math.inf), F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023)).cast("int"))) \
+        .withColumn("_m", size / F.pow(F.lit(2.0), F.col("_e")))
+    # the logarithm may be one off at a power of two; below 2**-1022 the exponent stays and the leading bit is missing
+    e = F.when(F.col("_m") >= 2, F.col("_e") + 1).when((F.col("_m") < 1) & (F.col("_e") > -1022), F.col("_e") - 1).otherwise(F.col("_e"))
+    m = F.when(F.col("_m") >= 2, F.col("_m") / 2).when((F.col("_m") < 1) & (F.col("_e") > -1022), F.col("_m") * 2).otherwise(F.col("_m"))
+    bits = F.when(m >= 1, (e + 1023).cast("long") * (1 << 52) + ((m - 1) * float(1 << 52)).cast("long")).otherwise((m * float(1 << 52)).cast("long"))
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(size == math.inf, F.lit(2047 << 52).cast("long")).otherwise(bits)
+    return rough.withColumn(out, F.when(F.col(value) < 0, -bits).otherwise(bits)).drop("_e", "_m")
+
+
+def key_value(key: int) -> float:
+    """The double of a key."""
+    return math.copysign(struct.unpack("<d", struct.pack("<q", abs(key)))[0], key)
+
+
+def _bin_lists(rows: DataFrame, shift: int) -> DataFrame:
+    """``column, prefix, bins``: for each column and prefix of ``rows`` (``column, prefix, key, n``) its counts by digit, in order."""
+    counts = rows.groupBy("column", "prefix", F.shiftright("key", shift).alias("bin")).agg(F.sum("n").alias("n"))
+    return counts.groupBy("column", "prefix").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))
+
+
+def _at_rank(bins: str, rank: Column, before: Column) -> Column:
+    """The bin that holds ``rank`` (0-based), its count and the count below it, ``before`` being the count below the first bin."""
+    start = F.struct(before.cast("long").alias("upto"), F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("n"))
+
+    def step(at, b):
+        here = at.bin.isNull() & (at.upto + b.n > rank)
+        return F.struct((at.upto + b.n).alias("upto"), F.when(here, b.bin).otherwise(at.bin).alias("bin"), F.when(here, at.upto).otherwise(at.below).alias("below"),
+                        F.when(here, b.n).otherwise(at.n).alias("n"))
 
-    ``accuracy`` defaults to 100,000 for up to 200 columns and shrinks for wider
-    inputs (each task keeps one sketch per column; the bracket just gets wider)."""
+    return F.aggregate(bins, start, step)
+
+
+def _narrow(spark, lists: DataFrame, targets: list[tuple]) -> list[tuple]:
+    """``targets`` (column, rank, prefix, count below the prefix, count in it) one digit further."""
+    side = spark.createDataFrame([t[:4] for t in targets], "column string, rank long, prefix long, before long")
+    found = lists.join(F.broadcast(side), ["column", "prefix"])          # one row per column and rank
+    found = found.select("column", "rank", _at_rank("bins", F.col("rank"), F.col("before")).alias("f"))
+    return [(r["column"], r["rank"], r["f"]["bin"], r["f"]["below"], r["f"]["n"]) for r in found.collect()]
+
+
+def _inside(spark, rows: DataFrame, targets: list[tuple], shift: int) -> DataFrame:
+    """The rows in the targets' bins, with the bin as ``prefix``."""
+    side = spark.createDataFrame(sorted({(c, p) for c, _, p, *_ in targets}), "column string, prefix long")
+    return rows.withColumn("prefix", F.shiftright("key", shift)).join(F.broadcast(side), ["column", "prefix"])
+
+
+def exact_quantiles(df: DataFrame, columns=None, probs=(0.5,)) -> DataFrame:
+    """``column, prob, value`` exact linear-interpolated quantiles per numeric column; a column without values has no row."""
     spark = df.sparkSession
-    long = numeric_long(df, columns)
-    if accuracy is None:
-        k = len([f for f in df.schema.fields if columns is None or f.name in columns])
-        accuracy = int(min(DEFAULT_ACCURACY, max(10_000, SKETCH_BUDGET // max(k, 1))))
-    margin, got, todo = 3.0 / accuracy, {}, long
-    while True:
-        # one row per (column, prob): bounded by the number of columns -> broadcast
-        rows = _brackets(todo, probs, margin, accuracy)
-        if not rows:
-            break
-        wanted = {(c, p) for c, p, *_ in rows if (c, p) not in got}
-        brackets = spark.createDataFrame([r for r in rows if (r[0], r[1]) in wanted], "column string, prob double, n long, lo double, hi double")
-        found = {(r["column"], r["prob"]): r for r in _resolve(todo, brackets).collect()}
-        got.update({k: r for k, r in found.items() if r["ok"]})
-        missed = sorted({c for (c, _), r in found.items() if not r["ok"]})
-        if not missed:
-            break
-        todo, margin = long.where(F.col("column").isin(missed)), 8 * margin
-    return spark.createDataFrame([(c, p, r["value"]) for (c, p), r in sorted(got.items())],
-                                 "column string, prob double, value double")
-
-
-def _brackets(long: DataFrame, probs, margin: float, accuracy: int) -> list[tuple]:
-    """``(column, prob, n, lo, hi)``: values around the ranks ``prob -/+ margin``; a margin past an end of the range is open there."""
-    sketch = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", [max(0.0, p - margin) for p in probs], accuracy).alias("lo"),
-        F.percentile_approx("v", [min(1.0, p + margin) for p in probs], accuracy).alias("hi"))
-    return [(r["column"], float(p), int(r["n"]), float("-inf") if p <= margin else float(r["lo"][i]),
-             float("inf") if p >= 1 - margin else float(r["hi"][i])) for r in sketch.collect() for i, p in enumerate(probs)]
-
-
-def _resolve(long: DataFrame, brackets: DataFrame) -> DataFrame:
-    b = brackets.withColumn("r", F.col("prob") * (F.col("n") - 1)) \
-        .withColumn("k", F.floor("r").cast("long")) \
-        .withColumn("frac", F.col("r") - F.col("k"))
-    joined = long.join(F.broadcast(b.select("column", "prob", "lo", "hi")), "column")
-    below = joined.groupBy("column", "prob").agg(F.count(F.when(F.col("v") < F.col("lo"), 1)).alias("below"))
-    cand = (joined.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-            .groupBy("column", "prob", "v").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("column", "prob").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cand = cand.withColumn("cum", F.sum("c").over(w))
-    ranked = (cand.join(below, ["column", "prob"]).join(F.broadcast(b), ["column", "prob"])
-              .withColumn("start", F.col("below") + F.col("cum") - F.col("c"))
-              .withColumn("end", F.col("below") + F.col("cum")))  # ranks [start, end)
-    at = lambda rank: F.min(F.when((F.col("start") <= rank) & (rank < F.col("end")), F.col("v")))
-    k1 = F.least(F.col("k") + 1, F.col("n") - 1)
-    agg = ranked.groupBy("column", "prob").agg(
-        at(F.col("k")).alias("vk"), at(k1).alias("vk1"), F.first("frac").alias("frac"))
-    value = F.col("vk") + F.col("frac") * (F.col("vk1") - F.col("vk"))
-    value = F.when(F.col("frac") == 0, F.col("vk")).otherwise(value)
-    ok = F.col("vk").isNotNull() & ((F.col("frac") == 0) | F.col("vk1").isNotNull())
-    out = agg.select("column", "prob", value.alias("value"), ok.alias("ok"))
-    # columns with no value inside the bracket at all need the fallback too
-    return b.select("column", "prob", "n").join(out, ["column", "prob"], "left") \
-        .select("column", "prob", "n", "value", F.coalesce("ok", F.lit(False)).alias("ok"))
-
-
-def median(df: DataFrame, columns=None, accuracy: int | None = None) -> DataFrame:
+    checkpoint_dir(spark)
+    rows = with_key(numeric_long(df, columns)).select("column", "key", F.lit(1).cast("long").alias("n"))
+    shift = 64 - BITS
+    lists = _bin_lists(rows.withColumn("prefix", F.lit(0).cast("long")), shift)
+    total = F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + b.n)
+    place = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(r), F.least(F.floor(r) + 1, F.col("total") - 1)) for r in place])))
+    first = lists.withColumn("total", total).withColumn("rank", F.explode(ranks)) \
+        .select("column", "rank", "total", _at_rank("bins", F.col("rank"), F.lit(0)).alias("f")).collect()
+    totals = {r["column"]: r["total"] for r in first}
+    targets, level = [(r["column"], r["rank"], r["f"]["bin"], r["f"]["below"], r["f"]["n"]) for r in first], 1
+    while targets and shift:
+        rows = _inside(spark, rows, targets, shift)
+        last = max(t[4] for t in targets) <= 1 << BITS
+        if level == SCANNED and not last:
+            rows = rows.groupBy("column", "prefix", "key").agg(F.sum("n").alias("n")).checkpoint()
+        shift, level = 0 if last else shift - BITS, level + 1
+        targets = _narrow(spark, _bin_lists(rows, shift), targets)
+    at = {(c, rank): key_value(key) for c, rank, key, *_ in targets}
+    out = []
+    for c, n in sorted(totals.items()):
+        for p in probs:
+            r = float(p) * (n - 1)
+            k = math.floor(r)
+            low, high = at[(c, k)], at[(c, min(k + 1, n - 1))]
+            out.append((c, float(p), low if r == k else low + (r - k) * (high - low)))
+    return spark.createDataFrame(out, "column string, prob double, value double")
+
+
+def median(df: DataFrame, columns=None) -> DataFrame:
     """``column, median`` per numeric column (exact)."""
-    return exact_quantiles(df, columns, (0.5,), accuracy).select("column", F.col("value").alias("median"))
+    return exact_quantiles(df, columns, (0.5,)).select("column", F.col("value").alias("median"))
 
 
 def mean_median(df: DataFrame, columns=None) -> DataFrame:
