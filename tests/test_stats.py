@@ -126,3 +126,30 @@ def test_quadrature_converged_for_many_groups():
 
     for q, k in [(1.0, 2), (3.858, 5), (5.0, 20), (7.0, 300)]:
         assert abs(H.studentized_range_sf(q, k)[0] - fine(q, k)) < 1e-12
+
+
+def test_dscf_with_many_groups_absent_groups_and_small_steps(spark, monkeypatch):
+    """Forty groups, some without values in a feature, against direct ranks of every pair."""
+    monkeypatch.setattr(H, "CELLS", 100)
+    rng = np.random.default_rng(11)
+    n = 1500
+    pdf = pd.DataFrame({"g": [f"g{x:02d}" for x in rng.integers(0, 40, n)], "a": rng.integers(0, 30, n).astype(float), "b": rng.normal(size=n)})
+    pdf.loc[pdf.g < "g03", "b"] = np.nan
+    pdf.loc[pdf.g == "g05", "b"] = 1.5
+    rows = [tuple(None if x != x else x for x in r) for r in pdf.itertuples(index=False)]
+    got = {(r["feature"], r["group_1"], r["group_2"]): r
+           for r in H.dscf_statistics(spark.createDataFrame(rows, "g string, a double, b double"), "g", n_buckets=5).collect()}
+    assert len(got) == 2 * 40 * 39 // 2 - 3                 # a pair without any value has no row
+    for (f, x, y), r in got.items():
+        sub = pdf[pdf.g.isin([x, y]) & pdf[f].notna()]
+        ranks, ni, nj = sub[f].rank(), int((sub.g == x).sum()), int((sub.g == y).sum())
+        ri = ranks[sub.g == x].sum()
+        ui = ni * nj + ni * (ni + 1) / 2 - ri
+        t = sub[f].value_counts().to_numpy()
+        assert (r["n_1"], r["n_2"], r["k"]) == (ni, nj, 40) and r["rank_sum_1"] == ri and r["u"] == min(ui, ni * nj - ui)
+        assert np.isclose(r["ties"], ((t.astype(float) ** 3 - t) / 12).sum())
+
+
+def test_dscf_of_no_rows(spark):
+    empty = spark.createDataFrame([], "g string, a double")
+    assert H.dscf_statistics(empty, "g").count() == 0 and H.posthoc_dscf(empty, "g").count() == 0
