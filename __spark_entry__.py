@@ -928,13 +928,15 @@ def embeddings_frame(spark, d):
 
 
 EMB_FEATURES = [f"f{i}" for i in range(EMB_DIMS)]
+#: Spark's own numbers of trees and rounds and its depth; the library's defaults are larger.
+FOREST, BOOSTED = {"num_trees": 20, "max_depth": 5}, {"max_iter": 20, "max_depth": 5}
 
 
 def _emb_model(spark, d):
     data = FE.split_hash(embeddings_frame(spark, d), "vec_id", 0.2, 42)
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
-    return MD.train_forest(train, EMB_FEATURES, "label"), test
+    return MD.train_forest(train, EMB_FEATURES, "label", **FOREST), test
 
 
 def _importance_facts(imp):
@@ -1005,6 +1007,39 @@ def q_explain_global(spark, d):
     return EX.explain_global(long).select("feature_name", "class", (F.col("mean_abs_shap") >= 0).alias("valid"))
 
 
+def q_importance_values(spark, d):
+    """ML6: the importances themselves."""
+    return MD.importances(_emb_model(spark, d)[0], EMB_FEATURES)
+
+
+def q_prediction_values(spark, d):
+    """ML7: prediction and probabilities of every test row."""
+    model, test = _emb_model(spark, d)
+    return MD.predict(model, test, keep=("vec_id", "label"))
+
+
+def q_explanation_values(spark, d):
+    """ML8, SO4: the five largest contributions to each test row's predicted class."""
+    model, test = _emb_model(spark, d)
+    return EX.explain_topk(EX.explain(MD.forest(model), test, "vec_id", EMB_FEATURES, "label"), 5)
+
+
+def q_explain_global_sums(spark, d):
+    """ML9: mean contributions by feature and class, with a fact that can fail: those of a class add up to its mean probability less the base value."""
+    model, test = _emb_model(spark, d)
+    long = EX.explain(MD.forest(model), test, "vec_id", EMB_FEATURES, "label")
+    means = long.groupBy("class", "feature_name").agg(F.avg("shap_value").alias("mean"), F.first("base_value").alias("base"))
+    sums = means.groupBy("class").agg(F.sum("mean").alias("total"), F.first("base").alias("base"), F.count("*").alias("features"))
+    own = MD.predict(model, test).select(F.posexplode("probability").alias("class", "p")).groupBy("class").agg(F.avg("p").alias("p"), F.count("*").alias("rows"))
+    return sums.join(own.withColumn("class", F.col("class").cast("long")), "class") \
+        .select("class", "features", "rows", (F.abs(F.col("total") - (F.col("p") - F.col("base"))) < 1e-9).alias("additive"))
+
+
+def _sql_explain_global_sums() -> str:
+    return ("SELECT c.i AS class, 64::BIGINT AS features, (SELECT count(*) FROM embeddings WHERE " + _sql_hash("vec_id") + " < 2000) AS rows, TRUE AS additive "
+            "FROM range((SELECT max(label) + 1 FROM embeddings WHERE " + _sql_hash("vec_id") + " >= 2000)) c(i)")
+
+
 def _sql_explain_global() -> str:
     return ("SELECT 'f' || f.i AS feature_name, c.i AS class, TRUE AS valid FROM range(64) f(i), "
             "range((SELECT max(label) + 1 FROM embeddings WHERE " + _sql_hash("vec_id") + " >= 2000)) c(i)")
@@ -1021,7 +1056,7 @@ def q_end_to_end(spark, d):
     rows = [F.struct(F.lit(r - 3).cast("long").alias("vec_id"), *[F.lit(("", f"group {i % 3}", names[i])[r]).alias(c) for i, c in enumerate(cols)]) for r in range(3)]
     head = spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     hints = spark.createDataFrame([("bucket", "categorical")], "key string, kind string")
-    _, imp, _, _ = MD.end_to_end(head.unionByName(text), "vec_id", "label", hints=hints, n_header=3)
+    _, imp, _, _ = MD.end_to_end(head.unionByName(text), "vec_id", "label", hints=hints, n_header=3, **FOREST)
     return _importance_facts(imp)
 
 
@@ -1215,7 +1250,7 @@ def _sql_split_exact() -> str:
 
 def q_train_boosted_importance(spark, d):
     data = FE.split_hash(embeddings_frame(spark, d), "vec_id", 0.2, 42)
-    model = MD.train_boosted(data.where(F.col("split") == "train"), EMB_FEATURES, "label")
+    model = MD.train_boosted(data.where(F.col("split") == "train"), EMB_FEATURES, "label", **BOOSTED)
     return _importance_facts(MD.importances(model, EMB_FEATURES))
 
 
@@ -1523,6 +1558,10 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "corr_ranked": q_corr_ranked,
         "split_exact": q_split_exact,
         "train_boosted_importance": q_train_boosted_importance,
+        "importance_values": q_importance_values,
+        "prediction_values": q_prediction_values,
+        "explanation_values": q_explanation_values,
+        "explain_global_sums": q_explain_global_sums,
         "type_report_lines": q_type_report_lines,
         "csv_round_trip": q_csv_round_trip,
         "parquet_round_trip": q_parquet_round_trip,
@@ -1761,6 +1800,7 @@ def _own_oracle_sql() -> dict[str, str]:
         "type_report_lines": _sql_type_report_lines(),
         "train_importance": _sql_importance_facts(EMB_NAMES_SQL),
         "train_boosted_importance": _sql_importance_facts(EMB_NAMES_SQL),
+        "explain_global_sums": _sql_explain_global_sums(),
         "predict": _sql_prediction_facts(),
         "end_to_end": _sql_end_to_end(),
         "explain_topk": _sql_explain_topk(),

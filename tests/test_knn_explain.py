@@ -32,8 +32,9 @@ def brute_knn(pdf, cols, k=3):
 import pytest
 
 
-@pytest.mark.parametrize("rounds", [(), (0.05,), (1.0, 4.0, 16.0)])
-def test_grid_knn_equals_brute_force(spark, rounds):
+@pytest.mark.parametrize("cell_rows", [2, 20, 10_000])
+def test_knn_equals_brute_force(spark, cell_rows, monkeypatch):
+    monkeypatch.setattr(KN, "GROUP_ROWS", 7)              # cells are dealt over several groups
     rng = np.random.default_rng(11)
     n = 250
     pdf = pd.DataFrame({"id": np.arange(n), "a": rng.normal(size=n) * 10, "b": rng.integers(0, 5, n).astype(float),
@@ -43,11 +44,40 @@ def test_grid_knn_equals_brute_force(spark, rounds):
     pdf.loc[3, ["a", "b", "c"]] = np.nan                  # a row with nothing: column means
     sdf = spark.createDataFrame(pdf)
     rep = {}
-    got = KN.impute_knn(sdf, "id", ["a", "b", "c"], k=3, exact_rounds=rounds, report=rep).toPandas().sort_values("id")
+    got = KN.impute_knn(sdf, "id", ["a", "b", "c"], k=3, cell_rows=cell_rows, report=rep).toPandas().sort_values("id")
     want = brute_knn(pdf, ["a", "b", "c"])
     assert np.allclose(got[["a", "b", "c"]].to_numpy(), want, atol=1e-9)
-    if rounds == (1.0, 4.0, 16.0):
-        assert sum(rep["settled"]) > 0
+    assert rep["receivers"] >= rep["first"] > 0 or cell_rows == 2
+
+
+def test_knn_over_forty_columns_and_skewed_donors(spark):
+    """More columns than a bit mask holds, many presence patterns, and a third of the rows in one small region."""
+    rng = np.random.default_rng(4)
+    n, m = 160, 40
+    x = rng.normal(size=(n, m)) * 5
+    x[::3] = 1.0 + rng.normal(size=(len(x[::3]), m)) * 1e-3
+    x[rng.random((n, m)) < 0.1] = np.nan
+    cols = [f"v{i}" for i in range(m)]
+    pdf = pd.DataFrame(x, columns=cols)
+    pdf.insert(0, "id", np.arange(n))
+    sdf = spark.createDataFrame([tuple(None if v != v else float(v) for v in r) for r in x.tolist()], ", ".join(f"{c} double" for c in cols)) \
+        .withColumn("id", F.monotonically_increasing_id())
+    ids = {r["id"]: i for i, r in enumerate(sdf.select("id").collect())}
+    rep = {}
+    got = KN.impute_knn(sdf, "id", cols, k=3, cell_rows=16, report=rep).toPandas()
+    got = got.assign(id=got["id"].map(ids)).sort_values("id")
+    assert np.allclose(got[cols].to_numpy(), brute_knn(pdf, cols), atol=1e-9)
+
+
+def test_knn_prunes_cells(spark):
+    rng = np.random.default_rng(6)
+    n = 4000
+    x = rng.normal(size=(n, 2))
+    rows = [(i, float(a), None if i % 10 == 0 else float(b), None if i % 7 == 0 else float(a + b)) for i, (a, b) in enumerate(x)]
+    rep = {}
+    out = KN.impute_knn(spark.createDataFrame(rows, "id long, a double, b double, c double"), "id", ["a", "b", "c"], cell_rows=50, report=rep)
+    assert out.where("b IS NULL OR c IS NULL").count() == 0
+    assert rep["cells"] > 40 and rep["first"] + rep["second"] < 0.25 * rep["cells"] * rep["receivers"]
 
 
 def test_treeshap_additivity(spark):

@@ -1,230 +1,258 @@
 """k-nearest-neighbour imputation over a set of related columns (IM7).
 
-Semantics (scikit-learn ``KNNImputer``, uniform weights, ``nan_euclidean``):
-for a row missing column c, the donors are the rows that have c; the
-distance uses the coordinates both rows have,
-``sqrt(m / n_common * sum(d^2))`` (m = number of columns); donors with no
-common coordinate are ignored; the fill is the mean of c over the k nearest
-donors (ties by smaller donor key); without any donor, the column mean.
-
-Plan - exact, and no receiver is compared with all donors:
-
-* Rows are split by *pattern* (which columns are present).  For a receiver
-  pattern S and donor pattern P the common set C = S & P and the weight m/|C|
-  are fixed, so within a (S, P) combination it is plain Euclidean kNN on C.
-* Grid rounds: coordinates are cut into cubic cells (the metric is unscaled
-  Euclidean; the width follows the donor density) over at most three of the
-  common coordinates (a donor outside the probed block is farther than one
-  cell width in one of them, so pruning stays exact); receivers probe their
-  own and the adjacent cells (at most 27) of
-  every donor pattern through one equi-join on the cell key.  A receiver is
-  settled when its k-th best distance is within the radius the probed block
-  guarantees for every pattern (no unseen donor can be closer).  Unsettled
-  receivers go to a coarser round; what is left after the rounds is compared
-  with every donor of its column, which is exact and touches only those rows.
-* Donors with identical coordinates beyond the k smallest keys can never be
-  chosen; they are removed first (``row_number() <= k`` per coordinate
-  vector, planned as a partial per-task limit), so a hot value cannot blow up
-  a cell.
+Semantics (scikit-learn ``KNNImputer``, uniform weights, ``nan_euclidean``): for a row missing column c, the donors are
+the rows that have c; the distance uses the coordinates both rows have, ``sqrt(m / n_common * sum(d^2))`` (m = number of
+columns); donors with no common coordinate are ignored; the fill is the mean of c over the k nearest donors (ties by
+smaller donor key); without any donor, the column mean.
+
+Plan - exact, for any number of columns, and no receiver is compared with all donors:
+
+* **Partition.**  A k-d tree cuts the space into cells: a node splits by the presence of a coordinate where rows differ in it, else at
+  the median of its most spread-out coordinate.  It is built from a bounded sample of the rows; every row descends it in one
+  Arrow pass.  Of donors with identical coordinates only the k smallest keys can ever be chosen, the others are left out first
+  (``row_number() <= k``, planned as a partial per-task limit), so a hot vector fills no cell.
+* **Bounds.**  Each cell's box - smallest and largest value and number of values per coordinate - is aggregated over all its donors.
+  The boxes (at most ``BOX_BYTES``) are broadcast and bound the distance of a receiver to any donor of a cell from below: coordinates that
+  all donors of the cell have count with their mean squared gap, others with the smallest.
+* **Two steps.**  A receiver meets the nearest cell that holds k donors of its column; the k-th distance there is its radius.  Then
+  it meets every other cell whose bound is within the radius, and no other.  Receivers and donors are grouped by cell,
+  and a cell that more than ``GROUP_ROWS`` receivers meet is dealt over several groups.
+
+Cells are as small as ``CELL_ROWS`` donors; beyond ``BOX_BYTES`` of boxes or ``SAMPLE_BYTES`` of sample (some 100,000 cells of five columns)
+they grow with the table.  ``key`` must be unique.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
-import time
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wideprep.functions.numeric import nan_to_null
-from wideprep.operators._util import col
+from wideprep.operators._util import chunks, col
 from wideprep.session import checkpoint_dir
 
-GRID_ROUNDS = (1.0, 4.0, 16.0)   # cell width multipliers of the base width
-TARGET_PER_CELL = 8              # aim: about this many x k donors in a probed block
-GRID_DIMS = 3                    # cells use at most this many common coordinates
-PENDING_BROADCAST_ROWS = 200_000 # unsettled receivers broadcast to the donors below this
-MAX_COLUMNS = 30                 # presence patterns are int bit masks
+CELL_ROWS = 256                  # donors of a cell, about
+SAMPLE_PER_CELL = 16             # sample rows that a leaf of the tree stands on
+SAMPLE_BYTES = 64 << 20          # of the sample the tree is built from
+BOX_BYTES = 64 << 20             # of the boxes
+MIXED = (0.05, 0.95)             # a node whose share of rows with a coordinate lies between splits by its presence
+STEP_CELLS = 1 << 20             # receivers x cells, or receivers x donors, held at a time
+GROUP_ROWS = 20_000              # receivers of a cell that one task compares
+
+
+class Tree:
+    """Binary tree over rows with missing values: at a node a row goes right if its coordinate exceeds the threshold
+    (of a presence split: minus infinity); a missing coordinate goes left."""
+
+    def __init__(self, sample: np.ndarray, leaf_rows: int):
+        self.dim, self.cut, self.child, self.cell = [], [], [], []
+        self.n_cells = 0
+        todo = [(np.arange(len(sample)), self._node())]
+        while todo:
+            rows, node = todo.pop()
+            split = self._split(sample[rows]) if len(rows) > leaf_rows else None
+            if split is None:
+                self.cell[node], self.n_cells = self.n_cells, self.n_cells + 1
+                continue
+            self.dim[node], self.cut[node] = split
+            right = sample[rows, split[0]] > split[1]
+            self.child[node] = (self._node(), self._node())
+            todo += [(rows[~right], self.child[node][0]), (rows[right], self.child[node][1])]
+        self.dim, self.cut, self.cell = np.array(self.dim), np.array(self.cut), np.array(self.cell)
+        self.child = np.array(self.child).reshape(-1, 2)
+
+    def _node(self) -> int:
+        self.dim.append(0)
+        self.cut.append(0.0)
+        self.child.append((-1, -1))
+        self.cell.append(-1)
+        return len(self.dim) - 1
+
+    @staticmethod
+    def _split(x: np.ndarray):
+        there = ~np.isnan(x)
+        share = there.mean(axis=0)
+        mixed = np.flatnonzero((share > MIXED[0]) & (share < MIXED[1]))
+        if len(mixed):
+            return int(mixed[np.argmin(np.abs(share[mixed] - 0.5))]), -math.inf
+        n = np.maximum(there.sum(axis=0), 1)
+        mean = np.where(there, x, 0).sum(axis=0) / n
+        spread = (np.where(there, x - mean, 0) ** 2).sum(axis=0) / n
+        d = int(np.argmax(spread))
+        values = np.sort(x[there[:, d], d])
+        if not len(values) or values[0] == values[-1]:
+            return None
+        cut = values[(len(values) - 1) // 2]
+        return d, float(cut if cut < values[-1] else values[values < cut][-1])
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64)
+        while True:
+            inner = np.flatnonzero(self.cell[at] < 0)
+            if not len(inner):
+                return self.cell[at]
+            node = at[inner]
+            with np.errstate(invalid="ignore"):
+                at[inner] = self.child[node, (x[inner, self.dim[node]] > self.cut[node]).astype(int)]
+
+
+class Boxes:
+    """Smallest and largest value per cell and coordinate, and the donors that have it."""
+
+    def __init__(self, cell, low, high, count, total):
+        self.cell, self.low, self.high, self.count = cell, low, high, count
+        self.every = count == total[:, None]
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """Squared lower bounds (receivers x cells); infinite where no coordinate can be common."""
+        m = x.shape[1]
+        sums, n, least = np.zeros((len(x), len(self.cell))), np.zeros((len(x), len(self.cell))), np.full((len(x), len(self.cell)), np.inf)
+        for i in range(m):
+            own = ~np.isnan(x[:, i])
+            v = np.where(own, x[:, i], 0.0)[:, None]
+            gap = np.maximum(np.maximum(self.low[:, i] - v, v - self.high[:, i]), 0) ** 2
+            always = own[:, None] & self.every[:, i]
+            sums, n = sums + np.where(always, gap, 0), n + always
+            some = own[:, None] & ~self.every[:, i] & (self.count[:, i] > 0)
+            least = np.where(some, np.minimum(least, gap), least)
+        mean = np.where(n > 0, sums / np.maximum(n, 1), np.inf)
+        return m * np.minimum(mean, least)
+
+
+def _matrix(column, m: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, m)
 
 
-def _bits(mask: int, m: int):
-    return [j for j in range(m) if mask >> j & 1]
+def _assign(rows: DataFrame, tree: Tree, m: int) -> DataFrame:
+    """``rows`` (``_did, _d``) with their ``_cell``."""
+    held = rows.sparkSession.sparkContext.broadcast(tree)
 
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held.value.cells(_matrix(b.column("_d"), m)), pa.int64())], names=[*b.schema.names, "_cell"])
 
-def impute_knn(df: DataFrame, key: str, columns, k: int = 3, exact_rounds=GRID_ROUNDS,
-               report: dict | None = None) -> DataFrame:
-    """Fill missing values of ``columns`` from the k nearest rows; returns the
-    input columns with those columns filled.  ``report`` (a dict) receives the
-    number of receivers settled per grid round, those left for the exact pass
-    and the seconds spent per step."""
-    cols = list(columns)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_cell", T.LongType())]))
+
+
+def _meet(recv: DataFrame, boxes: Boxes, m: int, k: int, first: bool) -> DataFrame:
+    """``_rid, _c, _r, _cell``: each receiver with the nearest cell that holds k donors of its column (``first``), or with all other cells
+    within its ``_radius``."""
+    held = recv.sparkSession.sparkContext.broadcast(boxes)
+    names = ["_rid", "_c", "_r"]
+
+    def run(batches):
+        import pyarrow as pa
+        b = held.value
+        step = max(1, STEP_CELLS // max(1, len(b.cell)))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                c = batch.column("_c").to_numpy()
+                bound = np.where(b.count[:, c].T > 0, b.bounds(_matrix(batch.column("_r"), m)), np.inf)
+                full = np.where(b.count[:, c].T >= k, bound, np.inf)
+                nearest = full.argmin(axis=1)
+                has = np.isfinite(full[np.arange(len(c)), nearest])
+                if first:
+                    row, at = np.flatnonzero(has), nearest[has]
+                else:
+                    radius = batch.column("_radius").to_numpy()
+                    near = (bound <= radius[:, None] ** 2 * (1 + 1e-9)) & np.isfinite(bound)
+                    near[has, nearest[has]] = False
+                    row, at = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([*[batch.column(n).take(pa.array(row)) for n in names], pa.array(b.cell[at], pa.int64())], names=[*names, "_cell"])
+
+    fields = {f.name: f for f in recv.schema.fields}
+    return recv.mapInArrow(run, T.StructType([*[fields[n] for n in names], T.StructField("_cell", T.LongType())]))
+
+
+def _compare(m: int, k: int):
+    """The k nearest donors, among those of one cell, of each receiver that meets it."""
+
+    def run(left, right):
+        import pyarrow as pa
+        donors = right.sort_by("_did")          # equal distances: the stable sort below leaves the smaller key first
+        d, r = _matrix(donors.column("_d").combine_chunks(), m), _matrix(left.column("_r").combine_chunks(), m)
+        c = left.column("_c").to_numpy()
+        rows, picks, dists = [], [], []
+        step = max(1, STEP_CELLS // max(1, len(d)))
+        for lo in range(0, len(r) if len(d) else 0, step):
+            x, own = r[lo:lo + step], c[lo:lo + step]
+            sums, n = np.zeros((len(x), len(d))), np.zeros((len(x), len(d)))
+            for i in range(m):
+                gap = x[:, i][:, None] - d[:, i]
+                both = ~np.isnan(gap)
+                sums, n = sums + np.where(both, gap * gap, 0), n + both
+            has = (n > 0) & ~np.isnan(d[:, own].T)
+            far = np.where(has, np.sqrt(m / np.maximum(n, 1) * sums), np.inf)
+            pick = np.argsort(far, axis=1, kind="stable")[:, :k]
+            dist = np.take_along_axis(far, pick, 1)
+            row, nth = np.nonzero(np.isfinite(dist))
+            rows.append(row + lo)
+            picks.append(pick[row, nth])
+            dists.append(dist[row, nth])
+        row, pick = np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(picks or [np.zeros(0, int)])
+        at = pa.array(row, pa.int64())
+        return pa.table({"_rid": left.column("_rid").take(at), "_c": left.column("_c").take(at), "_did": donors.column("_did").take(pa.array(pick, pa.int64())),
+                         "_dist": pa.array(np.concatenate(dists or [np.zeros(0)])), "_y": pa.array(d[pick, c[row]])})
+
+    return run
+
+
+def impute_knn(df: DataFrame, key: str, columns, k: int = 3, cell_rows: int = CELL_ROWS, report: dict | None = None) -> DataFrame:
+    """Fill missing values of ``columns`` from the k nearest rows; returns the input columns with those columns filled.
+    ``report`` (a dict) receives the number of cells, of receivers, and of receiver-cell meetings in both steps."""
+    cols, spark = list(columns), df.sparkSession
     m = len(cols)
-    if not 0 < m <= MAX_COLUMNS:
-        raise ValueError(f"kNN imputation takes 1..{MAX_COLUMNS} related columns, got {m}")
-    xs = [f"_x{j}" for j in range(m)]
-    base = df.select(col(key).alias("_id"), *[nan_to_null(col(c).cast("double")).alias(xs[j])
-                                              for j, c in enumerate(cols)])
-    pattern = sum((F.when(F.col(xs[j]).isNotNull(), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(m)), F.lit(0))
-    base = base.withColumn("_pat", pattern)
-    stats = base.agg(*[F.stddev_pop(x).alias(f"s{j}") for j, x in enumerate(xs)],
-                     *[F.avg(x).alias(f"m{j}") for j, x in enumerate(xs)],
-                     F.count(F.lit(1)).alias("n")).first()
-    n = stats["n"]
-    std = [stats[f"s{j}"] or 1.0 for j in range(m)]
-    std = [s if s > 0 else 1.0 for s in std]
-    means = [stats[f"m{j}"] for j in range(m)]
-
-    # donors per target column c: rows with c, reduced to k per identical coordinate vector
-    donors = None
-    for j in range(m):
-        d = base.where(F.col(xs[j]).isNotNull()).select(
-            F.lit(j).alias("_c"), F.col("_id").alias("_did"), F.col("_pat").alias("_P"),
-            *[F.col(x).alias(f"_d{i}") for i, x in enumerate(xs)], F.col(xs[j]).alias("_y"))
-        donors = d if donors is None else donors.unionByName(d)
-    wdup = Window.partitionBy("_c", "_P", *[f"_d{i}" for i in range(m)]).orderBy("_did")
-    donors = donors.withColumn("_r", F.row_number().over(wdup)).where(F.col("_r") <= k).drop("_r")
-    # rounds reuse donors and receivers: cut the lineage once (reliable checkpoint
-    # in the shared folder of spark.checkpoint.dir), so retries never recompute it
-    checkpoint_dir(df.sparkSession)
-    t0 = time.time()
-    donors = donors.checkpoint()
-    if report is not None:
-        report["t_donors"] = round(time.time() - t0, 2)
-
-    # receivers: (row, target column) for every missing cell
-    recv = None
-    # a row with no value at all has no valid donor: it takes the column mean
-    for j in range(m):
-        r = base.where(F.col(xs[j]).isNull() & (F.col("_pat") > 0)).select(
-            F.col("_id").alias("_rid"), F.col("_pat").alias("_S"), F.lit(j).alias("_c"),
-            *[F.col(x).alias(f"_r{i}") for i, x in enumerate(xs)])
-        recv = r if recv is None else recv.unionByName(r)
-    t0 = time.time()
-    recv = recv.checkpoint()
+    if not m:
+        raise ValueError("kNN imputation takes at least one related column")
+    checkpoint_dir(spark)
+    values = [nan_to_null(col(c).cast("double")) for c in cols]
+    base = df.select(col(key).alias("_id"), F.array(*values).alias("_x")).where(F.exists("_x", lambda v: v.isNotNull()))
+    means = [v for part in chunks(values) for v in df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(part)]).first()]
+    same = Window.partitionBy("_d").orderBy("_did")
+    donors = base.select(F.col("_id").alias("_did"), F.col("_x").alias("_d")).withColumn("_nth", F.row_number().over(same)) \
+        .where(F.col("_nth") <= k).drop("_nth").checkpoint()
+    n = donors.count()
+    most = max(1, min(SAMPLE_BYTES // (8 * m) // SAMPLE_PER_CELL, BOX_BYTES // (24 * m)))
+    cells = max(1, min(-(-n // cell_rows), most))
+    share = min(1.0, SAMPLE_PER_CELL * cells * 1.1 / max(n, 1))
+    sample = (donors if share == 1.0 else donors.sample(share, seed=7)).select("_d").limit(most * SAMPLE_PER_CELL)
+    held = np.array([r["_d"] for r in sample.collect()], float).reshape(-1, m)
+    placed = _assign(donors, Tree(held, max(1, len(held) // cells)), m).checkpoint()
+    each = lambda f: F.array(*[f(F.get("_d", F.lit(i))) for i in range(m)])
+    found = placed.groupBy("_cell").agg(each(F.min).alias("low"), each(F.max).alias("high"), each(F.count).alias("count"), F.count("*").alias("n")).collect()
+    table = lambda name: np.array([[0.0 if v is None else v for v in r[name]] for r in found], float).reshape(-1, m)
+    boxes = Boxes(np.array([r["_cell"] for r in found], np.int64), table("low"), table("high"), table("count"), np.array([r["n"] for r in found], float))
+
+    recv = base.select(F.col("_id").alias("_rid"), F.col("_x").alias("_r"), F.posexplode("_x").alias("_c", "_v")).where("_v IS NULL").drop("_v").checkpoint()
+    by = Window.partitionBy("_rid", "_c").orderBy("_dist", "_did")
+
+    schema = T.StructType([recv.schema["_rid"], recv.schema["_c"], placed.schema["_did"], T.StructField("_dist", T.DoubleType()), T.StructField("_y", T.DoubleType())])
+
+    def nearest(meetings: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        # a cell that very many receivers meet is dealt over several groups, each with all its donors
+        salts = meetings.groupBy("_cell").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("_salts"))
+        asked = meetings.join(F.broadcast(salts), "_cell").withColumn("_salt", F.pmod(F.xxhash64("_rid", "_c"), "_salts").cast("int")).drop("_salts")
+        there = placed.join(F.broadcast(salts), "_cell").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+        hits = asked.groupBy("_cell", "_salt").cogroup(there.groupBy("_cell", "_salt")).applyInArrow(_compare(m, k), schema)
+        hits = hits if more is None else hits.unionByName(more)
+        return hits.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= k).drop("_rank")
+
+    one = _meet(recv, boxes, m, k, True).checkpoint()
+    best = nearest(one).checkpoint()
+    radius = best.groupBy("_rid", "_c").agg(F.when(F.count("*") == k, F.max("_dist")).alias("_radius"))
+    wider = recv.join(radius, ["_rid", "_c"], "left").select("_rid", "_c", "_r", F.coalesce("_radius", F.lit(math.inf)).alias("_radius"))
+    two = _meet(wider, boxes, m, k, False).checkpoint()
     if report is not None:
-        report["t_recv"] = round(time.time() - t0, 2)
-
-    def dist(prefix_r="_r", prefix_d="_d") -> Column:
-        common = F.col("_S").bitwiseAND(F.col("_P"))
-        ncom = sum((F.when(common.bitwiseAND(F.lit(1 << i)) > 0, F.lit(1)).otherwise(F.lit(0)) for i in range(m)),
-                   F.lit(0))
-        sq = sum((F.when(common.bitwiseAND(F.lit(1 << i)) > 0,
-                         (F.col(f"{prefix_r}{i}") - F.col(f"{prefix_d}{i}")) ** 2).otherwise(F.lit(0.0))
-                  for i in range(m)), F.lit(0.0))
-        return F.when(ncom > 0, F.sqrt(F.lit(float(m)) / ncom * sq))
-
-    def topk(cands: DataFrame) -> DataFrame:
-        w = Window.partitionBy("_rid", "_c").orderBy("_dist", "_did")
-        return cands.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
-
-    # patterns that actually occur (at most 2^m each, usually a handful)
-    recv_pats = sorted(r["_S"] for r in recv.select("_S").distinct().collect())
-    donor_count = {(r["_c"], r["_P"]): r["n"] for r in donors.groupBy("_c", "_P").count()
-                   .withColumnRenamed("count", "n").collect()}
-    donor_pats = sorted({P for _, P in donor_count})
-    order = sorted(range(m), key=lambda i: -std[i])  # most spread-out coordinates first
-
-    def grid_dims(common_mask):
-        return [i for i in order if common_mask >> i & 1][:GRID_DIMS]
-
-    def cell_width(c, P, dims):
-        # cubic cells (the metric is unscaled Euclidean) sized so the probed 3^|G|
-        # block holds about TARGET_PER_CELL * k of this pattern's donors
-        vol = math.prod(6.0 * std[i] for i in dims)
-        n_p = max(donor_count.get((c, P), 1), 1)
-        return (TARGET_PER_CELL * k * vol / n_p) ** (1.0 / len(dims)) / 3.0
-
-    settled_parts = []
-    pending = recv
-    for mult in exact_rounds:
-        # receiver probes: for each donor pattern P (containing c, meeting S) and each offset of C
-        probe_rows = []
-        for S in recv_pats:
-            for c in range(m):
-                if S >> c & 1:
-                    continue
-                for P in donor_pats:
-                    if not (P >> c & 1) or not (S & P):
-                        continue
-                    C = grid_dims(S & P)
-                    for off in itertools.product((-1, 0, 1), repeat=len(C)):
-                        o = [0] * m
-                        for jj, v in zip(C, off):
-                            o[jj] = v
-                        probe_rows.append((S, c, P, *o))
-        spark = df.sparkSession
-        probes = spark.createDataFrame(probe_rows, ", ".join(["_S int", "_c int", "_P int"] + [f"_o{i} int" for i in range(m)]))
-        # probes: patterns x offsets (<= 4^m * 3^m rows, independent of the data) -> broadcast
-        # donors keyed per receiver pattern S (c missing in S, S meets P); the grid
-        # dimensions of each (S, P) are fixed, given to both sides as a bit mask
-        dk_rows = [(S, c, P, sum(1 << i for i in grid_dims(S & P)), mult * cell_width(c, P, grid_dims(S & P)))
-                   for S in recv_pats for c in range(m) for P in donor_pats
-                   if not (S >> c & 1) and (P >> c & 1) and (S & P) and (c, P) in donor_count]
-        if not dk_rows:
-            break
-        dk = spark.createDataFrame(dk_rows, "_S int, _c int, _P int, _G int, _W double")
-        rp = pending.join(F.broadcast(probes), ["_S", "_c"]).join(F.broadcast(dk), ["_S", "_c", "_P"])
-        dd = donors.join(F.broadcast(dk), ["_c", "_P"])
-        rp = rp.select("*", *[F.when(F.col("_G").bitwiseAND(F.lit(1 << i)) > 0,
-                                     F.floor(F.col(f"_r{i}") / F.col("_W")) + F.col(f"_o{i}"))
-                              .otherwise(F.lit(0)).cast("long").alias(f"_k{i}") for i in range(m)])
-        dd = dd.select("*", *[F.when(F.col("_G").bitwiseAND(F.lit(1 << i)) > 0,
-                                     F.floor(F.col(f"_d{i}") / F.col("_W")))
-                              .otherwise(F.lit(0)).cast("long").alias(f"_k{i}") for i in range(m)])
-        rp = rp.drop("_G", "_W")
-        dd = dd.drop("_G", "_W")
-        keys = ["_S", "_c", "_P"] + [f"_k{i}" for i in range(m)]
-        cand = rp.join(dd, keys).withColumn("_dist", dist())
-        best = topk(cand.select("_rid", "_c", "_did", "_dist", "_y"))
-        # guaranteed radius for (S, c): min over donor patterns of sqrt(m/|C|) * min width on C
-        radius = {}
-        for S, c, P, G, W in dk_rows:
-            C = _bits(S & P, m)
-            rad = math.sqrt(m / len(C)) * W   # a donor outside the block is > W away in a grid dim
-            radius[(S, c)] = min(radius.get((S, c), float("inf")), rad)
-        rad_df = spark.createDataFrame([(S, c, r) for (S, c), r in radius.items()], "_S int, _c int, _rad double")
-        agg = best.groupBy("_rid", "_c").agg(F.count(F.lit(1)).alias("_cnt"), F.max("_dist").alias("_kth"),
-                                             F.avg("_y").alias("_fill"))
-        judged = pending.select("_rid", "_c", "_S").join(agg, ["_rid", "_c"], "left") \
-            .join(F.broadcast(rad_df), ["_S", "_c"], "left")
-        ok = F.coalesce((F.col("_cnt") >= k) & (F.col("_kth") <= F.col("_rad")), F.lit(False))
-        t0 = time.time()
-        judged = judged.withColumn("_ok", ok).checkpoint()
-        if report is not None:
-            report.setdefault("t_round", []).append(round(time.time() - t0, 2))
-        settled_parts.append(judged.where("_ok").select("_rid", "_c", "_fill"))
-        pending = pending.join(judged.where(~F.col("_ok")).select("_rid", "_c"), ["_rid", "_c"], "left_semi") \
-            .checkpoint()
-        left = pending.count()
-        if report is not None:
-            report.setdefault("settled", []).append(judged.where("_ok").count())
-            report["pending"] = left
-        if left == 0:
-            break
-
-    # the rest: exact comparison with every donor of the column (only unsettled receivers)
-    # the few unsettled receivers go to the donors (broadcast), so the donors stay
-    # spread over all tasks instead of meeting per target column
-    small = pending.count() <= PENDING_BROADCAST_ROWS
-    rest = donors.join(F.broadcast(pending) if small else pending, "_c") \
-        .withColumn("_dist", dist()).where(F.col("_dist").isNotNull())
-    best = topk(rest.select("_rid", "_c", "_did", "_dist", "_y"))
-    settled_parts.append(best.groupBy("_rid", "_c").agg(F.avg("_y").alias("_fill")))
-    fills = settled_parts[0]
-    for p in settled_parts[1:]:
-        fills = fills.unionByName(p)
-    wide = fills.groupBy("_rid").agg(*[F.max(F.when(F.col("_c") == j, F.col("_fill"))).alias(f"_f{j}")
-                                       for j in range(m)])
+        report.update(cells=len(found), receivers=recv.count(), first=one.count(), second=two.count())
+    fills = nearest(two, best).groupBy("_rid", "_c").agg(F.avg("_y").alias("_fill"))
+    wide = fills.groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_fill"))).alias("_fills"))
     out = df.join(wide, df[key] == wide["_rid"], "left")
-    sel = []
-    idx = {c: j for j, c in enumerate(cols)}
-    for c in df.columns:
-        if c in idx:
-            j = idx[c]
-            mean = F.lit(means[j]) if means[j] is not None else F.lit(None).cast("double")
-            filled = F.when(nan_to_null(col(c).cast("double")).isNull(), F.coalesce(F.col(f"_f{j}"), mean))
-            sel.append(F.coalesce(nan_to_null(col(c).cast("double")), filled).alias(c))
-        else:
-            sel.append(col(c))
-    return out.select(*sel)
+    place = {c: j for j, c in enumerate(cols)}
+    filled = [F.coalesce(v, F.element_at("_fills", F.lit(j)), F.lit(means[j]).cast("double")).alias(cols[j]) for j, v in enumerate(values)]
+    return out.select(*[filled[place[c]] if c in place else col(c) for c in df.columns])
