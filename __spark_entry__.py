@@ -504,8 +504,8 @@ AUTO_LOG = [("o_orderkey", "unchanged", "numeric", False, "", False),
             ("o_orderstatus", "mode", "string", False, "", True),
             ("o_totalprice", "rule", "numeric", False, "", True),
             ("o_price_k", "rule", "numeric", False, "", True),
-            ("o_orderdate", "ffill", "datetime", True, "datetime -> ffill", False),
-            ("o_none", "unchanged", "numeric", True, "numeric: mode/mode/ffill not applicable -> unchanged",
+            ("o_orderdate", "ffill", "datetime", True, "datetime column without use for mode; used: ffill", False),
+            ("o_none", "unchanged", "numeric", True, "numeric column without use for mode, ffill; used: unchanged",
              False)]
 
 

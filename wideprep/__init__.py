@@ -7,7 +7,6 @@ Spark's own expressions, aggregates, windows and joins.  Sub-packages:
 - ``sources``    readers, writers, line reports
 - ``plans``      small driver-side plans (header names, fill decisions)
 - ``operators``  profiling, imputation, ordered fills, statistics, models
-- ``streaming``  (the reference has no streaming operator; see its docstring)
 """
 
 from wideprep.session import get_session, checkpoint_dir
