@@ -62,7 +62,7 @@ def test_near_duplicates_match_brute_force(odd):
     assert {r.doc_id for r in kept.collect()} == {w[2] for w in want}
 
 
-@pytest.mark.parametrize("tile,blocks", [(4, None), (2048, None), (7, 5), (3, 6)])
+@pytest.mark.parametrize("tile,blocks", [(4, None), (2048, None), (2048, 4), (7, 5), (3, 6)])
 def test_links_find_every_class(spark, tile, blocks):
     rnd = random.Random(tile)
     seeds = [rnd.getrandbits(64) for _ in range(6)]
@@ -79,6 +79,26 @@ def test_links_find_every_class(spark, tile, blocks):
         assert (len(g) == 1) == (g[0] not in found)
 
 
+def test_tile_pairs_hold_every_link_and_skip_the_rest(spark):
+    rnd = random.Random(8)
+    fps = {rnd.getrandbits(64) for _ in range(400)} | {0, (1 << 64) - 1, 7, 1 << 63}
+    fps |= {f ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64) for f in list(fps)[:150]}
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    tiles, pairs = simhash.tile_pairs(df, 3, 4)
+    held = [x for r in tiles.collect() for x in np.frombuffer(r.fps, np.uint64).tolist()]
+    assert sorted(held) == sorted(fps)
+    met = set()
+    for r in pairs.collect():
+        a, b = (np.frombuffer(x, np.uint64).tolist() for x in (r.fps, r.fps2))
+        found = {frozenset((x, y)) for x in a for y in b if x != y}
+        assert r.first == r.first2 or not found & met            # no pair of fingerprints is compared twice
+        met |= found
+    want = {frozenset((x, y)) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= 3}
+    counts = lambda x: [(x >> 16 * k & 0xFFFF).bit_count() for k in range(4)]
+    near = {frozenset((x, y)) for x in fps for y in fps if x < y and sum(abs(p - q) for p, q in zip(counts(x), counts(y))) <= 3}
+    assert want <= met == near and len(near) < len(fps) ** 2 / 10
+
+
 def test_tile_links_are_a_spanning_forest():
     u, v = simhash.compare_tiles(np.arange(8, dtype=np.uint64), None, 3)
     assert len(u) == 7 and len(set(u.tolist())) == 7

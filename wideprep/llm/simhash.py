@@ -1,12 +1,11 @@
 """SimHash near-duplicates: fingerprints, exact tiled comparison, connected classes.
 
 ``fingerprints`` gives each text 64 majority bits over its word-shingle hashes.
-``links`` finds every pair of distinct fingerprints within ``radius`` bits:
-two words of 64 bits that differ in at most ``radius`` bits agree in at least
-``blocks - radius`` of ``blocks`` bit blocks, so fingerprints that agree in such a choice
-of blocks form a bucket, and the union of the buckets of all choices holds every pair.  A bucket is
-sorted by population count and cut into tiles; tile pairs whose counts differ by more than the
-radius are skipped, the others are compared in full by numpy exclusive-or and bit counts.
+``links`` compares all distinct fingerprints with all, exactly, tile by tile: fingerprints are put in order of the
+population counts of their ``PARTS`` equal parts and cut into tiles, none across a change of these counts.  Two
+fingerprints differ in at least as many bits as the counts of their parts differ in all, so a pair of tiles whose counts
+differ by more than the radius is skipped; every other pair is compared in full by numpy exclusive-or and bit counts.
+Which cells of counts are near each other is found on a table of one row per cell, by equality with the neighbouring counts.
 A tile pair emits a spanning forest of its links (fewer than its fingerprints), never all pairs.
 ``near_duplicates`` joins the classes back to the rows.
 
@@ -24,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wideprep.llm.arrow_text import slices
@@ -34,10 +33,11 @@ from wideprep.session import checkpoint_dir, shuffle_partitions
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 3
-#: Fingerprints a tile holds at most: 16 KB, and 4 million comparisons a tile pair.
-TILE = 2048
-#: Fingerprints that share a bucket on average before finer buckets are used.
-BUCKET_ROWS = 4096
+#: Fingerprints a tile holds at most: 8 KB, and 1 million comparisons a tile pair.
+TILE = 1024
+#: Equal parts of a fingerprint whose population counts order the tiles, and the bits that hold one count in a cell's number.
+PARTS = 4
+PART_BITS = 7
 
 
 def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> list[int]:
@@ -215,7 +215,7 @@ def _pairs(radius: int):
         for batch in batches:
             us, vs = [], []
             for a, b in zip(batch.column("fps").to_pylist(), batch.column("fps2").to_pylist()):
-                u, v = compare_tiles(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), radius)
+                u, v = compare_tiles(np.frombuffer(a, np.uint64), None if b is None else np.frombuffer(b, np.uint64), radius)
                 us.append(u.view(np.int64))
                 vs.append(v.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (us, vs)], names=["u", "v"])
@@ -223,20 +223,10 @@ def _pairs(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
-    """Links ``(u, v)`` between the distinct longs ``fp`` of ``distinct``: a set whose connected
-    classes are those of all pairs within ``radius`` bits.
-
-    ``blocks`` sets how fine the buckets are and never changes the classes: ``radius + 1`` blocks give
-    the fewest copies of each fingerprint; more blocks give longer keys.  By default the smallest
-    number whose buckets hold ``BUCKET_ROWS`` fingerprints or fewer if bits were even.
-    """
+def _indexed_links(distinct: DataFrame, radius: int, tile: int, blocks: int) -> DataFrame:
+    """``links`` by an index: a pair within ``radius`` bits agrees in ``blocks - radius`` of the ``blocks`` bit blocks.
+    ``radius + 1`` blocks give the fewest copies of each fingerprint; more blocks give longer keys."""
     spark = distinct.sparkSession
-    checkpoint_dir(spark)
-    if blocks is None:
-        n, blocks = distinct.count(), radius + 1
-        while blocks < radius + 4 and n >> (64 * (blocks - radius) // blocks) > BUCKET_ROWS:
-            blocks += 1
     masks = [_signed(m) for m in _views(blocks, radius)]
     views = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("view", "block")) \
         .withColumn("pop", F.bit_count("fp").cast("int"))
@@ -257,6 +247,73 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: i
     return inside.union(across).distinct()
 
 
+def _cut(tile: int):
+    """Runs of rows with one ``cell``, sorted by it, as tiles ``(cell, first, fps)`` of at most ``tile`` fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, fps = batch.column("cell").to_numpy(), batch.column("fp").to_numpy()
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            ends = np.r_[starts[1:], len(cell)]
+            at = [(lo, min(lo + tile, hi)) for s, hi in zip(starts.tolist(), ends.tolist()) for lo in range(s, hi, tile)]
+            first = [lo for lo, _ in at]
+            yield pa.RecordBatch.from_arrays([pa.array(cell[first]), pa.array(fps[first]), pa.array([fps[lo:hi].tobytes() for lo, hi in at], pa.binary())],
+                                             names=["cell", "first", "fps"])
+
+    return run
+
+
+def _steps(radius: int, parts: int = PARTS) -> list[int]:
+    """The differences, from 0 up, of two cells whose population counts differ by ``radius`` in all."""
+    found = [(0, 0)]
+    for k in range(parts):
+        found = [(step + (d << PART_BITS * k), used + abs(d)) for step, used in found for d in range(used - radius, radius - used + 1)]
+    return sorted(step for step, _ in found if step >= 0)
+
+
+def cell_of(fp: Column, parts: int = PARTS) -> Column:
+    """The population counts of the ``parts`` equal parts of ``fp``, as one long."""
+    width = 64 // parts
+    counts = [F.bit_count(F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit(_signed((1 << width) - 1)))).cast("long") for k in range(parts)]
+    out = F.lit(0).cast("long")
+    for k, n in enumerate(counts):
+        out = out + F.shiftleft(n, PART_BITS * k)
+    return out
+
+
+def tile_pairs(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """The tiles ``(cell, first, fps)`` of all fingerprints, and the pairs ``(first, fps, first2, fps2)`` that are not skipped, a tile
+    with itself included.  A tile holds fingerprints of one cell, so a pair's counts differ by one number, known from the cells."""
+    spark = distinct.sparkSession
+    tiles = distinct.select(cell_of(F.col("fp")).alias("cell"), "fp").repartitionByRange(shuffle_partitions(spark), "cell", "fp") \
+        .sortWithinPartitions("cell", "fp").mapInArrow(_cut(tile), "cell long, first long, fps binary").checkpoint()
+    # Only (cell, first) is compared with the cells near by; the fingerprints follow for the pairs found.
+    cells = tiles.groupBy("cell").agg(F.count("*").alias("n"))
+    near = cells.select("cell", F.explode(F.transform(F.lit(_steps(radius)), lambda d: F.col("cell") + d)).alias("cell2")) \
+        .join(cells.select(F.col("cell").alias("cell2")), "cell2")
+    right = tiles.toDF("cell2", "first2", "fps2")
+    pairs = tiles.join(near, "cell").join(right, "cell2").where((F.col("cell") < F.col("cell2")) | (F.col("first") <= F.col("first2")))
+    return tiles, pairs.select("first", "fps", "first2", "fps2")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
+    """Links ``(u, v)`` between the distinct longs ``fp`` of ``distinct``: a set whose connected
+    classes are those of all pairs within ``radius`` bits.
+
+    All tiles are compared with all tiles but the pairs skipped for their population counts.  ``blocks`` takes candidates from
+    an index of that many bit blocks instead (see the module's text): the same classes, with work that stays near the number
+    of fingerprints where tiles grow with its square.
+    """
+    checkpoint_dir(distinct.sparkSession)
+    if blocks is not None:
+        return _indexed_links(distinct, radius, tile, blocks)
+    _, pairs = tile_pairs(distinct, radius, tile)
+    return pairs.select("fps", F.when(F.col("first") != F.col("first2"), F.col("fps2")).alias("fps2")) \
+        .mapInArrow(_pairs(radius), "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
                     seed: int = SEED, radius: int = RADIUS, fp: str = "fp", component: str = "component_id",
                     root: str | None = None) -> DataFrame:
