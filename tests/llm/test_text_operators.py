@@ -312,3 +312,35 @@ def test_op1_extracts_the_articles(spark):
         article = re.search(r"<article>(.*?)</article>", source[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(b for b in blocks if b)
+
+
+def test_columns_named_like_inner_ones_pass_through(spark):
+    html = "<html><body><nav>menu</nav><article><p>one two</p></article></body></html>"
+    rows = [(i, f"http://h.x/{i}", html, "a", "b", "c", "d", None) for i in range(3)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string, row string, partner string, text string")
+    got = pages.main_text(table, keep=["page_id", "html", "host", "path", "row", "partner", "text"]).collect()
+    assert [(r.html, r.host, r.path, r.row, r.partner, r.text) for r in got] == [(html, "a", "b", "c", "d", "one two")] * 3
+    docs = spark.createDataFrame([(i, f"text {i}", "x", 7) for i in range(5)], "doc_id long, text string, next_text string, s int")
+    paired = fingerprints.with_next(docs, "doc_id", F.xxhash64("text"), {"s": fingerprints.sketch(F.col("text"))}, ["text", "s"])
+    assert {r.doc_id: r.next_text for r in paired.collect()} == {0: "text 4", **{i: f"text {i - 1}" for i in range(1, 5)}}
+
+
+def test_shards_keep_clashing_columns(spark):
+    from wideprep.llm import sharding
+    docs = spark.createDataFrame([(i, "x" * i, i + 100, "p", "q") for i in range(6)], "doc_id long, text string, size long, part string, salt string")
+    got = sharding.shards(docs, keep=["size", "part", "salt", "doc_id", "text"], n=2).collect()
+    assert {(r.doc_id, r.size, r.part, r.salt, r.text) for r in got} == {(i, i + 1, "p", "q", "x" * i) for i in range(6)}
+
+
+def test_repeated_ids_give_one_training_example(spark):
+    from wideprep.llm import quality
+    docs = spark.createDataFrame([(i % 9, f"word{i % 3} other{i % 5} more") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    seen = []
+    fit = quality.Network.fit
+    try:
+        quality.Network.fit = lambda self, x, y, **kw: seen.append(len(y)) or fit(self, x, y, **kw)
+        quality.train(docs, labels, epochs=1)
+    finally:
+        quality.Network.fit = fit
+    assert seen and seen[0] <= 9

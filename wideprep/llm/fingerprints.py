@@ -94,9 +94,11 @@ def with_next(rows: DataFrame, key: str, tie: Column, derive: dict[str, Column],
 
     Rows are shuffled once, into range buckets of the key; the first row of each bucket is sent to the bucket before, too,
     where it follows the last.  ``derive`` adds columns after the shuffle.  Two light jobs on the key alone come first; they
-    bring one bound and one key per bucket to the driver.  Rows that share a key share a bucket.
+    bring one bound and one key per bucket to the driver.  Rows that share a key share a bucket.  Columns of ``rows`` named like a
+    result are replaced.
     """
     spark = rows.sparkSession
+    rows = rows.drop(*[f"next_{c}" for c in lead])
     n_parts = shuffle_partitions(spark)
     n = BUCKETS_PER_PARTITION * n_parts
     own = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))

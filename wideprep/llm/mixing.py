@@ -45,13 +45,13 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
     left = share * sum(sizes)
     while open_:
         level = left / sum(weight[i] for i in open_)
-        full = [i for i in open_ if level * weight[i] > most * sizes[i]]
+        full = {i for i in open_ if level * weight[i] > most * sizes[i]}
         for i in full or open_:
             out[i] = float(most * sizes[i]) if full else level * weight[i]
         if not full:
             break
-        left -= sum(out[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
+        left -= sum(out[i] for i in sorted(full))
+        open_ = [i for i in open_ if i not in full]
     return out
 
 

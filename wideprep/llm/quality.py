@@ -182,8 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2,
     wanted = learn.sample(rows, "doc_id", sample)
     held = docs.sparkSession.sparkContext.broadcast(vectors)
     chosen = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    # rows that share an id give one example, so the driver gets ``sample`` rows at most about
     pooled = _mapped(chosen, "text", ["doc_id", "label"], "x", T.ArrayType(T.FloatType()), pa.list_(pa.float32()),
-                     lambda ids, before: list(pool(ids, before, held.value))).toArrow().sort_by("doc_id")
+                     lambda ids, before: list(pool(ids, before, held.value))) \
+        .groupBy("doc_id", "label").agg(F.min("x").alias("x")).toArrow().sort_by("doc_id")
     x = pooled.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES).astype(float)
     return vectors, Network().fit(x, pooled.column("label").to_numpy().astype(float), **kwargs)
 

@@ -27,14 +27,15 @@ SHARDS = 8
 def shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHARDS,
            keep: list[str] | None = None) -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``shard`` and ``slot`` (place in the shard, from 0) of every row,
-    and the (light) columns ``keep``."""
+    and the (light) columns ``keep`` (those named like a result are replaced by it)."""
     spark = docs.sparkSession
     checkpoint_dir(spark)
+    kept = {f"__keep{i}": c for i, c in enumerate(keep or []) if c not in ("doc_id", "size", "text_crc32", "shard", "slot")}
     raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     light = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"),
                         F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("salt"),
-                        *[F.col(f"`{c}`") for c in keep or []])
-    order, keep = ["doc_id", "size", "text_crc32", "salt"], keep or []
+                        *[F.col(f"`{c}`").alias(k) for k, c in kept.items()])
+    order = ["doc_id", "size", "text_crc32", "salt"]
     ranged = light.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order) \
         .withColumn("part", F.spark_partition_id()).checkpoint()
     totals = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
@@ -47,12 +48,12 @@ def shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     before = F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ranged.select("*", before.alias("before"), F.row_number().over(own).alias("row")) \
         .join(F.broadcast(offsets), "part") \
-        .select("doc_id", "size", "text_crc32", *[F.col(f"`{c}`") for c in keep],
+        .select("doc_id", "size", "text_crc32", *kept,
                 F.expr(f"int((part_bytes + before) * {n} div total)").alias("shard"), (F.col("part_rows") + F.col("row") - 1).alias("pos"))
     first = placed.groupBy("shard").agg(F.min("pos").alias("first"))                 # one row per shard
     return placed.join(F.broadcast(first), "shard") \
         .select("doc_id", "size", "text_crc32", "shard", (F.col("pos") - F.col("first")).cast("long").alias("slot"),
-                *[F.col(f"`{c}`") for c in keep])
+                *[F.col(k).alias(c) for k, c in kept.items()])
 
 
 def place(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHARDS) -> DataFrame:
