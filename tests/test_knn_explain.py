@@ -216,3 +216,34 @@ def test_boosted_treeshap_additive_on_margin(spark):
     for rec in raw.itertuples():
         for c in range(3):
             assert abs(sums.loc[(str(rec.id), c), "m"] - rec.r[c]) < 1e-9
+
+
+def test_deep_trees_are_explained(spark):
+    """Depth 12, against the Shapley definition."""
+    from itertools import combinations
+    from math import factorial
+    rng = np.random.default_rng(21)
+    X = np.round(rng.normal(size=(600, 5)), 2)
+    y = ((np.sin(3 * X[:, 0]) + X[:, 1] * X[:, 2] + rng.normal(0, .5, 600)) > 0).astype(int)
+    names = list("abcde")
+    sdf = spark.createDataFrame(pd.DataFrame(X, columns=names).assign(label=y, id=np.arange(600)))
+    model = MD.train_forest(sdf, names, "label", num_trees=2, max_depth=12)
+    trees = list(MD.forest(model)._java_obj.trees())
+    assert max(t.depth() for t in trees) >= 10
+    some = sdf.where("id < 3")
+    long = EX.explain(MD.forest(model), some, "id", names, "label").toPandas()
+
+    def value(node):
+        stats = [float(v) for v in node.impurityStats().stats()]
+        return np.array([v / sum(stats) / len(trees) for v in stats])
+
+    for row in range(3):
+        worth = {s: sum(_expected(t.rootNode(), X[row], s, value) for t in trees) for n in range(6) for s in map(frozenset, combinations(range(5), n))}
+        for f in range(5):
+            want = sum(factorial(len(s)) * factorial(4 - len(s)) / 120 * (worth[s | {f}] - worth[s]) for s in worth if f not in s)
+            own = long[(long.row_key == str(row)) & (long.feature_name == names[f])].sort_values("class")
+            assert np.allclose(own.shap_value, want, atol=1e-9)
+    alone = EX.explain(MD.forest(model), some, "id", names, "label", predicted_only=True).toPandas()
+    both = long[long["class"] == long.predicted_class].merge(alone, on=["row_key", "feature_name"])
+    assert len(alone) == 15 == len(both) and np.allclose(both.shap_value_x, both.shap_value_y)
+    assert EX.explain(MD.forest(model), sdf.where("id < 0"), "id", names).count() == 0

@@ -1,29 +1,36 @@
-"""Per-prediction explanations with TreeSHAP (ML8, ML9, SO4) as DataFrame steps.
+"""Per-prediction explanations with TreeSHAP (ML8, ML9, SO4).
 
 Path-dependent TreeSHAP (Lundberg et al., "Consistent individualized feature attribution for tree ensembles") gives a
-leaf's share to the features on its path, and that share depends only on which of the path's conditions the row
-meets.  So the model becomes two tables of model size: the leaves with their conditions, and one row per (leaf, set of
-met conditions, feature) with the contribution to every class.  A row of data meets each leaf with one bit mask; masks
-join the second table, and contributions are summed by row and feature.  Everything runs in Spark's own expressions.
-
-``base_value + sum(contributions) = probability`` (forest) or ``margin`` (boosted) for every row and class.
-The contribution table has ``leaves x 2^depth x depth`` rows at most, so explained models should stay shallow (Spark's
-default depth is 5).  ``key`` must be unique.
+leaf's share to the features on its path.  With ``o`` telling whether a row meets a feature's condition, and ``z`` the share of
+training rows that take its branches, feature i's weight at a leaf of d conditions is the Shapley sum over the other
+conditions, which equals an integral:
+
+    (o_i - z_i) * sum_S |S|! (d - 1 - |S|)! / d! * prod_{k in S} o_k * prod_{k not in S} z_k
+        = (o_i - z_i) * integral over t in (0, 1) of prod_{k != i} (o_k t + z_k (1 - t))
+
+The integrand is a polynomial of degree d - 1, so Gauss-Legendre quadrature with (d + 1) // 2 nodes is exact: a leaf costs d times d / 2
+steps at any depth, with no table of condition sets.  Rows are explained where they lie, a batch of rows with all leaves in numpy; nothing is
+shuffled, and the model (its leaves) is all that is broadcast.
+
+``base_value + sum(contributions) = probability`` (forest) or ``margin`` (boosted) for every row and class.  Rows that share a
+``key`` are explained each for itself.  Null values are explained as NaN, which takes the right branch.
 """
 
 from __future__ import annotations
 
-import json
-from math import factorial, prod
+from collections.abc import Iterator
+from math import prod
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wideprep.functions.text import sign_label
 from wideprep.operators._util import col
 
-LEAF_SCHEMA = "array<struct<leaf: int, conditions: array<struct<f: int, bit: int, lo: double, hi: double, cats: array<double>>>>>"
+#: Numbers that one step holds at once (rows x leaves x conditions): 16 MB an array.
+STEP_CELLS = 1 << 21
 
 
 def leaves(java_tree, value) -> list[dict]:
@@ -74,75 +81,108 @@ def boosted_leaves(ovr_model) -> list[dict]:
     return out
 
 
-def _weight(shares: list[float], met: int, i: int) -> float:
-    """Shapley weight of condition ``i`` of a leaf when the conditions in the bit set ``met`` are met."""
-    sizes = [1.0]          # sum over the other conditions' subsets, by subset size
-    for k, z in enumerate(shares):
-        if k != i:
-            one = met >> k & 1
-            sizes = [(sizes[s] * z if s < len(sizes) else 0.0) + (sizes[s - 1] * one if s else 0.0) for s in range(len(sizes) + 1)]
-    d = len(shares)
-    return ((met >> i & 1) - shares[i]) * sum(x * factorial(s) * factorial(d - 1 - s) / factorial(d) for s, x in enumerate(sizes))
-
-
-def _explain(found: list[dict], df: DataFrame, key: str, features, label: str | None, total: str) -> DataFrame:
+class _Paths:
+    """All leaves whose paths name ``d`` features, as arrays over (leaf, condition)."""
+
+    def __init__(self, found: list[dict], d: int):
+        paths = [sorted(leaf["path"].items()) for leaf in found]
+        self.d, self.values = d, np.array([leaf["value"] for leaf in found], float)
+        self.f = np.array([[f for f, _ in p] for p in paths], int).reshape(len(found), d)
+        number = lambda at, none: np.array([[none if c[at] is None else c[at] for _, c in p] for p in paths], float).reshape(len(found), d)
+        self.lo, self.hi, self.share = number(0, -np.inf), number(1, np.inf), number(3, 1.0)
+        self.any_low = np.isneginf(self.lo)
+        self.any_high = np.isposinf(self.hi)
+        self.cats = [(n, k, np.array(c[2], float)) for n, p in enumerate(paths) for k, (_, c) in enumerate(p) if c[2] is not None]
+        nodes, weights = np.polynomial.legendre.leggauss(max(1, (d + 1) // 2))
+        self.nodes, self.weights = (nodes + 1) / 2, weights / 2
+
+    def met(self, x: np.ndarray) -> np.ndarray:
+        """Whether each row meets each condition; NaN is above every threshold."""
+        v = x[:, self.f]
+        out = (self.any_low | ~(v <= self.lo)) & (self.any_high | (v <= self.hi))
+        for n, k, cats in self.cats:
+            out[:, n, k] = np.isin(v[:, n, k], cats)
+        return out
+
+    def shapley(self, x: np.ndarray) -> np.ndarray:
+        """Weight of every condition of every leaf for every row."""
+        met = self.met(x).astype(float)
+        out = np.zeros_like(met)
+        for t, w in zip(self.nodes, self.weights):
+            part = met * t + self.share * (1 - t)          # positive: a branch has training rows
+            out += w * part.prod(axis=2, keepdims=True) / part
+        return (met - self.share) * out
+
+
+class _Shap:
+    """The leaves of a model by length of path, ready to explain rows."""
+
+    def __init__(self, found: list[dict], n_features: int):
+        self.n_features, self.n_classes = n_features, len(found[0]["value"])
+        self.base = np.sum([np.array(leaf["value"], float) * prod(c[3] for c in leaf["path"].values()) for leaf in found], axis=0)
+        by: dict[int, list[dict]] = {}
+        for leaf in found:
+            by.setdefault(len(leaf["path"]), []).append(leaf)
+        self.groups = [_Paths(held, d) for d, held in sorted(by.items()) if d]
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """Contributions (row, feature, class)."""
+        out = np.zeros((len(x), self.n_features, self.n_classes))
+        for g in self.groups:
+            flat, place = g.f.ravel(), np.repeat(np.arange(len(g.f)), g.d)
+            order = np.argsort(flat, kind="stable")
+            edges = np.flatnonzero(np.diff(flat[order], prepend=-1))
+            step = max(1, STEP_CELLS // flat.size)
+            for lo in range(0, len(x), step):
+                w = g.shapley(x[lo:lo + step]).reshape(-1, flat.size)
+                for at in np.split(order, edges[1:]):
+                    out[lo:lo + step, flat[at[0]]] += w[:, at] @ g.values[place[at]]
+        return out
+
+
+def _explain(found: list[dict], df: DataFrame, key: str, features, label: str | None, total: str, predicted_only: bool) -> DataFrame:
     spark, feats = df.sparkSession, list(features)
-    n_classes = len(found[0]["value"])
-    tests, rows = [], []
-    base = [0.0] * n_classes
-    for number, leaf in enumerate(found):
-        path = sorted(leaf["path"].items())
-        shares = [p[3] for _, p in path]
-        base = [b + v * prod(shares) for b, v in zip(base, leaf["value"])]
-        tests.append({"leaf": number, "conditions": [{"f": f, "bit": 1 << k, "lo": p[0], "hi": p[1], "cats": p[2]} for k, (f, p) in enumerate(path)]})
-        for met in range(1 << len(path)):
-            for k, (f, _) in enumerate(path):
-                w = _weight(shares, met, k)
-                if w:
-                    rows.append((number, met, f, [w * v for v in leaf["value"]]))
-    weights = spark.createDataFrame(pd.DataFrame(rows, columns=["leaf", "met", "f", "w"]), "leaf int, met int, f int, w array<double>") if rows \
-        else spark.createDataFrame([], "leaf int, met int, f int, w array<double>")
-    model = F.from_json(F.lit(json.dumps(tests)), LEAF_SCHEMA)
-
-    def met(x, c):
-        v = F.get(x, c["f"])
-        inside = F.coalesce(v > c["lo"], F.lit(True)) & F.coalesce(v <= c["hi"], F.lit(True))
-        return F.when(F.when(c["cats"].isNotNull(), F.array_contains(c["cats"], v)).otherwise(inside), c["bit"]).otherwise(F.lit(0))
-
+    shap = _Shap(found, len(feats))
+    n, base, model = shap.n_classes, [float(b) for b in shap.base], spark.sparkContext.broadcast(shap)
     lab = col(label).cast("string") if label else F.lit(None).cast("string")
     x = F.array(*[F.coalesce(col(c).cast("double"), F.lit(float("nan"))) for c in feats])
     src = df.select(col(key).cast("string").alias("row_key"), lab.alias("true_class"), x.alias("x"))
-    hits = src.select("row_key", "true_class", F.explode(F.transform(model, lambda leaf: F.struct(
-        leaf["leaf"].alias("leaf"),
-        F.aggregate(leaf["conditions"], F.lit(0), lambda a, c: a + met(F.col("x"), c)).alias("met")))).alias("h")) \
-        .select("row_key", "true_class", "h.leaf", "h.met")
-    parts = hits.join(F.broadcast(weights), ["leaf", "met"]).groupBy("row_key", "true_class", "f") \
-        .agg(*[F.sum(F.col("w")[c]).alias(f"s{c}") for c in range(n_classes)])
-    found_ = parts.groupBy("row_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("f", F.array(*[F.col(f"s{c}") for c in range(n_classes)]).alias("s")))).alias("by_feature"),
-        F.array(*[F.lit(base[c]) + F.sum(f"s{c}") for c in range(n_classes)]).alias("all"))
-    whole = src.select("row_key", "true_class").join(found_, "row_key", "left") \
-        .withColumn("all", F.coalesce("all", F.array(*[F.lit(b) for b in base])))
-    zero = F.array(*[F.lit(0.0)] * n_classes)
-    pred = (F.array_position("all", F.array_max("all")) - 1).alias("predicted_class")
-    by_feature = whole.select("row_key", "true_class", pred, "all", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(len(feats) - 1)), lambda i: F.coalesce(F.col("by_feature")[i], zero))).alias("i", "s"))
-    long = by_feature.select("row_key", "true_class", "predicted_class", "all", "i", F.posexplode("s").alias("class", "shap_value"))
-    return long.select("row_key", "true_class", "predicted_class", F.col("class").cast("long").alias("class"),
-                       F.element_at(F.lit(feats), F.col("i") + 1).alias("feature_name"), "shap_value",
-                       F.element_at(F.lit(base), F.col("class") + 1).alias("base_value"), F.element_at("all", F.col("class") + 1).alias(total))
-
-
-def explain(rf_model, df: DataFrame, key: str, features, label: str | None = None) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shap = model.value
+        rows = max(1, STEP_CELLS // (shap.n_features * n))
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                s = shap.values(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, shap.n_features))
+                every = s.sum(axis=1) + shap.base
+                best = every.argmax(axis=1)
+                if predicted_only:
+                    s = s[np.arange(len(s)), :, best]
+                held = pa.ListArray.from_arrays(np.arange(len(s) + 1, dtype=np.int32) * (s[0].size if len(s) else 0), pa.array(s.ravel()))
+                sums = pa.ListArray.from_arrays(np.arange(len(s) + 1, dtype=np.int32) * n, pa.array(every.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("true_class"), pa.array(best.astype(np.int32)), sums, held],
+                                                 names=["row_key", "true_class", "predicted_class", "all", "s"])
+
+    made = src.mapInArrow(run, "row_key string, true_class string, predicted_class int, all array<double>, s array<double>")
+    long = made.select("row_key", "true_class", "predicted_class", "all", F.posexplode("s").alias("i", "shap_value"))
+    own, feature = (F.col("predicted_class"), F.col("i")) if predicted_only else (F.col("i") % n, F.expr(f"i div {n}").cast("int"))
+    return long.select("row_key", "true_class", "predicted_class", own.cast("long").alias("class"),
+                       F.element_at(F.lit(feats), feature + 1).alias("feature_name"), "shap_value",
+                       F.element_at(F.lit(base), (own + 1).cast("int")).alias("base_value"), F.element_at("all", (own + 1).cast("int")).alias(total))
+
+
+def explain(rf_model, df: DataFrame, key: str, features, label: str | None = None, predicted_only: bool = False) -> DataFrame:
     """ML8: long table ``row_key, true_class, predicted_class, class, feature_name,
-    shap_value, base_value, probability`` for every row, feature and class."""
-    return _explain(forest_leaves(rf_model), df, key, features, label, "probability")
+    shap_value, base_value, probability`` for every row, feature and class (``predicted_only``: the predicted class)."""
+    return _explain(forest_leaves(rf_model), df, key, features, label, "probability", predicted_only)
 
 
-def explain_boosted(ovr_model, df: DataFrame, key: str, features, label: str | None = None) -> DataFrame:
-    """ML8 for the per-class boosted model: contributions to every class model's margin; ``margin`` in place of
-    ``probability``."""
-    return _explain(boosted_leaves(ovr_model), df, key, features, label, "margin")
+def explain_boosted(model, df: DataFrame, key: str, features, label: str | None = None, predicted_only: bool = False) -> DataFrame:
+    """ML8 for a boosted model, per class (``OneVsRest``) or multiclass (``boosting.Softmax``): contributions to every
+    class's margin; ``margin`` in place of ``probability``."""
+    found = boosted_leaves(model) if hasattr(model, "models") else model.leaves()
+    return _explain(found, df, key, features, label, "margin", predicted_only)
 
 
 def explain_predicted(long: DataFrame) -> DataFrame:
