@@ -7,11 +7,12 @@ per column, one row per (column, category) - and come from one job each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wideprep.functions.numeric import to_number
 from wideprep.operators._util import col, union_all, unpivot
+from wideprep.session import checkpoint_dir
 
 MISSING_CATEGORY = "nan"
 
@@ -83,6 +84,13 @@ def feature_matrix_long(df: DataFrame, key: str, numeric, categorical, scale_par
     return union_all(parts)
 
 
+#: Bits of the key's hash in an exact split, and those that one count refines.
+HASH_BITS = 60
+LEVEL_BITS = 12
+#: Strata up to which their table is broadcast; beyond, rows are shuffled to it.
+MAX_BROADCAST = 50_000
+
+
 def hash_bucket(key, seed: int = 42) -> "F.Column":
     """Stable pseudo-random number in [0, 10000) from a row key."""
     h = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), col(key).cast("string"))), 1, 8)
@@ -94,22 +102,49 @@ def split_hash(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42,
     """ML4: adds ``split`` = ``test`` / ``train`` from a hash of the row key:
     deterministic, stable under repartitioning and task retries (unlike
     ``randomSplit``), no shuffle.  ``exact=True`` makes the test part exactly
-    ``ceil(test_share * n)`` rows (as the reference's splitter): rows are
-    ordered by a 60-bit hash of the key and the first positions - computed by
-    the distributed position plan, never in one task - go to test.  ``stratify``
-    (with ``exact``) names a column; the share then holds within each of its values."""
+    ``ceil(test_share * n)`` rows (as the reference's splitter): the rows with the smallest
+    60-bit hashes of the key.  The hash of the last of them is found by ``hash_limits``, and
+    every row is then compared with it where it lies.  ``stratify`` (with ``exact``) names a column;
+    the share then holds within each of its values.
+
+    Keys must be unique; rows that share the key at the limit (or null keys there) would all be train or, where that
+    comes nearer to the share, all test."""
     if not exact:
         return df.withColumn("split", F.when(hash_bucket(key, seed) < int(round(test_share * 10000)),
                                              F.lit("test")).otherwise(F.lit("train")))
-    import math
-    from wideprep.operators.ordered import with_positions
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), col(key).cast("string"))), 1, 15), 16, 10).cast("long")
-    hashed = df.withColumn("_h", h)
+    h = F.coalesce(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), col(key).cast("string"))), 1, 15), 16, 10).cast("long"), F.lit(0).cast("long"))
+    stratum = F.coalesce(F.concat(F.lit("0"), col(stratify).cast("string")), F.lit("1")) if stratify else F.lit("")
+    hashed = df.withColumn("_h", h).withColumn("_g", stratum)
+    limits = hash_limits(hashed.select("_g", "_h"), test_share)
     if stratify:
-        n = df.groupBy(col(stratify)).agg(F.count(F.lit(1)).alias("_n"))        # one row per value
-        pos = with_positions(hashed, "_h", [stratify], name="_p").join(n, stratify)
-        last = F.ceil(F.lit(test_share) * F.col("_n"))
+        limit, joined = F.col("_limit"), hashed.join(_small(limits), "_g")
     else:
-        pos, last = with_positions(hashed, "_h", name="_p"), F.lit(math.ceil(test_share * df.count()))
-    return pos.withColumn("split", F.when(F.col("_p") <= last, F.lit("test")).otherwise(F.lit("train"))) \
-        .select(*[col(c) for c in df.columns], "split")
+        row = limits.first()                                   # one stratum, none without rows
+        limit, joined = F.lit(row["_limit"] if row else 0), hashed
+    return joined.select(*[col(c) for c in df.columns], F.when(F.col("_h") < limit, F.lit("test")).otherwise(F.lit("train")).alias("split"))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A checkpointed table of one row per stratum, marked for broadcast if it has at most ``MAX_BROADCAST`` rows."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
+
+
+def hash_limits(hashed: DataFrame, share: float) -> DataFrame:
+    """``_g, _limit``: per stratum ``_g``, the hash under which ``ceil(share * n)`` of its rows' hashes ``_h`` (60 bits) lie.
+
+    Rows are counted by stratum and leading 12 bits of the hash, running sums name the bin in which the last row falls, and only that bin
+    is counted again, 12 bits finer: five counts with partial sums, no shuffle of rows and no sort.  A stratum has at most 4,096 bins
+    a level, whatever its rows; strata are rows of a table, so there may be any number of them."""
+    checkpoint_dir(hashed.sparkSession)
+    hashed = hashed.checkpoint()                               # two narrow columns; the input is computed once
+    total = hashed.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
+    # the share is rounded to 9 decimals first: 0.2 * 15 is a little more than 3 in doubles
+    open_ = total.select("_g", F.ceil(F.round(F.lit(float(share)) * F.col("n"), 9)).cast("long").alias("want"), F.lit(0).cast("long").alias("prefix")).checkpoint()
+    for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
+        inside = hashed.join(_small(open_), "_g").where(F.shiftright("_h", shift + LEVEL_BITS) == F.col("prefix"))
+        bins = inside.groupBy("_g", "want", F.shiftright("_h", shift).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("_g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # the bin of the last wanted row; a stratum that wants none keeps its first bin, and no row
+        edge = bins.withColumn("before", before).where((F.greatest("want", F.lit(1)) > F.col("before")) & (F.greatest("want", F.lit(1)) <= F.col("before") + F.col("n")))
+        open_ = edge.select("_g", (F.col("want") - F.col("before")).alias("want"), F.col("bin").alias("prefix"), "n").checkpoint()
+    return open_.select("_g", (F.col("prefix") + (2 * F.col("want") >= F.col("n")).cast("long") * (F.col("want") > 0).cast("long")).alias("_limit")).checkpoint()
