@@ -20,6 +20,7 @@ from wideprep.functions import text as TX
 from wideprep.operators import classify as CL
 from wideprep.operators import columns as CO
 from wideprep.operators import correlate as C
+from wideprep.operators import boosting as BO
 from wideprep.operators import explain as EX
 from wideprep.operators import features as FE
 from wideprep.operators import impute as I
@@ -984,7 +985,7 @@ def q_predict(spark, d):
 
 def q_explain_topk(spark, d):
     model, test = _emb_model(spark, d)
-    long = EX.explain(MD.forest(model), test, "vec_id", EMB_FEATURES, "label").cache()
+    long = EX.explain(MD.forest(model), test, "vec_id", EMB_FEATURES, "label", predicted_only=True).checkpoint()
     # additive: the model's own probability of the predicted class is the base value plus all contributions
     sums = EX.explain_predicted(long).groupBy("row_key", "predicted_class").agg((F.sum("shap_value") + F.first("base_value")).alias("sum"))
     own = MD.predict(model, test, keep=("vec_id",)).select(F.col("vec_id").cast("string").alias("row_key"), "probability")
@@ -1007,6 +1008,32 @@ def q_explain_global(spark, d):
     return EX.explain_global(long).select("feature_name", "class", (F.col("mean_abs_shap") >= 0).alias("valid"))
 
 
+#: Rounds and depth of the registered multiclass models; the library's defaults are 50 and 6.
+SOFTMAX = {"rounds": 5, "max_depth": 3}
+
+
+def _softmax_model(spark, d):
+    data = FE.split_hash(embeddings_frame(spark, d), "vec_id", 0.2, 42)
+    return BO.train_softmax(data.where(F.col("split") == "train"), EMB_FEATURES, "label", **SOFTMAX), data.where(F.col("split") == "test")
+
+
+def q_softmax_importance(spark, d):
+    """ML5, ML6 for multiclass boosting: facts of the importances."""
+    return _importance_facts(BO.importances_softmax(_softmax_model(spark, d)[0], spark))
+
+
+def q_softmax_predict(spark, d):
+    """ML7 for multiclass boosting: facts of the probabilities of every test row."""
+    model, test = _softmax_model(spark, d)
+    return _prediction_facts(BO.predict_softmax(model, test, keep=("vec_id", "label")))
+
+
+def q_softmax_values(spark, d):
+    """ML7 for multiclass boosting: prediction, probabilities and margins of every test row."""
+    model, test = _softmax_model(spark, d)
+    return BO.predict_softmax(model, test, keep=("vec_id", "label"))
+
+
 def q_importance_values(spark, d):
     """ML6: the importances themselves."""
     return MD.importances(_emb_model(spark, d)[0], EMB_FEATURES)
@@ -1559,6 +1586,9 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "split_exact": q_split_exact,
         "train_boosted_importance": q_train_boosted_importance,
         "importance_values": q_importance_values,
+        "softmax_importance": q_softmax_importance,
+        "softmax_predict": q_softmax_predict,
+        "softmax_values": q_softmax_values,
         "prediction_values": q_prediction_values,
         "explanation_values": q_explanation_values,
         "explain_global_sums": q_explain_global_sums,
@@ -1800,6 +1830,8 @@ def _own_oracle_sql() -> dict[str, str]:
         "type_report_lines": _sql_type_report_lines(),
         "train_importance": _sql_importance_facts(EMB_NAMES_SQL),
         "train_boosted_importance": _sql_importance_facts(EMB_NAMES_SQL),
+        "softmax_importance": _sql_importance_facts(EMB_NAMES_SQL),
+        "softmax_predict": _sql_prediction_facts(),
         "explain_global_sums": _sql_explain_global_sums(),
         "predict": _sql_prediction_facts(),
         "end_to_end": _sql_end_to_end(),
