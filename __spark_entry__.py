@@ -291,7 +291,7 @@ def q_interpolate_linear(spark, d):
 
 
 def q_interpolate_time(spark, d):
-    return _ordered_out(O.interpolate(events_gaps(spark, d), ["value"], "ts", method="time"))
+    return _ordered_out(O.interpolate(events_gaps(spark, d), ["value"], ["ts", "event_id"], method="time"))
 
 
 def q_interpolate_both_by_user(spark, d):

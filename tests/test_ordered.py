@@ -143,3 +143,13 @@ def test_bounds_are_data_not_plan(spark, tmp_out):
         assert "ReusedExchange" in final and len(rows) == 30_000
     assert abs(sizes[0] - sizes[1]) < 200 and sums[0] == sums[1]
     assert 2900 < len(set(r._bkt for r in O.with_bucket(df, "k", O.bucket_bounds(df, "k", 3000)).select("_bkt").collect())) <= 3000
+
+
+def test_interpolate_time_between_rows_of_one_time(spark):
+    # valid and missing rows at one time: no slope, and no division by zero
+    rows = [(0, 10, 1.0), (1, 10, None), (2, 10, 5.0), (3, 15, None), (4, 20, 7.0), (5, 20, None), (6, 30, None), (7, 30, 9.0)]
+    df = spark.createDataFrame(rows, "id long, t long, v double").selectExpr("id", "timestamp_seconds(t) AS ts", "v")
+    got = {r.id: r.v for r in O.interpolate(df, ["v"], ["ts", "id"], method="time").collect()}
+    assert got == {0: 1.0, 1: 5.0, 2: 5.0, 3: 6.0, 4: 7.0, 5: 7.0, 6: 9.0, 7: 9.0}
+    want = pd.Series([r[2] for r in rows], index=pd.to_datetime([r[1] for r in rows], unit="s")).interpolate(method="time")
+    assert [got[i] for i in range(8)] == want.tolist()

@@ -256,7 +256,7 @@ def interpolate(df: DataFrame, columns, order_by: str, method: str = "linear", l
     """IM6: pandas ``Series.interpolate`` semantics over ``order_by`` order.
 
     ``linear`` treats rows as equally spaced; ``time`` / ``index`` / ``values``
-    use the order key as x.  Outside the first/last valid value the linear
+    use the order key as x (in a gap between rows of equal x it is the next value).  Outside the first/last valid value the linear
     family repeats the edge value, ``nearest`` leaves gaps.  ``limit`` counts
     consecutive missing cells from the side(s) named by ``limit_direction``
     (default ``forward``; ``pad`` forward, ``backfill`` backward), and the
@@ -290,7 +290,8 @@ def interpolated(of: OrderedFrame, c: str, t, method: str, limit: int | None, di
         if method == "linear":
             share = (pos - p["p"]).cast("double") / (n["p"] - p["p"]).cast("double")
         else:
-            share = (F.col("_x") - p["x"]) / (n["x"] - p["x"])
+            # between rows of one x there is no slope: a gap takes the next value, as a row at the x of the next value does
+            share = F.when(n["x"] > p["x"], (F.col("_x") - p["x"]) / F.nullif(n["x"] - p["x"], F.lit(0.0))).otherwise(F.lit(1.0))
         val = (F.when(p.isNotNull() & n.isNotNull(), pv + (nv - pv) * share)
                .when(p.isNotNull(), pv)      # trailing gap: edge value
                .when(n.isNotNull(), nv))     # leading gap: edge value
