@@ -83,3 +83,15 @@ def test_mode_hot_value_and_partial_topk_plan(spark):
     sample = P.sample_per_column(df, "i", ["s"], n=3)
     plan = sample._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_sample_sorts_only_the_cells_near_the_smallest_hashes(spark):
+    import hashlib
+    df = spark.range(0, 20_000, 1, 2).selectExpr("id AS i", "concat('v', id) AS s", "CASE WHEN id < 2 THEN 'x' END AS few")
+    sample = P.sample_per_column(df, "i", n=3)
+    got = {(r["column"], r["sample_rank"]): r["value"] for r in sample.collect()}
+    by = lambda c, ids: sorted(ids, key=lambda i: hashlib.md5(f"42:{c}:{i}".encode()).hexdigest())[:3]
+    assert got == {**{("s", k + 1): f"v{i}" for k, i in enumerate(by("s", range(20_000)))}, ("few", 1): "x", ("few", 2): "x"}
+    # the sorted cells are those within the bound
+    plan = sample._jdf.queryExecution().optimizedPlan().toString()
+    assert "_lead" in plan[plan.index("WindowGroupLimit"):] and "_bound" in plan[plan.index("WindowGroupLimit"):]

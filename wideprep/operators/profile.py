@@ -339,12 +339,22 @@ def counter(df: DataFrame, c: str) -> DataFrame:
 def sample_per_column(df: DataFrame, key: str, columns=None, n: int = 3, seed: int = 42) -> DataFrame:
     """AGG11: ``column, sample_rank, value``: the ``n`` non-missing cells with the
     smallest ``md5(seed:column:key)`` per column (deterministic, stable under
-    repartitioning).  The ``row_number() <= n`` filter is planned as a partial
-    per-task group limit before the shuffle, so no column's rows meet in one task."""
+    repartitioning).  No cell is sorted that cannot be among them: a first pass takes
+    the smallest hash of each of ``slots`` parts of a column, in fixed memory, and the n-th
+    of these bounds the n smallest of the column.  The ``row_number() <= n`` filter over
+    the few cells within the bound is planned as a partial per-task group limit."""
     long = cells(df, [c for c in (columns or df.columns) if c != key], keep=(key,))
+    slots = 1 << max(8, (16 * n).bit_length())
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("column"), col(key).cast("string")))
-    w = Window.partitionBy("column").orderBy(h, col(key))
-    return (long.withColumn("sample_rank", F.row_number().over(w).cast("long"))
+    hashed = long.withColumn("_h", h).withColumn("_lead", F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"))
+    slot = F.pmod(F.conv(F.substring("_h", 18, 15), 16, 10).cast("long"), F.lit(slots))
+    least = hashed.groupBy("column", slot.alias("_slot")).agg(F.min("_lead").alias("_lead"))
+    # a column with fewer than n filled parts has no bound
+    bounds = least.groupBy("column").agg(F.get(F.sort_array(F.collect_list("_lead")), F.lit(n - 1)).alias("_bound")) \
+        .select("column", F.coalesce("_bound", F.lit((1 << 60) - 1)).alias("_bound"))
+    near = hashed.join(F.broadcast(bounds), "column").where(F.col("_lead") <= F.col("_bound"))  # one row per column
+    w = Window.partitionBy("column").orderBy("_h", col(key))
+    return (near.withColumn("sample_rank", F.row_number().over(w).cast("long"))
             .where(F.col("sample_rank") <= n).select("column", "sample_rank", "value"))
 
 
