@@ -55,3 +55,13 @@ def test_median_of_300_columns_and_of_no_rows(spark):
     got = {r["column"]: r["median"] for r in Q.median(df).collect()}
     assert all(np.isclose(got[f"c{i}"], np.median(data[:, i]), rtol=1e-15) for i in range(300))
     assert Q.exact_quantiles(df.limit(0)).count() == 0
+
+
+def test_cells_are_counted_within_arrow_batches(spark):
+    # 40,000 cells of few digits leave the scan as a few counts a batch, not as rows
+    df = spark.range(0, 40_000, 1, 2).selectExpr("CAST(1 + id % 7 AS DOUBLE) AS a", "IF(id % 2 = 0, -0.0D, double('nan')) AS b", "CAST(NULL AS DOUBLE) AS c")
+    rows = Q._counts(Q.numeric_wide(df), None, 64, 48).collect()
+    assert len(rows) < 100 and {(c, sum(r.n for r in rows if r["column"] == c)) for c in "abc"} == {("a", 40_000), ("b", 20_000), ("c", 0)}
+    low = next(r.key >> 48 for r in rows if r["column"] == "a")
+    rows = Q._counts(Q.numeric_wide(df), {"a": [low]}, 48, 0).collect()
+    assert rows and {(r["column"], r.prefix, r.key >> 48) for r in rows} == {("a", low, low)}
