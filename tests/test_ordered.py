@@ -153,3 +153,6 @@ def test_interpolate_time_between_rows_of_one_time(spark):
     assert got == {0: 1.0, 1: 5.0, 2: 5.0, 3: 6.0, 4: 7.0, 5: 7.0, 6: 9.0, 7: 9.0}
     want = pd.Series([r[2] for r in rows], index=pd.to_datetime([r[1] for r in rows], unit="s")).interpolate(method="time")
     assert [got[i] for i in range(8)] == want.tolist()
+    # a gap beside a row without a time stays, as no slope is known
+    df = spark.createDataFrame([(0, None, 1.0), (1, 5, None), (2, 6, 3.0)], "id long, t long, v double").selectExpr("id", "timestamp_seconds(t) AS ts", "v")
+    assert [r.v for r in O.interpolate(df, ["v"], ["ts", "id"], method="time").orderBy("id").collect()] == [1.0, None, 3.0]

@@ -291,7 +291,8 @@ def interpolated(of: OrderedFrame, c: str, t, method: str, limit: int | None, di
             share = (pos - p["p"]).cast("double") / (n["p"] - p["p"]).cast("double")
         else:
             # between rows of one x there is no slope: a gap takes the next value, as a row at the x of the next value does
-            share = F.when(n["x"] > p["x"], (F.col("_x") - p["x"]) / F.nullif(n["x"] - p["x"], F.lit(0.0))).otherwise(F.lit(1.0))
+            width = n["x"] - p["x"]
+            share = F.when(width == 0, F.lit(1.0)).otherwise((F.col("_x") - p["x"]) / F.nullif(width, F.lit(0.0)))
         val = (F.when(p.isNotNull() & n.isNotNull(), pv + (nv - pv) * share)
                .when(p.isNotNull(), pv)      # trailing gap: edge value
                .when(n.isNotNull(), nv))     # leading gap: edge value
