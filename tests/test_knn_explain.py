@@ -247,3 +247,25 @@ def test_deep_trees_are_explained(spark):
     both = long[long["class"] == long.predicted_class].merge(alone, on=["row_key", "feature_name"])
     assert len(alone) == 15 == len(both) and np.allclose(both.shap_value_x, both.shap_value_y)
     assert EX.explain(MD.forest(model), sdf.where("id < 0"), "id", names).count() == 0
+
+
+def test_knn_cells_are_found_by_groups():
+    # nearest cells and cells within a radius equal those of all bounds, and few cells are bounded
+    rng = np.random.default_rng(5)
+    low = rng.uniform(0, 100, (900, 3))[np.argsort(rng.uniform(0, 1, 900))]
+    low = low[np.lexsort((low[:, 2] // 25, low[:, 1] // 25, low[:, 0] // 25))]
+    count = np.where(np.arange(900)[:, None] < 90, rng.integers(0, 6, (900, 3)), 5).astype(float)
+    b = KN.Boxes(np.arange(900), low, low + 1, count, np.full(900, 5.0))
+    x = rng.uniform(0, 100, (200, 3))
+    c = rng.integers(0, 3, 200)
+    x[np.arange(200), c] = np.nan
+    bound = np.where(b.count[:, c].T > 0, b.bounds(x), np.inf)
+    full = np.where(b.count[:, c].T >= 3, bound, np.inf)
+    at = KN._nearest(b, x, c, 3)
+    assert (full[np.arange(200), at] == full.min(axis=1)).all()
+    reach = np.full(200, 30.0)
+    met, seen = np.zeros((200, 900), bool), 0
+    for rows, cells, d in KN._around(b, x, c, lambda: reach):
+        seen += d.size
+        met[np.ix_(rows, cells.cell)] = d <= 30.0
+    assert (met == (bound <= 30.0)).all() and seen < bound.size / 2

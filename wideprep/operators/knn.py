@@ -25,6 +25,7 @@ they grow with the table.  ``key`` must be unique.
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 from wideprep.functions.numeric import nan_to_null
 from wideprep.operators._util import chunks, col
-from wideprep.session import checkpoint_dir
+from wideprep.session import checkpoint_dir, shuffle_partitions
 
 CELL_ROWS = 256                  # donors of a cell, about
 SAMPLE_PER_CELL = 16             # sample rows that a leaf of the tree stands on
@@ -42,6 +43,8 @@ BOX_BYTES = 64 << 20             # of the boxes
 MIXED = (0.05, 0.95)             # a node whose share of rows with a coordinate lies between splits by its presence
 STEP_CELLS = 1 << 20             # receivers x cells, or receivers x donors, held at a time
 GROUP_ROWS = 20_000              # receivers of a cell that one task compares
+TASK_ROWS = 50_000               # rows of a task that sorts donors or looks for cells
+MEET_ROWS = 200_000              # meetings of a task that compares
 
 
 class Tree:
@@ -105,7 +108,24 @@ class Boxes:
 
     def __init__(self, cell, low, high, count, total):
         self.cell, self.low, self.high, self.count = cell, low, high, count
+        self.total = total
         self.every = count == total[:, None]
+        self.size = max(1, math.isqrt(len(cell)))
+
+    @cached_property
+    def groups(self) -> Boxes:
+        """The boxes of runs of ``size`` cells, which are neighbours in the tree."""
+        at = np.arange(0, len(self.cell), self.size)
+        # a cell without the coordinate does not widen the box
+        low, high = np.where(self.count > 0, self.low, np.inf), np.where(self.count > 0, self.high, -np.inf)
+        low, high = (f.reduceat(v, at, axis=0) if len(at) else v for f, v in ((np.minimum, low), (np.maximum, high)))
+        count, total = (np.add.reduceat(v, at, axis=0) if len(at) else v for v in (self.count, self.total))
+        return Boxes(at // self.size, np.where(count > 0, low, 0.0), np.where(count > 0, high, 0.0), count, total)
+
+    def part(self, group: int) -> Boxes:
+        """The cells of a group."""
+        at = slice(group * self.size, (group + 1) * self.size)
+        return Boxes(self.cell[at], self.low[at], self.high[at], self.count[at], self.total[at])
 
     def bounds(self, x: np.ndarray) -> np.ndarray:
         """Squared lower bounds (receivers x cells); infinite where no coordinate can be common."""
@@ -127,6 +147,10 @@ def _matrix(column, m: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, m)
 
 
+def _tasks(spark, rows: int, each: int) -> int:
+    return max(shuffle_partitions(spark), -(-rows // each))
+
+
 def _assign(rows: DataFrame, tree: Tree, m: int) -> DataFrame:
     """``rows`` (``_did, _d``) with their ``_cell``."""
     held = rows.sparkSession.sparkContext.broadcast(tree)
@@ -139,35 +163,58 @@ def _assign(rows: DataFrame, tree: Tree, m: int) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_cell", T.LongType())]))
 
 
+def _around(b: Boxes, x: np.ndarray, c: np.ndarray, reach):
+    """``(rows, cells, bounds)`` by group of cells, for the receivers ``x`` with missing columns ``c``: those cells with donors of the column in groups
+    whose bound is at most ``reach`` (one number a receiver, squared; read anew for each group)."""
+    group = np.where(b.groups.count[:, c].T > 0, b.groups.bounds(x), np.inf)
+    for g in np.argsort(np.where(np.isfinite(group), group, np.inf).min(axis=0), kind="stable"):
+        rows = np.flatnonzero((group[:, g] <= reach()) & np.isfinite(group[:, g]))
+        if len(rows):
+            cells = b.part(g)
+            yield rows, cells, np.where(cells.count[:, c[rows]].T > 0, cells.bounds(x[rows]), np.inf)
+
+
+def _nearest(b: Boxes, x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """The nearest cell that holds k donors of its column, for each receiver; -1 without one."""
+    least, cell = np.full(len(x), np.inf), np.full(len(x), -1, np.int64)
+    # a group as far as the nearest cell so far has nothing nearer
+    for rows, cells, bound in _around(b, x, c, lambda: np.where(cell < 0, np.inf, np.nextafter(least, -np.inf))):
+        full = np.where(cells.count[:, c[rows]].T >= k, bound, np.inf)
+        at = full.argmin(axis=1)
+        near = full[np.arange(len(rows)), at]
+        better = near < least[rows]
+        least[rows[better]], cell[rows[better]] = near[better], cells.cell[at[better]]
+    return cell
+
+
 def _meet(recv: DataFrame, boxes: Boxes, m: int, k: int, first: bool) -> DataFrame:
-    """``_rid, _c, _r, _cell``: each receiver with the nearest cell that holds k donors of its column (``first``), or with all other cells
+    """Each receiver (all its columns) with its ``_cell``: the nearest that holds k donors of its column (``first``), or all others
     within its ``_radius``."""
     held = recv.sparkSession.sparkContext.broadcast(boxes)
-    names = ["_rid", "_c", "_r"]
+    names = recv.columns
 
     def run(batches):
         import pyarrow as pa
         b = held.value
-        step = max(1, STEP_CELLS // max(1, len(b.cell)))
+        step = max(1, STEP_CELLS // max(1, len(b.groups.cell), len(b.part(0).cell) if len(b.cell) else 1))
         for whole in batches:
             for lo in range(0, whole.num_rows, step):
                 batch = whole.slice(lo, step)
-                c = batch.column("_c").to_numpy()
-                bound = np.where(b.count[:, c].T > 0, b.bounds(_matrix(batch.column("_r"), m)), np.inf)
-                full = np.where(b.count[:, c].T >= k, bound, np.inf)
-                nearest = full.argmin(axis=1)
-                has = np.isfinite(full[np.arange(len(c)), nearest])
+                c, x = batch.column("_c").to_numpy(), _matrix(batch.column("_r"), m)
+                nearest = _nearest(b, x, c, k)
                 if first:
-                    row, at = np.flatnonzero(has), nearest[has]
+                    found = [(np.flatnonzero(nearest >= 0), nearest[nearest >= 0])]
                 else:
-                    radius = batch.column("_radius").to_numpy()
-                    near = (bound <= radius[:, None] ** 2 * (1 + 1e-9)) & np.isfinite(bound)
-                    near[has, nearest[has]] = False
-                    row, at = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([*[batch.column(n).take(pa.array(row)) for n in names], pa.array(b.cell[at], pa.int64())], names=[*names, "_cell"])
+                    reach = batch.column("_radius").to_numpy() ** 2 * (1 + 1e-9)
+                    found = []
+                    for rows, cells, bound in _around(b, x, c, lambda: reach):
+                        row, at = np.nonzero((bound <= reach[rows][:, None]) & np.isfinite(bound) & (cells.cell != nearest[rows][:, None]))
+                        found.append((rows[row], cells.cell[at]))
+                for row, cell in found:
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([*[batch.column(n).take(pa.array(row)) for n in names], pa.array(cell, pa.int64())], names=[*names, "_cell"])
 
-    fields = {f.name: f for f in recv.schema.fields}
-    return recv.mapInArrow(run, T.StructType([*[fields[n] for n in names], T.StructField("_cell", T.LongType())]))
+    return recv.mapInArrow(run, T.StructType([*recv.schema.fields, T.StructField("_cell", T.LongType())]))
 
 
 def _compare(m: int, k: int):
@@ -178,6 +225,13 @@ def _compare(m: int, k: int):
         donors = right.sort_by("_did")          # equal distances: the stable sort below leaves the smaller key first
         d, r = _matrix(donors.column("_d").combine_chunks(), m), _matrix(left.column("_r").combine_chunks(), m)
         c = left.column("_c").to_numpy()
+        radius = after = None
+        if "_radius" in left.column_names:
+            radius = left.column("_radius").to_numpy()
+            kth = left.column("_kth").combine_chunks()
+            there = np.flatnonzero(kth.is_valid().to_numpy(zero_copy_only=False))
+            after = np.full(len(radius), len(d))
+            after[there] = np.searchsorted(donors.column("_did").to_numpy(), kth.take(pa.array(there)).to_numpy(zero_copy_only=False))
         rows, picks, dists = [], [], []
         step = max(1, STEP_CELLS // max(1, len(d)))
         for lo in range(0, len(r) if len(d) else 0, step):
@@ -189,6 +243,9 @@ def _compare(m: int, k: int):
                 sums, n = sums + np.where(both, gap * gap, 0), n + both
             has = (n > 0) & ~np.isnan(d[:, own].T)
             far = np.where(has, np.sqrt(m / np.maximum(n, 1) * sums), np.inf)
+            if radius is not None:              # what is no nearer than the k-th so far, or as near with a larger key, is not among the k
+                end = radius[lo:lo + step][:, None]
+                far = np.where((far > end) | (far == end) & (np.arange(len(d)) >= after[lo:lo + step][:, None]), np.inf, far)
             pick = np.argsort(far, axis=1, kind="stable")[:, :k]
             dist = np.take_along_axis(far, pick, 1)
             row, nth = np.nonzero(np.isfinite(dist))
@@ -213,7 +270,10 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, cell_rows: int = CE
     checkpoint_dir(spark)
     values = [nan_to_null(col(c).cast("double")) for c in cols]
     base = df.select(col(key).alias("_id"), F.array(*values).alias("_x")).where(F.exists("_x", lambda v: v.isNotNull()))
-    means = [v for part in chunks(values) for v in df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(part)]).first()]
+    sums = [list(df.agg(F.count("*").alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(part)]).first()) for part in chunks(values)]
+    means = [v for part in sums for v in part[1:]]
+    # rows are dealt over tasks by their number, however few files hold them
+    base = base.repartition(_tasks(spark, sums[0][0], TASK_ROWS), "_id")
     same = Window.partitionBy("_d").orderBy("_did")
     donors = base.select(F.col("_id").alias("_did"), F.col("_x").alias("_d")).withColumn("_nth", F.row_number().over(same)) \
         .where(F.col("_nth") <= k).drop("_nth").checkpoint()
@@ -226,6 +286,7 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, cell_rows: int = CE
     placed = _assign(donors, Tree(held, max(1, len(held) // cells)), m).checkpoint()
     each = lambda f: F.array(*[f(F.get("_d", F.lit(i))) for i in range(m)])
     found = placed.groupBy("_cell").agg(each(F.min).alias("low"), each(F.max).alias("high"), each(F.count).alias("count"), F.count("*").alias("n")).collect()
+    found.sort(key=lambda r: r["_cell"])            # neighbours in the tree are numbered in turn
     table = lambda name: np.array([[0.0 if v is None else v for v in r[name]] for r in found], float).reshape(-1, m)
     boxes = Boxes(np.array([r["_cell"] for r in found], np.int64), table("low"), table("high"), table("count"), np.array([r["n"] for r in found], float))
 
@@ -234,23 +295,29 @@ def impute_knn(df: DataFrame, key: str, columns, k: int = 3, cell_rows: int = CE
 
     schema = T.StructType([recv.schema["_rid"], recv.schema["_c"], placed.schema["_did"], T.StructField("_dist", T.DoubleType()), T.StructField("_y", T.DoubleType())])
 
-    def nearest(meetings: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    def nearest(meetings: DataFrame, n: int, more: DataFrame | None = None) -> DataFrame:
         # a cell that very many receivers meet is dealt over several groups, each with all its donors
         salts = meetings.groupBy("_cell").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("_salts"))
         asked = meetings.join(F.broadcast(salts), "_cell").withColumn("_salt", F.pmod(F.xxhash64("_rid", "_c"), "_salts").cast("int")).drop("_salts")
         there = placed.join(F.broadcast(salts), "_cell").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+        parts = _tasks(spark, n, MEET_ROWS)
+        asked, there = (side.repartition(parts, "_cell", "_salt") for side in (asked, there))
         hits = asked.groupBy("_cell", "_salt").cogroup(there.groupBy("_cell", "_salt")).applyInArrow(_compare(m, k), schema)
         hits = hits if more is None else hits.unionByName(more)
         return hits.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= k).drop("_rank")
 
     one = _meet(recv, boxes, m, k, True).checkpoint()
-    best = nearest(one).checkpoint()
-    radius = best.groupBy("_rid", "_c").agg(F.when(F.count("*") == k, F.max("_dist")).alias("_radius"))
-    wider = recv.join(radius, ["_rid", "_c"], "left").select("_rid", "_c", "_r", F.coalesce("_radius", F.lit(math.inf)).alias("_radius"))
+    best = nearest(one, one.count()).checkpoint()
+    last = F.max(F.struct("_dist", "_did"))
+    radius = best.groupBy("_rid", "_c").agg(F.when(F.count("*") == k, last).alias("_last"))
+    wider = recv.join(radius, ["_rid", "_c"], "left") \
+        .select("_rid", "_c", "_r", F.coalesce("_last._dist", F.lit(math.inf)).alias("_radius"), F.col("_last._did").alias("_kth")) \
+        .repartition(_tasks(spark, recv.count(), TASK_ROWS), "_rid")
     two = _meet(wider, boxes, m, k, False).checkpoint()
+    met = two.count()
     if report is not None:
-        report.update(cells=len(found), receivers=recv.count(), first=one.count(), second=two.count())
-    fills = nearest(two, best).groupBy("_rid", "_c").agg(F.avg("_y").alias("_fill"))
+        report.update(cells=len(found), receivers=recv.count(), first=one.count(), second=met)
+    fills = nearest(two, met, best).groupBy("_rid", "_c").agg(F.avg("_y").alias("_fill"))
     wide = fills.groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_fill"))).alias("_fills"))
     out = df.join(wide, df[key] == wide["_rid"], "left")
     place = {c: j for j, c in enumerate(cols)}
