@@ -14,6 +14,8 @@ Plan - exact, for any number of columns, and no receiver is compared with all do
 * **Bounds.**  Each cell's box - smallest and largest value and number of values per coordinate - is aggregated over all its donors.
   The boxes (at most ``BOX_BYTES``) are broadcast and bound the distance of a receiver to any donor of a cell from below: coordinates that
   all donors of the cell have count with their mean squared gap, others with the smallest.
+* **Groups.**  Cells are numbered in the tree's order; a receiver is held against the boxes of runs of neighbouring cells, and against the cells of a run
+  only if that is near enough.
 * **Two steps.**  A receiver meets the nearest cell that holds k donors of its column; the k-th distance there is its radius.  Then
   it meets every other cell whose bound is within the radius, and no other.  Receivers and donors are grouped by cell,
   and a cell that more than ``GROUP_ROWS`` receivers meet is dealt over several groups.
